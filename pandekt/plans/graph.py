@@ -1 +1,93 @@
-"""Pending."""
+"""Graph expansion over the part-supplier graph."""
+
+from pyspark.sql import functions as F
+
+from pandekt.operators import graph as g
+from pandekt.plans.base import EDGES_SQL, EXPANSION_SQL, ORDER_HITS_SQL, order_hits, part_supplier_edges
+from pandekt.plans.registry import query
+
+GOLD_SQL = """
+gold AS (SELECT DISTINCT o.o_orderkey AS qid, 'S' || l.l_suppkey AS chunk_id FROM orders o JOIN lineitem l ON l.l_partkey = o.o_custkey
+  WHERE l.l_returnflag = 'R' AND o.o_orderstatus = 'F')"""
+
+
+@query("e1_adjacency", f"""WITH {EDGES_SQL}
+SELECT from_chunk AS node, to_chunk AS neighbor, relation, note, link_pos, CAST(0 AS INTEGER) AS dir FROM edges
+UNION ALL SELECT to_chunk, from_chunk, relation, note, link_pos, CAST(1 AS INTEGER) FROM edges""")
+def adjacency(t):
+    return g.adjacency(part_supplier_edges(t))
+
+
+@query("e2_expand_one_hop", f"WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL} SELECT * FROM expansions")
+def expand(t):
+    return g.expand_one_hop(order_hits(t), part_supplier_edges(t), 5, 10)
+
+
+@query("e3_link_activation", f"""WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL}
+SELECT expanded_from AS from_chunk, chunk_id AS to_chunk, relation, count(*) AS n FROM expansions GROUP BY ALL""")
+def activation(t):
+    return g.link_activation(expand(t))
+
+
+@query("e3_expansion_summary", f"""WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL},
+per AS (SELECT o_orderkey, count(e.chunk_id) AS n FROM orders LEFT JOIN expansions e ON e.qid = o_orderkey GROUP BY ALL)
+SELECT count(*) AS n_queries, round(avg(n), 6) AS mean_expansions, count(*) FILTER (n >= 1) AS n_with_expansion FROM per""")
+def summary(t):
+    return g.expansion_summary(t.orders.select(F.col("o_orderkey").alias("qid")), expand(t)).withColumn(
+        "mean_expansions", F.round("mean_expansions", 6))
+
+
+@query("e3_top_links", f"""WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL}
+SELECT expanded_from AS from_chunk, chunk_id AS to_chunk, relation, count(*) AS n FROM expansions GROUP BY ALL
+ORDER BY n DESC, from_chunk, to_chunk, relation LIMIT 5""")
+def top_links(t):
+    return activation(t).orderBy(F.desc("n"), "from_chunk", "to_chunk", "relation").limit(5)
+
+
+@query("e4_unused_links", f"""WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL}
+SELECT from_chunk, to_chunk, relation FROM edges e WHERE NOT EXISTS (SELECT 1 FROM expansions x
+  WHERE (x.expanded_from = e.from_chunk AND x.chunk_id = e.to_chunk) OR (x.expanded_from = e.to_chunk AND x.chunk_id = e.from_chunk))""")
+def unused(t):
+    return g.unused_links(part_supplier_edges(t), expand(t)).select("from_chunk", "to_chunk", "relation")
+
+
+def rescue_gold(t):
+    """Suppliers of the part numbered like the customer, for finished orders."""
+    o = t.orders.filter(F.col("o_orderstatus") == "F")
+    l = t.lineitem.filter(F.col("l_returnflag") == "R")
+    return o.join(l, o["o_custkey"] == l["l_partkey"]).select(
+        F.col("o_orderkey").alias("qid"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("chunk_id")).distinct()
+
+
+@query("e5_graph_rescue", f"""WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL},{GOLD_SQL},
+f AS (SELECT gold.qid, gold.chunk_id, h.chunk_id IS NOT NULL AS top, x.chunk_id IS NOT NULL AS ex FROM gold
+  LEFT JOIN hits h ON h.qid = gold.qid AND h.chunk_id = gold.chunk_id LEFT JOIN expansions x ON x.qid = gold.qid AND x.chunk_id = gold.chunk_id),
+p AS (SELECT qid, count(*) AS n_gold, count(*) FILTER (top) AS n_top, count(*) FILTER (NOT top AND ex) AS n_rescued FROM f GROUP BY qid),
+n AS (SELECT qid, count(*) AS n FROM expansions GROUP BY qid)
+SELECT p.qid, n_gold, n_rescued, round(n_top / n_gold, 6) AS baseline_recall, round((n_top + n_rescued) / n_gold, 6) AS effective_recall,
+  n_top = 0 AS zero_recall, coalesce(n.n, 0) AS n_expansions FROM p LEFT JOIN n USING (qid)""")
+def rescue(t):
+    return g.graph_rescue(rescue_gold(t), order_hits(t), expand(t)).withColumn(
+        "baseline_recall", F.round("baseline_recall", 6)).withColumn("effective_recall", F.round("effective_recall", 6))
+
+
+@query("e5_rescue_links", f"""WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL},{GOLD_SQL}
+SELECT x.* FROM expansions x WHERE EXISTS (SELECT 1 FROM gold WHERE gold.qid = x.qid AND gold.chunk_id = x.chunk_id)
+  AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.qid = x.qid AND h.chunk_id = x.chunk_id)""")
+def rescued(t):
+    return g.rescue_links(rescue_gold(t), order_hits(t), expand(t))
+
+
+@query("e6_validate_endpoints", """
+WITH edges AS (SELECT CASE WHEN l_linenumber = 7 THEN '<part ' || l_partkey || '>' ELSE 'doc_' || l_partkey END AS a, 'doc_' || l_suppkey AS b FROM lineitem),
+ends AS (SELECT DISTINCT unnest([a, b]) AS endpoint FROM edges)
+SELECT endpoint, 'placeholder' AS problem FROM ends WHERE endpoint LIKE '<%>'
+UNION ALL SELECT endpoint, 'missing' FROM ends WHERE endpoint NOT LIKE '<%>' AND endpoint NOT IN (SELECT 'doc_' || doc_id FROM documents)""")
+def endpoints(t):
+    key = F.col("l_partkey").cast("string")
+    edges = t.lineitem.select(
+        F.when(F.col("l_linenumber") == 7, F.concat(F.lit("<part "), key, F.lit(">"))).otherwise(F.concat(F.lit("doc_"), key)).alias("from_chunk"),
+        F.concat(F.lit("doc_"), F.col("l_suppkey").cast("string")).alias("to_chunk"),
+    )
+    docs = t.documents.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("chunk_id"))
+    return g.validate_endpoints(edges, docs)

@@ -58,7 +58,7 @@ def compare(spark, con, name, sf_dir, queries, oracles):
     t1 = time.time()
     if name not in oracles:
         return got.num_rows, None, t1 - t0, 0.0, ["no SQL"]
-    want = con.execute(oracles[name]).fetch_arrow_table()
+    want = con.sql(oracles[name]).to_arrow_table()
     t2 = time.time()
     problems = []
     gs = {f.name: kind(f.type) for f in got.schema}
