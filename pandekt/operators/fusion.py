@@ -13,6 +13,7 @@ from pandekt.operators.embedding import embed
 from pandekt.operators.graph import expand_one_hop
 from pandekt.operators.ordered import top_k
 from pandekt.operators.sparse import sparse_topk
+from pandekt.session import prepare
 
 RRF_K = 60
 MODES = ("dense", "hybrid", "sparse")
@@ -24,6 +25,7 @@ def rrf(rank: Column, rrf_k: int = RRF_K) -> Column:
 
 def fuse(rankings: DataFrame, k: int, rrf_k: int = RRF_K, digits: int = 9) -> DataFrame:
     """Reciprocal rank fusion of (qid, source, rank, chunk_id) rows; top k per question."""
+    prepare(rankings.sparkSession)
     scored = rankings.groupBy("qid", "chunk_id").agg(F.round(F.sum(rrf(F.col("rank"), rrf_k)), digits).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
 

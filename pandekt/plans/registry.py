@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pandekt.session import prepare
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,7 +16,7 @@ class Tables:
     """Input tables of one data folder, read lazily by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark = spark
+        self.spark = prepare(spark)
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

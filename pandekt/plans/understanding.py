@@ -1 +1,121 @@
-"""Pending."""
+"""Question understanding over documents, benchmark passages and conversations."""
+
+from pyspark.sql import functions as F
+
+from pandekt.operators import understanding as u
+from pandekt.plans.base import chunks, questions
+from pandekt.plans.registry import query
+
+# Aliases and patterns over words of the data.
+ALIASES = {
+    "the": ["definite article", "that thing"],
+    "de la": ["of the"],
+    "der": ["definite article", "male form"],
+    "und": ["AND", "plus"],
+    "that": ["that thing"],
+}
+PATTERNS = [("en", r"\bthe\b"), ("fr", r"\b(de|la)\b"), ("de", r"\b(der|die|das)\b"), ("es", r"\b(el|los)\b"), ("num", r"\d+"), ("end", r"ing\.")]
+
+NB = r"(^|[^\p{L}\p{M}\p{N}_])"
+NA = r"($|[^\p{L}\p{M}\p{N}_])"
+
+
+def alias_sql(text: str) -> str:
+    """Reference statement: the same rules spelled out form by form."""
+    parts, picked = [], []
+    for key, forms in ALIASES.items():
+        hit = f"contains(lower({text}), '{key.lower()}')" if " " in key else f"regexp_matches({text}, '(?i){NB}{key}{NA}')"
+        for f in forms:
+            cond = f"({hit} AND NOT contains(lower({text}), '{f.lower()}'))"
+            for ef, ec in picked:
+                if ef.lower() == f.lower():
+                    cond = f"({cond} AND NOT {ec})"
+            picked.append((f, cond))
+            parts.append(f"CASE WHEN {cond} THEN '{f}' END")
+    return f"concat_ws(' ', {text}, {', '.join(parts)})"
+
+
+@query("c1_expand_terms", f"""SELECT 'c' || conv_id || '-' || turn AS qid, {alias_sql('text')} AS expanded FROM conversations
+UNION ALL SELECT 'b' || item_id, {alias_sql('text')} FROM benchmark""")
+def expand(t):
+    q = t.conversations.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("qid"), "text")
+    q = q.unionByName(t.benchmark.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), "text"))
+    return q.select("qid", u.expand_terms(F.col("text"), ALIASES).alias("expanded"))
+
+
+def entity_sql(text: str) -> str:
+    cases = []
+    for pid, rx in PATTERNS:
+        body = rx.replace(r"\b", "")
+        if rx.startswith(r"\b"):
+            body = f"{NB}({body}){NA}"
+        cases.append(f"CASE WHEN regexp_matches({text}, '(?i){body}') THEN '{pid}' END")
+    return f"list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)"
+
+
+ENTITIES = f"ent AS (SELECT doc_id AS qid, text, {entity_sql('text')} AS entities FROM documents)"
+
+
+def detected(t):
+    return t.documents.select(F.col("doc_id").alias("qid"), "text", u.detect_entities(F.col("text"), PATTERNS).alias("entities"))
+
+
+@query("c2_detect_entities", f"WITH {ENTITIES} SELECT qid, array_to_string(entities, ',') AS entities FROM ent")
+def detect(t):
+    return detected(t).select("qid", F.array_join("entities", ",").alias("entities"))
+
+
+@query("c3_route_queries", f"""WITH {ENTITIES} SELECT qid, len(entities) AS n_entities, CASE WHEN len(entities) >= 2 THEN 'multi' ELSE 'fallback' END AS path FROM ent""")
+def routed(t):
+    return detected(t).select("qid", F.size("entities").cast("long").alias("n_entities"), u.route(F.col("entities")).alias("path"))
+
+
+def glossary(t):
+    """Entity ids as laws: the language codes map to sources, others stay unmapped."""
+    langs = t.documents.groupBy(F.col("lang").alias("norm_id")).agg(
+        F.min("source").alias("doc_urn"), F.concat(F.lit("Lingua "), F.max("lang")).alias("short_name"),
+        F.array(F.min("source"), F.max("source")).alias("vocabulary"))
+    return langs
+
+
+GLOSSARY = """gl AS (SELECT lang AS norm_id, min(source) AS doc_urn, 'Lingua ' || max(lang) AS short_name, [min(source), max(source)] AS vocabulary FROM documents GROUP BY lang)"""
+
+FANNED = """
+fan AS (SELECT qid, CAST(i - 1 AS INTEGER) AS source_pos, 'norm:' || norm_id AS source, norm_id, doc_urn
+  FROM (SELECT qid, unnest(entities) AS norm_id, generate_subscripts(entities, 1) AS i FROM ent) JOIN gl USING (norm_id)
+  UNION ALL SELECT qid, CAST(len(entities) AS INTEGER), 'global', NULL, NULL FROM ent)"""
+
+
+@query("c4_fan_out", f"WITH {ENTITIES},{GLOSSARY},{FANNED} SELECT * FROM fan")
+def fan_out(t):
+    return u.fan_out(detected(t), glossary(t))
+
+
+@query("c4_unmapped", f"""WITH {ENTITIES} SELECT qid, norm_id FROM (SELECT qid, unnest(entities) AS norm_id FROM ent) WHERE norm_id NOT IN (SELECT lang FROM documents)""")
+def unmapped(t):
+    return u.unmapped_entities(detected(t), glossary(t))
+
+
+@query("c5_render_prompt", f"""WITH {ENTITIES},{GLOSSARY},{FANNED}
+SELECT f.qid, f.norm_id, 'Norma: ' || short_name || chr(10) || chr(10) || 'Vocabolario:' || chr(10) ||
+  array_to_string(list_transform(vocabulary, lambda v: '- ' || v), chr(10)) || chr(10) || chr(10) || 'Domanda:' || chr(10) || '"' || text || '"' AS prompt
+FROM fan f JOIN gl USING (norm_id) JOIN ent USING (qid)""")
+def prompts(t):
+    q = detected(t)
+    return u.subquery_prompts(u.fan_out(q, glossary(t)), q, glossary(t))
+
+
+@query("c5_unknown_ids", f"""WITH {ENTITIES} SELECT DISTINCT norm_id FROM (SELECT unnest(entities) AS norm_id FROM ent) WHERE norm_id NOT IN (SELECT lang FROM documents)""")
+def unknown(t):
+    return u.unknown_ids(detected(t).select(F.explode("entities").alias("norm_id")), glossary(t))
+
+
+@query("c6_resolve_completions", """
+WITH p AS (SELECT conv_id, turn + 1 AS turn, text AS prompt FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn, '  ' || text || ' ' AS text FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, prompt, trim(r.text) AS completion, r.text IS NULL AS pending FROM p LEFT JOIN r USING (conv_id, turn)""")
+def completions(t):
+    c = t.conversations
+    p = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    r = c.filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("  "), "text", F.lit(" ")).alias("text"))
+    return u.resolve_completions(p, r, ["conv_id", "turn"])

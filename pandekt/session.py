@@ -9,11 +9,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+UNION_CONF = "spark.sql.unionOutputPartitioning"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings every operator relies on.
+
+    Spark 4.1 lets a union keep the partitioning of its inputs. Together with
+    exchange reuse under adaptive execution this mixes up partitions when such
+    a union occurs on both sides of a join (for example fused hits joined with
+    themselves), and rows are lost. The option is turned off; the cost is one
+    exchange of already aggregated rows.
+    """
+    spark.conf.set(UNION_CONF, "false")
+    return spark
 
 
 def local_session(app: str = "pandekt", cores: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and single-machine runs. Clusters bring their own."""
-    return (
+    return prepare(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
