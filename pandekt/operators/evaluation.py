@@ -43,7 +43,7 @@ def _gold_ranks(gold: DataFrame, hits: DataFrame, setups: list[str]) -> DataFram
     return g.join(h, ["qid", "setup", "chunk_id"], "left")
 
 
-def recall_at_k(k: int, empty: float | None = None) -> Column:
+def recall_at_k(k: int) -> Column:
     """Aggregate over gold rows: share of gold found in the top k."""
     return F.count_if(F.col("rank") <= k) / F.count(F.lit(1))
 
@@ -65,7 +65,7 @@ def ndcg_at_k(k: int) -> Column:
 
 
 def query_metrics(queries: DataFrame, gold: DataFrame, hits: DataFrame, setups: list[str], recalls: tuple[int, ...] = (5, 10, 20),
-                  mrr_window: int = 10, ndcg_k: int = 10, empty: float | None = None, digits: int = 6) -> DataFrame:
+                  mrr_window: int = 10, ndcg_k: int = 10, empty: float | None = None, digits: int = 9) -> DataFrame:
     """Per (qid, setup): recall, MRR, nDCG and first gold rank.
 
     Questions without gold keep a row with ``empty`` (null by default) metrics.
