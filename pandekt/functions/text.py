@@ -74,7 +74,7 @@ def clean_heading(c: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """Strict YYYY-MM-DD parse; anything else is null."""
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, F.lit("yyyy-MM-dd")))
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
 
 
 def roman_to_int(c: Column) -> Column:

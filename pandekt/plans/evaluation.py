@@ -380,17 +380,17 @@ def ratio_medians(t):
 
 def calls(t):
     v = F.col("value")
-    return t.events.select("event_id", "ts", F.round(ev.usage_cost(v * 100, v * 10, v * 50, v * 20), 8).alias("cost"))
+    return t.events.select("event_id", "ts", ev.usage_cost(v * 100, v * 10, v * 50, v * 20).alias("cost"))
 
 
-CALLS = "calls AS (SELECT event_id, ts, round(value * 100 / 1000000.0 * 3.0 + value * 10 / 1000000.0 * 3.75 + value * 50 / 1000000.0 * 0.3 + value * 20 / 1000000.0 * 15.0, 8) AS cost FROM events)"
+CALLS = "calls AS (SELECT event_id, ts, value * 100 / 1000000 * 3 + value * 10 / 1000000 * 3.75 + value * 50 / 1000000 * 0.3 + value * 20 / 1000000 * 15 AS cost FROM events)"
 
 
 @query("g30_usage_cost", f"""WITH {CALLS}, r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq, sum(cost) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS rc FROM calls)
-SELECT event_id, seq, round(rc, 8) AS running_cost, seq >= 80 AND rc > 1.0 AS stop FROM r""")
+SELECT event_id, seq, round(rc, 9) AS running_cost, seq >= 80 AND rc > 1.0 AS stop FROM r""")
 def cost(t):
     w = ev.budget_watch(calls(t), ["ts", "event_id"], "cost", 1.0)
-    return w.select("event_id", "seq", F.round("running_cost", 8).alias("running_cost"), "stop")
+    return w.select("event_id", "seq", F.round("running_cost", 9).alias("running_cost"), "stop")
 
 
 @query("g30_first_breach", f"""WITH {CALLS}, r AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS seq, sum(cost) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS rc FROM calls)
