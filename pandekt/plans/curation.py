@@ -200,7 +200,7 @@ def gap_rows(t):
 
 
 @query("h9_gap_summary", f"""WITH {GAPS} SELECT norm, count(*) FILTER (status <> 'unexpected') AS n_expected, count(*) FILTER (status = 'missing') AS n_missing, count(*) FILTER (status = 'unexpected') AS n_unexpected,
-  round(count(*) FILTER (status = 'missing') / nullif(count(*) FILTER (status <> 'unexpected'), 0) * 100, 6) AS missing_pct FROM gaps GROUP BY norm""")
+  coalesce(round(count(*) FILTER (status = 'missing') / nullif(count(*) FILTER (status <> 'unexpected'), 0) * 100, 6), 0.0) AS missing_pct FROM gaps GROUP BY norm""")
 def gap_summary(t):
     return cu.gap_summary(gaps(t))
 
