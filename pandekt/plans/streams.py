@@ -75,8 +75,9 @@ def retrieve(t):
 
 
 @query("s4_windowed_timings", """
-SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50 FROM events
-GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type, value FROM events)
+SELECT window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50 FROM w
+GROUP BY window_start, event_type HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def timings(t):
     log = jobs.table_stream(t.spark, t.sf_dir, "events.parquet")
     path = scratch_path(t.spark, "timings")
