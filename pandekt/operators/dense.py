@@ -36,14 +36,11 @@ def _cut(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int):
     return rows[keep], scores[keep], ids[keep]
 
 
-def _block_topk(q_ids, q_vecs, q_filter, c_ids, c_vecs, c_doc, k, digits, skip_same_id):
-    """Best k chunks of one chunk block for every question of one block."""
-    empty = np.zeros(0, dtype=np.int64), np.zeros(0), np.asarray(c_ids)[:0]
-    if not len(q_ids) or not len(c_ids):
-        return empty
-    s = np.round(q_vecs @ c_vecs.T, digits)
-    if skip_same_id:
-        s[np.asarray(q_ids)[:, None] == np.asarray(c_ids)[None, :]] = -np.inf
+def select_topk(s: np.ndarray, c_ids: np.ndarray, k: int, q_filter=None, c_doc=None):
+    """Best k columns per row of a score matrix; -inf entries never count.
+
+    ``q_filter`` restricts a row to the columns of one document (None: all).
+    """
     if q_filter is not None:
         wanted = np.asarray(q_filter, dtype=object)
         free = np.array([w is None for w in wanted])
@@ -54,6 +51,21 @@ def _block_topk(q_ids, q_vecs, q_filter, c_ids, c_vecs, c_doc, k, digits, skip_s
     return _cut(rows, s[rows, cols], np.asarray(c_ids)[cols], k)
 
 
+def merge_topk(best, part, k: int):
+    """Fold the result of one more block into the running top k."""
+    return part if best is None else _cut(*(np.concatenate([a, b]) for a, b in zip(best, part)), k)
+
+
+def _block_topk(q_ids, q_vecs, q_filter, c_ids, c_vecs, c_doc, k, digits, skip_same_id):
+    """Best k chunks of one chunk block for every question of one block."""
+    if not len(q_ids) or not len(c_ids):
+        return np.zeros(0, dtype=np.int64), np.zeros(0), np.asarray(c_ids)[:0]
+    s = np.round(q_vecs @ c_vecs.T, digits)
+    if skip_same_id:
+        s[np.asarray(q_ids)[:, None] == np.asarray(c_ids)[None, :]] = -np.inf
+    return select_topk(s, c_ids, k, q_filter, c_doc)
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", qvec: str = "vec",
                chunk_id: str = "chunk_id", cvec: str = "vec", filter_doc: str | None = None,
                doc_urn: str = "doc_urn", skip_same_id: bool = False, digits: int = 6,
@@ -100,7 +112,7 @@ def _streamed(q, c, schema, k, digits, skip, filtered) -> DataFrame:
                 continue
             part = _block_topk(q_ids, q_vecs, q_filter, pdf["chunk_id"].to_numpy(), _matrix(pdf["cvec"]),
                                pdf["cdoc"].tolist() if filtered else None, k, digits, skip)
-            best = part if best is None else _cut(*(np.concatenate([a, b]) for a, b in zip(best, part)), k)
+            best = merge_topk(best, part, k)
         if best is not None and len(best[0]):
             yield pd.DataFrame({"qid": q_ids[best[0]], "chunk_id": best[2], "score": best[1]})
     return c.mapInPandas(run, schema)

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pandekt.functions.text import WORD_RE, words
+from pandekt.operators.dense import BLOCK_ROWS, merge_topk, select_topk
 from pandekt.operators.ordered import top_k
 
 K1, B = 1.2, 0.75
+MAX_BLOCK_TERMS = 1_000_000
+MAX_PAIRS = 4_000_000
 
 
 def doc_length(text: Column) -> Column:
@@ -49,33 +59,121 @@ def bm25_weight(tf: Column, dl: Column, df: Column, n_docs: Column, avgdl: Colum
 def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", qtext: str = "text",
                 chunk_id: str = "chunk_id", text: str = "text", filter_doc: str | None = None,
                 doc_urn: str = "doc_urn", postings: DataFrame | None = None, stats: DataFrame | None = None,
-                digits: int = 6) -> DataFrame:
+                digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Top-k chunks per question by BM25.
 
-    Without a stored index only the words that occur in some question are
-    counted: they are matched before the first shuffle (Spark broadcasts the
-    word list while it is below its size threshold, and joins otherwise).
+    Up to ``block_rows`` questions with at most ``MAX_BLOCK_TERMS`` words
+    (checked with a limited count) travel with the tasks: every chunk is scored
+    where it is read and only the k best per question and task are shuffled.
+    More questions, or a stored index (``postings`` and ``stats``), use joins:
+    postings are matched with the question words before their first shuffle.
+    Both ways give the same scores up to the rounding to ``digits``.
     """
     if k <= 0:
         raise ValueError(f"k must be > 0 (got {k})")
-    carry_q = ("_want",) if filter_doc else ()
-    q = queries.withColumn("_want", F.col(filter_doc)) if filter_doc else queries
-    terms = query_terms(q, qid, qtext, carry_q)
-    carry_c = (doc_urn,) if filter_doc else ()
+    q = queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("text"),
+                       (F.col(filter_doc) if filter_doc else F.lit(None).cast("string")).alias("_want"))
+    c = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(text).alias("text"),
+                      (F.col(doc_urn) if filter_doc else F.lit(None).cast("string")).alias("_doc"))
+    if postings is None:
+        terms = query_terms(q, carry=("_want",))
+        n_questions = q.select("qid").limit(block_rows + 1).count()
+        if n_questions <= block_rows and terms.limit(MAX_BLOCK_TERMS + 1).count() <= MAX_BLOCK_TERMS:
+            scored = _score_in_place(terms, c, k, bool(filter_doc), digits)
+            return top_k(scored, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
+    elif filter_doc:
+        postings = postings.withColumnRenamed(doc_urn, "_doc")
+    else:
+        postings = postings.withColumn("_doc", F.lit(None).cast("string"))
+    scored = _score_by_join(query_terms(q, carry=("_want",)), c, postings, stats, bool(filter_doc), digits)
+    return top_k(scored, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
+
+
+def _score_by_join(terms: DataFrame, c: DataFrame, postings: DataFrame | None, stats: DataFrame | None, filtered: bool, digits: int) -> DataFrame:
     if postings is None:
-        w = chunks.select(F.col(chunk_id).alias("chunk_id"), *carry_c, words(F.col(text)).alias("_w"))
-        flat = w.select("chunk_id", *carry_c, F.size("_w").cast("long").alias("dl"), F.explode("_w").alias("term"))
+        flat = c.select("chunk_id", "_doc", words(F.col("text")).alias("_w")).select(
+            "chunk_id", "_doc", F.size("_w").cast("long").alias("dl"), F.explode("_w").alias("term"))
         flat = flat.join(terms.select("term").distinct(), "term", "left_semi")
-        postings = flat.groupBy("chunk_id", *carry_c, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        postings = flat.groupBy("chunk_id", "_doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     if stats is None:
-        stats = corpus_stats(chunks, text)
+        stats = corpus_stats(c)
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     weighted = postings.join(document_frequency(postings), "term").select(
-        "chunk_id", *carry_c, "term",
-        bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), n_docs, avgdl).alias("w"),
-    )
+        "chunk_id", "_doc", "term", bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), n_docs, avgdl).alias("w"))
     matched = weighted.join(terms, "term")
-    if filter_doc:
-        matched = matched.filter(F.col("_want").isNull() | (F.col("_want") == F.col(doc_urn)))
-    scored = matched.groupBy("qid", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score"))
-    return top_k(scored, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
+    if filtered:
+        matched = matched.filter(F.col("_want").isNull() | (F.col("_want") == F.col("_doc")))
+    return matched.groupBy("qid", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score"))
+
+
+def _score_in_place(terms: DataFrame, c: DataFrame, k: int, filtered: bool, digits: int) -> DataFrame:
+    """Score chunks inside their tasks against a bounded block of questions."""
+    asked = terms.toPandas()  # bounded by the caller
+    q_ids = asked["qid"].drop_duplicates()
+    q_want = asked.drop_duplicates("qid")["_want"].tolist() if filtered else None
+    q_ids = q_ids.to_numpy()
+    vocabulary = np.unique(asked["term"].to_numpy().astype(str)) if len(asked) else np.zeros(0, dtype=str)
+    # Document frequencies, corpus size and total length in one pass: every
+    # chunk adds an empty marker word that carries its length.
+    spark = c.sparkSession
+    known = spark.createDataFrame(pd.DataFrame({"term": np.r_[vocabulary, [""]].astype(object)}))
+    w = c.select(words(F.col("text")).alias("_w")).select(
+        F.posexplode(F.concat(F.array(F.lit("")), F.array_distinct("_w"))).alias("_p", "term"), F.size("_w").alias("_n"))
+    counted = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("_p") == 0, F.col("_n"))).alias("n")).join(
+        known, "term", "left_semi").toPandas().set_index("term")
+    schema = StructType([StructField("qid", terms.schema["qid"].dataType), StructField("chunk_id", c.schema["chunk_id"].dataType),
+                         StructField("score", DoubleType())])
+    if "" not in counted.index or not len(vocabulary):
+        return spark.createDataFrame([], schema)
+    n_docs = int(counted.at["", "df"])
+    avgdl = float(counted.at["", "n"]) / n_docs
+    df = counted["df"].reindex(vocabulary).fillna(0).to_numpy(dtype=np.float64)
+    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    # Questions per term, as offsets into one array.
+    t_of = np.searchsorted(vocabulary, asked["term"].to_numpy().astype(str))
+    q_of = pd.Index(q_ids).get_indexer(asked["qid"])
+    order = np.argsort(t_of, kind="stable")
+    q_sorted, q_ptr = q_of[order], np.r_[0, np.cumsum(np.bincount(t_of, minlength=len(vocabulary)))]
+    fan = np.diff(q_ptr)
+    vocab = pa.array(vocabulary.astype(object), pa.string())
+
+    def score(batch: pa.RecordBatch):
+        lists = batch.column("_w")
+        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        term = pc.index_in(lists.flatten(), value_set=vocab).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(dl)), dl)
+        hit = ~np.isnan(term) if term.dtype.kind == "f" else np.ones(len(term), dtype=bool)
+        key, tf = np.unique(row[hit] * len(vocabulary) + term[hit].astype(np.int64), return_counts=True)
+        row, term = key // len(vocabulary), key % len(vocabulary)
+        weight = idf[term] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
+        # Cut the batch so that neither the pairs nor the score matrix get large.
+        cost = np.cumsum(np.bincount(row, weights=fan[term], minlength=len(dl)) + len(q_ids))
+        cuts = np.searchsorted(cost, np.arange(MAX_PAIRS, cost[-1] + MAX_PAIRS, MAX_PAIRS)) if len(cost) else []
+        start = 0
+        for end in sorted({min(int(x) + 1, len(dl)) for x in cuts} | {len(dl)}):
+            if end <= start:
+                continue
+            a, b = np.searchsorted(row, [start, end])
+            each = fan[term[a:b]]
+            first = np.repeat(q_ptr[term[a:b]] - np.r_[0, np.cumsum(each)[:-1]], each) if b > a else np.zeros(0, dtype=np.int64)
+            qq = q_sorted[first + np.arange(each.sum())] if b > a else np.zeros(0, dtype=np.int64)
+            width = end - start
+            cell = qq * width + np.repeat(row[a:b] - start, each)
+            s = np.bincount(cell, weights=np.repeat(weight[a:b], each), minlength=len(q_ids) * width).reshape(len(q_ids), width)
+            yield start, end, np.where(s > 0, np.round(s, digits), -np.inf)
+            start = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            docs = batch.column("_doc").to_pylist() if filtered else None
+            for start, end, s in score(batch):
+                part = select_topk(s, ids[start:end], k, q_want, docs[start:end] if filtered else None)
+                best = merge_topk(best, part, k)
+        if best is not None and len(best[0]):
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"qid": q_ids[best[0]], "chunk_id": best[2], "score": best[1]}), preserve_index=False)
+
+    return c.select("chunk_id", "_doc", words(F.col("text")).alias("_w")).mapInArrow(run, schema)

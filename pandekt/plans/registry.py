@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pandekt.session import prepare
+from pandekt.session import prepare, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 class Tables:
     """Input tables of one data folder, read lazily by attribute."""
 
@@ -20,7 +23,9 @@ class Tables:
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # Text is costly per row, so tables of texts are read by all cores.
+        return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def query(name: str, sql: str | None = None):
