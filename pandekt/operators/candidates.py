@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pandekt.functions.ids import base_id
@@ -36,13 +36,13 @@ def term_occurrences(chunks: DataFrame, terms: DataFrame, chunk_id: str = "chunk
     out = None
     for i in range(passes):
         part = distinct if passes == 1 else distinct.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == i)
-        found = base.mapInPandas(_matcher([r[0] for r in part.toLocalIterator()]), schema)
+        found = base.mapInArrow(_matcher([r[0] for r in part.toLocalIterator()]), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def _matcher(words: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         auto = ahocorasick.Automaton()
@@ -50,10 +50,10 @@ def _matcher(words: list[str]):
             auto.add_word(w, i)
         if words:
             auto.make_automaton()
-        for pdf in batches:
+        for batch in batches:
             ids, terms, counts, sizes = [], [], [], []
             if words:
-                for cid, text, size in zip(pdf["chunk_id"], pdf["_t"], pdf["n_words"]):
+                for cid, text, size in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "_t", "n_words"))):
                     if not text:
                         continue
                     n: dict[int, int] = {}
@@ -68,7 +68,9 @@ def _matcher(words: list[str]):
                         terms.append(words[i])
                         counts.append(c)
                         sizes.append(size)
-            yield pd.DataFrame({"chunk_id": ids, "term": terms, "n": counts, "n_words": sizes})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, batch.schema.field("chunk_id").type), pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())],
+                names=["chunk_id", "term", "n", "n_words"])
     return run
 
 

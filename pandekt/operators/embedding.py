@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -29,24 +31,26 @@ def hash_bucket(token: str, dim: int) -> int:
 
 
 def hashing_encoder(dim: int = 64):
-    """Word lists to unit-length bucket-count vectors of ``dim`` entries."""
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Word lists to unit-length bucket-count vectors of ``dim`` entries.
+
+    A batch is handled as a whole: its distinct words are hashed once and the
+    counts of all texts come from one histogram.
+    """
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen: dict[str, int] = {}
         for batch in batches:
-            out = []
-            for toks in batch:
-                vec = np.zeros(dim)
-                for t in toks if toks is not None else ():
-                    b = seen.get(t)
-                    if b is None:
-                        if len(seen) > 1_000_000:
-                            seen.clear()
-                        b = seen[t] = hash_bucket(t, dim)
-                    vec[b] += 1.0
-                n = float(np.sqrt((vec * vec).sum()))
-                out.append((vec / n if n else vec).tolist())
-            yield pd.Series(out)
+            n = len(batch)
+            size = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            coded = pc.dictionary_encode(batch.flatten())
+            if len(seen) > 1_000_000:
+                seen.clear()
+            bucket = np.array([seen[t] if t in seen else seen.setdefault(t, hash_bucket(t, dim)) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+            cell = np.repeat(np.arange(n), size) * dim + (bucket[coded.indices.to_numpy(zero_copy_only=False)] if len(bucket) else np.zeros(0, dtype=np.int64))
+            vec = np.bincount(cell, minlength=n * dim).reshape(n, dim).astype(np.float64)
+            norm = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+            vec = np.divide(vec, norm, out=vec, where=norm > 0)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(vec.ravel()))
     return encode
 
 

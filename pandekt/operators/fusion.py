@@ -13,7 +13,7 @@ from pandekt.operators.embedding import embed
 from pandekt.operators.graph import expand_one_hop
 from pandekt.operators.ordered import top_k
 from pandekt.operators.sparse import sparse_topk
-from pandekt.session import prepare
+from pandekt.session import cut_lineage, prepare
 
 RRF_K = 60
 MODES = ("dense", "hybrid", "sparse")
@@ -127,6 +127,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "hy
         hits = rerank(hits, q, chunks, k, scorer)
     if edges is None:
         return hits, None
+    # At most k rows per question: written once instead of retrieving again for every use.
+    hits = cut_lineage(hits)
     return hits, expand_one_hop(hits, edges, max_expansions, k)
 
 

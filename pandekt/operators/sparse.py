@@ -63,7 +63,7 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
     """Top-k chunks per question by BM25.
 
     Up to ``block_rows`` questions with at most ``MAX_BLOCK_TERMS`` words
-    (checked with a limited count) travel with the tasks: every chunk is scored
+    (checked by a limited collect) travel with the tasks: every chunk is scored
     where it is read and only the k best per question and task are shuffled.
     More questions, or a stored index (``postings`` and ``stats``), use joins:
     postings are matched with the question words before their first shuffle.
@@ -77,9 +77,9 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
                       (F.col(doc_urn) if filter_doc else F.lit(None).cast("string")).alias("_doc"))
     if postings is None:
         terms = query_terms(q, carry=("_want",))
-        n_questions = q.select("qid").limit(block_rows + 1).count()
-        if n_questions <= block_rows and terms.limit(MAX_BLOCK_TERMS + 1).count() <= MAX_BLOCK_TERMS:
-            scored = _score_in_place(terms, c, k, bool(filter_doc), digits)
+        asked = terms.limit(MAX_BLOCK_TERMS + 1).toPandas()
+        if len(asked) <= MAX_BLOCK_TERMS and asked["qid"].nunique() <= block_rows:
+            scored = _score_in_place(asked, terms.schema["qid"].dataType, c, k, bool(filter_doc), digits)
             return top_k(scored, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
     elif filter_doc:
         postings = postings.withColumnRenamed(doc_urn, "_doc")
@@ -106,9 +106,8 @@ def _score_by_join(terms: DataFrame, c: DataFrame, postings: DataFrame | None, s
     return matched.groupBy("qid", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score"))
 
 
-def _score_in_place(terms: DataFrame, c: DataFrame, k: int, filtered: bool, digits: int) -> DataFrame:
-    """Score chunks inside their tasks against a bounded block of questions."""
-    asked = terms.toPandas()  # bounded by the caller
+def _score_in_place(asked: pd.DataFrame, qid_type, c: DataFrame, k: int, filtered: bool, digits: int) -> DataFrame:
+    """Score chunks inside their tasks against a bounded block of (qid, term) rows."""
     q_ids = asked["qid"].drop_duplicates()
     q_want = asked.drop_duplicates("qid")["_want"].tolist() if filtered else None
     q_ids = q_ids.to_numpy()
@@ -121,7 +120,7 @@ def _score_in_place(terms: DataFrame, c: DataFrame, k: int, filtered: bool, digi
         F.posexplode(F.concat(F.array(F.lit("")), F.array_distinct("_w"))).alias("_p", "term"), F.size("_w").alias("_n"))
     counted = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("_p") == 0, F.col("_n"))).alias("n")).join(
         known, "term", "left_semi").toPandas().set_index("term")
-    schema = StructType([StructField("qid", terms.schema["qid"].dataType), StructField("chunk_id", c.schema["chunk_id"].dataType),
+    schema = StructType([StructField("qid", qid_type), StructField("chunk_id", c.schema["chunk_id"].dataType),
                          StructField("score", DoubleType())])
     if "" not in counted.index or not len(vocabulary):
         return spark.createDataFrame([], schema)

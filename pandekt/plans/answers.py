@@ -10,6 +10,7 @@ from pandekt.plans.registry import query
 from pandekt.plans.retrieval import FILTERED, filtered_questions, same_source_edges
 from pandekt.plans.sqlbits import CHUNKS, QUESTIONS, bm25
 from pandekt.plans.structure import STRIP
+from pandekt.session import cut_lineage
 
 
 def pathed(t):
@@ -37,7 +38,7 @@ RELATED = "SELECT qid, string_agg('- [chunk_id: ' || chunk_id || ']: ' || relati
 SELECT qid, n_hits, prompt FROM pm""")
 def prompts(t):
     q = filtered_questions(t)
-    hits = sparse_topk(q, chunks(t), 3, filter_doc="want")
+    hits = cut_lineage(sparse_topk(q, chunks(t), 3, filter_doc="want"))
     return an.context_prompt(q, hits, pathed(t), expand_one_hop(hits, same_source_edges(t), 5, 3))
 
 
@@ -99,5 +100,5 @@ def responses(t):
     q, c = questions(t), pathed(t)
     rec = q.select("qid", "item_id").join(c.select(F.col("doc_id").alias("item_id"), "chunk_id", "lang"), "item_id").select(
         "qid", F.concat(F.lit(" Vedi [cite:"), "chunk_id", F.lit("] e [cite:"), "lang", F.lit("]. ")).alias("text"), F.lit(12.5).alias("generate_ms"))
-    r = an.batch_responses(q, sparse_topk(q, c, 5), c, rec)
+    r = an.batch_responses(q, cut_lineage(sparse_topk(q, c, 5)), c, rec)
     return r.select("qid", "n_hits", F.md5(F.col("prompt").cast("binary")).alias("prompt_digest"), "answer", "annotated", "n_total", "n_verified", "all_verified")

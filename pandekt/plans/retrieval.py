@@ -13,6 +13,7 @@ from pandekt.operators.ordered import top_k
 from pandekt.operators.sparse import bm25_index, document_frequency, sparse_topk
 from pandekt.plans.base import EXPANSION_SQL, chunks, questions
 from pandekt.plans.registry import query
+from pandekt.session import cut_lineage
 from pandekt.plans.sqlbits import CHUNKS, QUESTIONS, WORD, bm25, dense, f1, hashed, hybrid
 
 # ------------------------------------------------------------------ encoding
@@ -285,7 +286,7 @@ SELECT qid, chunk_id, is_current, is_proposed, min(rank) FILTER (setup = 'dense'
   min(rank) FILTER (setup = 'rerank') AS rerank FROM u JOIN m USING (qid, chunk_id) WHERE rank <= 20 GROUP BY ALL""")
 def modes(t):
     q, c = questions(t), chunks(t)
-    sp = sparse_topk(q, c, 20)
+    sp = cut_lineage(sparse_topk(q, c, 20))
     setups = {"dense": dense_topk(embed(q), embed(c), 20), "sparse": sp, "rerank": fusion.rerank(sp, q, c, 20)}
     hits = fusion.union_all([h.withColumn("setup", F.lit(s)) for s, h in setups.items()])
     current = passage_gold(t).withColumn("k", F.lit("current"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="spark-pandekt-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    return _local_dir()
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-pandekt-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
