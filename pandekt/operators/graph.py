@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pandekt.operators.ordered import top_k
 
@@ -35,16 +35,23 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5, h
     links = adjacency(edges).groupBy("node", "neighbor").agg(
         F.min_by(F.struct("relation", "note"), F.struct("link_pos", "dir")).alias("_l"),
     )
-    reach = top_k(links, ["node"], [F.asc("neighbor")], max_expansions + hit_depth, "_nth")
-    found = hits.select("qid", F.col("chunk_id").alias("node"), F.col("rank").alias("source_rank")).join(
-        reach.select("node", F.col("neighbor").alias("chunk_id"), "_l"), "node",
-    )
+    pairs = adjacency(edges).select("node", "neighbor").distinct()
+    need = max_expansions + hit_depth
+    reach = top_k(pairs, ["node"], [F.asc("neighbor")], need, "_nth")
+    degree = reach.groupBy("node").agg(F.max("_nth").alias("_deg"))
+    # A node with `need` neighbours fills the result on its own, so hits ranked
+    # below the first such node cannot contribute either.
+    sources = hits.select("qid", F.col("chunk_id").alias("node"), F.col("rank").alias("source_rank")).join(degree, "node")
+    enough = F.min(F.when(F.col("_deg") >= need, F.col("source_rank"))).over(Window.partitionBy("qid"))
+    useful = sources.withColumn("_stop", enough).filter(F.col("_stop").isNull() | (F.col("source_rank") <= F.col("_stop")))
+    found = useful.select("qid", "node", "source_rank").join(reach.select("node", F.col("neighbor").alias("chunk_id")), "node")
     fresh = found.join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
-    best = fresh.groupBy("qid", "chunk_id").agg(
-        F.min_by(F.struct("source_rank", F.col("node").alias("expanded_from"), "_l"), F.struct("source_rank", "node")).alias("_b"),
-    )
-    flat = best.select("qid", "chunk_id", "_b.expanded_from", "_b._l.relation", "_b._l.note", "_b.source_rank")
-    return top_k(flat, ["qid"], [F.asc("source_rank"), F.asc("chunk_id")], max_expansions, "_n").select(*schema)
+    # Narrow rows up to the cut; source and link details are attached to the few that remain.
+    best = fresh.groupBy("qid", "chunk_id").agg(F.min("source_rank").alias("source_rank"))
+    kept = top_k(best, ["qid"], [F.asc("source_rank"), F.asc("chunk_id")], max_expansions, "_n")
+    named = kept.join(hits.select("qid", F.col("rank").alias("source_rank"), F.col("chunk_id").alias("expanded_from")), ["qid", "source_rank"])
+    detail = links.select(F.col("node").alias("expanded_from"), F.col("neighbor").alias("chunk_id"), "_l.relation", "_l.note")
+    return named.join(detail, ["expanded_from", "chunk_id"]).select(*schema)
 
 
 def link_activation(expansions: DataFrame) -> DataFrame:

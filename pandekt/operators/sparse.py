@@ -112,21 +112,40 @@ def _score_in_place(asked: pd.DataFrame, qid_type, c: DataFrame, k: int, filtere
     q_want = asked.drop_duplicates("qid")["_want"].tolist() if filtered else None
     q_ids = q_ids.to_numpy()
     vocabulary = np.unique(asked["term"].to_numpy().astype(str)) if len(asked) else np.zeros(0, dtype=str)
-    # Document frequencies, corpus size and total length in one pass: every
-    # chunk adds an empty marker word that carries its length.
-    spark = c.sparkSession
-    known = spark.createDataFrame(pd.DataFrame({"term": np.r_[vocabulary, [""]].astype(object)}))
-    w = c.select(words(F.col("text")).alias("_w")).select(
-        F.posexplode(F.concat(F.array(F.lit("")), F.array_distinct("_w"))).alias("_p", "term"), F.size("_w").alias("_n"))
-    counted = w.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("_p") == 0, F.col("_n"))).alias("n")).join(
-        known, "term", "left_semi").toPandas().set_index("term")
-    schema = StructType([StructField("qid", qid_type), StructField("chunk_id", c.schema["chunk_id"].dataType),
-                         StructField("score", DoubleType())])
-    if "" not in counted.index or not len(vocabulary):
-        return spark.createDataFrame([], schema)
-    n_docs = int(counted.at["", "df"])
-    avgdl = float(counted.at["", "n"]) / n_docs
-    df = counted["df"].reindex(vocabulary).fillna(0).to_numpy(dtype=np.float64)
+    vocab, size = pa.array(vocabulary.astype(object), pa.string()), len(vocabulary)
+    schema = StructType([StructField("qid", qid_type), StructField("chunk_id", c.schema["chunk_id"].dataType), StructField("score", DoubleType())])
+    if not size:
+        return c.sparkSession.createDataFrame([], schema)
+    tokens = c.select("chunk_id", "_doc", words(F.col("text")).alias("_w"))
+
+    def term_counts(lists: pa.Array):
+        """(row, term, tf) of the asked words in a batch, and the row lengths."""
+        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        term = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(dl)), dl)
+        hit = term >= 0
+        key, tf = np.unique(row[hit] * size + term[hit], return_counts=True)
+        return key // size, key % size, tf, dl
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(size, dtype=np.int64), 0, 0
+        for batch in batches:
+            _, term, _, dl = term_counts(batch.column("_w"))
+            df += np.bincount(term, minlength=size)
+            n, total = n + len(dl), total + int(dl.sum())
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[seen, [-1, -2]], pa.int64()), pa.array(np.r_[df[seen], [n, total]], pa.int64())], names=["t", "n"])
+
+    # Document frequencies of the asked words, corpus size (-1) and total length (-2) in one pass.
+    counted = dict(tokens.select("_w").mapInArrow(count, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False))
+    n_docs = counted.pop(-1, 0)
+    total = counted.pop(-2, 0)
+    if not n_docs:
+        return c.sparkSession.createDataFrame([], schema)
+    avgdl = total / n_docs
+    df = np.zeros(size)
+    df[list(counted)] = list(counted.values())
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     # Questions per term, as offsets into one array.
     t_of = np.searchsorted(vocabulary, asked["term"].to_numpy().astype(str))
@@ -134,16 +153,9 @@ def _score_in_place(asked: pd.DataFrame, qid_type, c: DataFrame, k: int, filtere
     order = np.argsort(t_of, kind="stable")
     q_sorted, q_ptr = q_of[order], np.r_[0, np.cumsum(np.bincount(t_of, minlength=len(vocabulary)))]
     fan = np.diff(q_ptr)
-    vocab = pa.array(vocabulary.astype(object), pa.string())
 
     def score(batch: pa.RecordBatch):
-        lists = batch.column("_w")
-        dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        term = pc.index_in(lists.flatten(), value_set=vocab).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(dl)), dl)
-        hit = ~np.isnan(term) if term.dtype.kind == "f" else np.ones(len(term), dtype=bool)
-        key, tf = np.unique(row[hit] * len(vocabulary) + term[hit].astype(np.int64), return_counts=True)
-        row, term = key // len(vocabulary), key % len(vocabulary)
+        row, term, tf, dl = term_counts(batch.column("_w"))
         weight = idf[term] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
         # Cut the batch so that neither the pairs nor the score matrix get large.
         cost = np.cumsum(np.bincount(row, weights=fan[term], minlength=len(dl)) + len(q_ids))
@@ -175,4 +187,4 @@ def _score_in_place(asked: pd.DataFrame, qid_type, c: DataFrame, k: int, filtere
         if best is not None and len(best[0]):
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"qid": q_ids[best[0]], "chunk_id": best[2], "score": best[1]}), preserve_index=False)
 
-    return c.select("chunk_id", "_doc", words(F.col("text")).alias("_w")).mapInArrow(run, schema)
+    return tokens.mapInArrow(run, schema)

@@ -59,7 +59,7 @@ def dense_text(t):
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT chunk_id, count(*) AS dl FROM tok GROUP BY ALL)
 SELECT chunk_id, dl, term, tf, count(*) OVER (PARTITION BY term) AS df FROM tf JOIN dl USING (chunk_id)""")
 def index(t):
-    p = bm25_index(chunks(t))
+    p = cut_lineage(bm25_index(chunks(t)))
     return p.join(document_frequency(p), "term").select("chunk_id", "dl", "term", "tf", "df")
 
 
