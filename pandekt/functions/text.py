@@ -6,8 +6,9 @@ from pyspark.sql import Column, functions as F
 
 # Explicit Unicode classes: Java's bare \w and \s are ASCII only.
 WORD = r"[\p{L}\p{M}\p{N}_]"
-WORD_RE = r"[\p{L}\p{M}\p{N}_]+"
-TOKEN_RE = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s\x0B\p{Z}]"
+# Possessive repetition: a run of word characters is never given back.
+WORD_RE = r"[\p{L}\p{M}\p{N}_]++"
+TOKEN_RE = r"[\p{L}\p{M}\p{N}_]++|[^\p{L}\p{M}\p{N}_\s\x0B\p{Z}]"
 SPACE_RE = r"[\s\x0B\p{Z}]+"
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pandekt.operators import graph as g
 from pandekt.plans.base import EDGES_SQL, EXPANSION_SQL, ORDER_HITS_SQL, order_hits, part_supplier_edges
 from pandekt.plans.registry import query
+from pandekt.session import cut_lineage
 
 GOLD_SQL = """
 gold AS (SELECT DISTINCT o.o_orderkey AS qid, 'S' || l.l_suppkey AS chunk_id FROM orders o JOIN lineitem l ON l.l_partkey = o.o_custkey
@@ -20,7 +21,8 @@ def adjacency(t):
 
 @query("e2_expand_one_hop", f"WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL} SELECT * FROM expansions")
 def expand(t):
-    return g.expand_one_hop(order_hits(t), part_supplier_edges(t), 5, 10)
+    # Hits and links are tables with several uses, so they are written once.
+    return g.expand_one_hop(cut_lineage(order_hits(t)), cut_lineage(part_supplier_edges(t)), 5, 10)
 
 
 @query("e3_link_activation", f"""WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL}

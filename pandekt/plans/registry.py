@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_orderkey"}
 
 
 class Tables:
@@ -24,8 +24,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        # Text is costly per row, so tables of texts are read by all cores.
-        return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+        # Large tables that come as one small file are read by all cores.
+        return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def query(name: str, sql: str | None = None):
