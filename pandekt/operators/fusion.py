@@ -52,11 +52,17 @@ def fusion_trace(rankings: DataFrame, rrf_k: int = RRF_K) -> DataFrame:
     )
 
 
+def word_set(text: Column) -> Column:
+    return F.array_distinct(words(text))
+
+
 def overlap_f1(query: Column, passage: Column) -> Column:
     """Default scorer: F1 of the two word sets."""
-    a, b = F.array_distinct(words(query)), F.array_distinct(words(passage))
-    total = F.size(a) + F.size(b)
-    return F.when(total > 0, 2.0 * F.size(F.array_intersect(a, b)) / total).otherwise(F.lit(0.0))
+    # Both sets go through a one-element array so each text is split once.
+    pair = F.array(F.struct(word_set(query).alias("a"), word_set(passage).alias("b")))
+    return F.transform(pair, lambda p: F.when(
+        F.size(p["a"]) + F.size(p["b"]) > 0, 2.0 * F.size(F.array_intersect(p["a"], p["b"])) / (F.size(p["a"]) + F.size(p["b"])),
+    ).otherwise(F.lit(0.0)))[0]
 
 
 Scorer = Callable[[Column, Column], Column]
@@ -75,7 +81,11 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, score
     pairs = hits.join(queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("_query")), "qid").join(
         chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(text).alias("_passage")), "chunk_id",
     )
-    scored = pairs.select("qid", "chunk_id", F.col("rank").alias("_prev"),
+    # Scoring is the costly part: an explicit partition count keeps adaptive
+    # execution from merging it into a few tasks, and the ranking that follows
+    # needs the same partitioning.
+    partitions = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = pairs.repartition(partitions, "qid").select("qid", "chunk_id", F.col("rank").alias("_prev"),
                           F.round(scorer(F.col("_query"), passage), digits).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("_prev")], k).select("qid", "rank", "chunk_id", "score")
 
