@@ -121,6 +121,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "hy
     from pandekt.operators.understanding import expand_terms
 
     check_arguments(k, mode, rerank_k)
+    prepare(queries.sparkSession)
     q = queries.withColumn("text", expand_terms(F.col("text"), aliases)) if aliases else queries
     depth = rerank_k if rerank_k is not None else k
     c = chunks
@@ -142,6 +143,50 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "hy
     return hits, expand_one_hop(hits, edges, max_expansions, k)
 
 
+def cross_rankings(queries: DataFrame, chunks: DataFrame, glossary: DataFrame, subqueries: DataFrame, k_per_norm: int = 5,
+                   k_global: int = 5, mode: str = "hybrid", rerank_k: int | None = None, **options) -> DataFrame:
+    """Rankings of every sub-query of questions that name several laws.
+
+    queries(qid, text, entities), subqueries(qid, norm_id, text). All
+    sub-queries of all questions are searched together, each restricted to
+    its law, next to the unrestricted original question. A law whose
+    sub-query has no text yet is left out (see ``resolve_completions``).
+    """
+    from pandekt.operators.understanding import fan_out
+
+    fanned = cut_lineage(fan_out(queries, glossary))
+    own = fanned.join(subqueries.select("qid", "norm_id", "text"), ["qid", "norm_id"])
+    overall = fanned.filter(F.col("norm_id").isNull()).join(queries.select("qid", "text"), "qid")
+    key = F.struct("qid", "source").alias("_key")
+    asked = own.select(key, "source_pos", "doc_urn", "text").unionByName(overall.select(key, "source_pos", "doc_urn", "text"))
+    # The sub-query key travels as text, because search works on plain ids.
+    asked = asked.select(F.to_json("_key").alias("qid"), "source_pos", "doc_urn", "text", "_key")
+    depth = max(k_per_norm, k_global)
+    hits, _ = retrieve(asked.select("qid", "text", "doc_urn"), chunks, depth, mode, rerank_k=rerank_k, filter_doc="doc_urn", **options)
+    back = hits.withColumnRenamed("qid", "_sub").join(asked.select(F.col("qid").alias("_sub"), "source_pos", "_key"), "_sub")
+    limit = F.when(F.col("_key.source") == "global", k_global).otherwise(k_per_norm)
+    return back.filter(F.col("rank") <= limit).select("_key.qid", "_key.source", "source_pos", "rank", "chunk_id", "score")
+
+
+def retrieve_cross(queries: DataFrame, chunks: DataFrame, glossary: DataFrame, subqueries: DataFrame, k_per_norm: int = 5, k_global: int = 5,
+                   k_final: int = 20, rrf_k: int = RRF_K, mode: str = "hybrid", rerank_k: int | None = None,
+                   patterns: list[tuple[str, str]] | None = None, **options) -> DataFrame:
+    """Questions naming two or more laws are fanned out and fused, the others searched as they are."""
+    from pandekt.operators.understanding import detect_entities, route
+
+    for name, value in (("k_per_norm", k_per_norm), ("k_global", k_global), ("k_final", k_final), ("rrf_k", rrf_k)):
+        if value <= 0:
+            raise ValueError(f"{name} must be > 0 (got {value})")
+    q = queries.select("qid", "text").withColumn("entities", detect_entities(F.col("text"), patterns))
+    q = q.withColumn("path", route(F.col("entities")))
+    multi = q.filter("path = 'multi'")
+    ranked = cross_rankings(multi, chunks, glossary, subqueries, k_per_norm, k_global, mode, rerank_k, **options)
+    fused = fuse_sources(ranked, k_final, rrf_k).withColumn("path", F.lit("multi"))
+    deep = None if rerank_k is None else max(rerank_k, k_final)
+    plain, _ = retrieve(q.filter("path = 'fallback'").select("qid", "text"), chunks, k_final, mode, rerank_k=deep, **options)
+    return fused.unionByName(plain.withColumn("path", F.lit("fallback")))
+
+
 def compare_modes(hits: DataFrame, marks: DataFrame, setups: list[str], depth: int) -> DataFrame:
     """Rank of marked chunks per setup: (qid, chunk_id, marks..., one column per setup).
 

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from pandekt.operators import understanding as u
 from pandekt.plans.base import chunks, questions
+from pandekt.operators.fusion import cross_rankings, retrieve_cross
 from pandekt.plans.registry import query
+from pandekt.plans.sqlbits import CHUNKS, bm25
 
 # Aliases and patterns over words of the data.
 ALIASES = {
@@ -119,3 +121,40 @@ def completions(t):
     p = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
     r = c.filter("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("  "), "text", F.lit(" ")).alias("text"))
     return u.resolve_completions(p, r, ["conv_id", "turn"])
+
+
+QENT = f"qe AS (SELECT 'B' || item_id AS qid, text, {entity_sql('text')} AS entities FROM benchmark)"
+
+
+def cross_parts(t):
+    q = questions(t).select("qid", "text")
+    e = q.withColumn("entities", u.detect_entities(F.col("text"), PATTERNS))
+    sub = e.select("qid", F.explode("entities").alias("norm_id"), "text").select("qid", "norm_id", F.concat_ws(" ", "text", "norm_id").alias("text"))
+    return q, e, sub
+
+
+@query("d9_cross_retrieve", f"""WITH {CHUNKS},{QENT},{GLOSSARY},
+multi AS (SELECT * FROM qe WHERE len(entities) >= 2),
+sq AS (SELECT qid || '|' || norm_id AS qid, doc_urn AS want, text || ' ' || norm_id AS text FROM (SELECT qid, text, unnest(entities) AS norm_id FROM multi) JOIN gl USING (norm_id)
+  UNION ALL SELECT qid || '|global', NULL, text FROM multi),
+{bm25('r', 5, 'sq', 'q.want IS NULL OR q.want = p.doc_urn')},
+f AS (SELECT split_part(qid, '|', 1) AS qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM r GROUP BY ALL),
+fused AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, chunk_id, score, 'multi' AS path FROM f QUALIFY rank <= 20),
+fb AS (SELECT qid, text FROM qe WHERE len(entities) < 2),
+{bm25('pl', 20, 'fb')}
+SELECT * FROM fused UNION ALL SELECT qid, rank, chunk_id, score, 'fallback' FROM pl""")
+def cross(t):
+    q, _, sub = cross_parts(t)
+    return retrieve_cross(q, chunks(t), glossary(t), sub, mode="sparse", patterns=PATTERNS)
+
+
+@query("d10_cross_rankings", f"""WITH {CHUNKS},{QENT},{GLOSSARY},
+multi AS (SELECT * FROM qe WHERE len(entities) >= 2),
+sq AS (SELECT qid || '|norm:' || norm_id AS qid, doc_urn AS want, text || ' ' || norm_id AS text FROM (SELECT qid, text, unnest(entities) AS norm_id FROM multi) JOIN gl USING (norm_id)
+  UNION ALL SELECT qid || '|global', NULL, text FROM multi),
+{bm25('r', 5, 'sq', 'q.want IS NULL OR q.want = p.doc_urn')}
+SELECT split_part(qid, '|', 1) AS qid, split_part(qid, '|', 2) AS source, rank, chunk_id, score FROM r""")
+def cross_trace(t):
+    _, e, sub = cross_parts(t)
+    multi = e.filter(F.size("entities") >= 2)
+    return cross_rankings(multi, chunks(t), glossary(t), sub, mode="sparse").select("qid", "source", "rank", "chunk_id", "score")

@@ -139,6 +139,29 @@ def test_detect_and_fan_out(spark):
     assert [r.source for r in fan_out(e.filter("qid = 'Q69'"), g).orderBy("source_pos").collect()] == ["norm:gdpr", "norm:ai_act", "global"]
 
 
+def test_cross_retrieval(spark, corpus):
+    _, c = corpus
+    q = spark.createDataFrame([("Q1", "GDPR e AI Act: norma ente"), ("Q2", "GDPR norma ente")], "qid string, text string")
+    g = spark.createDataFrame([("gdpr", "d1"), ("ai_act", "d2")], "norm_id string, doc_urn string")
+    sub = spark.createDataFrame([("Q1", "gdpr", "norma"), ("Q1", "ai_act", "ente")], "qid string, norm_id string, text string")
+    out = fusion.retrieve_cross(q, c, g, sub, 3, 2, 20, mode="sparse").collect()
+    one = sorted((r for r in out if r.qid == "Q1"), key=lambda r: r.rank)
+    assert {r.path for r in one} == {"multi"} and {r.path for r in out if r.qid == "Q2"} == {"fallback"}
+    assert [r.rank for r in one] == list(range(1, len(one) + 1)) and all(a.score >= b.score for a, b in zip(one, one[1:]))
+    want = {}
+    for text, doc, k in (("norma", "d1", 3), ("ente", "d2", 3), ("GDPR e AI Act: norma ente", None, 2)):
+        part = c if doc is None else c.filter(F.col("doc_urn") == doc)
+        ask = spark.createDataFrame([("x", text, doc)], "qid string, text string, want string")
+        for r in sparse_topk(ask, c, k, filter_doc="want").collect():
+            want[r.chunk_id] = want.get(r.chunk_id, 0) + 1 / (60 + r.rank)
+        assert part.count() > 0
+    assert {r.chunk_id: r.score for r in one} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    plain = rows(sparse_topk(q.filter("qid = 'Q2'"), c, 20).select("chunk_id", "rank"))
+    assert sorted(((r.chunk_id, r.rank) for r in out if r.qid == "Q2"), key=repr) == plain
+    with pytest.raises(ValueError):
+        fusion.retrieve_cross(q, c, g, sub, 0)
+
+
 def test_prompt_template(spark):
     d = spark.createDataFrame([("N", ["a", "b"], "domanda {short_name}")], "s string, v array<string>, q string")
     got = d.select(render_prompt("<{short_name}|{bullets}|{query}|{short_name}>", F.col("s"), F.col("v"), F.col("q"))).first()[0]
