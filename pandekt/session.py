@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local master
     without the setting falls back to a fresh temporary folder.
     """
-    path = spark.conf.get(CHECKPOINT_CONF, None)
+    path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
     if not spark.sparkContext.master.startswith("local"):

@@ -48,20 +48,28 @@ def upsert_index(spark: SparkSession, path: str, new: DataFrame, mode: str = "en
     try:
         count = fresh.count()
         if mode == "reset" or not _exists(spark, path):
-            fresh.write.mode("overwrite").partitionBy(partition).parquet(path)
+            _laid_out(fresh, partition).write.mode("overwrite").partitionBy(partition).parquet(path)
             return count
         if count == 0:
             return 0
         existing = spark.read.schema(fresh.schema).parquet(path)
         touched = existing.join(fresh.select(partition).distinct(), partition, "left_semi")
-        # Spread a partition over tasks by key: one document may be a large part of the table.
         merged = merge_upsert(touched, fresh, key)
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        _laid_out(merged, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
         return count
     finally:
         fresh.unpersist()
 
 
+def _laid_out(df: DataFrame, partition: str) -> DataFrame:
+    """Rows of a partition brought together for writing, so files stay few.
+
+    A rebalance, unlike a repartition, lets adaptive execution split a
+    partition that holds a large part of the table over several tasks.
+    """
+    return df.hint("rebalance", F.col(partition))
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
