@@ -130,17 +130,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every text, A-Z lower-cased, as 64-bit hashes.
+def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every text, A-Z lower-cased, as 64-bit hashes.
+
+    By default words are ``[^\\x20\\x09-\\x0D]+``; line ends must be separators.
 
     Returns (hashes, words per text, buffer, word starts, word ends); one pass
     of array arithmetic over the joined bytes, no object per word.
     """
     joined = b"\n".join(texts) + b"\n"
     buf = LOWER[np.frombuffer(joined, dtype=np.uint8)]
-    space = SPACE[buf]
+    space = separators[buf]
     edge = np.diff(np.r_[True, space].astype(np.int8))
     starts = np.flatnonzero(edge == -1)
     ends = np.flatnonzero(edge == 1)
