@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pandekt.llm import chat, line_dedup, mixing, ngram_join, packing, token_store, warc
+from pandekt.llm import ann, chat, line_dedup, mixing, near_vectors, ngram_join, packing, token_store, toxicity, warc
 from pandekt.llm.common import spread_rows, table
 from pandekt.llm.tokens import default_path
 
@@ -16,6 +16,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = token_store.write_store(docs, default_path())
@@ -34,10 +38,21 @@ def op6_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(spread_rows(docs, "doc_id"), model).select(
+        "doc_id", toxicity.in_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_pack_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spread_rows(table(spark, sf_dir, "documents"), "doc_id"), default_path(), with_ids=False).drop("ids")
 
 
+def op9_neighbour_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 CHAT_PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -86,6 +101,28 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM bits"""
 
+NGRAM_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT b.y, r.root FROM reach r JOIN both b ON b.x = r.node),
+comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT x, count(*) AS k FROM both GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(k, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp c ON c.node = d.doc_id LEFT JOIN degree g ON g.x = d.doc_id"""
+
+NEAR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+both AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT b.y, r.root FROM reach r JOIN both b ON b.x = r.node),
+comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT x, count(*) AS k FROM both GROUP BY x)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM comp JOIN v ON v.vec_id = comp.node LEFT JOIN degree ON x = vec_id"""
+
 MIX_SQL = """
 WITH RECURSIVE unit AS (SELECT source, doc_id, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS tokens FROM documents GROUP BY ALL),
 src AS (SELECT source, sum(tokens)::BIGINT AS tokens FROM unit GROUP BY source),
@@ -104,11 +141,13 @@ summed AS (SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY block
 SELECT source, epoch::BIGINT AS epoch, block::BIGINT AS block, doc_id, tokens, start::BIGINT AS start FROM summed WHERE epoch < epochs OR start + tokens <= rest"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_token_store, op4_warc_normalise, op5_ngram_join, op6_temperature_mix, op8_pack_differencing, op10_chat_format)
+    f.__name__: f for f in (op1_line_dedup, op2_graph_search, op3_token_store, op4_warc_normalise, op5_ngram_join, op6_temperature_mix, op7_toxicity, op8_pack_differencing, op9_neighbour_descent, op10_chat_format)
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": SHA256_OF_KEPT,
     "op4_warc_normalise": WARC_SQL,
+    "op5_ngram_join": NGRAM_SQL,
+    "op9_neighbour_descent": NEAR_SQL,
     "op6_temperature_mix": MIX_SQL,
     "op10_chat_format": CHAT_SQL.format(escaped_role=_escaped("role"), escaped_text=_escaped("text")),
 }
