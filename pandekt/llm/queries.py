@@ -107,20 +107,20 @@ sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM (SELE
 n AS (SELECT doc_id, count(*)::BIGINT AS n FROM sh GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
-both AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
-reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT b.y, r.root FROM reach r JOIN both b ON b.x = r.node),
+bi AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT b.y, r.root FROM reach r JOIN bi b ON b.x = r.node),
 comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
-degree AS (SELECT x, count(*) AS k FROM both GROUP BY x)
+degree AS (SELECT x, count(*) AS k FROM bi GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(k, 0)::BIGINT AS n_links
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp c ON c.node = d.doc_id LEFT JOIN degree g ON g.x = d.doc_id"""
 
 NEAR_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
-both AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
-reach AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT b.y, r.root FROM reach r JOIN both b ON b.x = r.node),
+bi AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT b.y, r.root FROM reach r JOIN bi b ON b.x = r.node),
 comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
-degree AS (SELECT x, count(*) AS k FROM both GROUP BY x)
+degree AS (SELECT x, count(*) AS k FROM bi GROUP BY x)
 SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM comp JOIN v ON v.vec_id = comp.node LEFT JOIN degree ON x = vec_id"""
 
 MIX_SQL = """
