@@ -147,7 +147,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     for part in _ranges(docs, doc_id, batches):
         runs.add(line_hashes(docs.filter(part), doc_id, text, min_chars), distinct=repeated)
     runs.compact()
-    common = spark.read.parquet(f"{runs.folder}/{runs.runs()[0]}").filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    common = spark.read.schema("h1 long, h2 long, n_docs long, keeper long").parquet(f"{runs.folder}/{runs.runs()[0]}").filter(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
     spark.sql(f"DROP TABLE {runs.runs()[0]}")
     # Both sides are plain exchanges: a line that many documents hold is split by the skew join.
     hits = line_hashes(docs, doc_id, text, min_chars).join(common, ["h1", "h2"]).filter(F.col("doc_id") != F.col("keeper"))
