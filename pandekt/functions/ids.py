@@ -57,6 +57,25 @@ def doc_urn_of(chunk_id: Column) -> Column:
     return F.substring_index(chunk_id, "__", 1)
 
 
+# Document ids of the six laws and their short names.
+SHORT_NAMES = {
+    "eli/reg/2016/679/oj": "GDPR",
+    "eli/reg/2024/1689/oj": "AI Act",
+    "akn/it/act/decreto_legislativo/stato/2003-06-30/196": "Codice Privacy",
+    "akn/it/act/decreto_legislativo/stato/2001-06-08/231": "D.Lgs 231/2001",
+    "akn/it/act/decreto_legislativo/stato/2024-09-04/138": "NIS2",
+    "akn/it/act/legge/stato/2025-09-23/132": "L. 132/2025",
+}
+
+
+def short_name(chunk_id: Column, names: dict[str, str] | None = None, unknown: str = "?") -> Column:
+    """Short name of the law a chunk id belongs to."""
+    table = SHORT_NAMES if names is None else names
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    found = F.create_map(*pairs)[doc_urn_of(chunk_id)] if pairs else F.lit(None).cast("string")
+    return F.coalesce(found, F.lit(unknown))
+
+
 def base_id(chunk_id: Column) -> Column:
     """Chunk id without the split suffix ``__paras_a_b``."""
     return F.regexp_replace(chunk_id, r"__paras_.*$", "")

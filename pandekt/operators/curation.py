@@ -136,8 +136,18 @@ def crosstab_stats(entries: DataFrame, kind: str, flag: str, norms: DataFrame, s
 # ------------------------------------------------------------------- overlap
 
 # Frequent words that carry no topic.
-STOPWORDS = ["che", "chi", "come", "con", "cosa", "dei", "del", "della", "delle", "dello", "gli", "nel", "nella", "per", "quale", "quali",
-             "quando", "sono", "sul", "sulla", "una", "uno"]
+STOPWORDS = [
+    "a", "ai", "al", "alla", "alle", "agli", "allo", "che", "ci", "come", "con", "cui",
+    "da", "dai", "dal", "dalla", "dalle", "dello", "degli", "delle", "di", "del", "della",
+    "e", "ed", "è", "i", "il", "in", "la", "le", "lo", "ne", "nel", "nella", "nelle",
+    "non", "o", "ogni", "per", "più", "quale", "quali", "quando", "quanto", "se", "si",
+    "sia", "sono", "su", "sui", "sul", "sulla", "sulle", "tra", "fra", "un", "una", "uno",
+    "ad", "anche", "ancora", "alcuni", "alcune", "altri", "altre", "altro", "altra",
+    "essere", "stato", "stata", "stati", "state", "ha", "ho", "hanno", "questo", "questa",
+    "questi", "queste", "tutto", "tutta", "tutti", "tutte", "molto", "molti", "molte",
+    "loro", "mio", "mia", "miei", "mie", "suo", "sua", "suoi", "sue", "nostro", "nostra",
+    "vostro", "vostra", "co",
+]
 
 
 def topic_words(text: Column, stopwords: list[str] | None = None) -> Column:
@@ -452,32 +462,49 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return hit
 
 
+# Labels of the use cases and the note on questions that no rule covers.
+USE_CASES = {"UC1": "UC1 — GDPR compliance", "UC2": "UC2 — AI Act", "UC3": "UC3 — 231 responsabilità ente", "UC5": "UC5 — NIS2 / cybersecurity"}
+FALLBACK_NOTE = "fallback: non classificata da nessuna euristica"
+# The words of the rules, in the order of the rules.
+AI_WORDS = ["ai act", "fria", "alto rischio", "high-risk", "gpai", "allegato iii", "l. 132/2025"]
+PRIVACY_WORDS = ["dpia", "dpo", "gdpr", "considerando", "art 22", "art 5", "art 6 gdpr", "art 9", "art 35", "privacy"]
+PENALTY_WORDS = ["sanzione", "sanzioni", "pena", "multa"]
+SCENARIO_WORDS = ["ai", "screening", "scoring"]
+PROCEDURE_WORDS = ["come si", "quali sono i compiti", "quali compiti", "quali sono i passi"]
+CONDITION_WORDS = ["quando", "in quale caso", "ricade tra", "è obbligatoria", "obbligatorio", "applica"]
+
+
 def use_case_of(use_case: Column, question: Column) -> Column:
     """One of five use cases by keyword, in priority order."""
     uc, q = F.lower(use_case), F.lower(question)
     both = F.concat_ws(" ", uc, q)
     return first_rule([
-        ("UC3", both.contains("231") | uc.contains("reato") | q.contains("responsabilità degli enti")),
-        ("UC5", both.contains("nis2") | uc.contains("obblighi notifica")),
-        ("UC2", contains_any(both, ["ai act", "fria", "alto rischio", "high-risk", "gpai", "allegato iii", "l. 132/2025"]) | q.contains("art 11")),
-        ("UC1", contains_any(both, ["dpia", "dpo", "gdpr", "considerando", "art 22", "art 5", "art 6 gdpr", "art 9", "art 35", "privacy"])),
+        (USE_CASES["UC3"], both.contains("231") | uc.contains("reato") | q.contains("responsabilità degli enti")),
+        (USE_CASES["UC5"], both.contains("nis2") | uc.contains("obblighi notifica")),
+        (USE_CASES["UC2"], contains_any(both, AI_WORDS) | q.contains("art 11")),
+        (USE_CASES["UC1"], contains_any(both, PRIVACY_WORDS)),
     ], "?")
 
 
 def question_type_of(use_case: Column, question: Column, n_norms: Column) -> Column:
     """One of seven question types by keyword, in priority order."""
     uc, q = F.lower(use_case), F.lower(question)
-    scenario = (n_norms >= 3) | (q.contains("uso") & contains_any(q, ["ai", "screening", "scoring"]))
+    scenario = (n_norms >= 3) | (q.contains("uso") & contains_any(q, SCENARIO_WORDS))
     return first_rule([
         ("Stress/edge", uc.startswith("stress") | uc.startswith("edge")),
-        ("Sanzionatorio", contains_any(q, ["sanzione", "sanzioni", "pena", "multa"])),
+        ("Sanzionatorio", contains_any(q, PENALTY_WORDS)),
         ("Cross-norma scenario", scenario & (n_norms >= 2)),
         ("Lookup definitorio", q.startswith("cos'è") | q.startswith("cosa è") | q.contains("definizione") | F.substring(q, 1, 20).contains("art ")),
-        ("Procedurale", q.startswith("come ") | contains_any(q, ["come si", "quali sono i compiti", "quali compiti", "quali sono i passi"])),
-        ("Condizionale", contains_any(q, ["quando", "in quale caso", "ricade tra", "è obbligatoria", "obbligatorio", "applica"])),
+        ("Procedurale", q.startswith("come ") | contains_any(q, PROCEDURE_WORDS)),
+        ("Condizionale", contains_any(q, CONDITION_WORDS)),
     ], "Altro")
 
 
+def type_note(question_type: Column) -> Column:
+    """A note on questions that no rule covers, else empty."""
+    return F.when(question_type == "Altro", F.lit(FALLBACK_NOTE)).otherwise(F.lit(""))
+
+
 def gold_sampling(gold: DataFrame, doc_urn: str) -> DataFrame:
     """(article, qid) uses of one document's gold, with the use count per article."""
     g = gold.filter(F.col("doc_urn") == doc_urn).select(base_id(F.col("chunk_id")).alias("article"), "qid", "chunk_id").distinct()

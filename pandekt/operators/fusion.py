@@ -116,13 +116,14 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "hy
 
     queries(qid, text[, filter]), chunks(chunk_id, doc_urn, text[, vec]);
     returns hits(qid, rank, chunk_id, score) and, when ``edges`` are given,
-    one-hop expansions. Alias expansion of the question always comes first.
+    one-hop expansions. Alias expansion of the question always comes first;
+    ``aliases=None`` uses the default table, an empty one expands nothing.
     """
     from pandekt.operators.understanding import expand_terms
 
     check_arguments(k, mode, rerank_k)
     prepare(queries.sparkSession)
-    q = queries.withColumn("text", expand_terms(F.col("text"), aliases)) if aliases else queries
+    q = queries.withColumn("text", expand_terms(F.col("text"), aliases))
     depth = rerank_k if rerank_k is not None else k
     c = chunks
     if mode != "sparse":
@@ -140,7 +141,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "hy
         return hits, None
     # At most k rows per question: written once instead of retrieving again for every use.
     hits = cut_lineage(hits)
-    return hits, expand_one_hop(hits, edges, max_expansions, k)
+    return hits, expand_one_hop(hits, edges, max_expansions)
 
 
 def cross_rankings(queries: DataFrame, chunks: DataFrame, glossary: DataFrame, subqueries: DataFrame, k_per_norm: int = 5,
@@ -161,11 +162,14 @@ def cross_rankings(queries: DataFrame, chunks: DataFrame, glossary: DataFrame, s
     asked = own.select(key, "source_pos", "doc_urn", "text").unionByName(overall.select(key, "source_pos", "doc_urn", "text"))
     # The sub-query key travels as text, because search works on plain ids.
     asked = asked.select(F.to_json("_key").alias("qid"), "source_pos", "doc_urn", "text", "_key")
-    depth = max(k_per_norm, k_global)
-    hits, _ = retrieve(asked.select("qid", "text", "doc_urn"), chunks, depth, mode, rerank_k=rerank_k, filter_doc="doc_urn", **options)
+    # Each kind is searched to its own depth: the arms of a hybrid search prefetch a multiple of it.
+    found = [
+        retrieve(asked.filter(kind).select("qid", "text", "doc_urn"), chunks, k, mode, rerank_k=None if rerank_k is None else max(rerank_k, k), filter_doc="doc_urn", **options)[0]
+        for kind, k in ((F.col("_key.source") != "global", k_per_norm), (F.col("_key.source") == "global", k_global))
+    ]
+    hits = found[0].unionByName(found[1])
     back = hits.withColumnRenamed("qid", "_sub").join(asked.select(F.col("qid").alias("_sub"), "source_pos", "_key"), "_sub")
-    limit = F.when(F.col("_key.source") == "global", k_global).otherwise(k_per_norm)
-    return back.filter(F.col("rank") <= limit).select("_key.qid", "_key.source", "source_pos", "rank", "chunk_id", "score")
+    return back.select("_key.qid", "_key.source", "source_pos", "rank", "chunk_id", "score")
 
 
 def retrieve_cross(queries: DataFrame, chunks: DataFrame, glossary: DataFrame, subqueries: DataFrame, k_per_norm: int = 5, k_global: int = 5,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pandekt.operators.ordered import top_k
+from pandekt.session import cut_lineage
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -15,29 +16,31 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5, hit_depth: int = 50) -> DataFrame:
+def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5) -> DataFrame:
     """Neighbours of the hits that were not retrieved themselves.
 
     A neighbour reached from several hits keeps the best-ranked one (first
     link on ties); per question ordered by (source_rank, chunk_id) and cut to
     ``max_expansions``.
 
-    ``hit_depth`` is an upper bound of hits per question. At most that many of
-    a node's neighbours can be removed as already retrieved, so beyond its
-    first ``max_expansions + hit_depth`` neighbours (by id) a node can never
-    contribute to the result; dropping them first keeps hub nodes harmless.
+    At most as many of a node's neighbours as a question has hits can be removed
+    as already retrieved. So beyond its first ``max_expansions`` + (most hits
+    of a question, counted first) neighbours by id a node can never contribute
+    to the result; leaving them out keeps hub nodes harmless.
     """
     schema = "qid chunk_id expanded_from relation note source_rank".split()
     if max_expansions <= 0:
         return (hits.withColumn("expanded_from", F.col("chunk_id")).withColumn("relation", F.lit(""))
                 .withColumn("note", F.lit("")).withColumn("source_rank", F.col("rank"))
                 .select(*schema).limit(0))
-    links = adjacency(edges).groupBy("node", "neighbor").agg(
+    most = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    need = max_expansions + most
+    # Only links of retrieved nodes take part; their details stay with them.
+    asked = hits.select(F.col("chunk_id").alias("node")).distinct()
+    links = adjacency(edges).join(asked, "node", "left_semi").groupBy("node", "neighbor").agg(
         F.min_by(F.struct("relation", "note"), F.struct("link_pos", "dir")).alias("_l"),
     )
-    pairs = adjacency(edges).select("node", "neighbor").distinct()
-    need = max_expansions + hit_depth
-    reach = top_k(pairs, ["node"], [F.asc("neighbor")], need, "_nth")
+    reach = cut_lineage(top_k(links, ["node"], [F.asc("neighbor")], need, "_nth"))
     degree = reach.groupBy("node").agg(F.max("_nth").alias("_deg"))
     # A node with `need` neighbours fills the result on its own, so hits ranked
     # below the first such node cannot contribute either.
@@ -50,7 +53,7 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5, h
     best = fresh.groupBy("qid", "chunk_id").agg(F.min("source_rank").alias("source_rank"))
     kept = top_k(best, ["qid"], [F.asc("source_rank"), F.asc("chunk_id")], max_expansions, "_n")
     named = kept.join(hits.select("qid", F.col("rank").alias("source_rank"), F.col("chunk_id").alias("expanded_from")), ["qid", "source_rank"])
-    detail = links.select(F.col("node").alias("expanded_from"), F.col("neighbor").alias("chunk_id"), "_l.relation", "_l.note")
+    detail = reach.select(F.col("node").alias("expanded_from"), F.col("neighbor").alias("chunk_id"), "_l.relation", "_l.note")
     return named.join(detail, ["expanded_from", "chunk_id"]).select(*schema)
 
 

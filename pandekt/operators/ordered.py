@@ -12,6 +12,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DecimalType, FractionalType
 
 from pandekt.session import cut_lineage
 
@@ -84,7 +85,15 @@ def row_positions(df: DataFrame, group: list[str], order: list[str], name: str =
 
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, name: str,
                 max_group: int = MAX_GROUP, block_rows: int = 250_000) -> DataFrame:
-    """Sum of ``value`` from the start of the group up to and including the row."""
+    """Sum of ``value`` from the start of the group up to and including the row.
+
+    Fractions are added as decimals of 12 places and given back as doubles:
+    decimal sums don't depend on how a group is cut into blocks.
+    """
+    if isinstance(df.schema[value].dataType, FractionalType) and not isinstance(df.schema[value].dataType, DecimalType):
+        exact = df.withColumn("_exact", F.col(value).cast("decimal(38,12)"))
+        total = running_sum(exact, group, order, "_exact", name, max_group, block_rows)
+        return total.withColumn(name, F.col(name).cast("double")).drop("_exact")
     cold, hot = split_hot(df, group, max_group)
     upto = _window(group, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = cold.withColumn(name, F.sum(value).over(upto))

@@ -43,10 +43,14 @@ def pack_greedy(df: DataFrame, article: list[str], order: list[str], tokens: str
     Articles up to ``max_article`` rows are folded as one array each. Larger
     ones are cut into ordered blocks: every block reports where a packing that
     enters with a given partial sum would leave it, the blocks of an article
-    are chained on those short summaries, and each block is then labelled on
-    its own.
+    chained on those short summaries, and each block is then labelled on
+    its own. Token counts are whole numbers: a fraction is an error, since sums
+    of fractions would depend on how an article is cut into blocks.
     """
-    cold, hot = split_hot(df.select(*article, *order, tokens), article, max_article)
+    count = F.col(tokens).cast("double")
+    whole = F.when(count != F.floor(count), F.raise_error(F.lit("token counts must be whole numbers"))).otherwise(F.col(tokens))
+    df = df.select(*article, *order, whole.cast(df.schema[tokens].dataType).alias(tokens))
+    cold, hot = split_hot(df, article, max_article)
     packed = cold.groupBy(*article).agg(
         F.array_sort(F.collect_list(F.struct(*order, F.col(tokens).alias("_x")))).alias("_items"),
     ).select(*article, "_items", group_starts(F.transform("_items", lambda s: s["_x"]), threshold).alias("_starts"))

@@ -39,7 +39,7 @@ SELECT qid, n_hits, prompt FROM pm""")
 def prompts(t):
     q = filtered_questions(t)
     hits = cut_lineage(sparse_topk(q, chunks(t), 3, filter_doc="want"))
-    return an.context_prompt(q, hits, pathed(t), expand_one_hop(hits, same_source_edges(t), 5, 3))
+    return an.context_prompt(q, hits, pathed(t), expand_one_hop(hits, same_source_edges(t), 5))
 
 
 def answers(t):

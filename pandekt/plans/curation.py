@@ -375,13 +375,13 @@ def unit_dist(t):
 
 @query("h20_rule_classify", """
 WITH d AS (SELECT d.doc_id, source AS uc, replace(replace(lower(text), 'the', 'gdpr'), 'que', 'quando') AS q, coalesce(quality, 0) + coalesce(toxic, 0) + 1 AS nn FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
-SELECT doc_id, CASE WHEN contains(uc || ' ' || q, '231') THEN 'UC3' WHEN contains(q, 'nis2') THEN 'UC5' WHEN contains(q, 'ai act') OR contains(q, 'fria') OR contains(q, 'gpai') OR contains(q, 'art 11') THEN 'UC2' WHEN contains(q, 'gdpr') OR contains(q, 'dpo') THEN 'UC1' ELSE '?' END AS use_case,
-  CASE WHEN contains(q, 'pena') OR contains(q, 'multa') THEN 'Sanzionatorio' WHEN (nn >= 3 OR (contains(q, 'uso') AND contains(q, 'ai'))) AND nn >= 2 THEN 'Cross-norma scenario' WHEN contains(substr(q, 1, 20), 'art ') THEN 'Lookup definitorio' WHEN starts_with(q, 'come ') OR contains(q, 'come si') THEN 'Procedurale' WHEN contains(q, 'quando') THEN 'Condizionale' ELSE 'Altro' END AS question_type FROM d""")
+SELECT *, CASE WHEN question_type = 'Altro' THEN 'fallback: non classificata da nessuna euristica' ELSE '' END AS note FROM (SELECT doc_id, CASE WHEN contains(uc || ' ' || q, '231') THEN 'UC3 — 231 responsabilità ente' WHEN contains(q, 'nis2') THEN 'UC5 — NIS2 / cybersecurity' WHEN contains(q, 'ai act') OR contains(q, 'fria') OR contains(q, 'gpai') OR contains(q, 'art 11') THEN 'UC2 — AI Act' WHEN contains(q, 'gdpr') OR contains(q, 'dpo') THEN 'UC1 — GDPR compliance' ELSE '?' END AS use_case,
+  CASE WHEN contains(q, 'pena') OR contains(q, 'multa') THEN 'Sanzionatorio' WHEN (nn >= 3 OR (contains(q, 'uso') AND contains(q, 'ai'))) AND nn >= 2 THEN 'Cross-norma scenario' WHEN contains(substr(q, 1, 20), 'art ') THEN 'Lookup definitorio' WHEN starts_with(q, 'come ') OR contains(q, 'come si') THEN 'Procedurale' WHEN contains(q, 'quando') THEN 'Condizionale' ELSE 'Altro' END AS question_type FROM d)""")
 def rules(t):
     d = t.documents.join(t.labels, "doc_id", "left")
     q = F.replace(F.replace(F.lower("text"), F.lit("the"), F.lit("gdpr")), F.lit("que"), F.lit("quando"))
     n = F.coalesce("quality", F.lit(0)) + F.coalesce("toxic", F.lit(0)) + 1
-    return d.select("doc_id", cu.use_case_of(F.col("source"), q).alias("use_case"), cu.question_type_of(F.col("source"), q, n).alias("question_type"))
+    return d.select("doc_id", cu.use_case_of(F.col("source"), q).alias("use_case"), cu.question_type_of(F.col("source"), q, n).alias("question_type")).withColumn("note", cu.type_note(F.col("question_type")))
 
 
 @query("h21_gold_sampling", f"""WITH {LINE_CHUNKS}, g AS (SELECT DISTINCT regexp_replace(chunk_id, '__paras_.*$', '') AS article, split_part(chunk_id, '__art_', 2) AS q, chunk_id FROM lc WHERE split_part(chunk_id, '__', 1) = (SELECT 'doc' || max(s_suppkey) FROM supplier))

@@ -22,7 +22,7 @@ def adjacency(t):
 @query("e2_expand_one_hop", f"WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL} SELECT * FROM expansions")
 def expand(t):
     # Hits and links are tables with several uses, so they are written once.
-    return g.expand_one_hop(cut_lineage(order_hits(t)), cut_lineage(part_supplier_edges(t)), 5, 10)
+    return g.expand_one_hop(cut_lineage(order_hits(t)), cut_lineage(part_supplier_edges(t)), 5)
 
 
 @query("e3_link_activation", f"""WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL}

@@ -9,7 +9,7 @@ from pandekt.operators import evaluation as ev
 from pandekt.operators import fusion
 from pandekt.operators.dense import dense_topk
 from pandekt.operators.embedding import embed
-from pandekt.operators.ordered import top_k
+from pandekt.operators.ordered import row_positions, top_k
 from pandekt.operators.sparse import bm25_index, document_frequency, sparse_topk
 from pandekt.plans.base import EXPANSION_SQL, chunks, questions
 from pandekt.plans.registry import query
@@ -106,12 +106,10 @@ def reranked(t):
 
 def same_source_edges(t):
     """Each document links to the next one of its source (by id)."""
-    from pyspark.sql import Window
-    c = chunks(t)
-    w = Window.partitionBy("doc_urn").orderBy("doc_id")
-    return c.select("doc_id", F.col("chunk_id").alias("from_chunk"), F.lead("chunk_id").over(w).alias("to_chunk"), "lang").filter(
-        F.col("to_chunk").isNotNull()).select("from_chunk", "to_chunk", F.lit("rinvia_a").alias("relation"),
-                                              F.col("lang").alias("note"), F.col("doc_id").alias("link_pos"))
+    placed = row_positions(chunks(t).select("doc_urn", "doc_id", "chunk_id", "lang"), ["doc_urn"], ["doc_id"])
+    following = placed.select("doc_urn", (F.col("pos") - 1).alias("pos"), F.col("chunk_id").alias("to_chunk"))
+    return placed.withColumnRenamed("chunk_id", "from_chunk").join(following, ["doc_urn", "pos"]).select(
+        "from_chunk", "to_chunk", F.lit("rinvia_a").alias("relation"), F.col("lang").alias("note"), F.col("doc_id").alias("link_pos"))
 
 
 @query("d8_retrieve", f"""WITH {CHUNKS},{QUESTIONS},{hybrid('h20', 20)},

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from pandekt.functions import ids
-from pandekt.functions.text import article_sort_key, clean_heading, count_tokens, iso_date
+from pandekt.functions.text import article_sort_key, clean_heading, count_tokens, excerpt, iso_date, roman_to_int
 from pandekt.operators import chunking as ch
 from pandekt.operators import structure as st
+from pandekt.operators.ordered import row_positions
 from pandekt.operators.packing import pack_greedy
 from pandekt.plans.base import lines
 from pandekt.plans.registry import query
@@ -90,13 +91,13 @@ WITH a AS (SELECT user_id, event_type || '/' || CAST(ts AS DATE) AS eid, min(ts)
 s AS (SELECT user_id, 'ch' || event_id AS chapter_id, ts AS start_pos, least(ts + INTERVAL 12 HOUR, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) - INTERVAL 1 MICROSECOND, TIMESTAMP '9999-01-01')) AS end_pos FROM events WHERE event_type = 'signup')
 SELECT a.user_id, a.ts, a.eid, round(a.value, 6) AS value, coalesce(s.chapter_id, '') AS chapter_id FROM a LEFT JOIN s ON s.user_id = a.user_id AND a.ts BETWEEN s.start_pos AND s.end_pos""")
 def chapters(t):
-    from pyspark.sql import Window
     e = t.events
     arts = st.dedup_articles(e.select("user_id", F.concat_ws("/", "event_type", F.to_date("ts").cast("string")).alias("eid"), "ts", "value"), "user_id", "eid", "ts", ["value"])
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    spans = e.filter("event_type = 'signup'").select(
+    placed = row_positions(e.filter("event_type = 'signup'").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
+    after = placed.select("user_id", (F.col("pos") - 1).alias("pos"), F.col("ts").alias("next_ts"))
+    spans = placed.join(after, ["user_id", "pos"], "left").select(
         "user_id", F.concat(F.lit("ch"), F.col("event_id").cast("string")).alias("chapter_id"), F.col("ts").alias("start_pos"),
-        F.least(F.col("ts") + F.expr("INTERVAL 12 HOURS"), F.lead("ts").over(w) - F.expr("INTERVAL 0.000001 SECONDS")).alias("end_pos"))
+        F.least(F.col("ts") + F.expr("INTERVAL 12 HOURS"), F.col("next_ts") - F.expr("INTERVAL 0.000001 SECONDS")).alias("end_pos"))
     return st.assign_chapter(arts, spans, "user_id", "ts").withColumn("value", F.round("value", 6))
 
 
@@ -221,14 +222,43 @@ def invariants(t):
 WITH o AS (SELECT p_partkey, p_size, CASE WHEN p_retailprice > 1500 THEN 3 WHEN p_retailprice > 1000 THEN 2 WHEN p_retailprice > 950 THEN 999 ELSE 1 END AS s FROM part)
 SELECT p_partkey, row_number() OVER (ORDER BY p_size, s, p_partkey) AS pos FROM o""")
 def article_order(t):
-    from pandekt.operators.ordered import row_positions
     price = F.col("p_retailprice")
     eid = F.concat(F.lit("art_"), F.col("p_size").cast("string"), F.when(price > 1500, "-ter").when(price > 1000, "-bis").when(price > 950, "-zz").otherwise(""))
     keyed = t.part.select("p_partkey", article_sort_key(eid).alias("k")).select("p_partkey", "k.number", "k.suffix_pos")
     return row_positions(keyed, [], ["number", "suffix_pos", "p_partkey"]).select("p_partkey", "pos")
 
 
-@query("i_clean_heading", f"SELECT doc_id, {STRIP % "regexp_replace(string_split(text, chr(10))[1], '[.]+$', '')"} AS heading FROM documents WHERE NOT regexp_matches(text, '[()]')")
+_MARKS = STRIP % f"regexp_replace({STRIP % 'c'}, '[(][(]|[)][)]', '', 'g')"
+
+
+@query("i_clean_heading", f"""WITH r AS (SELECT doc_id, '(( (' || string_split(text, chr(10))[1] || '). ))' AS c FROM documents),
+a AS (SELECT doc_id, {STRIP % f"regexp_replace({_MARKS}, '[.]+$', '')"} AS s FROM r),
+b AS (SELECT doc_id, CASE WHEN regexp_matches(s, '(?s)^[(].*[)]$') THEN {STRIP % "regexp_extract(s, '(?s)^[(](.*)[)]$', 1)"} ELSE s END AS s FROM a)
+SELECT doc_id, {STRIP % "regexp_replace(s, '[.]+$', '')"} AS heading FROM b""")
 def headings(t):
     raw = F.concat(F.lit("(( ("), F.split("text", "\n")[0], F.lit("). ))"))
-    return t.documents.filter(~F.col("text").rlike("[()]")).select("doc_id", clean_heading(raw).alias("heading"))
+    return t.documents.select("doc_id", clean_heading(raw).alias("heading"))
+
+
+@query("i_excerpt", "SELECT doc_id, CASE WHEN length(text) > 250 THEN substr(text, 1, 250) || '...' ELSE text END AS excerpt FROM documents")
+def excerpts(t):
+    return t.documents.select("doc_id", excerpt(F.col("text"), 250, "...").alias("excerpt"))
+
+
+@query("i_roman_numerals", """
+SELECT o_orderkey, CAST(o_orderkey % 3999 + 1 AS INTEGER) AS value FROM orders""")
+def roman(t):
+    # The numeral is spelt digit by digit and read back.
+    n = F.col("o_orderkey") % 3999 + 1
+    digit = lambda k, one, five, ten: F.element_at(F.array(*[F.lit(x) for x in ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)]), ((n / k).cast("long") % 10 + 1).cast("int"))
+    text = F.concat(digit(1000, "M", "", ""), digit(100, "C", "D", "M"), digit(10, "X", "L", "C"), digit(1, "I", "V", "X"))
+    return t.orders.select("o_orderkey", roman_to_int(text).alias("value"))
+
+
+@query("i_short_name", """SELECT l_suppkey, l_partkey, count(*) AS n, CASE l_suppkey % 7 WHEN 0 THEN 'GDPR' WHEN 1 THEN 'AI Act' WHEN 2 THEN 'Codice Privacy' WHEN 3 THEN 'D.Lgs 231/2001' WHEN 4 THEN 'NIS2' WHEN 5 THEN 'L. 132/2025' ELSE '?' END AS name
+FROM lineitem GROUP BY l_suppkey, l_partkey""")
+def short_names(t):
+    prefixes = F.array(*[F.lit(p) for p in [*ids.SHORT_NAMES, "akn/it/other"]])
+    chunk = F.concat(F.element_at(prefixes, (F.col("l_suppkey") % 7 + 1).cast("int")), F.lit("__art_"), F.col("l_partkey").cast("string"))
+    named = t.lineitem.select("l_suppkey", "l_partkey", ids.short_name(chunk).alias("name"))
+    return named.groupBy("l_suppkey", "l_partkey", "name").agg(F.count(F.lit(1)).alias("n"))

@@ -81,9 +81,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def nest_results(hits: DataFrame, key: str = "qid", depth: int = 50) -> DataFrame:
-    """One nested row per question: its hits ordered by rank (at most ``depth``)."""
-    h = hits.filter(F.col("rank") <= depth)
+def nest_results(hits: DataFrame, key: str = "qid", depth: int | None = None) -> DataFrame:
+    """One nested row per question: its hits ordered by rank (the first ``depth``, if given)."""
+    h = hits if depth is None else hits.filter(F.col("rank") <= depth)
     return h.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("top"))
 
 

@@ -100,7 +100,7 @@ EDGES = "from_chunk string, to_chunk string, relation string, note string, link_
 def hop(spark, hits, edges, cap=5):
     h = spark.createDataFrame([("q", i + 1, c, 1.0) for i, c in enumerate(hits)], "qid string, rank bigint, chunk_id string, score double")
     e = spark.createDataFrame([(a, b, rel, "n", i) for i, (a, b, rel) in enumerate(edges)], EDGES)
-    return [(r.chunk_id, r.expanded_from, r.relation, r.source_rank) for r in graph.expand_one_hop(h, e, cap, 10).orderBy("source_rank", "chunk_id").collect()]
+    return [(r.chunk_id, r.expanded_from, r.relation, r.source_rank) for r in graph.expand_one_hop(h, e, cap).orderBy("source_rank", "chunk_id").collect()]
 
 
 def test_one_hop(spark):
