@@ -42,9 +42,11 @@ def select_topk(s: np.ndarray, c_ids: np.ndarray, k: int, q_filter=None, c_doc=N
     ``q_filter`` restricts a row to the columns of one document (None: all).
     """
     if q_filter is not None:
-        wanted = np.asarray(q_filter, dtype=object)
-        free = np.array([w is None for w in wanted])
-        s[~(free[:, None] | (wanted[:, None] == np.asarray(c_doc, dtype=object)[None, :]))] = -np.inf
+        # Documents as small numbers, so that the comparison is one of integers.
+        number = {d: i for i, d in enumerate(dict.fromkeys(c_doc))}
+        wanted = np.array([-1 if w is None else number.get(w, -2) for w in q_filter], dtype=np.int64)
+        held = np.array([number[d] for d in c_doc], dtype=np.int64)
+        s[(wanted[:, None] != held[None, :]) & (wanted[:, None] != -1)] = -np.inf
     kk = min(k, s.shape[1])
     floor = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
     rows, cols = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
@@ -104,6 +106,9 @@ def _streamed(q, c, schema, k, digits, skip, filtered) -> DataFrame:
     block = q.toPandas()  # at most block_rows rows, checked by the caller
     q_ids, q_vecs = block["qid"].to_numpy(), _matrix(block["qvec"])
     q_filter = block["qdoc"].tolist() if filtered else None
+    if filtered and len(q_filter) and all(w is not None for w in q_filter):
+        # At most one value per question of the block: pushed down to the scan.
+        c = c.filter(F.col("cdoc").isin(sorted(set(q_filter))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None

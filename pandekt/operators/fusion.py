@@ -12,6 +12,7 @@ from pandekt.operators.dense import dense_topk
 from pandekt.operators.embedding import embed
 from pandekt.operators.graph import expand_one_hop
 from pandekt.operators.ordered import top_k
+from pandekt.operators.search_index import SearchIndex
 from pandekt.operators.sparse import sparse_topk
 from pandekt.session import cut_lineage, prepare
 
@@ -90,6 +91,11 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, score
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("_prev")], k).select("qid", "rank", "chunk_id", "score")
 
 
+def stored(index: SearchIndex | None) -> dict[str, DataFrame]:
+    """Options of ``sparse_topk`` that make it search a stored index."""
+    return {} if index is None else {"postings": index.postings, "stats": index.stats, "frequencies": index.frequencies}
+
+
 def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, filter_doc: str | None = None,
                 rrf_k: int = RRF_K, qvec: str = "vec", cvec: str = "vec", **sparse_options) -> DataFrame:
     """Dense and BM25 arms, each max(2k, 1) deep, fused by reciprocal rank."""
@@ -111,13 +117,14 @@ def check_arguments(k: int, mode: str, rerank_k: int | None) -> None:
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "hybrid", rerank_k: int | None = None,
              edges: DataFrame | None = None, max_expansions: int = 5, filter_doc: str | None = None,
              aliases: dict[str, list[str]] | None = None, encoder=None, scorer: Scorer = overlap_f1,
-             rrf_k: int = RRF_K) -> tuple[DataFrame, DataFrame | None]:
+             rrf_k: int = RRF_K, index: SearchIndex | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Answer many questions at once.
 
     queries(qid, text[, filter]), chunks(chunk_id, doc_urn, text[, vec]);
     returns hits(qid, rank, chunk_id, score) and, when ``edges`` are given,
     one-hop expansions. Alias expansion of the question always comes first;
     ``aliases=None`` uses the default table, an empty one expands nothing.
+    With a stored ``index`` the texts of ``chunks`` are read for reranking only.
     """
     from pandekt.operators.understanding import expand_terms
 
@@ -125,16 +132,16 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "hy
     prepare(queries.sparkSession)
     q = queries.withColumn("text", expand_terms(F.col("text"), aliases))
     depth = rerank_k if rerank_k is not None else k
-    c = chunks
+    c = chunks if index is None else index.vectors.withColumn("text", F.lit(None).cast("string"))
     if mode != "sparse":
         q = q if "vec" in q.columns else embed(q, encoder=encoder)
         c = c if "vec" in c.columns else embed(c, encoder=encoder)
     if mode == "dense":
         hits = dense_topk(q, c, depth, filter_doc=filter_doc)
     elif mode == "sparse":
-        hits = sparse_topk(q, c, depth, filter_doc=filter_doc)
+        hits = sparse_topk(q, c, depth, filter_doc=filter_doc, **stored(index))
     else:
-        hits = hybrid_topk(q, c, depth, filter_doc=filter_doc, rrf_k=rrf_k)
+        hits = hybrid_topk(q, c, depth, filter_doc=filter_doc, rrf_k=rrf_k, **stored(index))
     if rerank_k is not None:
         hits = rerank(hits, q, chunks, k, scorer)
     if edges is None:

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from pandekt.functions.text import WORD_RE, words
 from pandekt.operators.dense import BLOCK_ROWS, merge_topk, select_topk
@@ -28,12 +28,25 @@ def bm25_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text"
                carry: tuple[str, ...] = ()) -> DataFrame:
     """Postings (chunk_id, [carry...], dl, term, tf).
 
-    All words of a chunk sit in one input row, so the map-side aggregation
-    already produces final counts and only distinct (chunk, term) rows move.
+    All words of a chunk sit in one input row, so they are counted there:
+    no posting is shuffled.
     """
     w = chunks.select(F.col(chunk_id).alias("chunk_id"), *carry, words(F.col(text)).alias("_w"))
-    exploded = w.select("chunk_id", *carry, F.size("_w").cast("long").alias("dl"), F.explode("_w").alias("term"))
-    return exploded.groupBy("chunk_id", *carry, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    kept = ["chunk_id", *carry]
+    schema = StructType([*(w.schema[c] for c in kept), StructField("dl", LongType()), StructField("term", StringType()), StructField("tf", LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_w")
+            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            key, tf = np.unique(np.repeat(np.arange(len(dl)), dl) * size + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            row = pa.array(key // size)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(row) for c in kept), pa.array(dl[key // size]), coded.dictionary.take(pa.array(key % size)).cast(pa.string()), pa.array(tf.astype(np.int64))], names=schema.names)
+
+    return w.mapInArrow(count, schema)
 
 
 def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -59,15 +72,16 @@ def bm25_weight(tf: Column, dl: Column, df: Column, n_docs: Column, avgdl: Colum
 def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", qtext: str = "text",
                 chunk_id: str = "chunk_id", text: str = "text", filter_doc: str | None = None,
                 doc_urn: str = "doc_urn", postings: DataFrame | None = None, stats: DataFrame | None = None,
-                digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                frequencies: DataFrame | None = None, digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Top-k chunks per question by BM25.
 
     Up to ``block_rows`` questions with at most ``MAX_BLOCK_TERMS`` words
     (checked by a limited collect) travel with the tasks: every chunk is scored
     where it is read and only the k best per question and task are shuffled.
-    More questions, or a stored index (``postings`` and ``stats``), use joins:
-    postings are matched with the question words before their first shuffle.
-    Both ways give the same scores up to the rounding to ``digits``.
+    More questions, or a stored index (``postings``, ``stats`` and
+    ``frequencies``), use joins: only postings of the asked words are shuffled.
+    Where all questions are restricted to a document, only the chunks of those
+    documents are scored. Both ways give the same scores up to the rounding to ``digits``.
     """
     if k <= 0:
         raise ValueError(f"k must be > 0 (got {k})")
@@ -85,24 +99,33 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
         postings = postings.withColumnRenamed(doc_urn, "_doc")
     else:
         postings = postings.withColumn("_doc", F.lit(None).cast("string"))
-    scored = _score_by_join(query_terms(q, carry=("_want",)), c, postings, stats, bool(filter_doc), digits)
+    scored = _score_by_join(query_terms(q, carry=("_want",)), c, postings, stats, frequencies, bool(filter_doc), digits)
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
 
 
-def _score_by_join(terms: DataFrame, c: DataFrame, postings: DataFrame | None, stats: DataFrame | None, filtered: bool, digits: int) -> DataFrame:
+def _score_by_join(terms: DataFrame, c: DataFrame, postings: DataFrame | None, stats: DataFrame | None,
+                   frequencies: DataFrame | None, filtered: bool, digits: int) -> DataFrame:
+    asked = terms.select("term").distinct()
     if postings is None:
         flat = c.select("chunk_id", "_doc", words(F.col("text")).alias("_w")).select(
             "chunk_id", "_doc", F.size("_w").cast("long").alias("dl"), F.explode("_w").alias("term"))
-        flat = flat.join(terms.select("term").distinct(), "term", "left_semi")
+        flat = flat.join(asked, "term", "left_semi")
         postings = flat.groupBy("chunk_id", "_doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     if stats is None:
         stats = corpus_stats(c)
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    weighted = postings.join(document_frequency(postings), "term").select(
-        "chunk_id", "_doc", "term", bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), n_docs, avgdl).alias("w"))
-    matched = weighted.join(terms, "term")
+    if frequencies is None:
+        frequencies = document_frequency(postings.join(asked, "term", "left_semi"))
+    # The asked words with their frequencies are the small side; postings of other words are left at the scan.
+    known = frequencies.join(asked, "term", "left_semi").join(terms, "term")
+    keys = ["chunk_id", "_doc", "term", "tf", "dl"]
     if filtered:
-        matched = matched.filter(F.col("_want").isNull() | (F.col("_want") == F.col("_doc")))
+        bound = known.filter(F.col("_want").isNotNull()).withColumnRenamed("_want", "_doc")
+        free = known.filter(F.col("_want").isNull()).drop("_want")
+        matched = postings.select(keys).join(bound, ["term", "_doc"]).select(*keys, "df", "qid").unionByName(postings.select(keys).join(free, "term").select(*keys, "df", "qid"))
+    else:
+        matched = postings.select(keys).join(known.drop("_want"), "term")
+    matched = matched.withColumn("w", bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), n_docs, avgdl))
     return matched.groupBy("qid", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score"))
 
 
@@ -187,4 +210,8 @@ def _score_in_place(asked: pd.DataFrame, qid_type, c: DataFrame, k: int, filtere
         if best is not None and len(best[0]):
             yield pa.RecordBatch.from_pandas(pd.DataFrame({"qid": q_ids[best[0]], "chunk_id": best[2], "score": best[1]}), preserve_index=False)
 
-    return tokens.mapInArrow(run, schema)
+    scan = tokens
+    if filtered and all(w is not None for w in q_want):
+        # At most one value per question of the block: pushed down to the scan.
+        scan = c.filter(F.col("_doc").isin(sorted(set(q_want)))).select("chunk_id", "_doc", words(F.col("text")).alias("_w"))
+    return scan.mapInArrow(run, schema)

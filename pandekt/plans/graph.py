@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pandekt.operators import graph as g
+from pandekt.operators.ordered import top_k
 from pandekt.plans.base import EDGES_SQL, EXPANSION_SQL, ORDER_HITS_SQL, order_hits, part_supplier_edges
 from pandekt.plans.registry import query
 from pandekt.session import cut_lineage
@@ -25,6 +26,25 @@ def expand(t):
     return g.expand_one_hop(cut_lineage(order_hits(t)), cut_lineage(part_supplier_edges(t)), 5)
 
 
+@query("e2_many_hits", f"""WITH b AS (SELECT l_returnflag AS qid, 'P' || l_partkey AS chunk_id, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
+hits AS (SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM b) WHERE rank <= 150),
+hub AS (SELECT 'P' || l_partkey AS from_chunk, 'hub' || (l_partkey % 3) AS to_chunk, 'attua' AS relation, '' AS note, l_partkey AS link_pos FROM (SELECT DISTINCT l_partkey FROM lineitem)),
+deals AS (SELECT 'S' || l_suppkey AS from_chunk, 'P' || l_partkey AS to_chunk, 'deroga' AS relation, '' AS note, l_partkey AS link_pos FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)),
+edges AS (SELECT * FROM hub UNION ALL SELECT * FROM deals),
+{EXPANSION_SQL.replace("j <= 5", "j <= 60")} SELECT * FROM expansions""")
+def many_hits(t):
+    """150 hits per question, three hub nodes that a third of all parts share."""
+    l = t.lineitem
+    best = l.groupBy(F.col("l_returnflag").alias("qid"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("chunk_id")).agg(F.max("l_extendedprice").alias("score"))
+    hits = top_k(best, ["qid"], [F.desc("score"), F.asc("chunk_id")], 150)
+    part = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    hub = l.select("l_partkey").distinct().select(part.alias("from_chunk"), F.concat(F.lit("hub"), (F.col("l_partkey") % 3).cast("string")).alias("to_chunk"),
+                                                  F.lit("attua").alias("relation"), F.lit("").alias("note"), F.col("l_partkey").alias("link_pos"))
+    deals = l.select("l_suppkey", "l_partkey").distinct().select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("from_chunk"), part.alias("to_chunk"),
+                                                                 F.lit("deroga").alias("relation"), F.lit("").alias("note"), F.col("l_partkey").alias("link_pos"))
+    return g.expand_one_hop(cut_lineage(hits), hub.unionByName(deals), 60)
+
+
 @query("e3_link_activation", f"""WITH {ORDER_HITS_SQL},{EDGES_SQL},{EXPANSION_SQL}
 SELECT expanded_from AS from_chunk, chunk_id AS to_chunk, relation, count(*) AS n FROM expansions GROUP BY ALL""")
 def activation(t):

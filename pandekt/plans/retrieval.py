@@ -10,10 +10,11 @@ from pandekt.operators import fusion
 from pandekt.operators.dense import dense_topk
 from pandekt.operators.embedding import embed
 from pandekt.operators.ordered import row_positions, top_k
+from pandekt.operators.search_index import build_index
 from pandekt.operators.sparse import bm25_index, document_frequency, sparse_topk
 from pandekt.plans.base import EXPANSION_SQL, chunks, questions
 from pandekt.plans.registry import query
-from pandekt.session import cut_lineage
+from pandekt.session import cut_lineage, scratch_path
 from pandekt.plans.sqlbits import CHUNKS, QUESTIONS, WORD, bm25, dense, f1, hashed, hybrid
 
 # ------------------------------------------------------------------ encoding
@@ -63,6 +64,22 @@ def index(t):
     return p.join(document_frequency(p), "term").select("chunk_id", "dl", "term", "tf", "df")
 
 
+def stored_index(t):
+    """The index of all documents, written for this call."""
+    return build_index(chunks(t), scratch_path(t.spark, "search-index"))
+
+
+@query("d3_stored_frequencies", f"""WITH {CHUNKS}, tok AS (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM chunks)
+SELECT term, count(*) AS df FROM tok GROUP BY term""")
+def stored_frequencies(t):
+    return stored_index(t).frequencies
+
+
+@query("d4_stored_index", f"WITH {CHUNKS},{QUESTIONS},{bm25('hits', 10)} SELECT * FROM hits")
+def stored_sparse(t):
+    return fusion.retrieve(questions(t), chunks(t), 10, "sparse", aliases={}, index=stored_index(t))[0]
+
+
 @query("d4_sparse_topk", f"WITH {CHUNKS},{QUESTIONS},{bm25('hits', 10)} SELECT * FROM hits")
 def sparse(t):
     return sparse_topk(questions(t), chunks(t), 10)
@@ -88,9 +105,19 @@ def filtered_dense(t):
     return dense_topk(embed(q), embed(chunks(t)), 5, filter_doc="want")
 
 
+@query("d5_stored_index", f"WITH {CHUNKS},{FILTERED},{bm25('hits', 5, where='q.want = p.doc_urn')} SELECT * FROM hits")
+def stored_filtered(t):
+    return fusion.retrieve(filtered_questions(t), chunks(t), 5, "sparse", filter_doc="want", aliases={}, index=stored_index(t))[0]
+
+
 # ------------------------------------------------------------------- fusion
 
 
+@query("d6_stored_index", f"WITH {CHUNKS},{QUESTIONS},{hybrid('hits', 10)} SELECT * FROM hits")
+def stored_hybrid(t):
+    return fusion.retrieve(questions(t), chunks(t), 10, "hybrid", index=stored_index(t))[0]
+
+
 @query("d6_hybrid_rrf", f"WITH {CHUNKS},{QUESTIONS},{hybrid('hits', 10)} SELECT * FROM hits")
 def hybrid_topk(t):
     return fusion.retrieve(questions(t), chunks(t), 10, "hybrid")[0]

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from pandekt.functions.ids import point_id
 from pandekt.operators.answers import verify_citations
-from pandekt.operators.sparse import bm25_index, corpus_stats, sparse_topk
+from pandekt.operators.fusion import stored
+from pandekt.operators.search_index import build_index
+from pandekt.operators.sparse import sparse_topk
 from pandekt.plans.base import chunks
 from pandekt.plans.registry import query
 from pandekt.plans.sqlbits import CHUNKS, QUESTIONS, bm25
@@ -67,10 +69,10 @@ def upsert(t):
 @query("s3_stream_retrieve", f"WITH {CHUNKS},{QUESTIONS},{bm25('hits', 5)} SELECT * FROM hits")
 def retrieve(t):
     c = chunks(t)
-    postings, stats = cut_lineage(bm25_index(c)), cut_lineage(corpus_stats(c))
+    index = build_index(c, scratch_path(t.spark, "search-index"))
     q = jobs.table_stream(t.spark, t.sf_dir, "benchmark.parquet").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("qid"), "text")
     path = scratch_path(t.spark, "hits")
-    jobs.stream_retrieve(q, lambda b: sparse_topk(b, c, 5, postings=postings, stats=stats), path, scratch_path(t.spark, "ckpt"))
+    jobs.stream_retrieve(q, lambda b: sparse_topk(b, c, 5, **stored(index)), path, scratch_path(t.spark, "ckpt"))
     return t.spark.read.parquet(path).select("qid", "rank", "chunk_id", "score")
 
 

@@ -63,8 +63,25 @@ def _local_dir() -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path under the shared folder; see ``clear_scratch``."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+_scratch: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what ``scratch_path`` handed out in this process; returns the number of folders.
+
+    Call it when no DataFrame built on those folders is needed any more.
+    """
+    conf, gone = spark._jsc.hadoopConfiguration(), 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -120,6 +120,44 @@ def test_hub_pruning_is_exact(spark):
     assert [x[0] for x in hop(spark, hits, hub)] == [f"n{i:03d}" for i in range(9, 14)]
 
 
+def test_more_hits_than_any_bound(spark):
+    hub = [("hub", f"n{i:03d}", "attua") for i in range(200)]
+    hits = [f"n{i:03d}" for i in range(60)] + ["hub"]
+    assert [x[0] for x in hop(spark, hits, hub)] == [f"n{i:03d}" for i in range(60, 65)]
+
+
+def test_retrieve_expands_aliases(spark):
+    q = spark.createDataFrame([("Q", "fria")], "qid string, text string")
+    c = spark.createDataFrame([("d__art_1", "d", "valutazione d'impatto sui diritti fondamentali"), ("d__art_2", "d", "altro")], "chunk_id string, doc_urn string, text string")
+    assert [r.chunk_id for r in fusion.retrieve(q, c, 5, "sparse")[0].collect()] == ["d__art_1"]
+    assert fusion.retrieve(q, c, 5, "sparse", aliases={})[0].count() == 0
+
+
+def test_stored_index_gives_the_same_hits(spark, corpus):
+    from pandekt.operators.search_index import build_index, open_index
+    from pandekt.session import scratch_path
+    q, c = corpus
+    path = scratch_path(spark, "test-index")
+    build_index(c, path)
+    index = open_index(spark, path)
+    for mode in fusion.MODES:
+        for want in (None, "want"):
+            assert rows(fusion.retrieve(q, c, 6, mode, filter_doc=want)[0]) == rows(fusion.retrieve(q, c, 6, mode, filter_doc=want, index=index)[0])
+
+
+def test_cross_rankings_have_their_own_depths(spark):
+    words = ["norma", "legge", "dato", "ente", "rischio"]
+    c = spark.createDataFrame([(f"d{i % 2}__art_{i}", f"d{i % 2}", " ".join(words[: 1 + i % 5])) for i in range(60)], "chunk_id string, doc_urn string, text string")
+    q = spark.createDataFrame([("Q", "norma rischio", ["a", "b"])], "qid string, text string, entities array<string>")
+    glossary = spark.createDataFrame([("a", "d0"), ("b", "d1")], "norm_id string, doc_urn string")
+    subs = spark.createDataFrame([("Q", "a", "norma legge"), ("Q", "b", "dato")], "qid string, norm_id string, text string")
+    got = fusion.cross_rankings(q, c, glossary, subs, 3, 9, "hybrid")
+    alone = fusion.retrieve(q.select("qid", "text"), c, 9, "hybrid")[0]
+    assert rows(got.filter("source = 'global'").select("rank", "chunk_id", "score")) == rows(alone.select("rank", "chunk_id", "score"))
+    own = fusion.retrieve(spark.createDataFrame([("Q", "norma legge", "d0")], "qid string, text string, w string"), c, 3, "hybrid", filter_doc="w")[0]
+    assert rows(got.filter("source = 'norm:a'").select("rank", "chunk_id", "score")) == rows(own.select("rank", "chunk_id", "score"))
+
+
 def test_expand_terms(spark):
     d = spark.createDataFrame([("Cos'è la fria?",), ("Il frialdo non c'entra niente.",), ("Uno scoring Creditizio e DPIA",)], "q string")
     once = d.select(expand_terms(F.col("q")).alias("q"))

@@ -95,6 +95,12 @@ def test_nested_results(spark):
         assert rows(ix.read_nested(spark, path)) == [("q", 1, "a", 0.7), ("q", 2, "b", 0.5)]
 
 
+def test_nesting_keeps_every_hit(spark):
+    hits = spark.range(70).select(F.lit("q").alias("qid"), (F.col("id") + 1).alias("rank"), F.col("id").cast("string").alias("chunk_id"), F.lit(0.5).alias("score"))
+    assert len(ix.nest_results(hits).first().top) == 70
+    assert len(ix.nest_results(hits, depth=3).first().top) == 3
+
+
 def check(spark, text, context):
     return an.verify_citations(spark.createDataFrame([(text, context)], "answer string, context array<string>")).first()
 

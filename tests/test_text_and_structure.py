@@ -1,5 +1,7 @@
 import uuid
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from pandekt.functions import ids, text as tx
@@ -70,6 +72,19 @@ def test_hot_groups_equal_windows(spark):
     assert rows(row_positions(d, [], ["o"])) == rows(row_positions(d, [], ["o"], **hot))
 
 
+def test_sums_of_fractions_do_not_depend_on_blocks(spark):
+    d = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").alias("o"), (F.col("id") * 0.1 + 0.7).alias("n"))
+    assert rows(running_sum(d, ["g"], ["o"], "n", "s")) == rows(running_sum(d, ["g"], ["o"], "n", "s", max_group=50, block_rows=30))
+
+
+def test_packing_rejects_fractions(spark):
+    d = spark.range(10).select(F.lit(1).alias("a"), F.col("id").alias("i"), F.lit(0.1).alias("t"))
+    with pytest.raises(Exception, match="whole numbers"):
+        pack_greedy(d, ["a"], ["i"], "t", 1).collect()
+    whole = d.withColumn("t", F.lit(1.0))
+    assert rows(pack_greedy(whole, ["a"], ["i"], "t", 3)) == rows(pack_greedy(whole, ["a"], ["i"], "t", 3, max_article=2, block_rows=3))
+
+
 def test_partition_count_does_not_matter(spark):
     d = spark.range(500).select((F.col("id") % 7).alias("a"), F.col("id").alias("i"), (F.col("id") % 13).cast("int").alias("t"))
     assert rows(pack_greedy(d.repartition(1), ["a"], ["i"], "t", 30)) == rows(pack_greedy(d.repartition(17), ["a"], ["i"], "t", 30))
