@@ -56,6 +56,39 @@ def html_sections(t):
     return mk.html_sections(t.pages, "page_id", "html", rules)
 
 
+def _escaped(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def html_documents(t):
+    """Documents as law pages: an article per text in a chapter per language, its lines as children.
+
+    Every other line is numbered, each number followed by a table that belongs to
+    it and by a note that is noise; texts of one line have no number. Paragraphs
+    are left unclosed.
+    """
+    n = F.col("doc_id").cast("string")
+    l = lines(F.col("text"))
+    para = F.transform(l, lambda x, i: F.when((i % 2 == 0) & (F.size(l) > 1), F.concat(
+        F.lit("<div>"), (i + 1).cast("string"), F.lit('. <i>'), _escaped(x), F.lit('</i><span class="x footnote">nota <b>a</b></span> coda<table><tr><td>a)<td> prima regola</table></div>'))).otherwise(
+        F.concat(F.lit('<p class="oj-normal">'), _escaped(x))))
+    article = F.concat(F.lit('<div id="art_'), n, F.lit('"><p class="title-article-norm">Articolo '), n, F.lit('</p><div class="eli-title"><p>Oggetto <b>'), "source", F.lit("</b></div>"),
+                       F.array_join(para, "\n"), F.lit("<script>var x = '<p>1. no';</script></div>"))
+    return t.documents.select("doc_id", F.concat(
+        F.lit('<!DOCTYPE html><html><body><p>indice<div id="cpt_I"><p class="title-division-1">CAPO I</p><p class="title-division-2">Lingua '), "lang", F.lit("</p>"), article, F.lit("</div></body></html>")).alias("html"))
+
+
+@query("a3_html_articles", f"""WITH dl AS (SELECT doc_id, source, lang, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, source, lang, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM dl),
+s AS (SELECT *, trim(regexp_replace(replace(line, chr(160), ' '), '{SPACE}', ' ', 'g')) AS t FROM l)
+SELECT doc_id, 'art_' || doc_id AS section_id, CAST(doc_id AS VARCHAR) AS marker, 'Oggetto ' || source AS heading, 'cpt_I' AS chapter_id, 'Lingua ' || lang AS chapter_title, CAST(i AS VARCHAR) AS number,
+  trim(trim(regexp_replace(line, '{SPACE}', ' ', 'g'), ' ') || ' coda' || 'a) prima regola') AS text FROM s WHERE n > 1 AND i % 2 = 1 AND t <> ''
+UNION ALL SELECT doc_id, 'art_' || doc_id, CAST(doc_id AS VARCHAR), 'Oggetto ' || source, 'cpt_I', 'Lingua ' || lang, NULL, t FROM s WHERE n = 1""")
+def html_articles(t):
+    rows = mk.html_sections(html_documents(t), "doc_id", "html")
+    return rows.filter("section_id <> '' AND NOT (number IS NOT NULL AND text = 'codaa) prima regola')").select("doc_id", "section_id", "marker", "heading", "chapter_id", "chapter_title", "number", "text")
+
+
 @query("a4_html_text_without_noise", rf"""
 WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script(\s[^>]*)?>.*?</script\s*>', '', 'g'), '(?is)<style(\s[^>]*)?>.*?</style\s*>', '', 'g'), '(?is)<nav(\s[^>]*)?>.*?</nav\s*>', '', 'g') AS h FROM a),
@@ -81,6 +114,19 @@ def points(t):
     return mk.nested_points(t.pages, "page_id", "html")
 
 
+@query("a6_nested_tables", f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+s AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
+c AS (SELECT doc_id, i, trim(regexp_replace(replace(line, chr(160), ' '), '{SPACE}', ' ', 'g')) AS t FROM s)
+SELECT doc_id, CAST(0 AS INTEGER) AS list_pos, CAST(i AS INTEGER) AS point, CAST(2 AS INTEGER) AS n_children, trim(i || '. ' || t) || chr(10) || '    a) ' || i || chr(10) || '    b)' || chr(10) || '        fine' AS text FROM c""")
+def tables(t):
+    """Lines as rows of one table per document; each holds a table of two lettered rows, the second with a list in it."""
+    row = F.transform(lines(F.col("text")), lambda x, i: F.concat(
+        F.lit("<tr><td>"), (i + 1).cast("string"), F.lit(".</td><td><p>"), _escaped(x), F.lit("</p><nav>menu</nav><table><tr><td>a)<td>"), (i + 1).cast("string"),
+        F.lit("<tr><td>b)<td><ul><li>fine</ul></table></td></tr>")))
+    html = F.concat(F.lit("<table><tbody>"), F.array_join(row, "\n"), F.lit("</tbody></table>"))
+    return mk.nested_points(t.documents.select("doc_id", html.alias("html")), "doc_id", "html").drop("title")
+
+
 @query("a6_point_title", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 h AS (SELECT doc_id, i, trim(string_split(replace(line, ',', ':'), ':')[1]) AS h FROM l)
 SELECT doc_id, i AS line_no, CASE WHEN length(h) <= 60 THEN h ELSE rtrim(coalesce(nullif(regexp_extract(substr(h, 1, 60), '(?s)^(.+) [^ ]*$', 1), ''), substr(h, 1, 60))) END AS title FROM h""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -63,21 +63,36 @@ def xml_sections(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------- HTML
 
 
-@dataclass
+# Class names of law pages and the prefix of a numbered paragraph.
+MARKER_CLASSES = frozenset({"title-article-norm", "oj-ti-art"})
+TITLE_CLASSES = frozenset({"eli-title"})
+CHAPTER_TITLE_CLASSES = frozenset({"title-division-2", "eli-title"})
+NOISE_CLASSES = frozenset({"modref", "footnote", "oj-doc-end", "oj-signatory"})
+NUMBERED = r"^\s*(\d+(?:bis|ter|quater|quinquies)?)\.\s+"
+
+
+@dataclass(frozen=True)
 class HtmlRules:
-    """What opens a section, what titles it, and what is noise."""
+    """What opens a section or chapter, what titles it, and what is noise."""
 
     section_tags: frozenset[str] = frozenset({"article", "section"})
     section_id_prefixes: tuple[str, ...] = ("art_",)
+    chapter_id_prefixes: tuple[str, ...] = ("cpt_",)
+    marker_classes: frozenset[str] = MARKER_CLASSES
     title_tags: frozenset[str] = frozenset({"h1", "h2", "h3"})
-    title_classes: frozenset[str] = frozenset({"eli-title"})
+    title_classes: frozenset[str] = TITLE_CLASSES
+    chapter_title_classes: frozenset[str] = CHAPTER_TITLE_CLASSES
     noise_tags: frozenset[str] = frozenset({"script", "style", "nav"})
-    noise_classes: frozenset[str] = frozenset({"modref", "footnote", "oj-doc-end", "oj-signatory"})
-    block_tags: frozenset[str] = frozenset({"p", "div", "li", "td", "h1", "h2", "h3", "h4", "article", "section", "ul", "ol", "table", "tr"})
+    noise_classes: frozenset[str] = NOISE_CLASSES
 
 
 _VOID = frozenset({"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"})
-_NUMBERED = re.compile(r"^\s*(\d+(?:bis|ter|quater|quinquies)?)\.\s+", re.IGNORECASE)
+#: Elements whose start ends an open one of the listed kinds, up to the nearest of the stops.
+_BLOCKS = ("p", "div", "ul", "ol", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6")
+_ENDS = {**{t: (("p",), ("td", "th", "li", "div", "section", "article", "body")) for t in _BLOCKS}, "li": (("li",), ("ul", "ol")),
+         "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",))}
+_NUMBERED = re.compile(NUMBERED, re.IGNORECASE)
+_ARTICLE = re.compile(r"Articolo\s+(\d+(?:[-\w]+)?)", re.IGNORECASE)
 _WS = re.compile(r"\s+")
 
 
@@ -85,156 +100,230 @@ def squeeze(text: str) -> str:
     return _WS.sub(" ", text.replace("\xa0", " ")).strip()
 
 
-@dataclass
-class _Section:
-    eid: str
-    heading: str = ""
-    blocks: list[tuple[str, str]] = field(default_factory=list)  # (tag, text)
+class _Node:
+    """An element with its text pieces and child elements in order."""
 
+    def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
+        self.tag, self.id = tag, attrs.get("id") or ""
+        self.classes = frozenset((attrs.get("class") or "").split())
+        self.parts: list[str | _Node] = []
 
-class _SectionReader(HTMLParser):
-    """One pass over a page: text runs of block elements, grouped by section."""
+    def children(self) -> list[_Node]:
+        return [x for x in self.parts if isinstance(x, _Node)]
 
-    def __init__(self, rules: HtmlRules) -> None:
-        super().__init__(convert_charrefs=True)
-        self.rules, self.sections, self.text = rules, [_Section("")], []
-        self.open: list[tuple[str, str, bool]] = []  # (tag, role, is noise)
-        self.noise = 0
 
-    def _flush(self) -> None:
-        text, self.text = squeeze("".join(self.text)), []
-        if not text:
-            return
-        role, tag = next(((r, t) for t, r, _ in reversed(self.open) if r != "inline"), ("block", "body"))
-        if role == "title" and not self.sections[-1].heading:
-            self.sections[-1].heading = text
-        else:
-            self.sections[-1].blocks.append((tag, text))
+class _Tree(HTMLParser):
+    """A page as nested elements; unclosed elements end where HTML ends them."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.root = _Node("body", {})
+        self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        if tag in _VOID:
-            if tag == "br" and not self.noise:
-                self.text.append(" ")
+        if tag in ("html", "body"):
             return
-        a, r = dict(attrs), self.rules
-        classes = set((a.get("class") or "").split())
-        eid = a.get("id") or ""
-        noise = tag in r.noise_tags or bool(classes & r.noise_classes)
-        role = "inline"
-        if not noise and not self.noise:
-            if tag in r.section_tags or eid.startswith(r.section_id_prefixes):
-                role = "section"
-            elif tag in r.title_tags or classes & r.title_classes:
-                role = "title"
-            elif tag in r.block_tags:
-                role = "block"
-            if role != "inline":
-                self._flush()
-            if tag == "p":  # an unclosed paragraph ends where the next begins
-                self._close_open("p")
-            if role == "section":
-                self.sections.append(_Section(eid))
-        self.noise += noise
-        self.open.append((tag, role, noise))
-
-    def _close_open(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                for _, _, noise in self.open[i:]:
-                    self.noise -= noise
+        closes, stops = _ENDS.get(tag, ((), ()))
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in closes:
                 del self.open[i:]
-                return
-            if self.open[i][1] in ("section", "title"):
-                return
+                break
+            if self.open[i].tag in stops:
+                break
+        node = _Node(tag, dict(attrs))
+        self.open[-1].parts.append(node)
+        if tag not in _VOID:
+            self.open.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in _VOID:
+            self.handle_starttag(tag, attrs)
+        else:
+            self.open[-1].parts.append(_Node(tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if any(r != "inline" for _, r, _ in self.open[i:]) and not self.noise:
-                    self._flush()
-                for _, _, noise in self.open[i:]:
-                    self.noise -= noise
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
                 del self.open[i:]
                 return
 
     def handle_data(self, data):
-        if not self.noise:
-            self.text.append(data)
-
-    def close(self):
-        super().close()
-        self._flush()
-
-
-def read_sections(html: str, rules: HtmlRules) -> list[_Section]:
-    reader = _SectionReader(rules)
-    reader.feed(html or "")
-    reader.close()
-    return [s for s in reader.sections if s.heading or s.blocks]
+        self.open[-1].parts.append(data)
+
+
+def page_tree(html: str | None) -> _Node:
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    return tree.root
+
+
+def _is_noise(n: _Node, rules: HtmlRules) -> bool:
+    return n.tag in rules.noise_tags or bool(n.classes & rules.noise_classes)
+
+
+def _text(n: _Node, rules: HtmlRules, skip=lambda _: False) -> str:
+    """All text of an element but that of noise and skipped elements; text behind those is kept."""
+    out, todo = [], list(reversed(n.parts))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif not _is_noise(x, rules) and not skip(x):
+            todo.extend(reversed(x.parts))
+    return squeeze("".join(out))
+
+
+def _is_section(n: _Node, rules: HtmlRules) -> bool:
+    return n.tag in rules.section_tags or n.id.startswith(rules.section_id_prefixes)
+
+
+def read_sections(html: str | None, rules: HtmlRules) -> list[dict]:
+    """Sections of a page in document order, with the text outside of sections first."""
+    root = page_tree(html)
+    out: list[dict] = []
+    outside: list[str] = []
+    todo: list[tuple[_Node | str, _Node | None]] = [(x, None) for x in reversed(root.parts)]
+    while todo:
+        x, chapter = todo.pop()
+        if isinstance(x, str):
+            if squeeze(x):
+                outside.append(squeeze(x))
+            continue
+        if _is_noise(x, rules):
+            continue
+        section = _is_section(x, rules)
+        if section:
+            out.append(_section(x, chapter, rules))
+        elif x.id.startswith(rules.chapter_id_prefixes) and "." not in x.id:
+            chapter = x
+        deeper = [c for c in x.parts if isinstance(c, _Node)] if section else x.parts
+        if not section and not any(_is_section(c, rules) or c.id.startswith(rules.chapter_id_prefixes) for c in _below(x)):
+            text = _text(x, rules)
+            if text and chapter is None:
+                outside.append(text)
+            continue
+        # Inside a section only sections of its own are looked for.
+        todo.extend((c, chapter) for c in reversed(deeper) if not section or _is_section(c, rules) or any(_is_section(d, rules) for d in _below(c)))
+    head = [{"eid": "", "heading": "", "marker": None, "chapter_id": None, "chapter_title": None, "numbered": [], "body": outside}] if outside else []
+    return head + out
+
+
+def _below(n: _Node):
+    todo = n.children()
+    while todo:
+        x = todo.pop()
+        yield x
+        todo.extend(x.children())
+
+
+def _section(n: _Node, chapter: _Node | None, rules: HtmlRules) -> dict:
+    nested = lambda x: _is_section(x, rules)
+    marker = next((m[1] for c in n.children() if c.classes & rules.marker_classes and (m := _ARTICLE.search(_text(c, rules)))), None)
+    titled = next((c for c in n.children() if c.classes & rules.title_classes), None) or next((c for c in n.children() if c.tag in rules.title_tags), None)
+    numbered, body, loose = [], [], []
+
+    def flush():
+        text = squeeze("".join(loose))
+        loose.clear()
+        if text:
+            body.append(text)
+
+    for x in n.parts:
+        if isinstance(x, str):
+            loose.append(x)
+            continue
+        if x is titled or x.classes & rules.marker_classes or _is_noise(x, rules) or nested(x):
+            continue
+        flush()
+        text = _text(x, rules, nested)
+        if text:
+            body.append(text)
+            if m := _NUMBERED.match(text):
+                numbered.append((x.tag, m[1], text[m.end():]))
+    flush()
+    title = None
+    if chapter is not None:
+        title = next((_text(c, rules) for c in chapter.children() if c.classes & rules.chapter_title_classes), None)
+    return {"eid": n.id, "heading": _text(titled, rules) if titled is not None else "", "marker": marker, "chapter_id": chapter.id if chapter is not None else None,
+            "chapter_title": title, "numbered": numbered, "body": body}
 
 
 def html_sections(df: DataFrame, key: str, html: str, rules: HtmlRules | None = None) -> DataFrame:
-    """Pages to section paragraphs: numbered ``N.`` blocks, else one joined body.
+    """Pages to section paragraphs: numbered ``N.`` children, else one joined body.
 
-    Pages are parsed where they are read; there is no shuffle.
+    A numbered paragraph is a child element of the section with all its text,
+    tables and nested blocks included. ``marker`` is the number that the
+    section's marker line gives, ``heading`` its title, ``chapter_id`` and
+    ``chapter_title`` those of the chapter around it. Pages are parsed where
+    they are read; there is no shuffle.
     """
     rules = rules or HtmlRules()
     base = df.select(key, html)
-    schema = f"{key} {base.schema[key].dataType.simpleString()}, section_pos int, section_id string, heading string, para_pos int, tag string, number string, text string"
+    schema = (f"{key} {base.schema[key].dataType.simpleString()}, section_pos int, section_id string, marker string, heading string, chapter_id string, chapter_title string, "
+              "para_pos int, tag string, number string, text string")
+    names = [key, "section_pos", "section_id", "marker", "heading", "chapter_id", "chapter_title", "para_pos", "tag", "number", "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for page, markup in zip(pdf[key], pdf[html]):
                 for si, s in enumerate(read_sections(markup, rules)):
-                    hits = [(tag, _NUMBERED.match(text), text) for tag, text in s.blocks]
-                    if any(m for _, m, _ in hits):
-                        for pi, (tag, m, text) in enumerate(h for h in hits if h[1]):
-                            rows.append((page, si, s.eid, s.heading, pi, tag, m.group(1), text[m.end():]))
-                    elif s.blocks or s.heading:
-                        rows.append((page, si, s.eid, s.heading, 0, "body", None, "\n\n".join(t for _, t in s.blocks)))
-            yield pd.DataFrame(rows, columns=[key, "section_pos", "section_id", "heading", "para_pos", "tag", "number", "text"])
+                    head = (page, si, s["eid"], s["marker"], s["heading"], s["chapter_id"], s["chapter_title"])
+                    if s["numbered"]:
+                        rows += [(*head, pi, *p) for pi, p in enumerate(s["numbered"])]
+                    elif s["body"] or s["heading"]:
+                        rows.append((*head, 0, "body", None, "\n\n".join(s["body"])))
+            yield pd.DataFrame(rows, columns=names)
     return base.mapInPandas(run, schema)
 
 
-class _ListReader(HTMLParser):
-    """Items of the top-level lists of a page with nested items indented."""
+_LISTS = ("ul", "ol", "table")
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.items, self.depth, self.lists, self.buf = [], 0, -1, []
 
-    def _flush(self):
-        text, self.buf = squeeze("".join(self.buf)), []
-        if text and self.depth and self.items:
-            self.items[-1][2].append((self.depth - 1, text))
+def _entries(n: _Node) -> list[_Node]:
+    """Items of a list, rows of a table."""
+    wanted = "tr" if n.tag == "table" else "li"
+    out, todo = [], list(reversed(n.children()))
+    while todo:
+        x = todo.pop()
+        if x.tag == wanted:
+            out.append(x)
+        elif x.tag not in _LISTS:
+            todo.extend(reversed(x.children()))
+    return out
 
-    def handle_starttag(self, tag, attrs):
-        if tag in ("ul", "ol"):
-            self._flush()
-            self.lists += self.depth == 0
-            self.depth += 1
-        elif tag == "li" and self.depth:
-            self._flush()
-            if self.depth == 1:
-                self.items.append([self.lists, 0, []])
-            elif self.depth == 2 and self.items:
-                self.items[-1][1] += 1
 
-    def handle_endtag(self, tag):
-        if tag in ("ul", "ol") and self.depth:
-            self._flush()
-            self.depth -= 1
-        elif tag == "li":
-            self._flush()
+def _inner_lists(n: _Node, rules: HtmlRules) -> list[_Node]:
+    """Outermost lists and tables below an element."""
+    out, todo = [], list(reversed(n.children()))
+    while todo:
+        x = todo.pop()
+        if _is_noise(x, rules):
+            continue
+        if x.tag in _LISTS:
+            out.append(x)
+        else:
+            todo.extend(reversed(x.children()))
+    return out
 
-    def handle_data(self, data):
-        if self.depth:
-            self.buf.append(data)
+
+def _entry_lines(n: _Node, depth: int, rules: HtmlRules) -> list[tuple[int, str]]:
+    """(depth, text) of an item and of all items nested in it. Cells of a row are set apart by a blank."""
+    is_list = lambda x: x.tag in _LISTS
+    cells = [c for c in n.children() if c.tag in ("td", "th")] if n.tag == "tr" else [n]
+    text = " ".join(t for c in cells if (t := _text(c, rules, is_list)))
+    inner = [line for sub in _inner_lists(n, rules) for e in _entries(sub) for line in _entry_lines(e, depth + 1, rules)]
+    return ([(depth, text)] if text else []) + inner
 
 
-def nested_points(df: DataFrame, key: str, html: str, max_title: int = 60) -> DataFrame:
-    """Top list items: indented text of the whole item, child count, short title."""
+def nested_points(df: DataFrame, key: str, html: str, max_title: int = 60, rules: HtmlRules | None = None) -> DataFrame:
+    """Top items of lists and tables: indented text of the whole item, child count, short title.
+
+    A table row is an item (its marker and body cells), a table inside it holds
+    its children. Noise is left out.
+    """
+    rules = rules or HtmlRules()
     base = df.select(key, html)
     schema = f"{key} {base.schema[key].dataType.simpleString()}, list_pos int, point int, n_children int, first_line string, text string"
 
@@ -242,13 +331,11 @@ def nested_points(df: DataFrame, key: str, html: str, max_title: int = 60) -> Da
         for pdf in batches:
             rows = []
             for page, markup in zip(pdf[key], pdf[html]):
-                reader = _ListReader()
-                reader.feed(markup or "")
-                reader.close()
-                seen: dict[int, int] = {}
-                for lst, kids, lines in reader.items:
-                    seen[lst] = seen.get(lst, 0) + 1
-                    rows.append((page, lst, seen[lst], kids, lines[0][1] if lines else "", "\n".join("    " * d + t for d, t in lines)))
+                for li, lst in enumerate(_inner_lists(page_tree(markup), rules)):
+                    for point, entry in enumerate(_entries(lst), 1):
+                        lines = _entry_lines(entry, 0, rules)
+                        kids = sum(len(_entries(sub)) for sub in _inner_lists(entry, rules))
+                        rows.append((page, li, point, kids, lines[0][1] if lines else "", "\n".join("    " * d + t for d, t in lines)))
             yield pd.DataFrame(rows, columns=[key, "list_pos", "point", "n_children", "first_line", "text"])
     return base.mapInPandas(run, schema).withColumn("title", point_title(F.col("first_line"), max_title)).drop("first_line")
 
@@ -261,13 +348,14 @@ def point_title(text: Column, max_chars: int = 60) -> Column:
 def html_text(html: Column, noise_tags: tuple[str, ...] = ("script", "style", "nav"), noise_classes: tuple[str, ...] = ("ad",)) -> Column:
     """Text of a page without noise elements, for noise that does not nest in itself.
 
-    The text behind a noise element is kept. Stays inside the JVM.
+    A noise class is one of the names in the class attribute; the element ends
+    at the end tag of its own kind. The text behind it is kept. Stays inside the JVM.
     """
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in noise_tags:
         out = F.regexp_replace(out, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", "")
     for cls in noise_classes:
-        out = F.regexp_replace(out, rf'(?is)<(div|p|span)\s[^>]*class="{cls}"[^>]*>.*?</(div|p|span)\s*>', "")
+        out = F.regexp_replace(out, rf'(?is)<(div|p|span)\s[^>]*class="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"[^>]*>.*?</\1\s*>', "")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
     for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(ch))

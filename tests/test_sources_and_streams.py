@@ -39,6 +39,27 @@ def test_nested_points(spark):
     assert out == [(1, 0, 1, 2, "Primo punto: molto lungo\n    a) uno\n    b) due", "Primo punto"), (1, 0, 2, 0, "Secondo", "Secondo"), (1, 1, 1, 0, "Altro", "Altro")]
 
 
+def test_html_article_parts(spark):
+    """A title inside its own element, a marker line, a list under a number, chapters."""
+    html = ('<div id="cpt_II"><p class="title-division-1">CAPO II</p><p class="title-division-2">Titolo del capo</p><div id="art_4"><p class="oj-ti-art">Articolo 4-bis</p>'
+            '<div class="eli-title"><p class="oj-sti-art">Oggetto</p></div><div><p class="oj-normal">1.\xa0stabilisce:</p><table><tr><td>a)</td><td>prima regola</td></tr></table></div>'
+            '<p class="modref">2. no</p><div>2. Altro <span class="footnote">x</span>testo</div></div></div>')
+    out = [(r.marker, r.heading, r.chapter_id, r.chapter_title, r.number, r.text) for r in mk.html_sections(spark.createDataFrame([(1, html)], "id int, h string"), "id", "h").orderBy("para_pos").collect()]
+    head = ("4-bis", "Oggetto", "cpt_II", "Titolo del capo")
+    assert out == [(*head, "1", "stabilisce:a)prima regola"), (*head, "2", "Altro testo")]
+
+
+def test_unclosed_lists_and_tables(spark):
+    html = "<ul><li>Uno<li>Due<p>coda<script>no()</script></ul>fuori<table><tr><td>1.<td>Punto<table><tr><td>a)<td>uno</table></table>"
+    out = rows(mk.nested_points(spark.createDataFrame([(1, html)], "id int, h string"), "id", "h").drop("title"))
+    assert out == [(1, 0, 1, 0, "Uno"), (1, 0, 2, 0, "Duecoda"), (1, 1, 1, 1, "1. Punto\n    a) uno")]
+
+
+def test_html_text_keeps_what_is_no_noise(spark):
+    d = spark.createDataFrame([('<div class="ad"><p>x</p> pubblicita</div>a<p class="ad big">y</p>b<p class="advice">c</p>',)], "h string")
+    assert d.select(mk.html_text(F.col("h"))).first()[0] == "a b c".replace("a b", "ab")
+
+
 def test_html_text(spark):
     d = spark.createDataFrame([('a<script>x</script>b <div class="ad">no</div>c&nbsp;d &amp;lt; <!-- z -->e',)], "h string")
     assert d.select(mk.html_text(F.col("h"))).first()[0] == "ab c d &lt; e"
