@@ -227,17 +227,41 @@ def _prepare(docs: DataFrame, doc_id: str, text: str, words: int, per_cent: int)
     return src.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, keys array<long>")
 
 
+def _expand(base: DataFrame) -> DataFrame:
+    """(key, node) rows; a task gives the keys of copies once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            nodes = batch.column("node").to_pylist()
+            fresh = []
+            for x in nodes:
+                fresh.append(x not in seen)
+                seen.add(x)
+            part = batch.filter(pa.array(fresh, pa.bool_()))
+            lists = part.column("keys")
+            counts = np.diff(lists.offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(part.column("node").to_numpy(), counts))], names=["key", "node"])
+
+    return base.select(F.xxhash64("h1", "h2").alias("node"), "keys").mapInArrow(run, "key long, node long")
+
+
 def _meetings(keys: DataFrame, spark_partitions: int) -> DataFrame:
-    """(key, node) rows of keys that at least two nodes share: rows are sorted by key and streamed."""
-    ordered = keys.repartition(spark_partitions, "key").sortWithinPartitions("key")
+    """Distinct (key, node) rows of keys that at least two nodes share: rows are sorted and streamed."""
+    ordered = keys.repartition(spark_partitions, "key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending = None  # the last row, if its key wasn't shared so far
-        last_key, last_shared = None, False
+        last_key, last_node, last_shared = None, None, False
         for batch in batches:
-            if not batch.num_rows:
-                continue
             k, v = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+            if not len(k):
+                continue
+            new = np.r_[(k[0], v[0]) != (last_key, last_node), (k[1:] != k[:-1]) | (v[1:] != v[:-1])]
+            k, v = k[new], v[new]
+            if not len(k):
+                continue
+            last_node = v[-1]
             same = np.r_[last_key is not None and k[0] == last_key, k[1:] == k[:-1]]
             nxt = np.r_[same[1:], False]
             out_k, out_v = [k[same | nxt]], [v[same | nxt]]
@@ -318,9 +342,9 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     classes = cut(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
     # One row stands for a class, also where rows repeat an id.
     node_rows = real.join(classes, (real["h1"] == classes["h1"]) & (real["h2"] == classes["h2"]) & (real["doc_id"] == classes["node"])).select(
-        real["h1"], real["h2"], "node", "copies", "n_shingles", "sketch", "keys").dropDuplicates(["h1", "h2"])
+        real["h1"], real["h2"], "node", "copies", "n_shingles", "sketch").dropDuplicates(["h1", "h2"])
     nodes = cut(node_rows.withColumn("node", F.xxhash64("h1", "h2")), "nodes")
-    meetings = cut(_meetings(nodes.select("node", F.explode("keys").alias("key")), partitions(spark)), "meetings")
+    meetings = cut(_meetings(_expand(real), partitions(spark)), "meetings")
     ties = _ties(meetings, nodes.select("node", "sketch"))
     clusters = cut(components(ties), "clusters")
     counts, links = _join_clusters(docs, doc_id, text, words, per_cent, clusters, nodes, classes)
@@ -335,6 +359,41 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
+FILTER_BITS = 1 << 25
+
+
+def _bit_positions(ids: np.ndarray) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        h = mix64(ids.astype(np.uint64) * _ODD[0])
+    return [(h >> np.uint64(s)) % np.uint64(FILTER_BITS) for s in (0, 32)]
+
+
+def _bit_filter(ids: DataFrame) -> np.ndarray:
+    """Bloom filter of FILTER_BITS bits (4 MB at any size of the input) over a column ``id``.
+
+    It only spares work: what passes is joined exactly. With far more ids than
+    bits everything passes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(FILTER_BITS, dtype=bool)
+        for batch in batches:
+            for at in _bit_positions(batch.column("id").to_numpy()):
+                own[at.astype(np.int64)] = True
+        packed = np.packbits(own, bitorder="little").view("<i8")
+        used = np.flatnonzero(packed)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(packed[used])], names=["word", "bits"])
+
+    merged = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype="<i8")
+    out[merged.column("word").to_numpy()] = merged.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce([(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 for at in _bit_positions(ids)]).astype(bool)
+
+
 def _join_clusters(docs, doc_id, text, words, per_cent, clusters, nodes, classes):
     """(counts: node, linked) and links (u, v) inside clusters, by prefix tree joins of block pairs."""
     spark = docs.sparkSession
@@ -344,20 +403,21 @@ def _join_clusters(docs, doc_id, text, words, per_cent, clusters, nodes, classes
     placed = member.join(load, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("c")))
     placed = placed.join(classes.select("h1", "h2", F.col("node").alias("least")), ["h1", "h2"]).select("least", "node", "h1", "h2", "copies", "component", "c", "part")
     placed = cut(placed, "placed")
-    one = docs.select(F.col(doc_id).cast("long").alias("least"), F.col(text).alias("text"))
-    chosen = one.join(placed, "least")
+    bits = spark.sparkContext.broadcast(_bit_filter(placed.select(F.col("least").alias("id"))))
+    one = docs.select(F.col(doc_id).cast("long").alias("least"), F.col(text).alias("text")).filter(F.col(doc_id).isNotNull())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in row_slices(batches, "text", SLICE_BYTES):
+        wanted = (b.filter(pa.array(_may_hold(bits.value, b.column("least").to_numpy()))) for b in batches if b.num_rows)
+        for part in row_slices(wanted, "text", SLICE_BYTES):
             values, sizes = shingle_sets(bytes_of(part.column("text")), words)
             raw, first = values.tobytes(), np.r_[0, np.cumsum(sizes)] * 8
             h1, h2 = set_hashes(values, sizes)
-            # Another row may share the id but not the text.
-            own = pa.array((h1 == part.column("h1").to_numpy()) & (h2 == part.column("h2").to_numpy()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "copies", "component", "c", "part")), pa.array([raw[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())],
-                                             names=["node", "copies", "component", "c", "part", "values"]).filter(own)
+            yield pa.RecordBatch.from_arrays([part.column("least"), pa.array(h1), pa.array(h2), pa.array([raw[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())],
+                                             names=["least", "h1", "h2", "values"])
 
-    held = chosen.mapInArrow(sets, "node long, copies long, component long, c long, part long, values binary")
+    # The hashes are compared, too: another row may share the id but not the text.
+    # The placed rows grow with the data, so they are never broadcast.
+    held = one.mapInArrow(sets, "least long, h1 long, h2 long, values binary").join(placed.hint("merge"), ["least", "h1", "h2"])
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda q: F.least(q, F.col("part")) * F.col("c") + F.greatest(q, F.col("part"))))
     dealt = held.select("component", pair.alias("pair"), "c", "part", "node", "copies", "values").repartition(partitions(spark), "component", "pair").sortWithinPartitions("component", "pair", "part", "node")
 
