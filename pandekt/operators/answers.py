@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pandekt.functions.text import strip
+from pandekt.session import cut_lineage
 
 # Wording and separators of the question prompt.
 QUESTION_LINE = "Domanda: "
@@ -30,9 +31,11 @@ def context_prompt(queries: DataFrame, hits: DataFrame, chunks: DataFrame, expan
     """One prompt per question: question, numbered context blocks, related links, instruction.
 
     ``hits`` must be a top-k table: the blocks of a question are put together
-    in one row. chunks(chunk_id, text, hierarchy_path).
+    in one row. chunks(chunk_id, text, hierarchy_path). The narrow hits are
+    written first, so that Spark knows their size and, when they are few,
+    doesn't shuffle the chunks to find theirs.
     """
-    blocks = hits.select("qid", "rank", "chunk_id").join(chunks.select("chunk_id", "hierarchy_path", "text"), "chunk_id")
+    blocks = cut_lineage(hits.select("qid", "rank", "chunk_id")).join(chunks.select("chunk_id", "hierarchy_path", "text"), "chunk_id")
     ctx = blocks.groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("rank", hit_block(F.col("chunk_id"), F.col("hierarchy_path"), F.col("text")).alias("b")))).alias("_b"))
     j = queries.select("qid", "text").join(ctx, "qid", "left")

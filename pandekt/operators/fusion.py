@@ -77,17 +77,17 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, score
     ``scorer`` builds the score column; pass a ``pandas_udf`` to use a model.
     ``max_chars`` limits the passage the scorer sees where a model needs it.
     Equal scores keep their previous order.
+
+    The narrow hits are written first. With their size known Spark sends them to
+    the tasks that read the passages when they are few, and pairs are scored
+    there: of a passage only its scores are shuffled.
     """
+    hits = cut_lineage(hits.select("qid", "rank", "chunk_id"))
     passage = F.col("_passage") if max_chars is None else F.substring(F.col("_passage"), 1, max_chars)
     pairs = hits.join(queries.select(F.col(qid).alias("qid"), F.col(qtext).alias("_query")), "qid").join(
         chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(text).alias("_passage")), "chunk_id",
     )
-    # Scoring is the costly part: an explicit partition count keeps adaptive
-    # execution from merging it into a few tasks, and the ranking that follows
-    # needs the same partitioning.
-    partitions = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = pairs.repartition(partitions, "qid").select("qid", "chunk_id", F.col("rank").alias("_prev"),
-                          F.round(scorer(F.col("_query"), passage), digits).alias("score"))
+    scored = pairs.select("qid", "chunk_id", F.col("rank").alias("_prev"), F.round(scorer(F.col("_query"), passage), digits).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("_prev")], k).select("qid", "rank", "chunk_id", "score")
 
 
