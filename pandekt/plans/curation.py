@@ -127,7 +127,7 @@ _W = r"list_filter(list_distinct(regexp_extract_all(lower(%s), '[\p{L}\p{M}\p{N}
 _N = "list_filter([" + ", ".join(f"CASE WHEN contains(%s, '{w}') THEN '{n}' END" for n, w in NORM_WORDS) + "], lambda x: x IS NOT NULL)"
 
 
-@query("h6_best_overlap", f"""
+H6_SQL = f"""
 WITH n AS (SELECT 'c' || conv_id || '-' || turn AS qid, {_W % 'text'} AS w, {_N.replace('%s', 'text')} AS norms FROM conversations WHERE role = 'user'),
 o AS (SELECT 'b' || item_id AS old_qid, {_W % 'text'} AS ow, {_N.replace('%s', 'text')} AS old_norms FROM benchmark),
 p AS (SELECT *, norms = old_norms AND len(norms) > 0 AS same, list_has_any(norms, old_norms) AS ov FROM n CROSS JOIN o),
@@ -136,11 +136,23 @@ j AS (SELECT qid, old_qid, round(len(list_intersect(w, ow)) / (len(w) + len(ow)
   WHERE CASE pool WHEN 0 THEN same WHEN 1 THEN ov AND NOT same ELSE FALSE END),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY jac DESC, old_qid) AS r FROM j WHERE jac > 0) WHERE r = 1)
 SELECT l.qid, old_qid, coalesce(jac, 0.0) AS jaccard, CASE WHEN pool = 2 THEN 'new_area' WHEN coalesce(jac, 0) >= 0.4 THEN 'high' WHEN coalesce(jac, 0) >= 0.2 THEN 'some' ELSE 'distinct' END AS flag, coalesce(array_to_string(shared, ','), '') AS shared
-FROM l LEFT JOIN b USING (qid)""")
-def overlap(t):
+FROM l LEFT JOIN b USING (qid)"""
+
+
+def overlap_sides(t):
     n = t.conversations.filter("role = 'user'").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("qid"), "text", turn_norms(F.col("text")).alias("norms"))
     o = t.benchmark.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), "text", turn_norms(F.col("text")).alias("norms"))
-    return cu.best_overlap(n, o, STOP).withColumn("shared", F.array_join("shared", ","))
+    return n, o
+
+
+@query("h6_best_overlap", H6_SQL)
+def overlap(t):
+    return cu.best_overlap(*overlap_sides(t), STOP).withColumn("shared", F.array_join("shared", ","))
+
+
+@query("h6_default_stopwords", H6_SQL.replace("('the', 'and', 'der', 'die', 'que', 'les')", "(" + ", ".join(f"'{w}'" for w in cu.STOPWORDS) + ")"))
+def overlap_default(t):
+    return cu.best_overlap(*overlap_sides(t)).withColumn("shared", F.array_join("shared", ","))
 
 
 @query("h7_rewrite_ids", """

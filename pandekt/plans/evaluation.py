@@ -359,6 +359,18 @@ def limits(t):
     return ev.limit_table(a, "flag", "text", LIMITS)
 
 
+LIMIT_PHRASES = ["La norma non è inclusa nel corpus normativo di riferimento.", "non sono presenti, purtroppo, nel nostro Corpus", "Il contesto normativo fornito non contiene la regola.",
+                 "dati ASSENTI nel contesto", "Sarebbe necessario fare riferimento alla legge.", "Il contesto contiene tutto.", "non presente nel\ncontesto"]
+
+
+@query("g28_default_phrases", f"""WITH a AS (SELECT quality, [{", ".join("'" + p.replace("'", "''") + "'" for p in LIMIT_PHRASES)}][doc_id % {len(LIMIT_PHRASES)} + 1] || ' ' || doc_id AS answer FROM labels),
+d AS (SELECT *, regexp_matches(answer, '{"|".join(ev.LIMIT_PATTERNS)}', 'is') AS detected FROM a)
+SELECT quality, detected, count(*) AS n, count(*) FILTER (NOT detected AND length(trim(answer)) > 200) AS n_substantive FROM d GROUP BY ALL""")
+def default_limits(t):
+    phrase = F.element_at(F.array(*[F.lit(p) for p in LIMIT_PHRASES]), (F.pmod(F.col("doc_id"), F.lit(len(LIMIT_PHRASES))) + 1).cast("int"))
+    return ev.limit_table(t.labels.select("quality", F.concat_ws(" ", phrase, F.col("doc_id").cast("string")).alias("answer")), "quality")
+
+
 RESCUE = HITS + """,
 ff AS (SELECT qid, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM hits GROUP BY ALL),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM ff) WHERE rank <= 20),

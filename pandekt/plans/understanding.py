@@ -67,6 +67,34 @@ def detect(t):
     return detected(t).select("qid", F.array_join("entities", ",").alias("entities"))
 
 
+# Phrases that name laws in several spellings, and some that only look alike.
+LAW_PHRASES = [
+    "secondo il GDPR", "il RGPD", "Regolamento (UE) 2016/679", "Reg. UE n. 2024/1689", "l'AI Act e la FRIA", "la IA  Act", "D.Lgs. n. 231", "Decreto Legislativo 231/2001 e NIS2",
+    "ai sensi del 231", "reato-presupposto", "D. Lgs. 138/2024", "Codice della Privacy", "trattamento illecito di dati", "Legge n. 132 del 2025", "L. 132/2025 e gdpr", "gdprx 12310", "scoring creditizio", "la dpia",
+]
+
+
+def law_questions(t):
+    phrase = F.element_at(F.array(*[F.lit(p) for p in LAW_PHRASES]), (F.pmod(F.col("doc_id"), F.lit(len(LAW_PHRASES))) + 1).cast("int"))
+    return t.documents.select("doc_id", F.concat_ws(" ", phrase, F.substring("source", 1, 5)).alias("q"))
+
+
+_PHRASED = "SELECT doc_id, [" + ", ".join("'" + p.replace("'", "''") + "'" for p in LAW_PHRASES) + f"][doc_id % {len(LAW_PHRASES)} + 1] || ' ' || substr(source, 1, 5) AS q FROM documents"
+
+
+@query("c2_default_patterns", f"""WITH p AS ({_PHRASED})
+SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(q, '{rx}', 'i') THEN '{pid}' END" for pid, rx in u.DEFAULT_PATTERNS)}], lambda x: x IS NOT NULL), ',') AS entities FROM p""")
+def default_patterns(t):
+    return law_questions(t).select("doc_id", F.array_join(u.detect_entities(F.col("q")), ",").alias("entities"))
+
+
+@query("c1_default_aliases", f"""WITH p AS ({_PHRASED})
+SELECT doc_id, concat_ws(' ', q, CASE WHEN regexp_matches(q, '(^|[^a-z])fria($|[^a-z])', 'i') THEN 'valutazione d''impatto sui diritti fondamentali' END,
+  CASE WHEN regexp_matches(q, '(^|[^a-z])dpia($|[^a-z])', 'i') THEN 'valutazione d''impatto sulla protezione dei dati' END, CASE WHEN contains(lower(q), 'scoring creditizio') THEN 'merito di credito' END) AS expanded FROM p""")
+def default_aliases(t):
+    return law_questions(t).select("doc_id", u.expand_terms(F.col("q")).alias("expanded"))
+
+
 @query("c3_route_queries", f"""WITH {ENTITIES} SELECT qid, len(entities) AS n_entities, CASE WHEN len(entities) >= 2 THEN 'multi' ELSE 'fallback' END AS path FROM ent""")
 def routed(t):
     return detected(t).select("qid", F.size("entities").cast("long").alias("n_entities"), u.route(F.col("entities")).alias("path"))
