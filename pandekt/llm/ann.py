@@ -170,7 +170,8 @@ def shard_uri(folder: str, shard: int) -> str:
 
 def write_index(nodes: DataFrame, folder: str, shards: int, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX) -> DataFrame:
     """Build and store the graph of every shard; ``nodes`` has node, least and vec. Returns (shard, n) rows."""
-    dealt = nodes.select(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)).alias("shard"), "node", "least", "vec").repartition(shards, "shard").sortWithinPartitions("shard", "node")
+    # By range: one shard to a task, where hashes of a few numbers would collide.
+    dealt = nodes.select(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)).alias("shard"), "node", "least", "vec").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -213,7 +214,7 @@ def search_index(queries: DataFrame, index: DataFrame, folder: str, k: int, beam
     if not numbers:
         return queries.select("query_id", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("least"), F.lit(0.0).alias("score")).limit(0)
     each = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk"), F.explode(F.array(*[F.lit(s).cast("long") for s in numbers])).alias("shard"))
-    dealt = each.repartition(len(numbers) * chunks, "shard", "chunk").sortWithinPartitions("shard", "chunk", "query_id")
+    dealt = each.repartitionByRange(len(numbers) * chunks, "shard", "chunk").sortWithinPartitions("shard", "chunk", "query_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, shard = None, [], None
