@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from pandekt.llm.common import cut, partitions
 
 
+#: Links that one task settles: 16 MB.
+SMALL = 1 << 20
+
+
 def union_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, smallest node reachable) of a small set of links held in memory."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -52,9 +56,24 @@ def _shrink(edges: DataFrame, cap: int = 1 << 20) -> DataFrame:
     return edges.select("u", "v").mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _finish(edges: DataFrame) -> DataFrame:
+    """Components of a counted, small number of links by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if held:
+            nodes, roots = union_roots(np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "component"])
+
+    return edges.select("u", "v").repartition(1).mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, rounds: int = 40, small: int = SMALL) -> DataFrame:
     """(node, component): the smallest node reachable, for every node with a link.
 
+    At most ``small`` links (counted after the first contraction) are settled by
+    one task at once; more go through rounds. Both give the same rows.
+
     Each round links every larger neighbour of a node to the smallest known node
     around it, then every node to the smallest of its smaller neighbours. The
     least labels per node are written before they are joined, so that a node
@@ -63,6 +82,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     spark = edges.sparkSession
     e = cut(_shrink(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")), "links")
+    if e.count() <= small:
+        return _finish(e)
     mark = None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

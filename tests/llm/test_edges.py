@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pandekt.llm import ann, chat, line_dedup, mixing, near_vectors, ngram_join, packing, token_store, toxicity, warc
+from pandekt.llm.components import components
 from pandekt.llm.tokens import PieceEncoder, default_path
 from tests.llm import brute
 
@@ -114,6 +115,19 @@ def test_ngram_join_odd(odd, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_components_of_chains_stars_and_hubs(spark):
+    rng = random.Random(9)
+    links = [(i, i + 1) for i in range(300, 420)] + [(0, i) for i in range(1, 200)] + [(1000 + rng.randrange(150), 1000 + rng.randrange(150)) for _ in range(120)] + [(7, 7), (5, 3)]
+    df = spark.createDataFrame(links, "u long, v long").repartition(6)
+    nodes = sorted({x for a, b in links if a != b for x in (a, b)})
+    at = {x: i for i, x in enumerate(nodes)}
+    root = brute.roots(len(nodes), [(at[a], at[b]) for a, b in links if a != b])
+    want = sorted((x, nodes[root[i]]) for i, x in enumerate(nodes))
+    assert sorted(map(tuple, components(df).collect())) == want
+    assert sorted(map(tuple, components(df, small=0).collect())) == want
+    assert components(df.limit(0)).count() == 0 and components(df.limit(0), small=-1).count() == 0
+
+
 def test_trie_join_equals_all_pairs():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 2**63, 400).astype(np.uint64)
