@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pandekt.llm.common import released, small_batches
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 MARKERS = (TURN, TEXT, END)
 #: Strings that this or other common templates give a meaning.
@@ -105,6 +107,7 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, conv_id: str = "c
     one = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.struct(
         F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     whole = one.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    small_batches(rows.sparkSession)
     wanted = frozenset(loss_roles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +128,7 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, conv_id: str = "c
                 yield pa.RecordBatch.from_arrays([part.column("conv_id"), pa.array([r[0] for r in rendered], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))],
                                                  names=["conv_id", "formatted", "input_ids", "loss_mask"])
 
-    return whole.mapInArrow(run, "conv_id long, formatted string, input_ids array<int>, loss_mask array<tinyint>")
+    return whole.mapInArrow(released(run), "conv_id long, formatted string, input_ids array<int>, loss_mask array<tinyint>")
 
 
 def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -149,4 +152,4 @@ def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(n_turns, pa.int64()), pa.array(turns_sha, pa.string()), pa.array(loss_chars, pa.int64()), pa.array(loss_sha, pa.string()), pa.array(chars, pa.int64())],
                                              names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(released(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

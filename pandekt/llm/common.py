@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +80,40 @@ def open_shared(uri: str) -> pa.NativeFile:
     return fs.open_input_file(path)
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of at most BATCH_ROWS rows.
+
+    The default of 10,000 rows is made for numbers; with texts each batch takes
+    tens of MB in the JVM and again in the worker. Lowers the session's setting
+    and leaves lower ones alone; results don't depend on it.
+    """
+    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS or int(spark.conf.get(BATCH_CONF)) <= 0:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
+def released(run):
+    """Wrap a map over batches so that its worker gives free memory back when the task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # glibc only
+                trim(0)
+
+    return wrapped
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null gives empty bytes."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
@@ -93,7 +128,7 @@ def row_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> It
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.array([len(x) for x in bytes_of(batch.column(column))], dtype=np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         cell = np.cumsum(lengths) // limit
         cuts = np.flatnonzero(np.diff(cell)) + 1
         for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
@@ -109,6 +144,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+HASH_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _powers: dict[str, np.ndarray] = {}
@@ -139,8 +175,9 @@ def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE) -> tuple[np.
 
     By default words are ``[^\\x20\\x09-\\x0D]+``; line ends must be separators.
 
-    Returns (hashes, words per text, buffer, word starts, word ends); one pass
-    of array arithmetic over the joined bytes, no object per word.
+    Returns (hashes, words per text, buffer, word starts, word ends); array
+    arithmetic over the joined bytes, no object per word. Hashes are made for
+    runs of HASH_BYTES, so that the working arrays stay small at any input.
     """
     joined = b"\n".join(texts) + b"\n"
     buf = LOWER[np.frombuffer(joined, dtype=np.uint8)]
@@ -148,11 +185,18 @@ def word_hashes(texts: list[bytes], separators: np.ndarray = SPACE) -> tuple[np.
     edge = np.diff(np.r_[True, space].astype(np.int8))
     starts = np.flatnonzero(edge == -1)
     ends = np.flatnonzero(edge == 1)
-    p, q = _power_tables(len(buf))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUES[buf] * p[: len(buf)], out=sums[1:])
-        hashes = mix64((sums[ends] - sums[starts]) * q[starts])
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    cuts = np.searchsorted(starts, np.arange(HASH_BYTES, len(buf) + HASH_BYTES, HASH_BYTES))
+    first = 0
+    for last in cuts.tolist():
+        if last > first:
+            low, high = int(starts[first]), int(ends[last - 1])
+            p, q = _power_tables(high - low)
+            with np.errstate(over="ignore"):
+                sums = np.zeros(high - low + 1, dtype=np.uint64)
+                np.cumsum(_BYTE_VALUES[buf[low:high]] * p[: high - low], out=sums[1:])
+                hashes[first:last] = mix64((sums[ends[first:last] - low] - sums[starts[first:last] - low]) * q[starts[first:last] - low])
+        first = last
     text_ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
     upto = np.searchsorted(starts, text_ends)
     return hashes, np.diff(np.r_[0, upto]), buf, starts, ends

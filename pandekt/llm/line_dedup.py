@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pandekt.llm.common import bytes_of, new_folder, partitions, remove_folder
+from pandekt.llm.common import bytes_of, new_folder, partitions, released, remove_folder, small_batches
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -53,7 +53,7 @@ def line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
             raw = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, counts)), pa.array(raw[:, 0].copy()), pa.array(raw[:, 1].copy())], names=["doc_id", "h1", "h2"])
 
-    return src.mapInArrow(run, "doc_id long, h1 long, h2 long")
+    return src.mapInArrow(released(run), "doc_id long, h1 long, h2 long")
 
 
 class LineRuns:
@@ -142,6 +142,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     repeated = bool(docs.groupBy(doc_id).count().filter("count > 1").take(1))
     runs = LineRuns(spark, min_docs=min_docs)
     for part in _ranges(docs, doc_id, batches):
@@ -173,5 +174,5 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
                                              names=[*names, "text", "n_lines", "n_dropped"])
 
-    out = joined.select(*names, "_t", "_drop").mapInArrow(run, schema)
+    out = joined.select(*names, "_t", "_drop").mapInArrow(released(run), schema)
     return out.select(F.col("_id").alias("doc_id"), *[F.col(f"_c_{c}").alias(c) for c in carry], "text", "n_lines", "n_dropped")

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pandekt.llm.common import bytes_of, cut, mix64, partitions, row_slices, word_hashes
+from pandekt.llm.common import bytes_of, cut, mix64, partitions, released, row_slices, small_batches, word_hashes
 from pandekt.llm.components import components, union_roots
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SKETCH = 64
 AGREE = SKETCH // 2
 CLASS_RATIO = 1.5
@@ -224,7 +224,7 @@ def _prepare(docs: DataFrame, doc_id: str, text: str, words: int, per_cent: int)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), sketch, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))],
                                              names=["doc_id", "n_shingles", "h1", "h2", "sketch", "keys"])
 
-    return src.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, keys array<long>")
+    return src.mapInArrow(released(run), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary, keys array<long>")
 
 
 def _expand(base: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _expand(base: DataFrame) -> DataFrame:
             counts = np.diff(lists.offsets.to_numpy())
             yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(part.column("node").to_numpy(), counts))], names=["key", "node"])
 
-    return base.select(F.xxhash64("h1", "h2").alias("node"), "keys").mapInArrow(run, "key long, node long")
+    return base.select(F.xxhash64("h1", "h2").alias("node"), "keys").mapInArrow(released(run), "key long, node long")
 
 
 def _meetings(keys: DataFrame, spark_partitions: int) -> DataFrame:
@@ -273,7 +273,7 @@ def _meetings(keys: DataFrame, spark_partitions: int) -> DataFrame:
             pending = None if last_shared else (k[-1], v[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k)), pa.array(np.concatenate(out_v))], names=["key", "node"])
 
-    return ordered.mapInArrow(run, "key long, node long")
+    return ordered.mapInArrow(released(run), "key long, node long")
 
 
 def _ties(meetings: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def _ties(meetings: DataFrame, sketch: DataFrame) -> DataFrame:
         if len(held) > 1 and (got := close()) is not None:
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["u", "v"])
 
-    return dealt.select("key", "pair", "node", "sketch").mapInArrow(run, "u long, v long").distinct()
+    return dealt.select("key", "pair", "node", "sketch").mapInArrow(released(run), "u long, v long").distinct()
 
 
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, per_cent: int = 80) -> DataFrame:
@@ -337,6 +337,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     table gives no rows. Whole texts count; 64-bit hashes stand for shingles.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = cut(_prepare(docs, doc_id, text, words, per_cent), "shingles")
     real = base.filter(F.col("n_shingles").cast("boolean") & F.col("doc_id").isNotNull())
     classes = cut(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -384,7 +385,7 @@ def _bit_filter(ids: DataFrame) -> np.ndarray:
         used = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(packed[used])], names=["word", "bits"])
 
-    merged = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    merged = ids.mapInArrow(released(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, dtype="<i8")
     out[merged.column("word").to_numpy()] = merged.column("bits").to_numpy()
     return out.view(np.uint8)
@@ -417,7 +418,7 @@ def _join_clusters(docs, doc_id, text, words, per_cent, clusters, nodes, classes
 
     # The hashes are compared, too: another row may share the id but not the text.
     # The placed rows grow with the data, so they are never broadcast.
-    held = one.mapInArrow(sets, "least long, h1 long, h2 long, values binary").join(placed.hint("merge"), ["least", "h1", "h2"])
+    held = one.mapInArrow(released(sets), "least long, h1 long, h2 long, values binary").join(placed.hint("merge"), ["least", "h1", "h2"])
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda q: F.least(q, F.col("part")) * F.col("c") + F.greatest(q, F.col("part"))))
     dealt = held.select("component", pair.alias("pair"), "c", "part", "node", "copies", "values").repartition(partitions(spark), "component", "pair").sortWithinPartitions("component", "pair", "part", "node")
 
@@ -465,5 +466,5 @@ def _join_clusters(docs, doc_id, text, words, per_cent, clusters, nodes, classes
         if rows and (got := close()) is not None:
             yield batch_of([got])
 
-    result = cut(dealt.mapInArrow(join, "node long, linked long, root long"), "joined")
+    result = cut(dealt.mapInArrow(released(join), "node long, linked long, root long"), "joined")
     return result.groupBy("node").agg(F.sum("linked").alias("linked")), result.select(F.col("node").alias("u"), F.col("root").alias("v"))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from pandekt.llm.common import released, small_batches
 from pandekt.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -108,6 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     """
     if not 0 < max_span <= capacity:
         raise ValueError("max_span must lie between 1 and the capacity")
+    small_batches(docs.sparkSession)
     limit = block_windows * capacity
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     schema = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -156,4 +158,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         if held:
             yield close()
 
-    return src.mapInArrow(run, OUTPUT)
+    return src.mapInArrow(released(run), OUTPUT)

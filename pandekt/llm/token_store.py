@@ -24,7 +24,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pandekt.llm.common import AtomicFile, mix64, new_folder, open_shared, partitions, written
+from pandekt.llm.common import AtomicFile, mix64, new_folder, open_shared, partitions, released, small_batches, written
 from pandekt.llm.tokens import encoder
 
 MAGIC = b"PKTOK001"
@@ -100,6 +100,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, doc_id: str
     written as well: the files are made exactly once, by this call.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     width = id_width(tokenizer_path)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ranged = src.repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -133,7 +134,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, doc_id: str
             out.write(struct.pack(FOOTER, width, total, MAGIC))
             out.publish()
 
-    return written(ranged.mapInArrow(run, "doc_id long, nth long, shard long, start long, n_tokens long"), f"{folder}/entries")
+    return written(ranged.mapInArrow(released(run), "doc_id long, nth long, shard long, start long, n_tokens long"), f"{folder}/entries")
 
 
 def shard_uri(folder: str, shard: int) -> str:
@@ -229,7 +230,7 @@ def read_ids(places: DataFrame, folder: str, with_ids: bool = True) -> DataFrame
         if stream is not None:
             stream.close()
 
-    return ordered.mapInArrow(run, "doc_id long, nth long, shard long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return ordered.mapInArrow(released(run), "doc_id long, nth long, shard long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def document_keys(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:

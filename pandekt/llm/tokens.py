@@ -63,7 +63,7 @@ def _content(key: str) -> str:
 class PieceEncoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, max_entries: int = 500_000) -> None:
+    def __init__(self, path: str, max_entries: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

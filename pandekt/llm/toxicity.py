@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pandekt.llm.common import MARKS, bytes_of, mix64, row_slices, word_hashes
+from pandekt.llm.common import MARKS, bytes_of, mix64, released, row_slices, small_batches, word_hashes
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
@@ -25,6 +25,7 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 13
 #: Bound of the training sample: at most this many documents of each class.
 SAMPLE_PER_CLASS = 1500
 SLICE_BYTES = 2 << 20
+WORD_BLOCK = 1 << 14
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 
@@ -41,23 +42,28 @@ class Words:
         starts, ends = starts[first], ends[first]
         # Words with a mark on either side: bytes from one before to one after, the outer ones as spaces.
         length = ends - starts + 2
+        padded = np.where(MARKS[buf], 32, buf).astype(np.uint8)
+        parts = [self._grams(padded, starts[a:a + WORD_BLOCK], length[a:a + WORD_BLOCK], a) for a in range(0, len(first), WORD_BLOCK)]
+        self.gram, self.owner = (np.concatenate([p[k] for p in parts] or [np.zeros(0, dtype=np.int32)]) for k in (0, 1))
+        self.n_grams = np.bincount(self.owner, minlength=len(first))
+
+    @staticmethod
+    def _grams(padded: np.ndarray, starts: np.ndarray, length: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+        """(n-gram bucket, word) of a block of words, by word."""
         grams, owners = [], []
-        padded = np.where(MARKS[buf], 32, buf).astype(np.uint64)
         for n in (3, 4):
             many = np.maximum(length - n + 1, 0)
-            owner = np.repeat(np.arange(len(first)), many)
+            owner = np.repeat(np.arange(len(starts)), many)
             at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + starts[owner] - 1
             value = np.full(len(at), n, dtype=np.uint64)
             for k in range(n):
-                inside = np.clip(at + k, 0, max(len(buf) - 1, 0))
-                byte = np.where(at + k < 0, np.uint64(32), padded[inside]) if len(buf) else value
+                byte = np.where(at + k < 0, np.uint8(32), padded[np.maximum(at + k, 0)])
                 value = value * np.uint64(257) + byte
-            grams.append((mix64(value) % np.uint64(CHAR_BUCKETS)).astype(np.int64))
-            owners.append(owner)
+            grams.append((mix64(value) % np.uint64(CHAR_BUCKETS)).astype(np.int32))
+            owners.append(owner.astype(np.int32))
         gram, owner = np.concatenate(grams), np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        self.gram, self.owner = gram[order], owner[order]
-        self.n_grams = np.bincount(owner, minlength=len(first))
+        return gram[order], owner[order] + np.int32(offset)
 
     def chars(self, table: np.ndarray) -> np.ndarray:
         """Mean n-gram embedding of every distinct word (each has an n-gram)."""
@@ -211,12 +217,14 @@ class Adam:
 
 # Training.
 
-def _log_odds(owner_text: np.ndarray, item: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log odds of a document being toxic, given that it holds the item."""
-    pair = np.unique(owner_text * np.int64(size) + item)
-    text, thing = pair // size, pair % size
-    bad = np.bincount(thing, weights=label[text], minlength=size)
-    good = np.bincount(thing, weights=1 - label[text], minlength=size)
+def _log_odds(parts: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, size: int) -> np.ndarray:
+    """Smoothed log odds of a document being toxic, given that it holds the item, from (text, item) parts of whole texts."""
+    bad, good = np.zeros(size), np.zeros(size)
+    for owner, item in parts:
+        pair = np.unique(owner * np.int64(size) + item)
+        text, thing = pair // size, pair % size
+        bad += np.bincount(thing, weights=label[text], minlength=size)
+        good += np.bincount(thing, weights=1 - label[text], minlength=size)
     n_bad, n_good = max(label.sum(), 1), max((1 - label).sum(), 1)
     return (np.log((bad + 0.3) / (n_bad + 0.6)) - np.log((good + 0.3) / (n_good + 0.6))).astype(np.float32)
 
@@ -249,15 +257,26 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rounds: int =
         return m
     words = Words(texts)
     label = labels.astype(np.float64)
-    owner = np.repeat(np.arange(len(texts)), words.counts)
-    word_odds = _log_odds(owner, words.bucket[words.word], label, WORD_BUCKETS)
-    pair = np.unique(owner * np.int64(len(words.bucket)) + words.word)
-    text_of, word_of = pair // len(words.bucket), pair % len(words.bucket)
-    many = words.n_grams[word_of]
-    begin = (np.cumsum(words.n_grams) - words.n_grams)[word_of]
-    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
-    char_odds = _log_odds(np.repeat(text_of, many), words.gram[at], label, CHAR_BUCKETS)
-    m["word"][:, 0], m["char"][:, 0] = word_odds / 3, char_odds
+    first_word = np.r_[0, np.cumsum(words.counts)]
+    first_gram = np.cumsum(words.n_grams) - words.n_grams
+
+    def holds(kind: str):
+        """(text, item) of some texts at a time: an n-gram occurs in far more words than there are texts."""
+        for a in range(0, len(texts), 64):
+            b = min(a + 64, len(texts))
+            own = np.repeat(np.arange(a, b), words.counts[a:b])
+            word = words.word[first_word[a]:first_word[b]]
+            if kind == "word":
+                yield own, words.bucket[word]
+                continue
+            pair = np.unique(own * np.int64(max(1, len(words.bucket))) + word)
+            own, word = pair // max(1, len(words.bucket)), pair % max(1, len(words.bucket))
+            many = words.n_grams[word]
+            at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first_gram[word], many)
+            yield np.repeat(own, many), words.gram[at]
+
+    m["word"][:, 0] = _log_odds(holds("word"), label, WORD_BUCKETS) / 3
+    m["char"][:, 0] = _log_odds(holds("char"), label, CHAR_BUCKETS)
     rng = np.random.default_rng(seed)
     m["word"][:, 1:] = rng.standard_normal((WORD_BUCKETS, WORD_DIM - 1)) * 0.05
     m["char"][:, 1:] = rng.standard_normal((CHAR_BUCKETS, CHAR_DIM - 1)) * 0.05
@@ -325,6 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     out; an id with several labels counts as toxic if any says so.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.filter(~in_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
@@ -338,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         model = train([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64))
         yield pa.RecordBatch.from_pydict({"model": pa.array([dump(model)], pa.binary())})
 
-    got = sample.repartition(1).mapInArrow(learn, "model binary").collect()
+    got = sample.repartition(1).mapInArrow(released(learn), "model binary").collect()
     return bytes(got[0]["model"]) if got else dump(train([], np.zeros(0, dtype=np.int64)))
 
 
@@ -352,6 +372,7 @@ def score(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "te
     src = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c).alias(f"_c_{c}") for c in carry], F.col(text).alias("text"))
     names = ["doc_id", *[f"_c_{c}" for c in carry], "text"]
     schema = ", ".join(f"`{n}` {src.schema[n].dataType.simpleString()}" for n in names) + ", score double"
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,4 +384,4 @@ def score(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "te
             best = logit[highest(text_of, logit)]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(1 / (1 + np.exp(-best)))], names=[*names, "score"])
 
-    return src.mapInArrow(run, schema).select("doc_id", *[F.col(f"_c_{c}").alias(c) for c in carry], "text", "score")
+    return src.mapInArrow(released(run), schema).select("doc_id", *[F.col(f"_c_{c}").alias(c) for c in carry], "text", "score")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from pandekt.llm.common import AtomicFile, bytes_of, new_folder, open_shared, partitions, written
+from pandekt.llm.common import AtomicFile, bytes_of, new_folder, open_shared, partitions, released, small_batches, written
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -121,7 +121,7 @@ def split_records(parts: Iterator[bytes]) -> Iterator[tuple[bytes, Iterator[byte
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", archives: int | None = None,
-                   min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 1) -> DataFrame:
+                   min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> DataFrame:
     """Write pages as monolithic ``.warc.gz`` files; returns the written manifest (archive, n_records).
 
     Of pages with equal payloads of at least ``min_revisit_bytes`` bytes the one
@@ -132,6 +132,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     ignored. An empty table makes no archive.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     src = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     src = src.withColumn("sha", F.sha1("payload")).withColumn("key", F.concat_ws("#", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.col("sha")))
     # Narrow rows only: which digests repeat, and which pages are not the first of theirs.
@@ -158,7 +159,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             out.publish()
             yield pa.RecordBatch.from_pydict({"archive": pa.array([number], pa.int64()), "n_records": pa.array([n], pa.int64())})
 
-    return written(dealt.mapInArrow(run, "archive long, n_records long"), f"{folder}/manifest")
+    return written(dealt.mapInArrow(released(run), "archive long, n_records long"), f"{folder}/manifest")
 
 
 def archive_uri(folder: str, number: int) -> str:
@@ -210,7 +211,7 @@ def normalise(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=INDEX)
 
-    return written(dealt.mapInArrow(run, "archive long, offset long, length long, record_type string, record_id string, uri string"), f"{folder}/index")
+    return written(dealt.mapInArrow(released(run), "archive long, offset long, length long, record_type string, record_id string, uri string"), f"{folder}/index")
 
 
 INDEX = pa.schema([("archive", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string())])
@@ -261,7 +262,7 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
         if stream is not None:
             stream.close()
 
-    return dealt.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return dealt.mapInArrow(released(run), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, with_payload: bool = True, **columns) -> DataFrame:
