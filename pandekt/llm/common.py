@@ -103,9 +103,7 @@ def released(run):
             yield from run(batches)
         finally:
             import ctypes
-            import gc
 
-            gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim is not None:  # glibc only

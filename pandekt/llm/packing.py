@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pandekt.llm.common import released, small_batches
-from pandekt.llm.tokens import encoder
+from pandekt.llm.tokens import CACHE_ENTRIES, encoder
 
 CAPACITY = 2048
 MAX_SPAN = 384
@@ -98,7 +98,7 @@ OUTPUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 1,
                    capacity: int = CAPACITY, max_span: int = MAX_SPAN, block_windows: int = BLOCK_WINDOWS,
-                   with_ids: bool = True) -> DataFrame:
+                   with_ids: bool = True, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per span: where it lies in its document and in its window, and its ids.
 
     ``ids`` holds little-endian unsigned 32-bit ids (null with ``with_ids=False``).
@@ -106,6 +106,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     ids and repeated rows are packed row by row like any other. Other columns
     are ignored, whatever their names. An empty table gives no rows. A sequence
     number is the partition number (high bits) and a running number inside it.
+    ``cache_entries`` sizes the cache of encoded pieces in each worker.
     """
     if not 0 < max_span <= capacity:
         raise ValueError("max_span must lie between 1 and the capacity")
@@ -116,7 +117,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer_path)
+        code = encoder(tokenizer_path, cache_entries)
         base = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         tokens = 0

@@ -18,6 +18,8 @@ os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 CUT = re.compile(r"(?=[ \n]\S)")
 SEGMENT = 1 << 20
+#: Pieces a generation of the cache holds, about 0.2 kB each. Fewer save memory and cost encoding time.
+CACHE_ENTRIES = 500_000
 
 
 def default_path() -> str:
@@ -63,7 +65,7 @@ def _content(key: str) -> str:
 class PieceEncoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, max_entries: int = 200_000) -> None:
+    def __init__(self, path: str, max_entries: int = CACHE_ENTRIES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -117,11 +119,12 @@ class PieceEncoder:
         return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, cache_entries: int = CACHE_ENTRIES) -> PieceEncoder:
+    """One encoder per worker process, vocabulary and cache size."""
+    key = (path, cache_entries)
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(path, cache_entries)
+    return _encoders[key]
