@@ -18,6 +18,8 @@ from pandekt.llm import line_dedup, mixing, ngram_join, packing, toxicity
 from pandekt.llm.common import cut, table
 from pandekt.llm.tokens import default_path
 
+#: Cached pieces per worker: fewer than alone, for the workers of other stages hold memory, too.
+PIECES = 200_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -48,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of all documents in windows of 2,048 tokens."""
-    return packing.pack_documents(docs, default_path(), with_ids=False).drop("ids")
+    return packing.pack_documents(docs, default_path(), with_ids=False, cache_entries=PIECES).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
