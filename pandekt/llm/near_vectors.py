@@ -1,13 +1,16 @@
 """Near-duplicate vectors by neighbour-graph descent.
 
-Equal vectors are one node. Every node gets a list of its nearest known nodes
-of the same label: first from blocks of random projection trees, then by
-descent: in each round a node gathers its neighbours and reverse neighbours,
-compares them with each other, and the pairs that beat what their lists hold
-improve them. Nodes whose whole list lies above the threshold are saturated:
-their lists are enlarged to the whole component that the found links form, by
-comparing all its members block by block. An audit compares a fixed number of
-nodes with all vectors and asks for another forest and round where recall is low.
+Equal vectors are one node. Nodes of one label are compared in blocks of random
+projection trees, then by descent: in each round a node gathers its neighbours
+and reverse neighbours and compares them with each other. Every pair found at
+or above the threshold ties two components at once, in a link table of its own
+that no list trims; what a block ties is written as one row per component, so
+pairs are never emitted. A node keeps two lists: its nearest known nodes inside
+its component and the nearest outside. A saturated list is enlarged by that: its
+component counts as listed as a whole, and the list outside looks past it. Rounds
+go on until no component grows. Links are then counted over all pairs of
+members of a component, block by block. An audit compares a fixed number of
+nodes with all vectors and asks for another forest and rounds where recall is low.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pandekt.llm.common import cut, partitions
-from pandekt.llm.components import components, union_roots
+from pandekt.llm.components import components
 from pandekt.llm.vectors import clean_zero, distinct_vectors, exact_cosine, matrix, unit_rows, usable
 
 THRESHOLD = 0.98
@@ -37,21 +40,55 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return unit_rows(a) @ unit_rows(b).T
 
 
-def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """(row, column, similarity) of the k best columns of every row, itself left out."""
-    n = len(ids)
-    np.fill_diagonal(sims, -2.0)
-    k = min(k, n - 1)
-    best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    rows = np.repeat(np.arange(n), k)
-    return rows, best.ravel(), sims[rows, best.ravel()]
-
-
-PAIRS = "label long, u long, v long, sim double"
-
-
-def _forest(nodes: DataFrame, first_tree: int, trees: int, k: int) -> DataFrame:
-    """Neighbours inside leaves of random projection trees.
+def _linked(a: np.ndarray, b: np.ndarray, s: np.ndarray, threshold: float) -> np.ndarray:
+    """Which cosines ``s`` of the rows of a and b reach the threshold; those near it are compared again exactly."""
+    linked = s >= threshold
+    r, c = np.nonzero(np.abs(s - threshold) < SLACK)
+    linked[r, c] = exact_cosine(a[r], b[c]) >= threshold
+    return linked
+
+
+def _smallest(tied: np.ndarray) -> np.ndarray:
+    """Smallest row reachable from every row of a symmetric matrix of ties."""
+    n = len(tied)
+    tied = tied | np.eye(n, dtype=bool)
+    root = np.arange(n)
+    while True:
+        low = np.where(tied, root, n).min(axis=1)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+#: Rows with ``tie`` name two components that are one; the others are list entries.
+PAIRS = "label long, u long, v long, sim double, tie boolean"
+
+
+def _compared(label: int, node: np.ndarray, comp: np.ndarray, x: np.ndarray, floors: tuple[np.ndarray, np.ndarray], k: int, threshold: float) -> pa.RecordBatch:
+    """All pairs of a block: its ties, and of every node the k best inside and outside its component above their floors."""
+    s = _cosines(x, x)
+    roots = _smallest(_linked(x, x, s, threshold) | (comp[:, None] == comp))
+    u, v = comp, comp[roots]
+    ties = np.unique(np.stack([u, v], axis=1)[u != v], axis=0)
+    out = [(ties[:, 0], ties[:, 1], np.ones(len(ties)))]
+    inside = roots[:, None] == roots
+    np.fill_diagonal(s, -3.0)
+    top = min(k, len(node) - 1)
+    for pick, floor in ((inside, floors[0]), (~inside, floors[1])):
+        sims = np.where(pick & (s > floor[:, None]), s, -3.0)
+        best = np.argpartition(-sims, top - 1, axis=1)[:, :top]
+        rows, cols = np.repeat(np.arange(len(node)), top), best.ravel()
+        keep = sims[rows, cols] > -2.5
+        rows, cols = rows[keep], cols[keep]
+        out.append((node[rows], node[cols], s[rows, cols]))
+    sizes = [len(o[0]) for o in out]
+    u, v, sim = (np.concatenate([o[i] for o in out]) for i in range(3))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), label, dtype=np.int64)), pa.array(u), pa.array(v), pa.array(sim), pa.array(np.arange(len(u)) < sizes[0])], names=["label", "u", "v", "sim", "tie"])
+
+
+def _forest(nodes: DataFrame, first_tree: int, trees: int, k: int, threshold: float) -> DataFrame:
+    """Ties and neighbours inside leaves of random projection trees.
 
     A node's leaf is given by the signs of as many random projections as its
     label needs for leaves of about LEAF rows. Leaves are read in order of one
@@ -75,35 +112,34 @@ def _forest(nodes: DataFrame, first_tree: int, trees: int, k: int) -> DataFrame:
                 mask = (np.int64(1) << depths.astype(np.int64)) - 1
                 leaf = bits.sum(axis=1) & mask
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("label"), pa.array([tree] * batch.num_rows, pa.int32()), pa.array(leaf.astype(np.int64)), pa.array(y[:, 0]), batch.column("node"), batch.column("vec")],
-                    names=["label", "tree", "leaf", "at", "node", "vec"])
+                    [batch.column("label"), pa.array([tree] * batch.num_rows, pa.int32()), pa.array(leaf.astype(np.int64)), pa.array(y[:, 0]), batch.column("node"), batch.column("comp"), batch.column("vec")],
+                    names=["label", "tree", "leaf", "at", "node", "comp", "vec"])
 
-    planted = planned.select("label", "depth", "node", "vec").mapInArrow(plant, "label long, tree int, leaf long, at double, node long, vec array<double>")
+    planted = planned.select("label", "depth", "node", "comp", "vec").mapInArrow(plant, "label long, tree int, leaf long, at double, node long, comp long, vec array<double>")
     # Ranges, not hashes: a full leaf is spread over tasks.
     ordered = planted.repartitionByRange(partitions(spark), "label", "tree", "leaf", "at", "node").sortWithinPartitions("label", "tree", "leaf", "at", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vecs = None, [], []
+        key, ids, comps, vecs = None, [], [], []
 
         def close():
             if len(ids) < 2:
                 return None
-            x = np.concatenate(vecs)
-            node = np.array(ids, dtype=np.int64)
-            r, c, s = _top(node, _cosines(x, x), k)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(r), pa.int64()), pa.array(node[r]), pa.array(node[c]), pa.array(s)], names=["label", "u", "v", "sim"])
+            free = np.full(len(ids), -2.0)
+            return _compared(key[0], np.array(ids, dtype=np.int64), np.array(comps, dtype=np.int64), np.concatenate(vecs), (free, free), k, threshold)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("vec"))
-            cols = [batch.column(c).to_pylist() for c in ("label", "tree", "leaf", "node")]
-            for i, (label, tree, leaf, node) in enumerate(zip(*cols, strict=True)):
+            cols = [batch.column(c).to_pylist() for c in ("label", "tree", "leaf", "node", "comp")]
+            for i, (label, tree, leaf, node, comp) in enumerate(zip(*cols, strict=True)):
                 if (label, tree, leaf) != key or len(ids) >= BLOCK:
                     if (out := close()) is not None:
                         yield out
-                    key, ids, vecs = (label, tree, leaf), [], []
+                    key, ids, comps, vecs = (label, tree, leaf), [], [], []
                 ids.append(node)
+                comps.append(comp)
                 vecs.append(x[i:i + 1])
         if key is not None and (out := close()) is not None:
             yield out
@@ -111,24 +147,34 @@ def _forest(nodes: DataFrame, first_tree: int, trees: int, k: int) -> DataFrame:
     return ordered.mapInArrow(compare, PAIRS)
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best distinct neighbours of every node."""
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best neighbours of every node inside its component, and as many outside."""
+    w = Window.partitionBy("u", "inside").orderBy(F.desc("sim"), "v")
+    return pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _best(pairs: DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """Lists of distinct neighbours by the components of ``placed``."""
     one = pairs.groupBy("label", "u", "v").agg(F.max("sim").alias("sim"))
-    w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return one.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    comp = lambda n: placed.select(F.col("node").alias(n), F.col("comp").alias(f"{n}_comp"))
+    told = one.join(comp("u"), "u").join(comp("v"), "v")
+    return _nearest(told.select("label", "u", "v", "sim", (F.col("u_comp") == F.col("v_comp")).alias("inside")), k)
 
 
-def _descend(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _descend(lists: DataFrame, placed: DataFrame, k: int, threshold: float) -> DataFrame:
     """One round: neighbours and reverse neighbours of a node are compared with each other.
 
-    Of the reverse neighbours the k nearest take part, as many as a list holds:
-    those of a crowded node meet again in the block comparison of its component.
+    Of the reverse neighbours the k nearest inside and outside take part, as many
+    as the lists hold: those of a crowded node meet again in the block comparison
+    of its component.
     """
     spark = lists.sparkSession
-    floor = lists.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("floor"))
-    back = _best(lists.select("label", F.col("v").alias("u"), F.col("u").alias("v"), "sim"), k)
+    floor = lambda side: F.when(F.count_if(side) >= k, F.min(F.when(side, F.col("sim")))).otherwise(F.lit(-2.0))
+    floors = lists.groupBy(F.col("u").alias("node")).agg(floor(F.col("inside")).alias("floor_in"), floor(~F.col("inside")).alias("floor_out"))
+    back = _nearest(lists.select("label", F.col("v").alias("u"), F.col("u").alias("v"), "sim", "inside"), k)
     around = lists.select("label", "u", "v").union(back.select("label", "u", "v")).distinct()
-    carried = nodes.select(F.col("node").alias("v"), "vec").join(floor.withColumnRenamed("u", "v"), "v", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    carried = placed.select("node", "comp", "vec").join(floors, "node", "left").select(
+        F.col("node").alias("v"), "comp", "vec", F.coalesce("floor_in", F.lit(-2.0)).alias("floor_in"), F.coalesce("floor_out", F.lit(-2.0)).alias("floor_out"))
     gathered = around.join(carried, "v").repartition(partitions(spark), "u").sortWithinPartitions("u", "v")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,29 +183,46 @@ def _descend(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         def close():
             if len(held) < 2:
                 return None
-            node = np.array([h[0] for h in held], dtype=np.int64)
-            floor_of = np.array([h[1] for h in held])
-            x = np.concatenate([h[2] for h in held])
-            s = _cosines(x, x)
-            np.fill_diagonal(s, -3.0)
-            r, c = np.nonzero(s > floor_of[:, None])
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(r), pa.int64()), pa.array(node[r]), pa.array(node[c]), pa.array(s[r, c])], names=["label", "u", "v", "sim"])
+            node, comp = (np.array([h[i] for h in held], dtype=np.int64) for i in (0, 1))
+            floors = tuple(np.array([h[i] for h in held]) for i in (2, 3))
+            return _compared(key[0], node, comp, np.concatenate([h[4] for h in held]), floors, k, threshold)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("vec"))
-            for i, (label, u, v, f) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("label", "u", "v", "floor")), strict=True)):
+            for i, (label, u, *v) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("label", "u", "v", "comp", "floor_in", "floor_out")), strict=True)):
                 if (label, u) != key:
                     if (out := close()) is not None:
                         yield out
                     key, held = (label, u), []
-                held.append((v, f, x[i:i + 1]))
+                held.append((*v, x[i:i + 1]))
         if (out := close()) is not None:
             yield out
 
-    better = gathered.select("label", "u", "v", "floor", "vec").mapInArrow(meet, PAIRS)
-    return _best(lists.select("label", "u", "v", "sim").union(better), k)
+    return gathered.select("label", "u", "v", "comp", "floor_in", "floor_out", "vec").mapInArrow(meet, PAIRS)
+
+
+def _placed(nodes: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Nodes with the component they are in: itself where nothing is tied to them."""
+    if parts is None:
+        return nodes.withColumn("comp", F.col("node"))
+    return nodes.join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+
+def _pairs(known: DataFrame | None, found: DataFrame) -> DataFrame:
+    fresh = found.filter("NOT tie").select("label", "u", "v", "sim")
+    return fresh if known is None else known.union(fresh)
+
+
+def _grown(parts: DataFrame | None, found: DataFrame) -> tuple[DataFrame, bool]:
+    """(components with the ties of ``found``, whether there were any)."""
+    ties = found.filter("tie").select("u", "v").distinct()
+    grows = bool(ties.take(1))
+    if parts is not None and not grows:
+        return parts, False
+    links = ties if parts is None else ties.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return cut(components(links), "parts"), grows
 
 
 def _blocks(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
@@ -181,10 +244,7 @@ def _blocks(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
             if not left or not right:
                 return None
             a, b = (np.concatenate([h[4] for h in s]) for s in (left, right))
-            s = _cosines(a, b)
-            linked = s >= threshold
-            r, c = np.nonzero(np.abs(s - threshold) < SLACK)
-            linked[r, c] = exact_cosine(a[r], b[c]) >= threshold
+            linked = _linked(a, b, _cosines(a, b), threshold)
             if i == j:
                 np.fill_diagonal(linked, False)
             wa, wb = (np.array([h[3] for h in s], dtype=np.int64) for s in (left, right))
@@ -209,22 +269,6 @@ def _blocks(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def _links(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """List entries at or above the threshold; those near it are compared again exactly."""
-    near = lists.filter(F.col("sim") >= threshold - SLACK)
-    a, b = nodes.select(F.col("node").alias("u"), F.col("vec").alias("x")), nodes.select(F.col("node").alias("v"), F.col("vec").alias("y"))
-    doubtful = near.filter(F.abs(F.col("sim") - threshold) < SLACK).join(a, "u").join(b, "v")
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keep = exact_cosine(matrix(batch.column("x")), matrix(batch.column("y"))) >= threshold
-                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
-
-    sure = near.filter(F.col("sim") >= threshold + SLACK).select("u", "v")
-    return sure.union(doubtful.select("u", "v", "x", "y").mapInArrow(again, "u long, v long"))
-
-
 def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int = AUDIT) -> tuple[int, int]:
     """(links found, links there are) of ``size`` nodes chosen by a hash of their id, against all vectors."""
     chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(size).select("label", "node", "vec").toArrow()
@@ -264,14 +308,21 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     ok = usable(F.col("vec")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     clean = src.filter(ok).select("vec_id", "label", clean_zero(F.col("vec")).alias("vec"))
     nodes = cut(distinct_vectors(clean), "nodes")
-    pairs = None
+    known = parts = None
     for forest in range(max_forests):
-        fresh = _forest(nodes, forest * trees, trees, list_size)
-        lists = cut(_best(fresh if pairs is None else pairs.union(fresh), list_size), "lists")
-        for _ in range(rounds):
-            lists = cut(_descend(lists, nodes, list_size), "lists")
-        pairs = lists.select("label", "u", "v", "sim")
-        parts = cut(components(_links(lists, nodes, threshold)), "parts")
+        found = cut(_forest(_placed(nodes, parts), forest * trees, trees, list_size, threshold), "found")
+        parts, _ = _grown(parts, found)
+        done, grows = 0, True
+        # A list is saturated as long as something found beyond it joins its component.
+        while done < rounds or grows:
+            known = _pairs(known, found)
+            placed = cut(_placed(nodes, parts), "placed")
+            lists = cut(_best(known, placed, list_size), "lists")
+            known = lists.select("label", "u", "v", "sim")
+            found = cut(_descend(lists, placed, list_size, threshold), "found")
+            parts, grows = _grown(parts, found)
+            done += 1
+        known = _pairs(known, found)
         counted = cut(_blocks(nodes, parts, threshold), "counted")
         found, there = audit(nodes, counted, threshold)
         if found >= recall * there:

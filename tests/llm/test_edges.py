@@ -357,6 +357,28 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def beside(rng, centre, cos, spread, n):
+    """n distinct vectors around one at that cosine to ``centre``."""
+    side = rng.standard_normal(len(centre))
+    side -= side @ centre * centre
+    middle = cos * centre + np.sqrt(1 - cos * cos) * side / np.linalg.norm(side)
+    return [(middle + spread * rng.standard_normal(len(centre))).tolist() for _ in range(n)]
+
+
+def test_near_vectors_saturated(spark):
+    """Groups larger than a list, linked with each other: every list fills up inside its own group."""
+    rng = np.random.default_rng(9)
+    centre = np.eye(16)[0]
+    vecs = [v for _ in range(4) for v in beside(rng, centre, 0.9935, 0.002, 12)] + [v for cos in (1.0, 0.984) for v in beside(rng, np.eye(16)[1], cos, 0.001, 30)]
+    cos = [[cosine(a, b) for b in vecs] for a in vecs]
+    assert min(cos[i][j] for i in range(48, 78) for j in range(48, 78)) > 0.999 and min(cos[i][j] for i in range(48, 78) for j in range(78, 108)) > 0.98
+    pairs = [(i, j) for i in range(len(vecs)) for j in range(i) if cos[i][j] >= 0.98]
+    root, degree = brute.roots(len(vecs), pairs), np.bincount(np.array(pairs).ravel(), minlength=len(vecs))
+    df = spark.createDataFrame([(i, v, 3) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(df).collect()}
+    assert got == {i: (degree[i], root[i]) for i in range(len(vecs))}
+
+
 def test_nearest(spark):
     rows = vectors()
     df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
