@@ -10,7 +10,9 @@ its component and the nearest outside. A saturated list is enlarged by that: its
 component counts as listed as a whole, and the list outside looks past it. Rounds
 go on until no component grows. Links are then counted over all pairs of
 members of a component, block by block. An audit compares a fixed number of
-nodes with all vectors and asks for another forest and rounds where recall is low.
+nodes of every size of component with all vectors and judges, for every number
+of links, the share of nodes whose links are complete. Another forest and
+rounds follow until each share is reached; if none helps, the operator raises.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ LEAF = 48
 BLOCK = 512
 AUDIT = 256
 RECALL = 0.95
+#: Share of pairs at the threshold that all trees together may part before the descent.
+MISS = 1e-3
+AUDIT_ROWS = 1024
+#: Nodes without a component, where lost pairs hide, are compared in so many times the number.
+ALONE = 8
 #: Distance to the threshold within which the fast comparison is repeated in the exact order of the definition.
 SLACK = 1e-4
 
@@ -87,6 +94,18 @@ def _compared(label: int, node: np.ndarray, comp: np.ndarray, x: np.ndarray, flo
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), label, dtype=np.int64)), pa.array(u), pa.array(v), pa.array(sim), pa.array(np.arange(len(u)) < sizes[0])], names=["label", "u", "v", "sim", "tie"])
 
 
+def _trees(depth: int, threshold: float, least: int = TREES) -> int:
+    """Trees of that depth that together part at most MISS of the pairs at the threshold: a plane parts arccos(threshold) / pi of them."""
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** depth
+    return least if together >= 1 else max(least, int(np.ceil(np.log(MISS) / np.log1p(-together))))
+
+
+def _depths(nodes: DataFrame) -> DataFrame:
+    """(label, depth): planes that a label needs for leaves of about LEAF rows."""
+    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("label", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF))).cast("int").alias("depth"))
+
+
 def _forest(nodes: DataFrame, first_tree: int, trees: int, k: int, threshold: float) -> DataFrame:
     """Ties and neighbours inside leaves of random projection trees.
 
@@ -95,9 +114,7 @@ def _forest(nodes: DataFrame, first_tree: int, trees: int, k: int, threshold: fl
     more projection and cut to blocks of BLOCK rows.
     """
     spark = nodes.sparkSession
-    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF))).cast("int")
-    planned = nodes.join(sizes.select("label", depth.alias("depth")), "label")
+    planned = nodes.join(_depths(nodes), "label")
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,26 +286,50 @@ def _blocks(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(count, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int = AUDIT) -> tuple[int, int]:
-    """(links found, links there are) of ``size`` nodes chosen by a hash of their id, against all vectors."""
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(size).select("label", "node", "vec").toArrow()
+def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int = AUDIT) -> list[tuple[int, int, float]]:
+    """(links of a node at least, nodes compared, share of them whose links are complete), by powers of two of the links there are.
+
+    Up to ``size`` nodes of every size of component (powers of two), and ALONE
+    times as many without one, chosen by a hash of their id, are compared with all
+    vectors. A node counts for as many as it was chosen from; nodes without a link
+    to another vector don't count. So neither large groups nor many copies outweigh small ones.
+    ``counted`` has node, component and linked.
+    """
+    sizes = counted.groupBy("component").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("stratum"))
+    own = nodes.join(counted.join(sizes, "component").select("node", "linked", "stratum"), "node", "left").select(
+        "label", "node", "vec", F.coalesce("linked", F.lit(0).cast("long")).alias("linked"), F.coalesce("stratum", F.lit(-1)).alias("stratum"))
+    w = Window.partitionBy("stratum").orderBy(F.xxhash64("node"), "node")
+    chosen = own.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= ALONE * size) & ((F.col("_r") <= size) | (F.col("stratum") < 0))).drop("_r").toArrow().combine_chunks()
     if not chosen.num_rows:
-        return 0, 0
-    ids, labels, x = chosen.column("node").to_numpy(), chosen.column("label").to_numpy(), unit_rows(matrix(chosen.column("vec").combine_chunks()))
+        return []
+    rows_of = dict(own.groupBy("stratum").count().collect())
+    ids, labels, strata, linked = (chosen.column(c).to_numpy() for c in ("node", "label", "stratum", "linked"))
+    x = matrix(chosen.column("vec").combine_chunks())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ids), dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                s = unit_rows(matrix(batch.column("vec"))) @ x.T >= threshold
-                s &= batch.column("label").to_numpy()[:, None] == labels
-                s &= batch.column("node").to_numpy()[:, None] != ids
-                total += batch.column("copies").to_numpy() @ s
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "there"])
-
-    there = nodes.select("label", "node", "copies", "vec").mapInArrow(count, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
-    row = there.join(counted, "node", "left").agg(F.sum(F.least(F.coalesce("linked", F.lit(0)), F.col("there"))), F.sum("there")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+        total, nodes_of = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, AUDIT_ROWS):
+                batch = whole.slice(at, AUDIT_ROWS)
+                v, node, label, copies = matrix(batch.column("vec")), *(batch.column(c).to_numpy() for c in ("node", "label", "copies"))
+                for one in np.unique(label).tolist():
+                    mine, theirs = np.flatnonzero(labels == one), np.flatnonzero(label == one)
+                    if len(mine):
+                        s = _linked(v[theirs], x[mine], _cosines(v[theirs], x[mine]), threshold) & (node[theirs][:, None] != ids[mine])
+                        total[mine] += copies[theirs] @ s
+                        nodes_of[mine] += s.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total), pa.array(nodes_of)], names=["node", "there", "others"])
+
+    there = nodes.select("label", "node", "copies", "vec").mapInArrow(count, "node long, there long, others long").groupBy("node").agg(F.sum("there"), F.sum("others"))
+    truth = {r[0]: (r[1], r[2]) for r in there.collect()}
+    links, others = (np.array([truth[i][k] for i in ids.tolist()], dtype=np.int64) for k in (0, 1))
+    weight = np.array([rows_of[k] / (strata == k).sum() for k in strata.tolist()])
+    bucket = np.floor(np.log2(np.maximum(others, 1))).astype(np.int64)
+    out = []
+    for b in np.unique(bucket[others > 0]).tolist():
+        mine = (bucket == b) & (others > 0)
+        out.append((1 << b, int(mine.sum()), float(weight[mine & (linked == links)].sum() / weight[mine].sum())))
+    return out
 
 
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
@@ -301,13 +342,16 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     Equal vectors of one label are linked copies. Vectors of different length in one
     label aren't compared by this operator and raise. Rows that repeat an id
     count as vectors of their own. Other columns are ignored. An empty table
-    gives no rows.
+    gives no rows. ``trees`` is the least number of trees of a forest, more follow
+    from the depth they need. Raises when the audit finds a share of nodes with
+    complete links below ``recall`` after ``max_forests`` forests.
     """
     spark = rows.sparkSession
     src = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).alias("vec"))
     ok = usable(F.col("vec")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     clean = src.filter(ok).select("vec_id", "label", clean_zero(F.col("vec")).alias("vec"))
     nodes = cut(distinct_vectors(clean), "nodes")
+    trees = _trees(_depths(nodes).agg(F.max("depth")).first()[0] or 0, threshold, trees)
     known = parts = None
     for forest in range(max_forests):
         found = cut(_forest(_placed(nodes, parts), forest * trees, trees, list_size, threshold), "found")
@@ -324,9 +368,11 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
             done += 1
         known = _pairs(known, found)
         counted = cut(_blocks(nodes, parts, threshold), "counted")
-        found, there = audit(nodes, counted, threshold)
-        if found >= recall * there:
+        shares = audit(nodes, counted.join(parts, "node"), threshold)
+        if all(share >= recall for *_, share in shares):
             break
+    else:
+        raise RuntimeError(f"recall of {recall} not reached after {max_forests} forests of {trees} trees; (links from, nodes compared, share complete): {shares}")
     placed = nodes.select("node", "label", "vec", "least", "copies").join(parts, "node", "left").join(counted, "node", "left").select(
         "label", "vec", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))

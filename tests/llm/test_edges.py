@@ -379,6 +379,25 @@ def test_near_vectors_saturated(spark):
     assert got == {i: (degree[i], root[i]) for i in range(len(vecs))}
 
 
+def test_near_vectors_audit(spark):
+    """A large group that is complete doesn't outweigh lost pairs, a recall out of reach isn't passed over, deeper trees are more."""
+    rng = np.random.default_rng(2)
+    hot = [(i, v, 1) for i, v in enumerate(beside(rng, np.eye(64)[0], 1.0, 0.001, 150))]
+    pairs = [(150 + 2 * i + j, v, 1) for i in range(30) for j, v in enumerate(beside(rng, np.eye(64)[1 + i], 1.0, 0.001, 2))]
+    nodes = spark.createDataFrame([(i, v, lab, 1) for i, v, lab in hot + pairs], "node long, vec array<double>, label long, copies long")
+    counted = lambda rest: spark.createDataFrame([(i, 0, 149) for i in range(150)] + rest, "node long, component long, linked long")
+    lost = near_vectors.audit(nodes, counted([]), 0.98)
+    assert {(b, share) for b, _, share in lost} == {(1, 0.0), (128, 1.0)}
+    half = near_vectors.audit(nodes, counted([(i, i - i % 2, 1) for i in range(150, 180)]), 0.98)
+    assert {(b, share) for b, _, share in half} == {(1, 0.5), (128, 1.0)}
+    df = spark.createDataFrame(hot + pairs, "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="recall"):
+        near_vectors.near_vectors(df, recall=1.01, max_forests=1, rounds=1)
+    assert near_vectors._trees(0, 0.98) == near_vectors._trees(5, 0.98) == 8
+    for depth in (14, 20):
+        assert (1 - 0.93623 ** depth) ** near_vectors._trees(depth, 0.98) <= 0.00101
+
+
 def test_nearest(spark):
     rows = vectors()
     df = clashing(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
