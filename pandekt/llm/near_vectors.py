@@ -18,6 +18,8 @@ rounds follow until each share is reached; if none helps, the operator raises.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -297,12 +299,16 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float, size: int = AU
     """
     sizes = counted.groupBy("component").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("stratum"))
     own = nodes.join(counted.join(sizes, "component").select("node", "linked", "stratum"), "node", "left").select(
-        "label", "node", "vec", F.coalesce("linked", F.lit(0).cast("long")).alias("linked"), F.coalesce("stratum", F.lit(-1)).alias("stratum"))
+        "node", F.coalesce("linked", F.lit(0).cast("long")).alias("linked"), F.coalesce("stratum", F.lit(-1)).alias("stratum"))
+    rows_of = dict(own.groupBy("stratum").count().collect())
+    # Hashes drop most of a large stratum where it lies: the ranking reads a few times what it chooses, at any size.
+    want = F.when(F.col("stratum") < 0, ALONE * size).otherwise(size)
+    drawn = [(F.col("stratum") == k) & (F.pmod(F.xxhash64("node", F.lit(9)), F.lit(n)) < 2 * size * (ALONE if k < 0 else 1) + 100) for k, n in rows_of.items()]
     w = Window.partitionBy("stratum").orderBy(F.xxhash64("node"), "node")
-    chosen = own.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= ALONE * size) & ((F.col("_r") <= size) | (F.col("stratum") < 0))).drop("_r").toArrow().combine_chunks()
+    few = own.filter(reduce(or_, drawn, F.lit(False))).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= want).drop("_r")
+    chosen = few.join(nodes.select("node", "label", "vec"), "node").toArrow().combine_chunks()
     if not chosen.num_rows:
         return []
-    rows_of = dict(own.groupBy("stratum").count().collect())
     ids, labels, strata, linked = (chosen.column(c).to_numpy() for c in ("node", "label", "stratum", "linked"))
     x = matrix(chosen.column("vec").combine_chunks())
 
