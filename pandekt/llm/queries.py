@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pandekt.llm import ann, chat, line_dedup, mixing, near_vectors, ngram_join, packing, token_store, toxicity, warc
+from pandekt.llm import ann, chat, divergence, line_dedup, mixing, near_vectors, ngram_join, packing, token_store, toxicity, treap, warc
 from pandekt.llm.common import spread_rows, table
 from pandekt.llm.tokens import default_path
 
@@ -63,6 +63,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(probe), default_path()), default_path())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(spread_rows(table(spark, sf_dir, "documents"), "doc_id"))
+
+
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = treap.build_index(spread_rows(table(spark, sf_dir, "documents"), "doc_id"))
+    return treap.search(index, table(spark, sf_dir, "benchmark"))
+
+
 SHA256_OF_KEPT = """
 WITH doc AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 line AS (SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line FROM doc),
@@ -140,8 +149,38 @@ placed AS (SELECT *, ('0x' || substr(hash, 1, 15))::BIGINT % blocks AS block FRO
 summed AS (SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY block, hash, doc_id ROWS UNBOUNDED PRECEDING) - tokens AS start FROM placed)
 SELECT source, epoch::BIGINT AS epoch, block::BIGINT AS block, doc_id, tokens, start::BIGINT AS start FROM summed WHERE epoch < epochs OR start + tokens <= rest"""
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT id, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM o GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS all_n FROM kept GROUP BY lang),
+gs AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS group_n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT gs.lang, gs.source, kept.term, coalesce(c.n, 0) AS n, total, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (group_n + 5 * v) AS p, 1 + 1000000000::HUGEINT * (total + 5) // (all_n + 5 * v) AS q
+  FROM gs JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN c ON c.lang = gs.lang AND c.source = gs.source AND c.term = kept.term),
+dist AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN dist ON dist.lang = a.lang AND dist.source = a.source AND dist.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+TREAP_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+size AS (SELECT count(*) FILTER (len(ws) > 0)::BIGINT AS nd, sum(len(ws))::BIGINT AS l FROM t),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+o AS (SELECT id, doc_id, len(ws)::BIGINT AS n, unnest(ws) AS term FROM t),
+tf AS (SELECT id, doc_id, n, term, count(*)::BIGINT AS tf FROM o WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY term, nd),
+s AS (SELECT item_id, id, doc_id, sum(w * (1000000000 * tf // (1000 * tf + 8 * (100 - 90 + 90 * n * nd // l))))::BIGINT AS score FROM q JOIN tf USING (term) JOIN w USING (term), size GROUP BY ALL),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_graph_search, op3_token_store, op4_warc_normalise, op5_ngram_join, op6_temperature_mix, op7_toxicity, op8_pack_differencing, op9_neighbour_descent, op10_chat_format)
+    f.__name__: f for f in (op1_line_dedup, op2_graph_search, op3_token_store, op4_warc_normalise, op5_ngram_join, op6_temperature_mix, op7_toxicity, op8_pack_differencing, op9_neighbour_descent, op10_chat_format,
+                            op11_source_divergence, op13_treap_search)
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": SHA256_OF_KEPT,
@@ -149,5 +188,7 @@ ORACLES: dict[str, str] = {
     "op5_ngram_join": NGRAM_SQL,
     "op9_neighbour_descent": NEAR_SQL,
     "op6_temperature_mix": MIX_SQL,
+    "op11_source_divergence": DIVERGENCE_SQL,
+    "op13_treap_search": TREAP_SQL,
     "op10_chat_format": CHAT_SQL.format(escaped_role=_escaped("role"), escaped_text=_escaped("text")),
 }
