@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pandekt.llm import ann, chat, divergence, line_dedup, mixing, near_vectors, ngram_join, packing, token_store, toxicity, treap, warc
+from pandekt.llm import ann, chat, divergence, line_dedup, mixing, near_vectors, ngram_join, packing, substrings, token_store, toxicity, treap, warc
 from pandekt.llm.common import spread_rows, table
 from pandekt.llm.tokens import default_path
 
@@ -67,6 +67,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(spread_rows(table(spark, sf_dir, "documents"), "doc_id"))
 
 
+def op12_lempel_ziv_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(spread_rows(table(spark, sf_dir, "documents"), "doc_id"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = treap.build_index(spread_rows(table(spark, sf_dir, "documents"), "doc_id"))
     return treap.search(index, table(spark, sf_dir, "benchmark"))
@@ -167,6 +172,15 @@ term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS v
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
 SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
 
+SPANS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i AS s, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+later AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM w) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS j FROM later),
+word AS (SELECT doc_id, generate_subscripts(ws, 1) AS j, unnest(ws) AS x FROM d),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY j) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY ALL)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
 TREAP_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
 size AS (SELECT count(*) FILTER (len(ws) > 0)::BIGINT AS nd, sum(len(ws))::BIGINT AS l FROM t),
@@ -180,7 +194,7 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_graph_search, op3_token_store, op4_warc_normalise, op5_ngram_join, op6_temperature_mix, op7_toxicity, op8_pack_differencing, op9_neighbour_descent, op10_chat_format,
-                            op11_source_divergence, op13_treap_search)
+                            op11_source_divergence, op12_lempel_ziv_spans, op13_treap_search)
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": SHA256_OF_KEPT,
@@ -189,6 +203,7 @@ ORACLES: dict[str, str] = {
     "op9_neighbour_descent": NEAR_SQL,
     "op6_temperature_mix": MIX_SQL,
     "op11_source_divergence": DIVERGENCE_SQL,
+    "op12_lempel_ziv_spans": SPANS_SQL,
     "op13_treap_search": TREAP_SQL,
     "op10_chat_format": CHAT_SQL.format(escaped_role=_escaped("role"), escaped_text=_escaped("text")),
 }
