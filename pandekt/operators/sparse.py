@@ -1,4 +1,4 @@
-"""BM25 index and search as joins over a postings table."""
+"""BM25 index and search: in place for few questions, over blocked postings otherwise."""
 
 from __future__ import annotations
 
@@ -14,8 +14,9 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from pandekt.functions.text import WORD_RE, words
 from pandekt.operators.dense import BLOCK_ROWS, merge_topk, select_topk
 from pandekt.operators.ordered import top_k
+from pandekt.operators.postings import B, K1, idf, posting_blocks, saturation, search_blocks
+from pandekt.session import cut_lineage
 
-K1, B = 1.2, 0.75
 MAX_BLOCK_TERMS = 1_000_000
 MAX_PAIRS = 4_000_000
 
@@ -63,12 +64,6 @@ def query_terms(queries: DataFrame, qid: str = "qid", text: str = "text", carry:
     return queries.select(F.col(qid).alias("qid"), *carry, F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
 
 
-def bm25_weight(tf: Column, dl: Column, df: Column, n_docs: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
-    """Okapi weight with the non-negative inverse document frequency."""
-    idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-    return idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / avgdl))
-
-
 def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", qtext: str = "text",
                 chunk_id: str = "chunk_id", text: str = "text", filter_doc: str | None = None,
                 doc_urn: str = "doc_urn", postings: DataFrame | None = None, stats: DataFrame | None = None,
@@ -78,10 +73,11 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
     Up to ``block_rows`` questions with at most ``MAX_BLOCK_TERMS`` words
     (checked by a limited collect) travel with the tasks: every chunk is scored
     where it is read and only the k best per question and task are shuffled.
-    More questions, or a stored index (``postings``, ``stats`` and
-    ``frequencies``), use joins: only postings of the asked words are shuffled.
+    More questions, or a stored index (``postings`` as made by
+    ``posting_blocks``, ``stats`` and ``frequencies``), search blocked postings.
     Where all questions are restricted to a document, only the chunks of those
-    documents are scored. Both ways give the same scores up to the rounding to ``digits``.
+    documents are scored. Weights of a chunk are added word by word in byte
+    order in both ways, so scores are the same to the last bit.
     """
     if k <= 0:
         raise ValueError(f"k must be > 0 (got {k})")
@@ -89,46 +85,20 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
                        (F.col(filter_doc) if filter_doc else F.lit(None).cast("string")).alias("_want"))
     c = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(text).alias("text"),
                       (F.col(doc_urn) if filter_doc else F.lit(None).cast("string")).alias("_doc"))
+    scored = None
     if postings is None:
         terms = query_terms(q, carry=("_want",))
         asked = terms.limit(MAX_BLOCK_TERMS + 1).toPandas()
         if len(asked) <= MAX_BLOCK_TERMS and asked["qid"].nunique() <= block_rows:
             scored = _score_in_place(asked, terms.schema["qid"].dataType, c, k, bool(filter_doc), digits)
-            return top_k(scored, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
-    elif filter_doc:
-        postings = postings.withColumnRenamed(doc_urn, "_doc")
-    else:
-        postings = postings.withColumn("_doc", F.lit(None).cast("string"))
-    scored = _score_by_join(query_terms(q, carry=("_want",)), c, postings, stats, frequencies, bool(filter_doc), digits)
+        else:
+            postings = cut_lineage(posting_blocks(c, doc_urn="_doc"))
+    if scored is None:
+        asked = q.select("qid", F.col("_want").alias("want"), F.array_distinct(F.coalesce(words(F.col("text")), F.array())).alias("terms"))
+        scored = search_blocks(asked, postings, k, frequencies, stats, bool(filter_doc), digits, block_rows)
     return top_k(scored, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
 
 
-def _score_by_join(terms: DataFrame, c: DataFrame, postings: DataFrame | None, stats: DataFrame | None,
-                   frequencies: DataFrame | None, filtered: bool, digits: int) -> DataFrame:
-    asked = terms.select("term").distinct()
-    if postings is None:
-        flat = c.select("chunk_id", "_doc", words(F.col("text")).alias("_w")).select(
-            "chunk_id", "_doc", F.size("_w").cast("long").alias("dl"), F.explode("_w").alias("term"))
-        flat = flat.join(asked, "term", "left_semi")
-        postings = flat.groupBy("chunk_id", "_doc", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    if stats is None:
-        stats = corpus_stats(c)
-    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    if frequencies is None:
-        frequencies = document_frequency(postings.join(asked, "term", "left_semi"))
-    # The asked words with their frequencies are the small side; postings of other words are left at the scan.
-    known = frequencies.join(asked, "term", "left_semi").join(terms, "term")
-    keys = ["chunk_id", "_doc", "term", "tf", "dl"]
-    if filtered:
-        bound = known.filter(F.col("_want").isNotNull()).withColumnRenamed("_want", "_doc")
-        free = known.filter(F.col("_want").isNull()).drop("_want")
-        matched = postings.select(keys).join(bound, ["term", "_doc"]).select(*keys, "df", "qid").unionByName(postings.select(keys).join(free, "term").select(*keys, "df", "qid"))
-    else:
-        matched = postings.select(keys).join(known.drop("_want"), "term")
-    matched = matched.withColumn("w", bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), n_docs, avgdl))
-    return matched.groupBy("qid", "chunk_id").agg(F.round(F.sum("w"), digits).alias("score"))
-
-
 def _score_in_place(asked: pd.DataFrame, qid_type, c: DataFrame, k: int, filtered: bool, digits: int) -> DataFrame:
     """Score chunks inside their tasks against a bounded block of (qid, term) rows."""
     q_ids = asked["qid"].drop_duplicates()
@@ -169,7 +139,7 @@ def _score_in_place(asked: pd.DataFrame, qid_type, c: DataFrame, k: int, filtere
     avgdl = total / n_docs
     df = np.zeros(size)
     df[list(counted)] = list(counted.values())
-    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    factor = idf(n_docs, df)
     # Questions per term, as offsets into one array.
     t_of = np.searchsorted(vocabulary, asked["term"].to_numpy().astype(str))
     q_of = pd.Index(q_ids).get_indexer(asked["qid"])
@@ -179,7 +149,7 @@ def _score_in_place(asked: pd.DataFrame, qid_type, c: DataFrame, k: int, filtere
 
     def score(batch: pa.RecordBatch):
         row, term, tf, dl = term_counts(batch.column("_w"))
-        weight = idf[term] * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
+        weight = factor[term] * saturation(tf, dl[row], avgdl)
         # Cut the batch so that neither the pairs nor the score matrix get large.
         cost = np.cumsum(np.bincount(row, weights=fan[term], minlength=len(dl)) + len(q_ids))
         cuts = np.searchsorted(cost, np.arange(MAX_PAIRS, cost[-1] + MAX_PAIRS, MAX_PAIRS)) if len(cost) else []

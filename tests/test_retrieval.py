@@ -7,7 +7,9 @@ from pandekt.operators import candidates as cd
 from pandekt.operators import fusion, graph
 from pandekt.operators.dense import dense_topk
 from pandekt.operators.embedding import embed
-from pandekt.operators.sparse import bm25_index, corpus_stats, sparse_topk
+from pandekt.operators.postings import posting_blocks
+from pandekt.operators.sparse import sparse_topk
+from pandekt.session import cut_lineage
 from pandekt.operators.understanding import detect_entities, expand_terms, fan_out, render_prompt, route
 from tests.conftest import rows
 
@@ -28,10 +30,56 @@ def test_bm25_paths_agree(spark, corpus):
         in_place = rows(sparse_topk(q, c, 7, filter_doc=want))
         assert in_place
         assert in_place == rows(sparse_topk(q, c, 7, filter_doc=want, block_rows=3))
-        assert in_place == rows(sparse_topk(q, c, 7, filter_doc=want, postings=bm25_index(c, carry=("doc_urn",)), stats=corpus_stats(c)))
+        for shard_rows in (7, 8192):
+            assert in_place == rows(sparse_topk(q, c, 7, filter_doc=want, postings=cut_lineage(posting_blocks(c, shard_rows=shard_rows))))
         assert in_place == rows(sparse_topk(q.repartition(5), c.repartition(17), 7, filter_doc=want))
 
 
+def test_upper_bounds_never_lose_a_hit(spark, monkeypatch):
+    """Long lists of frequent and rare words, blocks of four postings: pruned search against scoring everything."""
+    from pandekt.operators import postings as po
+
+    monkeypatch.setattr(po, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    p = 1 / np.arange(1, 61)
+    draw = lambda n: " ".join(rng.choice(vocabulary, n, p=p / p.sum()))
+    c = spark.createDataFrame([(i, f"d{i % 3}", draw(rng.integers(0, 60))) for i in range(400)], "chunk_id long, doc_urn string, text string")
+    q = spark.createDataFrame([(i, draw(rng.integers(1, 12)), None if i % 2 else f"d{i % 4}") for i in range(40)], "qid long, text string, want string")
+    blocks = cut_lineage(posting_blocks(c, shard_rows=150))
+    for k in (1, 10, 1000):
+        for want in (None, "want"):
+            assert rows(sparse_topk(q, c, k, filter_doc=want)) == rows(sparse_topk(q, c, k, filter_doc=want, postings=blocks)) == rows(sparse_topk(q, c, k, filter_doc=want, postings=blocks, block_rows=9))
+
+
+def test_a_search_of_ten_words_leaves_most_postings_unread(spark):
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    from pandekt.operators.search_index import write_postings
+    from pandekt.session import scratch_path
+
+    rng = np.random.default_rng(9)
+    c = spark.range(3000).select(F.col("id").alias("chunk_id"), F.lit("d").alias("doc_urn"), F.concat_ws(" ", F.transform(
+        F.sequence(F.lit(1), F.lit(60)), lambda j: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", j), F.lit(20_000)).cast("string")))).alias("text"))
+    path = scratch_path(spark, "test-postings")
+    write_postings(cut_lineage(posting_blocks(c, shard_rows=1000)), path, row_group=16 << 10)
+    fs, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    words = {f"w{i}" for i in rng.integers(0, 20_000, 10)}
+    whole = hit = 0
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        if info.path.endswith(".parquet"):
+            meta = pq.ParquetFile(fs.open_input_file(info.path)).metadata
+            for g in range(meta.num_row_groups):
+                group = meta.row_group(g)
+                term = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema == "term")
+                whole += group.total_byte_size
+                hit += group.total_byte_size * any(term.statistics.min <= w <= term.statistics.max for w in words)
+    assert hit < 0.05 * whole
+    plan = sparse_topk(spark.createDataFrame([(1, " ".join(words))], "qid long, text string"), c, 5, postings=spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term," in plan
+
+
 def test_bm25_small_cuts(spark, corpus, monkeypatch):
     from pandekt.operators import sparse
     q, c = corpus
