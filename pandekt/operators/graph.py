@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pandekt.operators.ordered import top_k
-from pandekt.session import cut_lineage
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -16,6 +15,15 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
+def adjacency_lists(edges: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
+    """(node, near): per node of ``nodes`` its first ``need`` neighbours by id, each with the details of its first link."""
+    links = adjacency(edges).join(nodes, "node", "left_semi").groupBy("node", "neighbor").agg(
+        F.min_by(F.struct("relation", "note"), F.struct("link_pos", "dir")).alias("_l"))
+    # Ranked limits are applied before the shuffle as well, so a hub sends no more than ``need`` rows per task.
+    first = top_k(links, ["node"], [F.asc("neighbor")], need, "_nth")
+    return first.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("neighbor", "_l.relation", "_l.note"))).alias("near"))
+
+
 def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5) -> DataFrame:
     """Neighbours of the hits that were not retrieved themselves.
 
@@ -23,38 +31,35 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5) -
     link on ties); per question ordered by (source_rank, chunk_id) and cut to
     ``max_expansions``.
 
-    At most as many of a node's neighbours as a question has hits can be removed
-    as already retrieved. So beyond its first ``max_expansions`` + (most hits
-    of a question, counted first) neighbours by id a node can never contribute
-    to the result; leaving them out keeps hub nodes harmless.
+    Every hit meets the sorted list of its node's neighbours. A question walks
+    its hits by rank and takes what is new from each list until it has
+    ``max_expansions``. At most as many of a node's neighbours as a question has
+    hits can be retrieved already, so beyond its first ``max_expansions`` +
+    (most hits of a question, counted first) neighbours by id a node can never
+    contribute; leaving them out keeps hub nodes harmless.
     """
     schema = "qid chunk_id expanded_from relation note source_rank".split()
     if max_expansions <= 0:
         return (hits.withColumn("expanded_from", F.col("chunk_id")).withColumn("relation", F.lit(""))
                 .withColumn("note", F.lit("")).withColumn("source_rank", F.col("rank"))
                 .select(*schema).limit(0))
-    most = hits.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    need = max_expansions + most
-    # Only links of retrieved nodes take part; their details stay with them.
-    asked = hits.select(F.col("chunk_id").alias("node")).distinct()
-    links = adjacency(edges).join(asked, "node", "left_semi").groupBy("node", "neighbor").agg(
-        F.min_by(F.struct("relation", "note"), F.struct("link_pos", "dir")).alias("_l"),
-    )
-    reach = cut_lineage(top_k(links, ["node"], [F.asc("neighbor")], need, "_nth"))
-    degree = reach.groupBy("node").agg(F.max("_nth").alias("_deg"))
-    # A node with `need` neighbours fills the result on its own, so hits ranked
-    # below the first such node cannot contribute either.
-    sources = hits.select("qid", F.col("chunk_id").alias("node"), F.col("rank").alias("source_rank")).join(degree, "node")
-    enough = F.min(F.when(F.col("_deg") >= need, F.col("source_rank"))).over(Window.partitionBy("qid"))
-    useful = sources.withColumn("_stop", enough).filter(F.col("_stop").isNull() | (F.col("source_rank") <= F.col("_stop")))
-    found = useful.select("qid", "node", "source_rank").join(reach.select("node", F.col("neighbor").alias("chunk_id")), "node")
-    fresh = found.join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
-    # Narrow rows up to the cut; source and link details are attached to the few that remain.
-    best = fresh.groupBy("qid", "chunk_id").agg(F.min("source_rank").alias("source_rank"))
-    kept = top_k(best, ["qid"], [F.asc("source_rank"), F.asc("chunk_id")], max_expansions, "_n")
-    named = kept.join(hits.select("qid", F.col("rank").alias("source_rank"), F.col("chunk_id").alias("expanded_from")), ["qid", "source_rank"])
-    detail = reach.select(F.col("node").alias("expanded_from"), F.col("neighbor").alias("chunk_id"), "_l.relation", "_l.note")
-    return named.join(detail, ["expanded_from", "chunk_id"]).select(*schema)
+    own = hits.select("qid", F.col("rank").alias("source_rank"), F.col("chunk_id").alias("node"))
+    most = own.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    lists = adjacency_lists(edges, own.select("node").distinct(), max_expansions + most)
+    walks = own.join(lists, "node", "left").groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("source_rank", "node", "near"))).alias("_walk"))
+    kind = own.schema
+    empty = F.from_json(F.lit("[]"), f"array<struct<chunk_id:{lists.schema['near'].dataType.elementType['neighbor'].dataType.simpleString()},expanded_from:{kind['node'].dataType.simpleString()},"
+                                     f"relation:string,note:string,source_rank:{kind['source_rank'].dataType.simpleString()}>>")
+
+    def take(taken: Column, hit: Column) -> Column:
+        fresh = F.filter(F.coalesce(hit["near"], F.array()), lambda n: ~F.array_contains(F.col("_own"), n["neighbor"]) & ~F.exists(taken, lambda t: t["chunk_id"] == n["neighbor"]))
+        rows = F.transform(F.slice(fresh, 1, F.lit(max_expansions) - F.size(taken)), lambda n: F.struct(
+            n["neighbor"].alias("chunk_id"), hit["node"].alias("expanded_from"), n["relation"].alias("relation"), n["note"].alias("note"), hit["source_rank"].alias("source_rank")))
+        return F.when(F.size(taken) >= max_expansions, taken).otherwise(F.concat(taken, rows))
+
+    found = walks.select("qid", "_walk", F.col("_walk.node").alias("_own")).select("qid", F.explode(F.aggregate("_walk", empty, take)).alias("_x"))
+    return found.select("qid", "_x.*").select(*schema)
 
 
 def link_activation(expansions: DataFrame) -> DataFrame:
