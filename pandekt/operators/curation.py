@@ -10,6 +10,7 @@ from pandekt.functions.ids import base_id, unit_type
 from pandekt.functions.text import WORD
 from pandekt.operators import quantiles as qt
 from pandekt.operators.ordered import MAX_GROUP, row_positions, top_k
+from pandekt.session import cut_lineage
 
 # ---------------------------------------------------------------- gold tables
 
@@ -168,21 +169,32 @@ def best_overlap(new: DataFrame, old: DataFrame, stopwords: list[str] | None = N
     without either it is flagged as a new area and gets no partner. Ties go to
     the smaller id; nothing in common gives similarity 0.
 
-    Exact without comparing all pairs. The ``probe`` rarest words of a new
-    question find a first partner and so a lower bound b. A partner with
-    similarity at least b shares at least ceil(b * size) of its words, hence at
-    least one of the rarest size - ceil(b * size) + 1: only those are looked
-    up in a second pass.
+    Exact without comparing all pairs, by a bound that falls along a question's
+    words, rarest first. Old questions are looked up by word and law set, so
+    only those of the right pool meet. First comes, for every word, the one
+    shortest old question with it; the best of these is the lower bound b, above
+    0 wherever there is any partner. A partner first met at word i shares at most
+    the words from i on, on either side, and these s words allow a similarity of
+    s / (size + old size - s): a word is looked up while that can reach b, and an
+    old question compared if its own length and position allow it. The ``probe``
+    rarest words go first and lift b for the others.
     """
     n = new.select("qid", "norms", topic_words(F.col("text"), stopwords).alias("w"))
     o = old.select(F.col("qid").alias("old_qid"), F.col("norms").alias("old_norms"), topic_words(F.col("text"), stopwords).alias("ow"))
-    postings = o.select("old_qid", F.explode("ow").alias("t"))
-    df = postings.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    # Words of a new question, rarest in the old set first; unknown words cannot match.
-    ranked = n.select("qid", F.explode("w").alias("t")).join(df, "t").groupBy("qid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("known"))
+    df = o.select(F.explode("ow").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+
+    def ordered(rows: DataFrame, key: str, words: str) -> DataFrame:
+        """(key, t, left): known words, rarest first; ``left`` counts the words from this one on."""
+        known = rows.select(key, F.explode(words).alias("t")).join(df, "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("k"))
+        return known.select(key, F.size("k").alias("m"), F.posexplode("k.t").alias("at", "t")).select(key, "t", "at", (F.col("m") - F.col("at")).alias("left"))
+
     pools = _pool_level(n, o)
-    base = n.join(ranked, "qid").join(pools.filter("pool < 2"), "qid", "left_semi")
+    set_key = lambda c: F.concat(F.lit("="), F.array_join(F.array_sort(c), "\x1f"))
+    one_key = lambda c: F.transform(F.array_distinct(c), lambda x: F.concat(F.lit("+"), x))
+    keys = n.join(pools.filter("pool < 2"), "qid").select("qid", F.explode(F.when(F.col("pool") == 0, F.array(set_key("norms"))).otherwise(one_key("norms"))).alias("law"), F.size("w").alias("size"))
+    asked = cut_lineage(ordered(n, "qid", "w").join(keys, "qid"))
+    held = cut_lineage(ordered(o, "old_qid", "ow").join(o.select("old_qid", F.size("ow").alias("old_size"), F.explode(F.concat(F.array(set_key("old_norms")), one_key("old_norms"))).alias("law")), "old_qid").select(
+        "old_qid", "t", "law", F.col("left").alias("old_left"), "old_size"))
 
     def score(pairs: DataFrame) -> DataFrame:
         """Distinct (qid, old_qid) pairs of the right pool with their similarity."""
@@ -192,18 +204,18 @@ def best_overlap(new: DataFrame, old: DataFrame, stopwords: list[str] | None = N
         inter = F.size(F.array_intersect("w", "ow"))
         return j.select("qid", "old_qid", F.round(inter / (F.size("w") + F.size("ow") - inter), digits).alias("jaccard"))
 
-    def candidates(prefix: Column) -> DataFrame:
-        return base.select("qid", F.explode(prefix).alias("t")).join(postings, "t").select("qid", "old_qid")
-
-    first = score(candidates(F.slice("known", 1, probe))).groupBy("qid").agg(F.max("jaccard").alias("bound"))
-    bounded = base.join(first, "qid", "left")
-    size = F.size("w")
-    # Unknown words come first in the rarest-first order and use up prefix slots.
-    need = F.greatest(F.lit(1), F.ceil(F.coalesce("bound", F.lit(0.0)) * size - 1e-6).cast("int"))
-    take = F.greatest(F.lit(0), size - need + 1 - (size - F.size("known")))
-    second = bounded.select("qid", F.explode(F.slice(F.col("known"), F.lit(1), take)).alias("t")).join(postings, "t").select("qid", "old_qid")
-    best = score(second.unionByName(candidates(F.slice("known", 1, probe)))).groupBy("qid").agg(
-        F.min_by(F.struct("old_qid", "jaccard"), F.struct((-F.col("jaccard")).alias("j"), "old_qid")).alias("b"))
+    best_of = lambda pairs: pairs.groupBy("qid").agg(F.min_by(F.struct("old_qid", "jaccard"), F.struct((-F.col("jaccard")).alias("j"), "old_qid")).alias("b"))
+    shortest = held.groupBy("law", "t").agg(F.min_by("old_qid", F.struct("old_size", "old_qid")).alias("old_qid"))
+    found = cut_lineage(score(asked.join(shortest, ["law", "t"]).select("qid", "old_qid")))
+    reach = lambda s, a, b: F.round(s / (a + b - s), digits)
+    # The last word alone leads to nothing better than the shortest old question with it.
+    for stage in (F.col("at") < probe, F.col("at") >= probe):
+        open_ = asked.filter(stage & (F.col("left") > 1)).join(best_of(found), "qid").filter(reach(F.col("left"), F.col("size"), F.col("left")) >= F.col("b.jaccard"))
+        s = reach(F.least("left", "old_left"), F.col("size"), F.col("old_size"))
+        better = (s > F.col("b.jaccard")) | (s == F.col("b.jaccard")) & (F.col("old_qid") < F.col("b.old_qid"))
+        more = score(open_.join(held, ["law", "t"]).filter(better).select("qid", "old_qid"))
+        found = cut_lineage(found.unionByName(more))
+    best = best_of(found)
     out = n.join(pools, "qid").join(best, "qid", "left").join(o.select(F.col("old_qid").alias("_k"), "ow"), F.col("b.old_qid") == F.col("_k"), "left")
     j = F.coalesce("b.jaccard", F.lit(0.0))
     flag = F.when(F.col("pool") == 2, "new_area").when(j >= HIGH_OVERLAP, "high").when(j >= SOME_OVERLAP, "some").otherwise("distinct")

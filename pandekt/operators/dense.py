@@ -1,8 +1,13 @@
 """Exact dense top-k as blocked matrix products.
 
 The pair matrix is never materialised. A task holds one block of questions and
-streams chunks past it (or holds one chunk block), keeps at most k rows per
-question, and a final ranked cut merges the blocks.
+streams chunks past it (or holds the chunks of one cell), keeps at most k rows
+per question, and a final ranked cut merges the blocks.
+
+Cells are for many questions. Every chunk belongs to its nearest pivot; a cell
+knows its radius. By the triangle inequality no chunk of a cell scores above
+question . pivot + |question| * radius. A question first visits the cells around
+its nearest pivots, then only those whose bound reaches its k-th best score.
 """
 
 from __future__ import annotations
@@ -12,9 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from pandekt.operators.ordered import top_k
+from pandekt.session import cut_lineage
 
 BLOCK_ROWS = 4096
 
@@ -80,7 +86,8 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
 
     Up to ``block_rows`` questions (checked with a limited count) travel with
     the tasks and chunks are streamed past them without a shuffle. More
-    questions use a grid: question blocks x chunk blocks, grouped by cell.
+    questions visit pivot cells; with ``filter_doc`` they meet the chunks of
+    their own document, free ones all cells. All ways compare exactly.
     """
     if k <= 0:
         raise ValueError(f"k must be > 0 (got {k})")
@@ -97,8 +104,13 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
     n_queries = q.select("qid").limit(block_rows + 1).count()
     if n_queries <= block_rows:
         local = _streamed(q, c, schema, k, digits, skip_same_id, bool(filter_doc))
+    elif filter_doc:
+        free = q.filter(F.col("qdoc").isNull()).drop("qdoc")
+        local = _by_document(q.filter(F.col("qdoc").isNotNull()), c, schema, k, digits, skip_same_id, block_rows)
+        if free.take(1):
+            local = local.unionByName(_visited(free, c.drop("cdoc"), schema, k, digits, skip_same_id, block_rows))
     else:
-        local = _grid(q, c, schema, k, digits, skip_same_id, bool(filter_doc), block_rows)
+        local = _visited(q, c, schema, k, digits, skip_same_id, block_rows)
     return top_k(local, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).select("qid", "rank", "chunk_id", "score")
 
 
@@ -123,16 +135,89 @@ def _streamed(q, c, schema, k, digits, skip, filtered) -> DataFrame:
     return c.mapInPandas(run, schema)
 
 
-def _grid(q, c, schema, k, digits, skip, filtered, block_rows) -> DataFrame:
-    n_q, n_c = q.count(), c.count()
-    rows, cols = max(1, -(-n_q // block_rows)), max(1, -(-n_c // block_rows))
-    spread = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    left = q.withColumn("_r", spread("qid", rows)).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-    right = c.withColumn("_c", spread("chunk_id", cols)).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+def _met(left: DataFrame, right: DataFrame, schema: StructType, k: int, digits: int, skip: bool, block_rows: int) -> DataFrame:
+    """Best k of the chunks that share ``cell`` with a question, per question and block.
+
+    left(qid, qvec, cell), right(chunk_id, cvec, cell). Both sides of a large
+    cell are cut into blocks of about ``block_rows``; each block of one side
+    meets each of the other.
+    """
+    def blocks(rows: DataFrame, side: str) -> DataFrame:
+        return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(f"_{side}s"))
+
+    sizes = blocks(left, "q").join(blocks(right, "c"), "cell")
+    spread = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    qs = left.join(sizes, "cell").withColumn("_q", spread("qid", "_qs")).withColumn("_c", every("_cs")).select(F.col("cell").alias("_lk"), F.col("_q").alias("_lq"), F.col("_c").alias("_lc"), "qid", "qvec")
+    cs = right.join(sizes, "cell").withColumn("_c", spread("chunk_id", "_cs")).withColumn("_q", every("_qs")).select(F.col("cell").alias("_rk"), F.col("_q").alias("_rq"), F.col("_c").alias("_rc"), "chunk_id", "cvec")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        r, score, ids = _block_topk(a["qid"].to_numpy(), _matrix(a["qvec"]), None, b["chunk_id"].to_numpy(), _matrix(b["cvec"]), None, k, digits, skip)
+        return pd.DataFrame({"qid": a["qid"].to_numpy()[r], "chunk_id": ids, "score": score})
+
+    return qs.groupBy("_lk", "_lq", "_lc").cogroup(cs.groupBy("_rk", "_rq", "_rc")).applyInPandas(run, schema)
+
 
-    def run(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        r, s, ids = _block_topk(qs["qid"].to_numpy(), _matrix(qs["qvec"]), qs["qdoc"].tolist() if filtered else None,
-                                cs["chunk_id"].to_numpy(), _matrix(cs["cvec"]),
-                                cs["cdoc"].tolist() if filtered else None, k, digits, skip)
-        return pd.DataFrame({"qid": qs["qid"].to_numpy()[r], "chunk_id": ids, "score": s})
-    return left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInPandas(run, schema)
+def _by_document(q: DataFrame, c: DataFrame, schema: StructType, k: int, digits: int, skip: bool, block_rows: int) -> DataFrame:
+    """Questions bound to a document meet its chunks and no others."""
+    return _met(q.withColumnRenamed("qdoc", "cell"), c.withColumnRenamed("cdoc", "cell"), schema, k, digits, skip, block_rows)
+
+
+MAX_PIVOTS = 1024
+
+
+def _visited(q: DataFrame, c: DataFrame, schema: StructType, k: int, digits: int, skip: bool, block_rows: int) -> DataFrame:
+    """Two visits: cells around the nearest pivots, then every other cell that may still hold one of the k best."""
+    n = c.count()
+    if not n:
+        return q.sparkSession.createDataFrame([], schema)
+    wanted = max(1, min(MAX_PIVOTS, int(n ** 0.5)))
+    # At most MAX_PIVOTS vectors: they and the radii travel with the tasks.
+    pivots = _matrix(c.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(wanted).select("cvec").toPandas()["cvec"])
+    norms = (pivots * pivots).sum(axis=1)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v = _matrix(pdf["cvec"])
+            if len(v):
+                cell = np.argmin(norms[None, :] - 2 * (v @ pivots.T), axis=1)
+                yield pdf.assign(cell=cell, dist=np.sqrt(((v - pivots[cell]) ** 2).sum(axis=1)))
+
+    placed = cut_lineage(c.mapInPandas(nearest, StructType([*c.schema, StructField("cell", LongType()), StructField("dist", DoubleType())])))
+    meta = placed.groupBy("cell").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).toPandas()
+    radius, held = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=np.int64)
+    radius[meta["cell"]], held[meta["cell"]] = meta["r"], meta["n"]
+    # A score is rounded and a distance computed: neither may hide a tie.
+    margin = 2 * 10.0 ** -digits
+
+    def chosen(dots: np.ndarray) -> np.ndarray:
+        """First cells of every question: nearest pivots until they hold k chunks (and the question's own)."""
+        order = np.argsort(-np.where(held > 0, dots, -np.inf), axis=1, kind="stable")
+        before = np.cumsum(held[order], axis=1) - held[order]
+        first = np.zeros(dots.shape, dtype=bool)
+        np.put_along_axis(first, order, (before < k + 1) & (held[order] > 0), axis=1)
+        return first
+
+    def visits(second: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for at in range(0, len(whole), 512):
+                    pdf = whole.iloc[at:at + 512]
+                    v = _matrix(pdf["qvec"])
+                    dots = v @ pivots.T
+                    go = chosen(dots)
+                    if second:
+                        bound = dots + np.sqrt((v * v).sum(axis=1))[:, None] * np.where(held > 0, radius, 0.0)[None, :] * (1 + 1e-9)
+                        go = ~go & (held > 0) & (bound + margin >= pdf["floor"].to_numpy()[:, None])
+                    row, cell = np.nonzero(go)
+                    out = pdf.iloc[row][["qid", "qvec"]].reset_index(drop=True)
+                    yield out.assign(cell=cell)
+        return run
+
+    going = StructType([*q.schema, StructField("cell", LongType())])
+    right = placed.drop("dist")
+    near = cut_lineage(_met(cut_lineage(q.mapInPandas(visits(False), going)), right, schema, k, digits, skip, block_rows))
+    floors = top_k(near, ["qid"], [F.desc("score"), F.asc("chunk_id")], k).filter(F.col("rank") == k).select("qid", F.col("score").alias("floor"))
+    waiting = q.join(floors, "qid", "left").fillna({"floor": float("-inf")})
+    far = _met(cut_lineage(waiting.mapInPandas(visits(True), going)), right, schema, k, digits, skip, block_rows)
+    return near.unionByName(far)

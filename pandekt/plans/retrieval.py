@@ -51,6 +51,20 @@ def dense_self(t):
     return dense_topk(e.select("qid", "vec"), e.select("chunk_id", "vec"), 10, skip_same_id=True)
 
 
+@query("d2_many_questions", """
+WITH q AS (SELECT o_orderkey AS qid, [o_custkey % 50 - 25, o_orderkey % 40 - 20, CAST(floor(o_totalprice) AS BIGINT) % 60 - 30] AS v FROM orders),
+c AS (SELECT s_suppkey AS chunk_id, [s_nationkey - 12, s_suppkey % 40 - 20, CAST(floor(s_acctbal) AS BIGINT) % 60 - 30] AS w FROM supplier),
+s AS (SELECT qid, chunk_id, CAST(v[1] * w[1] + v[2] * w[2] + v[3] * w[3] AS DOUBLE) AS score FROM q, c)
+SELECT * FROM (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM s) WHERE rank <= 10""")
+def dense_many(t):
+    """Every order asks for suppliers: far more questions than fit one block."""
+    part = lambda c: F.col(c).cast("double")
+    whole = lambda c: F.floor(c).cast("long")
+    q = t.orders.select(F.col("o_orderkey").alias("qid"), F.array((F.col("o_custkey") % 50 - 25).cast("double"), (F.col("o_orderkey") % 40 - 20).cast("double"), (whole("o_totalprice") % 60 - 30).cast("double")).alias("vec"))
+    c = t.supplier.select(F.col("s_suppkey").alias("chunk_id"), F.array(part("s_nationkey") - 12, (F.col("s_suppkey") % 40 - 20).cast("double"), (whole("s_acctbal") % 60 - 30).cast("double")).alias("vec"))
+    return dense_topk(q, c, 10)
+
+
 @query("d2_dense_text_topk", f"WITH {CHUNKS},{QUESTIONS},{dense('hits', 10)} SELECT * FROM hits")
 def dense_text(t):
     return fusion.retrieve(questions(t), chunks(t), 10, "dense")[0]

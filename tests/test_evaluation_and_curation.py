@@ -109,6 +109,28 @@ def test_best_overlap_is_exact(spark):
             assert (r.old_qid, r.jaccard) == (best[1], -best[0])
 
 
+def test_overlap_stays_linear_where_nothing_matches(spark, monkeypatch):
+    """Most new questions share one frequent word with every old one and nothing else."""
+    n = 400
+    schema = "qid string, text string, norms array<string>"
+    new = [(f"n{i}", f"comune nuova{i} altra{i} terza{i}", ["A"]) for i in range(n)] + [("hit", "comune vecchia7 parola7", ["A"])]
+    old = [(f"o{i:03d}", f"comune vecchia{i} parola{i} lunga{i}" + (" coda" if i % 2 else ""), ["A"]) for i in range(n)]
+    sizes = []
+    cut = cu.cut_lineage
+
+    def counted(df):
+        df = cut(df)
+        if df.columns == ["qid", "old_qid", "jaccard"]:
+            sizes.append(df.count())
+        return df
+
+    monkeypatch.setattr(cu, "cut_lineage", counted)
+    got = {r.qid: r for r in cu.best_overlap(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema), probe=1).collect()}
+    assert (got["hit"].old_qid, got["hit"].shared) == ("o007", ["comune", "parola7", "vecchia7"])
+    assert (got["n3"].old_qid, got["n3"].jaccard) == ("o000", round(1 / 7, 9)) and len(got) == n + 1
+    assert max(sizes) < 3 * n
+
+
 def test_rewrite_and_notes(spark):
     l = spark.createDataFrame([("q", 1, "a"), ("q", 2, "art_38"), ("q", 3, "b")], "qid string, pos int, chunk_id string")
     m = spark.createDataFrame([("art_38", 0, "art_38__paras_1_11"), ("art_38", 1, "art_38__paras_12_16")], "chunk_id string, new_pos int, new_id string")

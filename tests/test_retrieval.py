@@ -10,6 +10,7 @@ from pandekt.operators.embedding import embed
 from pandekt.operators.postings import posting_blocks
 from pandekt.operators.sparse import sparse_topk
 from pandekt.session import cut_lineage
+from pandekt.session import cut_lineage as dense_cut
 from pandekt.operators.understanding import detect_entities, expand_terms, fan_out, render_prompt, route
 from tests.conftest import rows
 
@@ -104,6 +105,30 @@ def test_dense_paths_agree_with_brute_force(spark):
     assert f == rows(dense_topk(e, c, 4, filter_doc="doc", block_rows=20)) and all(r[0] % 3 == r[2] % 3 for r in f)
 
 
+def test_cells_are_exact_and_left_out_where_they_cannot_help(spark, monkeypatch):
+    """Tight groups of vectors of different length, ties and repeats; more questions than a block holds."""
+    from pandekt.operators import dense
+
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=(20, 6)) * 5
+    c = np.repeat(centre, 40, axis=0) + rng.normal(scale=0.05, size=(800, 6))
+    c[100:110] = c[100]
+    q = np.repeat(centre, 15, axis=0) + rng.normal(scale=0.3, size=(300, 6))
+    frame = lambda v, name: spark.createDataFrame(pd.DataFrame({name: np.arange(len(v)), "vec": v.tolist(), "doc": [f"d{i % 3}" if i % 5 else None for i in range(len(v))]}))
+    qs, cs = frame(q, "qid"), frame(c, "chunk_id").withColumnRenamed("doc", "doc_urn")
+    for k in (1, 7, 1000):
+        want = rows(dense_topk(qs, cs, k))
+        assert want == rows(dense_topk(qs, cs, k, block_rows=40))
+    assert rows(dense_topk(qs, cs, 4, filter_doc="doc")) == rows(dense_topk(qs, cs, 4, filter_doc="doc", block_rows=40))
+    assert rows(dense_topk(qs, cs.limit(0), 4, block_rows=40)) == []
+    visits = []
+    monkeypatch.setattr(dense, "cut_lineage", lambda df: visits.append(df := dense_cut(df)) or df)
+    dense_topk(qs, cs, 7, block_rows=40).count()
+    asked = [v for v in visits if "qvec" in v.columns]
+    cells = visits[0].select("cell").distinct().count()
+    assert sum(v.count() for v in asked) < 0.6 * 300 * cells
+
+
 def test_custom_encoder_is_normalised(spark):
     def encoder(batches):
         for b in batches:
