@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pandekt.llm.common import AtomicFile, cut, new_folder, open_shared, written
-from pandekt.llm.vectors import clean_zero, exact_cosine, matrix, unit_rows, usable
+from pandekt.llm.vectors import clean_zero, exact_cosine, matrix, require_one_length, unit_rows, usable
 
 DEGREE = 32
 SLACK_DEGREE = 48
@@ -269,7 +269,11 @@ def nearest(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     candidates all are returned. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null id, take no part. Equal vectors
     are one point of a graph and all their rows are candidates (the k + 1
-    smallest ids suffice for any query). All vectors must have one length.
+    smallest ids suffice for any query). Vectors of different length raise.
+    Rows that repeat an id and a vector are one row. Rows that share an id with
+    different vectors are all candidates of other queries, one by one; the query
+    of that id is the smallest of its vectors, and no row of its own id is its
+    candidate.
     Other columns are ignored. An empty table gives no rows.
     """
     spark = rows.sparkSession
@@ -277,16 +281,20 @@ def nearest(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     clean = cut(src.filter(usable(F.col("vec")) & F.col("vec_id").isNotNull()).select("vec_id", clean_zero(F.col("vec")).alias("vec")), "vectors")
     w = Window.partitionBy("node").orderBy("vec_id")
     # Ranked limits apply before the shuffle: a vector with very many copies sends k + 1 rows per task.
-    first = clean.select("vec_id", F.xxhash64("vec").alias("node")).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1)
+    require_one_length(clean)
+    first = clean.select("vec_id", F.xxhash64("vec").alias("node")).distinct().withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k + 1)
     members = cut(first.groupBy("node").agg(F.min("vec_id").alias("least"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "members")
     nodes = cut(members.select("node", F.col("least").alias("vec_id")).join(clean, "vec_id").filter(F.xxhash64("vec") == F.col("node")).select("node", F.col("vec_id").alias("least"), "vec").dropDuplicates(["node"]), "nodes")
     shards = shards or max(MIN_SHARDS, -(-nodes.count() // SHARD_ROWS))
     folder = folder or new_folder(spark, "ann")
     index = write_index(nodes, folder, shards)
-    queries = clean.filter(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), "vec").dropDuplicates(["query_id"])
-    found = search_index(queries, index, folder, k + 1, beam)
+    asked = clean.filter(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), "vec").groupBy("query_id").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("own"))
+    # So many of the nearest may be rows of the query's own id.
+    own = asked.agg(F.max("own")).first()[0] or 1
+    queries = asked.select("query_id", "vec")
+    found = search_index(queries, index, folder, k + own, beam)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "least")
-    top = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + 1)
+    top = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k + own)
     each = top.join(members.select("node", "ids"), "node").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

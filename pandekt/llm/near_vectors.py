@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pandekt.llm.common import cut, partitions
 from pandekt.llm.components import components
-from pandekt.llm.vectors import clean_zero, distinct_vectors, exact_cosine, matrix, unit_rows, usable
+from pandekt.llm.vectors import clean_zero, distinct_vectors, exact_cosine, matrix, require_one_length, unit_rows, usable
 
 THRESHOLD = 0.98
 LIST = 8
@@ -346,7 +346,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     at least ``threshold``. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null label or id, link with nothing.
     Equal vectors of one label are linked copies. Vectors of different length in one
-    label aren't compared by this operator and raise. Rows that repeat an id
+    table raise. Rows that repeat an id
     count as vectors of their own. Other columns are ignored. An empty table
     gives no rows. ``trees`` is the least number of trees of a forest, more follow
     from the depth they need. Raises when the audit finds a share of nodes with
@@ -357,6 +357,7 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     ok = usable(F.col("vec")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     clean = src.filter(ok).select("vec_id", "label", clean_zero(F.col("vec")).alias("vec"))
     nodes = cut(distinct_vectors(clean), "nodes")
+    require_one_length(nodes)
     trees = _trees(_depths(nodes).agg(F.max("depth")).first()[0] or 0, threshold, trees)
     known = parts = None
     for forest in range(max_forests):

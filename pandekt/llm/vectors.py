@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -19,11 +20,21 @@ def clean_zero(embedding: Column) -> Column:
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
-    """Rows of equal length from a list column without nulls."""
+    """Rows of equal length from a list column without nulls; raises where lengths differ."""
+    lengths = pc.list_value_length(column)
+    if len(column) and pc.min(lengths) != pc.max(lengths):
+        raise ValueError(f"vectors of {pc.min(lengths)} and {pc.max(lengths)} components in one table")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(dtype, copy=False) if len(column) else np.zeros((0, 0), dtype=dtype)
 
 
+def require_one_length(rows: DataFrame, vec: str = "vec") -> None:
+    """Raise unless all vectors of a table have one length: a cosine needs equal lengths."""
+    low, high = rows.agg(F.min(F.size(vec)), F.max(F.size(vec))).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} to {high} components in one table")
+
+
 def unit_rows(x: np.ndarray) -> np.ndarray:
     """Rows of length 1. Rows are scaled by their largest component first, so that squares neither overflow nor vanish."""
     x = x / np.abs(x).max(axis=1, keepdims=True)

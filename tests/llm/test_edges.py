@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -415,6 +416,28 @@ def test_nearest(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in two] == [(0, 1, 1)]
 
 
+def test_vectors_of_different_length_raise(spark):
+    """Also where the lengths of a batch would divide evenly."""
+    for vecs in ([[1.0, 2.0, 3.0], [4.0, 5.0, 6.0, 7.0, 8.0]], [[1.0, 2.0]] * 3 + [[1.0, 2.0, 3.0]]):
+        df = spark.createDataFrame([(50 * i, v, 1) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int")
+        for run in (ann.nearest, near_vectors.near_vectors):
+            with pytest.raises(ValueError, match="components"):
+                run(df)
+        with pytest.raises(ValueError, match="components"):
+            near_vectors.matrix(pa.array(vecs))
+
+
+def test_nearest_with_repeated_ids(spark):
+    """Ten rows of the query's own id stand nearer than anything else; a row that repeats id and vector is one."""
+    rng = np.random.default_rng(3)
+    near = [(0, [1.0, 0.0, k / 1e4]) for k in range(10)]
+    others = [(i, rng.standard_normal(3).tolist()) for i in range(1, 30)]
+    rows = near + others + [others[4], (7, [1.0, 0.5, 0.0])]
+    got = [(r["rank"], r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("query_id = 0").orderBy("rank").collect()]
+    best = sorted({(-cosine(near[0][1], v), i) for i, v in rows if i})[:5]
+    assert got == [(k + 1, i) for k, (_, i) in enumerate(best)]
+
+
 def test_graph_recall():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((1500, 32)).astype(np.float32)

@@ -72,3 +72,14 @@ def test_packing_holds_every_token(outputs):
     assert got.length.sum() == sum(len(ids[i]) for i, _ in pairs(outputs[4]))
     assert all(zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()) == r.ids_crc32 for r in got.itertuples())
     assert got.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    """Rows are judged one by one: a copy goes, a row that only shares its id stays."""
+    t, u = " ".join(f"alpha{i}" for i in range(30)), " ".join(f"beta{i}" for i in range(30))
+    rows = [(0, t), (1, t), (1, u), (2, u), (2, u), (None, u), (None, ""), (None, None), (3, "x")]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = cp.drop_near_copies(spark, docs, SF_DIR)
+    assert got.columns == cp.COLUMNS
+    assert sorted(pairs(got), key=repr) == sorted([(0, t), (None, u), (None, ""), (None, None), (3, "x")], key=repr)
+    assert cp.drop_near_copies(spark, docs.limit(0), SF_DIR).count() == 0
