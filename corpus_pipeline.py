@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pandekt.llm import line_dedup, mixing, ngram_join, packing, toxicity
 from pandekt.llm.common import cut, table
 from pandekt.llm.tokens import default_path
+from pandekt.operators.ordered import row_positions
 
 #: Cached pieces per worker: fewer than alone, for the workers of other stages hold memory, too.
 PIECES = 200_000
@@ -37,10 +38,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8."""
-    joined = ngram_join.ngram_join(docs, words=5, per_cent=80)
-    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document, that of the smallest id, of each group linked by five-word shingles at 0.8.
+
+    Rows that share an id, or have none, are documents of their own: they are
+    numbered by id (null first) and text, and the first of a group stays.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").take(1):
+        hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
+        keyed = cut(row_positions(hashed, [], ["doc_id", "_hash"], "_key"), "numbered")
+    else:
+        keyed = docs.withColumn("_key", F.col("doc_id"))
+    joined = ngram_join.ngram_join(keyed, doc_id="_key", words=5, per_cent=80)
+    gone = joined.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_key"))
+    return keyed.join(gone, "_key", "left_anti").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
