@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pandekt.sources.index import upsert_index
 
@@ -20,10 +21,26 @@ def table_stream(spark: SparkSession, folder: str, glob: str, files_per_trigger:
     return reader.parquet(folder)
 
 
+PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which map state and timers need; the session's setting comes back afterwards."""
+    before = spark.conf.get(PROVIDER_CONF)
+    spark.conf.set(PROVIDER_CONF, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER_CONF, before)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is available into a Parquet table and stop."""
-    (stream.writeStream.format("parquet").outputMode("append").option("path", path)
-     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    """Process what is available into a Parquet table and stop. Run again with the same checkpoint it goes on where it stopped."""
+    with rocksdb_state(stream.sparkSession):
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -35,57 +52,87 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
 # --------------------------------------------------------------------- answers
 
 ANSWER_SCHEMA = "request_id string, text string, n_deltas bigint, ttft_ms double, total_ms double, complete boolean"
-STATE_SCHEMA = "seqs array<bigint>, texts array<string>, times array<double>, last_seq bigint"
-
-
-def _row(key: str, seqs, texts, times, complete: bool) -> pd.DataFrame:
-    ordered = sorted(zip(seqs, texts, times))
-    begin, end = min(times), max(times)
-    first = next((ts for _, text, ts in ordered if text), end)
-    return pd.DataFrame([{
-        "request_id": key, "text": "".join(t for _, t, _ in ordered), "n_deltas": len(ordered),
-        "ttft_ms": first - begin, "total_ms": end - begin, "complete": complete}])
+#: Deltas of neighbouring numbers share an entry of the state: few calls, and no entry grows beyond this.
+STATE_BLOCK = 64
+
+
+class _Answer(StatefulProcessor):
+    """Deltas of one request, kept by number in a map of blocks; a batch touches only the blocks of its own deltas."""
+
+    def __init__(self, timeout_ms: int) -> None:
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.blocks = handle.getMapState("deltas", "block bigint", "seqs array<bigint>, texts array<string>, times array<double>")
+        self.progress = handle.getValueState("progress", "n bigint, last bigint, latest double, timer bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        n, last, latest, timer = self.progress.get() if self.progress.exists() else (0, -1, float("-inf"), -1)
+        fresh: dict[int, dict[int, tuple[str, float]]] = {}
+        for pdf in rows:
+            for seq, text, final, ms in zip(pdf["seq"].tolist(), pdf["text"].tolist(), pdf["is_final"].tolist(), pdf["ms"].tolist(), strict=True):
+                fresh.setdefault(seq // STATE_BLOCK, {}).setdefault(seq, (text or "", ms, bool(final)))
+        for block, found in fresh.items():
+            seqs, texts, times = ([list(x) for x in self.blocks.getValue((block,))] if self.blocks.containsKey((block,)) else ([], [], []))
+            known = set(seqs)
+            new = {s: x for s, x in found.items() if s not in known}
+            if not new:
+                continue
+            for seq, (text, ms, final) in new.items():
+                seqs.append(seq)
+                texts.append(text)
+                times.append(ms)
+                last = seq if final else last
+            n, latest = n + len(new), max(latest, *(ms for _, ms, _ in new.values()))
+            self.blocks.updateValue((block,), (seqs, texts, times))
+        if last >= 0 and n == last + 1:
+            yield self._row(key[0], True)
+            self._forget(timer)
+            return
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        timer = max(int(latest) + self.timeout_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(timer)
+        self.progress.update((n, last, latest, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        if self.progress.exists():
+            yield self._row(key[0], False)
+            self._forget(-1)
+
+    def _forget(self, timer: int) -> None:
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        self.blocks.clear()
+        self.progress.clear()
+
+    def _row(self, name: str, complete: bool) -> pd.DataFrame:
+        deltas = sorted((s, t, ms) for seqs, texts, times in self.blocks.values() for s, t, ms in zip(seqs, texts, times, strict=True))
+        times = [ms for _, _, ms in deltas]
+        begin, end = min(times), max(times)
+        first = next((ms for _, text, ms in deltas if text), end)
+        return pd.DataFrame([{"request_id": name, "text": "".join(t for _, t, _ in deltas), "n_deltas": len(deltas),
+                              "ttft_ms": first - begin, "total_ms": end - begin, "complete": complete}])
+
+    def close(self) -> None:
+        pass
 
 
 def assemble_deltas(deltas: DataFrame, timeout_ms: int = 600_000, lateness: str = "10 minutes") -> DataFrame:
     """Stream of (request_id, seq, text, is_final, ts) to one row per finished answer.
 
-    Deltas may arrive in any order and more than once. An answer is complete
-    when its final delta and all earlier ones are there; an unfinished one is
-    emitted as incomplete once the watermark is ``timeout_ms`` past its last
-    delta. Event time is used for this: a processing-time timeout would keep
-    an available-now run alive for ever.
+    Deltas may arrive in any order and more than once; the first of a number
+    counts. An answer is complete when its final delta and all earlier ones are
+    there; an unfinished one is emitted as incomplete once the watermark is
+    ``timeout_ms`` past its last delta. Event time is used for this: a
+    processing-time timer would keep an available-now run alive for ever. The
+    state is a map of deltas by number, so a batch costs what it brings. Start
+    it through ``run_available``, which names the state store it needs.
     """
     rows = deltas.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select(
         "request_id", F.col("seq").cast("long").alias("seq"), "text", "is_final", "ts", (F.unix_micros("ts") / 1000.0).alias("ms"))
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, texts, times, last = state.get if state.exists else ([], [], [], -1)
-        seqs, texts, times = list(seqs), list(texts), list(times)
-        if state.hasTimedOut:
-            state.remove()
-            yield _row(key[0], seqs, texts, times, False)
-            return
-        known = set(seqs)
-        for pdf in batches:
-            for seq, text, final, ms in zip(pdf["seq"], pdf["text"], pdf["is_final"], pdf["ms"]):
-                if seq in known:
-                    continue
-                known.add(seq)
-                seqs.append(int(seq))
-                texts.append(text or "")
-                times.append(float(ms))
-                if final:
-                    last = int(seq)
-        if last >= 0 and len(known) == last + 1:
-            if state.exists:
-                state.remove()
-            yield _row(key[0], seqs, texts, times, True)
-        else:
-            state.update((seqs, texts, times, last))
-            state.setTimeoutTimestamp(max(int(max(times)) + timeout_ms, state.getCurrentWatermarkMs() + 1))
-
-    return rows.groupBy("request_id").applyInPandasWithState(update, ANSWER_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("request_id").transformWithStateInPandas(_Answer(timeout_ms), ANSWER_SCHEMA, "append", "EventTime")
 
 
 def assemble_deltas_batch(deltas: DataFrame) -> DataFrame:

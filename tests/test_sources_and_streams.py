@@ -177,3 +177,24 @@ def test_delta_stream(spark, tmp_path):
     assert got["b"].text == "x" and got["b"].complete is False
     twin = {r.request_id: tuple(r) for r in jobs.assemble_deltas_batch(spark.read.parquet(str(flat))).collect()}
     assert twin == {k: tuple(v) for k, v in got.items()}
+
+
+def test_answers_go_on_after_a_restart(spark, tmp_path):
+    """A run ends in the middle of an answer; the next one, from its checkpoint, completes it. Deltas come backwards and twice."""
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [("long", i, f"{i} ", i == 2_999, t0 + dt.timedelta(milliseconds=i)) for i in range(3_000)]
+    schema = "request_id string, seq bigint, text string, is_final boolean, ts timestamp"
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    add = lambda part: spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+    add(rows[2_000:][::-1])
+    jobs.run_available(jobs.assemble_deltas(jobs.table_stream(spark, str(src), "*.parquet")), out, ck)
+    assert spark.read.schema(jobs.ANSWER_SCHEMA).parquet(out).count() == 0
+    add(rows[:2_100] + [("short", 0, "x", False, t0)])
+    jobs.run_available(jobs.assemble_deltas(jobs.table_stream(spark, str(src), "*.parquet")), out, ck)
+    got = spark.read.parquet(out).collect()
+    assert [(r.request_id, r.n_deltas, r.total_ms, r.complete) for r in got] == [("long", 3_000, 2_999.0, True)]
+    assert got[0].text == "".join(r[2] for r in rows)
+    # Time passes for another request: the unfinished one is given up.
+    add([("later", 0, "y", True, t0 + dt.timedelta(hours=2))])
+    jobs.run_available(jobs.assemble_deltas(jobs.table_stream(spark, str(src), "*.parquet")), out, ck)
+    assert {(r.request_id, r.complete) for r in spark.read.parquet(out).collect()} == {("long", True), ("later", True), ("short", False)}
