@@ -11,6 +11,7 @@ from pandekt.plans.base import chunks
 from pandekt.plans.registry import query
 from pandekt.plans.sqlbits import CHUNKS, QUESTIONS, bm25
 from pandekt.session import cut_lineage, scratch_path
+from pandekt.sources.index import read_index
 from pandekt.streaming import jobs
 
 
@@ -63,7 +64,7 @@ def upsert(t):
     path = scratch_path(t.spark, "index")
     for _ in range(2):  # the same input delivered twice
         jobs.stream_upsert(rows, path, scratch_path(t.spark, "ckpt"), ["version"])
-    return t.spark.read.parquet(path).select("chunk_id", F.col("doc_urn").cast("string").alias("doc_urn"), F.md5(F.col("text").cast("binary")).alias("digest"), "version")
+    return read_index(t.spark, path).select("chunk_id", F.col("doc_urn").cast("string").alias("doc_urn"), F.md5(F.col("text").cast("binary")).alias("digest"), "version")
 
 
 @query("s3_stream_retrieve", f"WITH {CHUNKS},{QUESTIONS},{bm25('hits', 5)} SELECT * FROM hits")

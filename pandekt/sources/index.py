@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from pandekt.functions.ids import point_id
 from pandekt.operators.ordered import top_k
+from pandekt.sources import versions
 
 PAYLOAD = ["chunk_id", "text", "source_type", "chunk_type", "doc_urn", "article_eid", "para_eids", "hierarchy_path", "metadata"]
 
@@ -32,30 +34,56 @@ def merge_upsert(existing: DataFrame, new: DataFrame, key: str = "point_id", ord
     return kept.unionByName(fresh.select(*existing.columns))
 
 
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The index table at ``path``, as it was when this was called (or at an earlier ``version``)."""
+    found, content = versions.head(spark, path, version)
+    if not found:
+        raise FileNotFoundError(f"no index at {path}")
+    schema = StructType.fromJson(content["schema"])
+    folders: dict[str, list[str]] = {}
+    for part, folder in content["parts"].items():
+        folders.setdefault(folder, []).append(part)
+    if not folders:
+        return spark.createDataFrame([], schema)
+    root = path.rstrip("/")
+    # One scan per version that still holds partitions; each sees only those it holds.
+    scans = [spark.read.schema(schema).option("basePath", f"{root}/{f}").parquet(*[f"{root}/{f}/{p}" for p in parts]) for f, parts in sorted(folders.items())]
+    return reduce(DataFrame.unionByName, [s.select(*schema.names) for s in scans])
+
+
 def upsert_index(spark: SparkSession, path: str, new: DataFrame, mode: str = "ensure", key: str = "point_id",
                  partition: str = "doc_urn", order: list[str] | None = None) -> int:
     """Write ``new`` into the index table at ``path``; returns the number of upserted rows.
 
     ``ensure`` keeps existing rows, ``reset`` starts empty. Data is laid out by
-    ``partition`` and only the partitions touched by the batch are rewritten,
-    through the commit protocol of dynamic partition overwrite. A key must
-    always map to the same partition, which holds for ids derived from the
-    document. Running the same batch again gives the same table.
+    ``partition``; the partitions touched by the batch are written to a new
+    folder and the next version names them there and the others where they
+    are. Readers see a version or the next, never a part of it; of two writers
+    at the same time one raises ``VersionTaken``. A key must always map to the
+    same partition, which holds for ids derived from the document. Running the
+    same batch again gives the same table.
     """
     if mode not in ("ensure", "reset"):
         raise ValueError(f"mode must be 'ensure' or 'reset' (got {mode!r})")
     fresh = (latest(new, key, order) if order else new.dropDuplicates([key])).persist()
     try:
         count = fresh.count()
-        if mode == "reset" or not _exists(spark, path):
-            _laid_out(fresh, partition).write.mode("overwrite").partitionBy(partition).parquet(path)
-            return count
-        if count == 0:
-            return 0
-        existing = spark.read.schema(fresh.schema).parquet(path)
-        touched = existing.join(fresh.select(partition).distinct(), partition, "left_semi")
-        merged = merge_upsert(touched, fresh, key)
-        _laid_out(merged, partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        version, content = versions.head(spark, path)
+        kept: dict[str, str] = {}
+        rows = fresh
+        if mode == "ensure" and version:
+            if count == 0:
+                return 0
+            kept = dict(content["parts"])
+            existing = read_index(spark, path, version)
+            touched = existing.join(fresh.select(partition).distinct(), partition, "left_semi")
+            rows = merge_upsert(touched, fresh.select(*existing.columns), key)
+        folder = versions.new_folder(path)
+        _laid_out(rows, partition).write.mode("errorifexists").partitionBy(partition).parquet(folder)
+        name = folder.rsplit("/", 1)[1]
+        kept.update(dict.fromkeys(versions.folders_in(spark, folder), name))
+        schema = StructType([f for f in rows.schema if f.name != partition] + [rows.schema[partition]])
+        versions.publish(spark, path, version + 1, {"parts": kept, "schema": schema.jsonValue()})
         return count
     finally:
         fresh.unpersist()
@@ -70,41 +98,28 @@ def _laid_out(df: DataFrame, partition: str) -> DataFrame:
     return df.hint("rebalance", F.col(partition))
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
 def nest_results(hits: DataFrame, key: str = "qid", depth: int | None = None) -> DataFrame:
     """One nested row per question: its hits ordered by rank (the first ``depth``, if given)."""
     h = hits if depth is None else hits.filter(F.col("rank") <= depth)
     return h.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("top"))
 
 
-def write_nested(nested: DataFrame, path: str) -> None:
-    """Write nested JSON and swap it in only when complete."""
+def write_nested(nested: DataFrame, path: str) -> int:
+    """Write nested JSON as the next version at ``path``; readers switch from the old result to the new one at once."""
     spark = nested.sparkSession
-    fs, target = _fs(spark, path)
-    staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
-    nested.write.mode("errorifexists").json(staged)
-    old = None
-    if fs.exists(target):
-        old = _fs(spark, f"{path.rstrip('/')}_old_{uuid.uuid4().hex}")[1]
-        fs.rename(target, old)
-    fs.rename(_fs(spark, staged)[1], target)
-    if old is not None:
-        fs.delete(old, True)
-
-
-def read_nested(spark: SparkSession, path: str, key_type: str = "string", id_type: str = "string", key: str = "qid") -> DataFrame:
+    version = versions.head(spark, path)[0] + 1
+    folder = versions.new_folder(path)
+    nested.write.mode("errorifexists").json(folder)
+    versions.publish(spark, path, version, {"folder": folder.rsplit("/", 1)[1]})
+    return version
+
+
+def read_nested(spark: SparkSession, path: str, key_type: str = "string", id_type: str = "string", key: str = "qid", version: int | None = None) -> DataFrame:
     """Nested result files back to flat hits, with an explicit schema."""
-    raw = spark.read.schema(f"{key} {key_type}, top array<struct<rank:bigint,chunk_id:{id_type},score:double>>").json(path)
+    found, content = versions.head(spark, path, version)
+    if not found:
+        raise FileNotFoundError(f"no results at {path}")
+    raw = spark.read.schema(f"{key} {key_type}, top array<struct<rank:bigint,chunk_id:{id_type},score:double>>").json(f"{path.rstrip('/')}/{content['folder']}")
     return raw.select(key, F.inline("top"))
 
 

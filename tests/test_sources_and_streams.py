@@ -95,7 +95,7 @@ CHUNKS = "chunk_id string, text string, version int, doc_urn string"
 def test_upsert_table(spark):
     path = scratch_path(spark, "index")
     make = lambda *r: ix.with_point_id(spark.createDataFrame(list(r), CHUNKS)).select("point_id", "chunk_id", "text", "version", "doc_urn")
-    read = lambda: [(r.chunk_id, r.text) for r in spark.read.parquet(path).orderBy("chunk_id").collect()]
+    read = lambda: [(r.chunk_id, r.text) for r in ix.read_index(spark, path).orderBy("chunk_id").collect()]
     first = make(("a__1", "x", 1, "a"), ("a__2", "y", 1, "a"), ("b__1", "z", 1, "b"))
     for _ in range(2):
         assert ix.upsert_index(spark, path, first) == 3
@@ -108,6 +108,41 @@ def test_upsert_table(spark):
         ix.upsert_index(spark, path, first, "other")
 
 
+def test_readers_see_whole_versions_only(spark, monkeypatch):
+    """A pinned reader, a crash before the head is in place, two writers from one version, dropping old versions."""
+    from pandekt.sources import versions
+
+    path = scratch_path(spark, "index")
+    make = lambda *r: ix.with_point_id(spark.createDataFrame(list(r), CHUNKS)).select("point_id", "chunk_id", "text", "version", "doc_urn")
+    texts = lambda df: sorted((r.chunk_id, r.text) for r in df.collect())
+    ix.upsert_index(spark, path, make(("a__1", "x", 1, "a"), ("b__1", "y", 1, "b/2 =")))
+    pinned = ix.read_index(spark, path)
+    ix.upsert_index(spark, path, make(("a__1", "x2", 2, "a")))
+    assert texts(pinned) == [("a__1", "x"), ("b__1", "y")] and texts(ix.read_index(spark, path)) == [("a__1", "x2"), ("b__1", "y")]
+
+    def crash(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "publish", crash)
+        with pytest.raises(OSError):
+            ix.upsert_index(spark, path, make(("a__1", "x3", 3, "a"), ("c__1", "z", 1, "c")))
+        nested = scratch_path(spark, "nested")
+        with pytest.raises(OSError):
+            ix.write_nested(ix.nest_results(spark.createDataFrame([("q", 1, "a", 0.5)], "qid string, rank bigint, chunk_id string, score double")), nested)
+        with pytest.raises(FileNotFoundError):
+            ix.read_nested(spark, nested)
+    assert texts(ix.read_index(spark, path)) == [("a__1", "x2"), ("b__1", "y")]
+    with monkeypatch.context() as m:
+        real = versions.head
+        m.setattr(versions, "head", lambda s, p, v=None: real(s, p, 1 if v is None else v))  # a writer that started from version 1
+        with pytest.raises(versions.VersionTaken):
+            ix.upsert_index(spark, path, make(("a__1", "late", 9, "a")))
+    assert texts(ix.read_index(spark, path)) == [("a__1", "x2"), ("b__1", "y")] and texts(ix.read_index(spark, path, 1)) == [("a__1", "x"), ("b__1", "y")]
+    assert versions.vacuum(spark, path, keep=1) == 2 and versions.versions(spark, path) == [2]
+    assert texts(ix.read_index(spark, path)) == [("a__1", "x2"), ("b__1", "y")]
+
+
 def test_nested_results(spark):
     hits = spark.createDataFrame([("q", 2, "b", 0.5), ("q", 1, "a", 0.7)], "qid string, rank bigint, chunk_id string, score double")
     path = scratch_path(spark, "nested")
