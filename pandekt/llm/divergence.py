@@ -29,6 +29,8 @@ TOP = 50
 #: Term ids of a block and groups of a block of groups: a task holds at most 2 * BLOCK_GROUPS * BLOCK_TERMS counts.
 BLOCK_TERMS = 4096
 BLOCK_GROUPS = 64
+#: Ids of a larger language are given in ranges by several tasks.
+RANGE_ROWS = 4096
 #: Counts a worker adds up before it hands them on.
 HELD = 300_000
 #: Pairs of groups walked at a time.
@@ -197,12 +199,12 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
     rows = term_counts(docs, lang, source, text).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     rows = rows.withColumn("seen", F.sum("docs").over(Window.partitionBy("lang", "term"))).filter(F.col("seen") >= min_docs)
     kept = cut(rows.select("lang", "source", "term", "n"), "term-counts")
-    terms = cut(row_positions(kept.groupBy("lang", "term").agg(F.sum("n").alias("total")), ["lang"], ["term"], "tid"), "terms")
+    terms = cut(row_positions(kept.groupBy("lang", "term").agg(F.sum("n").alias("total")), ["lang"], ["term"], "tid", RANGE_ROWS, 16 * RANGE_ROWS), "terms")
     sizes = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("total").alias("all_n"))
     known = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("group_n")), ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["group_n", "kept", "all_n"])
     known = known.join(groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")), "lang")
     smooth = F.col("kept") * SMOOTHING
-    known = cut(row_positions(known.withColumn("whole", F.col("group_n") + smooth).withColumn("all_whole", F.col("all_n") + smooth), ["lang"], ["source"], "gid"), "groups")
+    known = cut(row_positions(known.withColumn("whole", F.col("group_n") + smooth).withColumn("all_whole", F.col("all_n") + smooth), ["lang"], ["source"], "gid", RANGE_ROWS, 16 * RANGE_ROWS), "groups")
     cells = kept.join(known.select("lang", "source", "gid", "whole", "all_whole"), ["lang", "source"]).join(terms, ["lang", "term"])
     costs = group_distances(cells.select("lang", "gid", "tid", "n"), known.select("lang", "gid", "whole", "sources", "kept"))
     costs = costs.select("lang", F.explode(F.array(F.struct(F.col("g").alias("gid"), F.col("h").alias("other")), F.struct(F.col("h").alias("gid"), F.col("g").alias("other")))).alias("x"), "cost").select("lang", "x.*", "cost")
