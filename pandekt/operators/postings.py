@@ -55,16 +55,19 @@ def block_schema(id_type: DataType) -> str:
 def posting_blocks(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", doc_urn: str | None = "doc_urn", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Block table of ``chunks``. Shard names are drawn anew at every evaluation: write it before it is used twice."""
     urn = F.col(doc_urn).cast("string") if doc_urn else F.lit(None).cast("string")
-    w = chunks.select(F.col(chunk_id).alias("id"), urn.alias("urn"), words(F.col(text)).alias("w"))
-    schema = block_schema(w.schema["id"].dataType)
-    id_list, names = None, ["term", "shard", "n", "max_tf", "min_dl", "pos", "tf", "ids", "urns", "dls"]
+    return blocks_of_words(chunks.select(F.col(chunk_id).alias("id"), urn.alias("urn"), words(F.col(text)).alias("w")), shard_rows)
+
+
+def blocks_of_words(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Block table of (id, urn, w), where w lists the words of a chunk, repeats included."""
+    names = ["term", "shard", "n", "max_tf", "min_dl", "pos", "tf", "ids", "urns", "dls"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, shard_rows):
                 yield _one_shard(whole.slice(at, shard_rows), names)
 
-    return w.mapInArrow(run, schema)
+    return rows.select("id", "urn", "w").mapInArrow(run, block_schema(rows.schema["id"].dataType))
 
 
 def _one_shard(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
@@ -116,12 +119,12 @@ def only_words(blocks: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def search_blocks(questions: DataFrame, blocks: DataFrame, k: int, frequencies: DataFrame | None = None, stats: DataFrame | None = None,
-                  filtered: bool = False, digits: int = 6, question_rows: int = QUESTION_ROWS) -> DataFrame:
+                  filtered: bool = False, digits: int = 6, question_rows: int = QUESTION_ROWS, dead: DataFrame | None = None) -> DataFrame:
     """Best k chunks of every shard per question: (qid, chunk_id, score).
 
     ``questions`` has qid, want and terms. With ``filtered`` a question sees the
     chunks of the document ``want`` only (null: all), and shards without that
-    document are not visited for it.
+    document are not visited for it. ``dead`` (shard, dead: positions) hides chunks.
     """
     frequencies = block_frequencies(blocks) if frequencies is None else frequencies
     n_docs, total = (block_stats(blocks) if stats is None else stats).select("n_docs", "total").first()
@@ -146,7 +149,10 @@ def search_blocks(questions: DataFrame, blocks: DataFrame, k: int, frequencies:
     block = q.groupBy(F.col("qblock").alias("_q")).agg(F.collect_list(F.struct("qid", "want", "terms")).alias("qs"))
     right = own.withColumnRenamed("shard", "_s").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(block, "_q")
     # New names on this side: both come from the same tables.
-    right = right.select(F.col("_s").alias("own_shard"), F.col("_q").alias("own_block"), "ids", "urns", "dls", "qs")
+    hidden = F.lit(None).cast("array<int>").alias("dead")
+    if dead is not None:
+        right, hidden = right.join(dead.withColumnRenamed("shard", "_s"), "_s", "left"), F.col("dead")
+    right = right.select(F.col("_s").alias("own_shard"), F.col("_q").alias("own_block"), "ids", "urns", "dls", hidden, "qs")
     avgdl = total / n_docs
 
     def run(lists: pa.Table, shard: pa.Table) -> pa.Table:
@@ -196,6 +202,11 @@ class _Word:
 def _search_shard(lists: pa.Table, shard: pa.Table, row: int, k: int, n_docs: int, avgdl: float, filtered: bool, digits: int) -> tuple[list, list, list]:
     ids, dls = shard.column("ids")[row].as_py(), np.array(shard.column("dls")[row].as_py(), dtype=np.int64)
     urns = np.array(shard.column("urns")[row].as_py(), dtype=object) if filtered else None
+    gone = shard.column("dead")[row].as_py()
+    living = None
+    if gone:
+        living = np.ones(len(ids), dtype=bool)
+        living[gone] = False
     grouped: dict[str, dict] = {}
     pos_lists, tf_lists = lists.column("pos").combine_chunks(), lists.column("tf").combine_chunks()
     top, df = saturation(lists.column("max_tf").to_numpy(), lists.column("min_dl").to_numpy(), avgdl), lists.column("df").to_numpy()
@@ -210,11 +221,11 @@ def _search_shard(lists: pa.Table, shard: pa.Table, row: int, k: int, n_docs: in
         mine = sorted({t for t in q["terms"] if t in known})
         if not mine:
             continue
-        allowed = None
+        allowed = living
         if filtered and q["want"] is not None:
-            allowed = urns == q["want"]
-            if not allowed.any():
-                continue
+            allowed = (urns == q["want"]) if living is None else (urns == q["want"]) & living
+        if allowed is not None and not allowed.any():
+            continue
         by_bound = sorted(mine, key=lambda t: -known[t].bound)
         rest = np.r_[np.cumsum([known[t].bound for t in by_bound][::-1])[::-1], 0.0]
         scores, seen = np.zeros(len(ids)), None

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from pandekt.functions.ids import point_id
 from pandekt.operators.answers import verify_citations
 from pandekt.operators.fusion import stored
+from pandekt.operators.live_index import LiveIndex
 from pandekt.operators.search_index import build_index
 from pandekt.operators.sparse import sparse_topk
-from pandekt.plans.base import chunks
+from pandekt.plans.base import chunks, questions
 from pandekt.plans.registry import query
 from pandekt.plans.sqlbits import CHUNKS, QUESTIONS, bm25
 from pandekt.session import cut_lineage, scratch_path
@@ -77,6 +78,19 @@ def retrieve(t):
     return t.spark.read.parquet(path).select("qid", "rank", "chunk_id", "score")
 
 
+@query("s2_live_index", f"""WITH c0 AS (SELECT source || '__art_' || doc_id AS chunk_id, source AS doc_urn, doc_id, text FROM documents),
+chunks AS (SELECT chunk_id, doc_urn, CASE WHEN doc_id % 5 = 0 THEN text || ' ' || text || ' nuovo' ELSE text END AS text FROM c0 WHERE doc_id % 7 <> 3),
+{QUESTIONS},{bm25('hits', 10)} SELECT * FROM hits""")
+def live(t):
+    """Documents in three batches: all of them, longer versions of some, removal of some; one batch comes twice."""
+    c = chunks(t)
+    index = LiveIndex(t.spark, scratch_path(t.spark, "live-index"))
+    batches = [c, c.filter("doc_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" "), "text", F.lit(" nuovo"))), c.filter("doc_id % 7 = 3").withColumn("text", F.lit(None).cast("string"))]
+    for n in (0, 1, 1, 2):
+        index = index.upsert(batches[n], n)
+    return index.search(questions(t), 10)
+
+
 @query("s4_windowed_timings", """
 WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type, value FROM events)
 SELECT window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50 FROM w

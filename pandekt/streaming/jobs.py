@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from pandekt.operators.live_index import LiveIndex
 from pandekt.sources.index import upsert_index
 
 
@@ -161,6 +162,13 @@ def stream_upsert(stream: DataFrame, index_path: str, checkpoint: str, order: li
     run_batches(stream, handle, checkpoint)
 
 
+def stream_live_index(stream: DataFrame, index_path: str, checkpoint: str, order: list[str] | None = None) -> None:
+    """Micro-batches of chunks into a searchable index; the index knows the last batch it took in."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        LiveIndex(batch.sparkSession, index_path).upsert(batch, batch_id, order)
+    run_batches(stream, handle, checkpoint)
+
+
 def stream_retrieve(questions: DataFrame, search: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
     """Arriving questions against a static index.
 

@@ -233,3 +233,34 @@ def test_answers_go_on_after_a_restart(spark, tmp_path):
     add([("later", 0, "y", True, t0 + dt.timedelta(hours=2))])
     jobs.run_available(jobs.assemble_deltas(jobs.table_stream(spark, str(src), "*.parquet")), out, ck)
     assert {(r.request_id, r.complete) for r in spark.read.parquet(out).collect()} == {("long", True), ("later", True), ("short", False)}
+
+
+def test_live_index_equals_one_built_anew(spark, tmp_path):
+    """After every batch: replaced, added, removed and repeated chunks, a replayed batch, folding in between, a stream on top."""
+    import random
+
+    from pandekt.operators.live_index import LiveIndex
+    from pandekt.operators.sparse import sparse_topk
+
+    rng = random.Random(6)
+    draw = lambda: " ".join(rng.choices([f"w{i}" for i in range(30)], k=rng.randint(1, 25)))
+    schema = "chunk_id string, doc_urn string, text string, version int"
+    q = spark.createDataFrame([(i, f"w{i} w{i + 1} w{29 - i}", f"d{i % 3}" if i % 2 else None) for i in range(10)], "qid int, text string, want string")
+    truth, path = {}, str(tmp_path / "live")
+    index = LiveIndex(spark, path)
+    for n in range(4):
+        batch = [(f"c{rng.randrange(60)}", f"d{rng.randrange(3)}", draw() if rng.random() < 0.8 else None, v) for v in range(40)]
+        if n == 2:
+            batch = [(c, d, None, v) for c, d, _, v in batch]
+        truth.update({c: (d, t) for c, d, t, _ in batch})
+        df = spark.createDataFrame(batch, schema).repartition(3)
+        for _ in range(2):
+            index = index.upsert(df, n, ["version"], fold_after=2, shard_rows=16)
+        now = spark.createDataFrame([(c, d, t) for c, (d, t) in truth.items() if t is not None], "chunk_id string, doc_urn string, text string")
+        for want in (None, "want"):
+            assert rows(index.search(q, 5, want)) == rows(sparse_topk(q, now, 5, filter_doc=want))
+    assert len(index.folders) <= 2 and index.last_batch == 3
+    src = tmp_path / "in"
+    spark.createDataFrame([(f"s{i}", "d0", "w1 w2 neu", 0) for i in range(5)], schema).write.parquet(str(src))
+    jobs.stream_live_index(jobs.table_stream(spark, str(src), "*.parquet"), str(tmp_path / "other"), str(tmp_path / "ck"), ["version"])
+    assert LiveIndex(spark, str(tmp_path / "other")).search(spark.createDataFrame([(1, "neu")], "qid int, text string"), 3).count() == 3
