@@ -96,13 +96,25 @@ def stored(index: SearchIndex | None) -> dict[str, DataFrame]:
     return {} if index is None else {"postings": index.postings, "stats": index.stats, "frequencies": index.frequencies}
 
 
+def own_depth(hits: DataFrame, queries: DataFrame, depth: Column | None) -> DataFrame:
+    """Hits up to the depth of their question: a column of ``queries``, none for all."""
+    if depth is None:
+        return hits
+    return hits.join(queries.select("qid", depth.alias("_depth")), "qid").filter(F.col("rank") <= F.col("_depth")).drop("_depth")
+
+
 def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, filter_doc: str | None = None,
-                rrf_k: int = RRF_K, qvec: str = "vec", cvec: str = "vec", **sparse_options) -> DataFrame:
-    """Dense and BM25 arms, each max(2k, 1) deep, fused by reciprocal rank."""
-    depth = max(2 * k, 1)
-    dense = dense_topk(queries, chunks, depth, qvec=qvec, cvec=cvec, filter_doc=filter_doc).withColumn("source", F.lit("dense"))
-    sparse = sparse_topk(queries, chunks, depth, filter_doc=filter_doc, **sparse_options).withColumn("source", F.lit("sparse"))
-    return fuse(dense.unionByName(sparse), k, rrf_k)
+                rrf_k: int = RRF_K, qvec: str = "vec", cvec: str = "vec", depth: Column | None = None, **sparse_options) -> DataFrame:
+    """Dense and BM25 arms, each max(2k, 1) deep, fused by reciprocal rank.
+
+    With ``depth``, a column of at most k, a question has arms of twice its own
+    depth; all questions still share one search per arm.
+    """
+    arms = max(2 * k, 1)
+    dense = dense_topk(queries, chunks, arms, qvec=qvec, cvec=cvec, filter_doc=filter_doc).withColumn("source", F.lit("dense"))
+    sparse = sparse_topk(queries, chunks, arms, filter_doc=filter_doc, **sparse_options).withColumn("source", F.lit("sparse"))
+    both = own_depth(dense.unionByName(sparse), queries, None if depth is None else 2 * depth)
+    return own_depth(fuse(both, k, rrf_k), queries, depth)
 
 
 def check_arguments(k: int, mode: str, rerank_k: int | None) -> None:
@@ -117,7 +129,7 @@ def check_arguments(k: int, mode: str, rerank_k: int | None) -> None:
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "hybrid", rerank_k: int | None = None,
              edges: DataFrame | None = None, max_expansions: int = 5, filter_doc: str | None = None,
              aliases: dict[str, list[str]] | None = None, encoder=None, scorer: Scorer = overlap_f1,
-             rrf_k: int = RRF_K, index: SearchIndex | None = None) -> tuple[DataFrame, DataFrame | None]:
+             rrf_k: int = RRF_K, index: SearchIndex | None = None, depth: str | None = None, rerank_depth: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Answer many questions at once.
 
     queries(qid, text[, filter]), chunks(chunk_id, doc_urn, text[, vec]);
@@ -125,25 +137,32 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "hy
     one-hop expansions. Alias expansion of the question always comes first;
     ``aliases=None`` uses the default table, an empty one expands nothing.
     With a stored ``index`` the texts of ``chunks`` are read for reranking only.
+    ``depth`` names a question column with its own number of hits, at most k:
+    the result is that of a search per depth, from one search. ``rerank_depth``
+    is then how deep a question is searched before reranking, at most
+    ``rerank_k`` and at least its depth (default: ``rerank_k``).
     """
     from pandekt.operators.understanding import expand_terms
 
     check_arguments(k, mode, rerank_k)
     prepare(queries.sparkSession)
     q = queries.withColumn("text", expand_terms(F.col("text"), aliases))
-    depth = rerank_k if rerank_k is not None else k
+    own = None if depth is None else F.col(depth)
+    # Before reranking a question is searched at least ``rerank_k`` deep.
+    deep = k if rerank_k is None else rerank_k
+    first = own if own is None or rerank_k is None else F.greatest(own, F.lit(rerank_k if rerank_depth is None else rerank_depth))
     c = chunks if index is None else index.vectors.withColumn("text", F.lit(None).cast("string"))
     if mode != "sparse":
         q = q if "vec" in q.columns else embed(q, encoder=encoder)
         c = c if "vec" in c.columns else embed(c, encoder=encoder)
     if mode == "dense":
-        hits = dense_topk(q, c, depth, filter_doc=filter_doc)
+        hits = own_depth(dense_topk(q, c, deep, filter_doc=filter_doc), q, first)
     elif mode == "sparse":
-        hits = sparse_topk(q, c, depth, filter_doc=filter_doc, **stored(index))
+        hits = own_depth(sparse_topk(q, c, deep, filter_doc=filter_doc, **stored(index)), q, first)
     else:
-        hits = hybrid_topk(q, c, depth, filter_doc=filter_doc, rrf_k=rrf_k, **stored(index))
+        hits = hybrid_topk(q, c, deep, filter_doc=filter_doc, rrf_k=rrf_k, depth=first, **stored(index))
     if rerank_k is not None:
-        hits = rerank(hits, q, chunks, k, scorer)
+        hits = own_depth(rerank(hits, q, chunks, k, scorer), q, own)
     if edges is None:
         return hits, None
     # At most k rows per question: written once instead of retrieving again for every use.
@@ -151,6 +170,30 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 10, mode: str = "hy
     return hits, expand_one_hop(hits, edges, max_expansions)
 
 
+def _fanned(queries: DataFrame, glossary: DataFrame, subqueries: DataFrame, k_per_norm: int, k_global: int) -> DataFrame:
+    """Sub-queries of questions that name several laws: (key, source_pos, doc_urn, text, depth)."""
+    from pandekt.operators.understanding import fan_out
+
+    fanned = cut_lineage(fan_out(queries, glossary))
+    own = fanned.join(subqueries.select("qid", "norm_id", "text"), ["qid", "norm_id"]).withColumn("depth", F.lit(k_per_norm))
+    overall = fanned.filter(F.col("norm_id").isNull()).join(queries.select("qid", "text"), "qid").withColumn("depth", F.lit(k_global))
+    kept = [F.struct("qid", "source").alias("_key"), "source_pos", "doc_urn", "text", "depth"]
+    return own.select(*kept).unionByName(overall.select(*kept))
+
+
+def _search_fanned(asked: DataFrame, chunks: DataFrame, deepest: int, mode: str, rerank_k: int | None, options: dict) -> DataFrame:
+    """One search for all sub-queries, each in its own document and to its own depth."""
+    # The sub-query key travels as text, because search works on plain ids.
+    asked = cut_lineage(asked.select(F.to_json("_key").alias("qid"), "source_pos", "doc_urn", "text", "depth", "_key"))
+    deep = None if rerank_k is None else max(rerank_k, deepest)
+    if deep is not None:
+        # Each sub-query goes as deep before reranking as it would alone.
+        options = options | {"rerank_depth": rerank_k}
+    hits = retrieve(asked.select("qid", "text", "doc_urn", "depth"), chunks, deepest, mode, rerank_k=deep, filter_doc="doc_urn", depth="depth", **options)[0]
+    back = hits.withColumnRenamed("qid", "_sub").join(asked.select(F.col("qid").alias("_sub"), "source_pos", "_key"), "_sub")
+    return back.select("_key.qid", "_key.source", "source_pos", "rank", "chunk_id", "score")
+
+
 def cross_rankings(queries: DataFrame, chunks: DataFrame, glossary: DataFrame, subqueries: DataFrame, k_per_norm: int = 5,
                    k_global: int = 5, mode: str = "hybrid", rerank_k: int | None = None, **options) -> DataFrame:
     """Rankings of every sub-query of questions that name several laws.
@@ -160,42 +203,30 @@ def cross_rankings(queries: DataFrame, chunks: DataFrame, glossary: DataFrame, s
     its law, next to the unrestricted original question. A law whose
     sub-query has no text yet is left out (see ``resolve_completions``).
     """
-    from pandekt.operators.understanding import fan_out
-
-    fanned = cut_lineage(fan_out(queries, glossary))
-    own = fanned.join(subqueries.select("qid", "norm_id", "text"), ["qid", "norm_id"])
-    overall = fanned.filter(F.col("norm_id").isNull()).join(queries.select("qid", "text"), "qid")
-    key = F.struct("qid", "source").alias("_key")
-    asked = own.select(key, "source_pos", "doc_urn", "text").unionByName(overall.select(key, "source_pos", "doc_urn", "text"))
-    # The sub-query key travels as text, because search works on plain ids.
-    asked = asked.select(F.to_json("_key").alias("qid"), "source_pos", "doc_urn", "text", "_key")
-    # Each kind is searched to its own depth: the arms of a hybrid search prefetch a multiple of it.
-    found = [
-        retrieve(asked.filter(kind).select("qid", "text", "doc_urn"), chunks, k, mode, rerank_k=None if rerank_k is None else max(rerank_k, k), filter_doc="doc_urn", **options)[0]
-        for kind, k in ((F.col("_key.source") != "global", k_per_norm), (F.col("_key.source") == "global", k_global))
-    ]
-    hits = found[0].unionByName(found[1])
-    back = hits.withColumnRenamed("qid", "_sub").join(asked.select(F.col("qid").alias("_sub"), "source_pos", "_key"), "_sub")
-    return back.select("_key.qid", "_key.source", "source_pos", "rank", "chunk_id", "score")
+    asked = _fanned(queries, glossary, subqueries, k_per_norm, k_global)
+    return _search_fanned(asked, chunks, max(k_per_norm, k_global), mode, rerank_k, options)
 
 
 def retrieve_cross(queries: DataFrame, chunks: DataFrame, glossary: DataFrame, subqueries: DataFrame, k_per_norm: int = 5, k_global: int = 5,
                    k_final: int = 20, rrf_k: int = RRF_K, mode: str = "hybrid", rerank_k: int | None = None,
                    patterns: list[tuple[str, str]] | None = None, **options) -> DataFrame:
-    """Questions naming two or more laws are fanned out and fused, the others searched as they are."""
+    """Questions naming two or more laws are fanned out and fused, the others searched as they are.
+
+    Both kinds go into one search: the corpus is read once.
+    """
     from pandekt.operators.understanding import detect_entities, route
 
     for name, value in (("k_per_norm", k_per_norm), ("k_global", k_global), ("k_final", k_final), ("rrf_k", rrf_k)):
         if value <= 0:
             raise ValueError(f"{name} must be > 0 (got {value})")
     q = queries.select("qid", "text").withColumn("entities", detect_entities(F.col("text"), patterns))
-    q = q.withColumn("path", route(F.col("entities")))
-    multi = q.filter("path = 'multi'")
-    ranked = cross_rankings(multi, chunks, glossary, subqueries, k_per_norm, k_global, mode, rerank_k, **options)
-    fused = fuse_sources(ranked, k_final, rrf_k).withColumn("path", F.lit("multi"))
-    deep = None if rerank_k is None else max(rerank_k, k_final)
-    plain, _ = retrieve(q.filter("path = 'fallback'").select("qid", "text"), chunks, k_final, mode, rerank_k=deep, **options)
-    return fused.unionByName(plain.withColumn("path", F.lit("fallback")))
+    q = cut_lineage(q.withColumn("path", route(F.col("entities"))))
+    plain = q.filter("path = 'fallback'").select(F.struct("qid", F.lit("plain").alias("source")).alias("_key"), F.lit(0).alias("source_pos"), F.lit(None).cast("string").alias("doc_urn"), "text", F.lit(k_final).alias("depth"))
+    asked = _fanned(q.filter("path = 'multi'"), glossary, subqueries, k_per_norm, k_global).unionByName(plain)
+    ranked = cut_lineage(_search_fanned(asked, chunks, max(k_per_norm, k_global, k_final), mode, rerank_k, options))
+    fused = fuse_sources(ranked.filter("source <> 'plain'"), k_final, rrf_k).withColumn("path", F.lit("multi"))
+    alone = ranked.filter("source = 'plain'").select("qid", "rank", "chunk_id", "score").withColumn("path", F.lit("fallback"))
+    return fused.unionByName(alone)
 
 
 def compare_modes(hits: DataFrame, marks: DataFrame, setups: list[str], depth: int) -> DataFrame:
