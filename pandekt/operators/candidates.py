@@ -2,83 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pandekt.functions.ids import base_id
 from pandekt.functions.text import count_occurrences
 from pandekt.operators.ordered import top_k
+from pandekt.session import cut_lineage
+
+#: Characters of the grams through which pieces of terms find the words that hold them.
+GRAM = 4
+PIECES = r"[\s\x0B\p{Z}]+|[^\s\x0B\p{Z}]+"
 
-MAX_TERMS = 200_000
 
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of exactly ``size`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))
 
-def term_occurrences(chunks: DataFrame, terms: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
-                     term: str = "term", max_terms: int = MAX_TERMS) -> DataFrame:
-    """(chunk_id, term, n, n_words) for every term found in a chunk, without case.
 
-    All terms are searched in one pass over a text by a multi-pattern
-    automaton, which is sent to the tasks while there are at most
-    ``max_terms`` of them (checked with a limited count). Larger lists are
-    split by hash into several automata, each visiting the texts once.
+def term_occurrences(chunks: DataFrame, terms: DataFrame, chunk_id: str = "chunk_id", text: str = "text", term: str = "term") -> DataFrame:
+    """(chunk_id, term, n, n_words) for every term found in a chunk, without case and also inside words.
+
+    A join, so the number of terms doesn't matter: of every term the longest run
+    without (or of) white space must lie within one such run of a text. Those
+    runs of all texts, each once, meet the terms' runs by the rarest of its
+    grams; a run that holds one leads to its chunks, and only these (chunk,
+    term) pairs are counted in the text.
     """
     distinct = terms.select(F.lower(F.col(term)).alias("term")).filter(F.length("term") > 0).distinct()
-    n = distinct.limit(max_terms + 1).count()
-    if n > max_terms:
-        n = distinct.count()
-    passes = max(1, -(-n // max_terms))
-    base = chunks.select(
-        F.col(chunk_id).alias("chunk_id"), F.lower(F.col(text)).alias("_t"),
-        F.greatest(F.lit(1), F.size(F.filter(F.split(F.col(text), r"[\s\x0B\p{Z}]+"), lambda w: w != ""))).cast("long").alias("n_words"),
-    )
-    schema = base.select("chunk_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), "n_words").schema
-    out = None
-    for i in range(passes):
-        part = distinct if passes == 1 else distinct.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == i)
-        found = base.mapInArrow(_matcher([r[0] for r in part.toLocalIterator()]), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _matcher(words: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for i, w in enumerate(words):
-            auto.add_word(w, i)
-        if words:
-            auto.make_automaton()
-        for batch in batches:
-            ids, terms, counts, sizes = [], [], [], []
-            if words:
-                for cid, text, size in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "_t", "n_words"))):
-                    if not text:
-                        continue
-                    n: dict[int, int] = {}
-                    free: dict[int, int] = {}  # occurrences of one term must not overlap
-                    for end, i in auto.iter(text):
-                        start = end - len(words[i]) + 1
-                        if start >= free.get(i, 0):
-                            n[i] = n.get(i, 0) + 1
-                            free[i] = end + 1
-                    for i, c in n.items():
-                        ids.append(cid)
-                        terms.append(words[i])
-                        counts.append(c)
-                        sizes.append(size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field("chunk_id").type), pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())],
-                names=["chunk_id", "term", "n", "n_words"])
-    return run
+    base = chunks.select(F.col(chunk_id).alias("chunk_id"), F.lower(F.col(text)).alias("_t"))
+    held = base.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(PIECES), F.lit(0)))).alias("run"))
+    runs = cut_lineage(held.select("run").distinct())
+    longest = F.array_max(F.transform(F.regexp_extract_all("term", F.lit(PIECES), F.lit(0)), lambda p: F.struct(F.length(p).alias("n"), p.alias("piece"))))
+    pieces = cut_lineage(distinct.select("term", longest["piece"].alias("piece")))
+    # Short pieces are grams of their own length.
+    asked = pieces.select("piece").distinct().withColumn("size", F.least(F.length("piece"), F.lit(GRAM)))
+    sizes = sorted(r[0] for r in asked.select("size").distinct().collect())
+    if not sizes:
+        return base.select("chunk_id", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_words")).limit(0)
+    wanted = asked.select("piece", F.explode(_grams(F.col("piece"), F.col("size"))).alias("gram"))
+    grams = runs.select("run", F.explode(F.flatten(F.array(*[F.when(F.length("run") >= n, _grams(F.col("run"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]))).alias("gram"))
+    grams = cut_lineage(grams.join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A piece with a gram that no run has occurs nowhere.
+    rarest = wanted.join(often, "gram", "left").groupBy("piece").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).filter("g.n > 0").select("piece", F.col("g.gram").alias("gram"))
+    met = rarest.join(grams, "gram").filter(F.col("run").contains(F.col("piece"))).select("piece", "run")
+    found = held.join(met, "run").join(pieces, "piece").select("chunk_id", "term").distinct()
+    # The narrow pairs are written, so that Spark knows their size before it joins the texts.
+    sized = base.withColumn("n_words", F.greatest(F.lit(1), F.size(F.filter(F.split("_t", r"[\s\x0B\p{Z}]+"), lambda w: w != ""))).cast("long"))
+    counted = cut_lineage(found).join(sized, "chunk_id").select("chunk_id", "term", count_occurrences(F.col("_t"), F.col("term")).alias("n"), "n_words")
+    return counted.filter("n > 0")
 
 
 def term_frequency_rank(chunks: DataFrame, terms: DataFrame, n: int = 10, qid: str = "qid", term: str = "term",
-                        digits: int = 9, **options) -> DataFrame:
+                        digits: int = 9) -> DataFrame:
     """Top ``n`` chunks per (question, term) by occurrences per word."""
     wanted = terms.select(F.col(qid).alias("qid"), F.col(term).alias("_shown"), F.lower(F.col(term)).alias("term"))
-    found = term_occurrences(chunks, terms, term=term, **options)
+    found = term_occurrences(chunks, terms, term=term)
     scored = found.withColumn("score", F.round(F.col("n") / F.col("n_words"), digits))
     # Rank once per distinct term, then attach the questions asking for it.
     ranked = top_k(scored, ["term"], [F.desc("score"), F.desc("n"), F.asc("chunk_id")], n)
