@@ -118,14 +118,47 @@ def lint_citations(entries: DataFrame, kind: str = "query_type", n_gold: str = "
     return entries.select(*keep, F.explode(problems).alias("problem"))
 
 
+STEPS = ["retrieval_ms", "generate_ms", "verify_ms"]
+
+
 def batch_responses(queries: DataFrame, hits: DataFrame, chunks: DataFrame, recorded: DataFrame,
-                    expansions: DataFrame | None = None) -> DataFrame:
+                    expansions: DataFrame | None = None, times: DataFrame | None = None) -> DataFrame:
     """Question to verified answer in one row.
 
-    recorded(qid, text, generate_ms) holds the completions; questions without
-    one keep null answers and are the ones to send to a live generator.
+    recorded(qid, text, generate_ms, ...) holds the completions; questions without
+    one keep null answers and are the ones to send to a live generator. Its
+    other columns (model, token counts, ...) come back as ``generation_meta``.
+    times(qid, retrieval_ms, verify_ms) are the steps measured elsewhere.
+    ``timings_ms`` holds the three steps and their total; a step without a
+    time is null and adds nothing.
     """
     prompts = context_prompt(queries, hits, chunks, expansions)
-    done = prompts.join(recorded.select("qid", F.trim("text").alias("answer"), "generate_ms"), "qid", "left")
+    more = [c for c in recorded.columns if c not in ("qid", "text", "generate_ms")]
+    meta = F.struct(*more).alias("generation_meta") if more else F.lit(None).cast("string").alias("generation_meta")
+    done = prompts.join(recorded.select("qid", F.trim("text").alias("answer"), "generate_ms", meta), "qid", "left")
+    if times is not None:
+        done = done.join(times.select("qid", "retrieval_ms", "verify_ms"), "qid", "left")
+    else:
+        done = done.withColumns({c: F.lit(None).cast("double") for c in ("retrieval_ms", "verify_ms")})
     checked = verify_citations(done.join(contexts(hits, expansions), "qid", "left"))
-    return checked.withColumn("timings_ms", F.create_map(F.lit("generate_ms"), F.col("generate_ms").cast("double"))).drop("context", "generate_ms")
+    total = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in STEPS), F.lit(0.0))
+    pairs = [x for c in STEPS for x in (F.lit(c), F.col(c).cast("double"))]
+    return checked.withColumn("timings_ms", F.create_map(*pairs, F.lit("total_ms"), total)).drop("context", *STEPS)
+
+
+def respond(queries: DataFrame, chunks: DataFrame, glossary: DataFrame, subqueries: DataFrame, recorded: DataFrame, generator=None,
+            schema: str = "qid string, text string, generate_ms double", times: DataFrame | None = None, **options) -> DataFrame:
+    """Questions to verified answers, retrieval included.
+
+    Questions naming several laws are searched law by law and fused, others as
+    they are (see ``retrieve_cross``). Questions without a recorded completion go
+    to ``generator``, which maps batches of (qid, prompt) to rows of ``schema``.
+    """
+    from pandekt.operators.fusion import retrieve_cross
+    from pandekt.operators.understanding import generate
+
+    hits = cut_lineage(retrieve_cross(queries, chunks, glossary, subqueries, **options).select("qid", "rank", "chunk_id", "score"))
+    if generator is not None:
+        pending = context_prompt(queries, hits, chunks).select("qid", "prompt").join(recorded.select("qid"), "qid", "left_anti")
+        recorded = recorded.select("qid", "text", "generate_ms").unionByName(cut_lineage(generate(pending, generator, schema)))
+    return batch_responses(queries, hits, chunks, recorded, times=times)

@@ -95,10 +95,16 @@ rec AS (SELECT 'B' || item_id AS qid, 'Vedi [cite:' || source || '__art_' || doc
 z AS (SELECT pm.qid, n_hits, md5(prompt) AS prompt_digest, answer, regexp_extract(answer, 'cite:([^]]+)', 1) AS c FROM pm LEFT JOIN rec USING (qid)),
 k AS (SELECT z.*, EXISTS (SELECT 1 FROM hits h WHERE h.qid = z.qid AND h.chunk_id = z.c) AS ok FROM z)
 SELECT qid, n_hits, prompt_digest, answer, replace(CASE WHEN ok THEN answer ELSE replace(answer, c || ']', c || ' NON VERIFICATA]') END, '].', ' NON VERIFICATA].') AS annotated,
-  CAST(2 AS BIGINT) AS n_total, CAST(ok AS BIGINT) AS n_verified, FALSE AS all_verified FROM k""")
+  CAST(2 AS BIGINT) AS n_total, CAST(ok AS BIGINT) AS n_verified, FALSE AS all_verified,
+  length(text) / 4.0::DOUBLE AS retrieval_ms, CASE WHEN answer IS NULL THEN NULL ELSE 12.5::DOUBLE END AS generate_ms, 0.5::DOUBLE AS verify_ms,
+  length(text) / 4.0::DOUBLE + CASE WHEN answer IS NULL THEN 0 ELSE 12.5::DOUBLE END + 0.5::DOUBLE AS total_ms,
+  CASE WHEN answer IS NULL THEN NULL ELSE length(answer)::INTEGER END AS n_chars FROM k JOIN questions USING (qid)""")
 def responses(t):
     q, c = questions(t), pathed(t)
     rec = q.select("qid", "item_id").join(c.select(F.col("doc_id").alias("item_id"), "chunk_id", "lang"), "item_id").select(
         "qid", F.concat(F.lit(" Vedi [cite:"), "chunk_id", F.lit("] e [cite:"), "lang", F.lit("]. ")).alias("text"), F.lit(12.5).alias("generate_ms"))
-    r = an.batch_responses(q, cut_lineage(sparse_topk(q, c, 5)), c, rec)
-    return r.select("qid", "n_hits", F.md5(F.col("prompt").cast("binary")).alias("prompt_digest"), "answer", "annotated", "n_total", "n_verified", "all_verified")
+    times = q.select("qid", (F.length("text") / 4).alias("retrieval_ms"), F.lit(0.5).alias("verify_ms"))
+    r = an.batch_responses(q, cut_lineage(sparse_topk(q, c, 5)), c, rec.withColumn("n_chars", F.length(F.trim("text"))), times=times)
+    steps = [F.col("timings_ms")[s].alias(s) for s in [*an.STEPS, "total_ms"]]
+    r = r.select("*", *steps, F.col("generation_meta.n_chars").alias("n_chars"))
+    return r.select(*an.STEPS, "total_ms", "n_chars", "qid", "n_hits", F.md5(F.col("prompt").cast("binary")).alias("prompt_digest"), "answer", "annotated", "n_total", "n_verified", "all_verified")

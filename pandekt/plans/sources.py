@@ -92,11 +92,21 @@ def html_articles(t):
 @query("a4_html_text_without_noise", rf"""
 WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<script(\s[^>]*)?>.*?</script\s*>', '', 'g'), '(?is)<style(\s[^>]*)?>.*?</style\s*>', '', 'g'), '(?is)<nav(\s[^>]*)?>.*?</nav\s*>', '', 'g') AS h FROM a),
-c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)<(div|p|span)\s[^>]*class="ad"[^>]*>.*?</(div|p|span)\s*>', '', 'g'), '(?s)<[^>]*>', ' ', 'g') AS h FROM b),
-d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(h, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS h FROM c)
+c AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)<(div|p|span)\s[^>]*class="ad"[^>]*>.*?</(div|p|span)\s*>', '', 'g'), '(?s)<[^>]*>', '', 'g') AS h FROM b),
+d AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g') AS h FROM c)
 SELECT page_id, trim(regexp_replace(h, '{SPACE}', ' ', 'g')) AS text FROM d""")
 def html_text(t):
-    return t.pages.select("page_id", mk.html_text(F.col("html")).alias("text"))
+    return t.pages.select("page_id", mk.html_text(F.col("html"), noise_classes=("ad",)).alias("text"))
+
+
+@query("a4_nested_noise", r"""
+SELECT doc_id, trim(regexp_replace('Art. ' || doc_id || ' ' || source || 're' || source || lang || ' end ' || lang, '[\s\x0B\p{Z}]+', ' ', 'g')) AS text FROM documents""")
+def nested_noise(t):
+    """Pages made of the documents' columns: inline tags inside words, noise in noise, comments, void and unclosed elements."""
+    d = t.documents.select("doc_id", F.col("doc_id").cast("string").alias("n"), "source", "lang")
+    page = F.concat(F.lit("<html><body><h1>Art. "), "n", F.lit("</h1> <p>"), "source", F.lit("re<i>"), "source", F.lit("</i><!-- no -->"), "lang",
+                    F.lit('</p><div class="x modified">out<div>in <span class="modified">deep</span></div>out<br></div><script>if (a < b) { "<p>" }</script> <ul><li>end<nav><p>menu</nav>&nbsp;'), "lang", F.lit("</body>"))
+    return d.select("doc_id", mk.html_text(page, noise_classes=("modified",)).alias("text"))
 
 
 @query("a5_numbered_units", f"""WITH dl AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)

@@ -57,12 +57,19 @@ def test_unclosed_lists_and_tables(spark):
 
 def test_html_text_keeps_what_is_no_noise(spark):
     d = spark.createDataFrame([('<div class="ad"><p>x</p> pubblicita</div>a<p class="ad big">y</p>b<p class="advice">c</p>',)], "h string")
-    assert d.select(mk.html_text(F.col("h"))).first()[0] == "a b c".replace("a b", "ab")
+    assert d.select(mk.html_text(F.col("h"), noise_classes=("ad",))).first()[0] == "abc"
 
 
 def test_html_text(spark):
     d = spark.createDataFrame([('a<script>x</script>b <div class="ad">no</div>c&nbsp;d &amp;lt; <!-- z -->e',)], "h string")
-    assert d.select(mk.html_text(F.col("h"))).first()[0] == "ab c d &lt; e"
+    assert d.select(mk.html_text(F.col("h"), noise_classes=("ad",))).first()[0] == "ab c d &lt; e"
+
+
+def test_html_text_joins_words_and_drops_nested_noise(spark):
+    cases = [('<p>re<i>cital</i></p><div class="ad">x<div>y</div>leak</div>', "recital"), ('a<div class="b ad c">x<p class="ad">y</p><br>z</div> tail', "a tail"), (None, None), ("", ""),
+             ("<div class='ad'>never closed", ""), ("x &amp; y<img src=a>z</b>", "x & yz"), ('<div class="added">kept</div>', "kept"), ("<ul><li class=ad>one<li>two</ul>", "two")]
+    d = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string")
+    assert [r[0] for r in d.orderBy("i").select(mk.html_text(F.col("h"), noise_classes=("ad",))).collect()] == [t for _, t in cases]
 
 
 def test_content_gate(spark):
