@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from pandekt.operators import keys as ky
 from pandekt.operators import understanding as u
 from pandekt.plans.base import chunks, questions
 from pandekt.operators.fusion import cross_rankings, retrieve_cross
 from pandekt.plans.registry import query
-from pandekt.plans.sqlbits import CHUNKS, bm25
+from pandekt.plans.sqlbits import CHUNKS, WORD, bm25
 
 # Aliases and patterns over words of the data.
 ALIASES = {
@@ -186,3 +187,59 @@ def cross_trace(t):
     _, e, sub = cross_parts(t)
     multi = e.filter(F.size("entities") >= 2)
     return cross_rankings(multi, chunks(t), glossary(t), sub, mode="sparse").select("qid", "source", "rank", "chunk_id", "score")
+
+
+# ------------------------------------------------------- keys as tables
+
+PART_KEYS = f"""
+tx AS (SELECT p_partkey AS qid, 'Have ' || p_name || ' ' || p_partkey || ', or ' || upper(p_name) || ' ' || (p_partkey + 64) || '; ' || p_brand || '!' AS text FROM part),
+ky AS (SELECT p_partkey AS alias_pos, p_name || ' ' || p_partkey AS key, [p_type, p_name, p_brand || ' of ' || p_type] AS forms FROM part
+  UNION ALL SELECT -1 - min(p_size), p_brand, ['brand', 'BRAND', min(p_type)] FROM part GROUP BY p_brand),
+tw AS (SELECT qid, text, ' ' || array_to_string(regexp_extract_all(lower(text), '{WORD}'), ' ') || ' ' AS w FROM tx),
+kw AS (SELECT alias_pos, key, forms, ' ' || array_to_string(regexp_extract_all(lower(key), '{WORD}'), ' ') || ' ' AS k FROM ky),
+met AS (SELECT qid, text, alias_pos, key, forms FROM tw JOIN kw ON contains(w, k))"""
+
+
+def part_keys(t):
+    """Texts naming two parts and a brand, and a key for every part and brand with its alias forms."""
+    p = t.part
+    n, text = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    texts = p.select(n.alias("qid"), F.concat(F.lit("Have "), "p_name", F.lit(" "), text("p_partkey"), F.lit(", or "), F.upper("p_name"), F.lit(" "), (n + 64).cast("string"), F.lit("; "), "p_brand", F.lit("!")).alias("text"))
+    own = p.select(n.cast("long").alias("alias_pos"), F.concat("p_name", F.lit(" "), text("p_partkey")).alias("key"), F.array("p_type", "p_name", F.concat("p_brand", F.lit(" of "), "p_type")).alias("forms"))
+    brands = p.groupBy("p_brand").agg((-1 - F.min("p_size")).cast("long").alias("alias_pos"), F.array(F.lit("brand"), F.lit("BRAND"), F.min("p_type")).alias("forms"))
+    return texts, own.unionByName(brands.select("alias_pos", F.col("p_brand").alias("key"), "forms"))
+
+
+@query("c1_alias_table", f"""WITH {PART_KEYS},
+f AS (SELECT DISTINCT qid, text, alias_pos, generate_subscripts(forms, 1) AS form_pos, unnest(forms) AS form FROM met),
+n AS (SELECT *, row_number() OVER (PARTITION BY qid, lower(form) ORDER BY alias_pos, form_pos, form) AS i FROM f WHERE NOT contains(lower(text), lower(form)))
+SELECT tx.qid, concat_ws(' ', tx.text, string_agg(form, ' ' ORDER BY alias_pos, form_pos, form)) AS expanded FROM tx LEFT JOIN n ON n.qid = tx.qid AND n.i = 1 GROUP BY tx.qid, tx.text""")
+def alias_table(t):
+    return ky.expand_terms_by(*part_keys(t))
+
+
+@query("c2_name_table", f"""WITH {PART_KEYS}, e AS (SELECT qid, key, min(alias_pos) AS p FROM met GROUP BY ALL)
+SELECT tx.qid, coalesce(string_agg(key, '|' ORDER BY p, key), '') AS entities FROM tx LEFT JOIN e USING (qid) GROUP BY tx.qid""")
+def name_table(t):
+    texts, keys = part_keys(t)
+    names = keys.select(F.col("alias_pos").alias("entity_pos"), F.col("key").alias("entity"), F.col("key").alias("name"))
+    return ky.detect_entities_by(texts, names).withColumn("entities", F.array_join("entities", "|"))
+
+
+@query("c6_generate", """
+WITH p AS (SELECT conv_id, turn + 1 AS turn, text AS prompt FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0)
+SELECT conv_id, turn, CASE WHEN r.text IS NULL THEN 'Echo: ' || substr(prompt, 1, 40) ELSE trim(r.text) END AS completion, r.text IS NULL AS generated FROM p LEFT JOIN r USING (conv_id, turn)""")
+def generated(t):
+    """Two thirds of the completions are not recorded and come from a generator that repeats the prompt."""
+    c = t.conversations
+    p = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    r = c.filter("role = 'assistant' AND conv_id % 3 = 0").select("conv_id", "turn", "text")
+    done = u.resolve_completions(p, r, ["conv_id", "turn"])
+
+    def echo(batches):
+        for pdf in batches:
+            yield pdf.assign(completion="Echo: " + pdf["prompt"].fillna("").str[:40])[["conv_id", "turn", "completion"]]
+
+    live = u.generate(done.filter("pending").select("conv_id", "turn", "prompt"), echo, "conv_id bigint, turn bigint, completion string")
+    return done.filter("NOT pending").select("conv_id", "turn", "completion", F.lit(False).alias("generated")).unionByName(live.withColumn("generated", F.lit(True)))

@@ -310,3 +310,36 @@ def test_terms_inside_words_over_words_and_of_white_space(spark):
     got = cd.term_occurrences(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
     assert {(r.chunk_id, r.term, r.n) for r in got.collect()} == want and got.count() == len(want)
     assert cd.term_occurrences(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string"), spark.createDataFrame([("",)], "term string")).count() == 0
+
+
+def test_key_tables(spark):
+    from pandekt.operators import keys as ky
+
+    t = spark.createDataFrame([(1, "Cos'è la FRIA? Scoring creditizio!"), (2, "frialdo e scoring-creditizio, DPIA"), (3, ""), (4, None), (5, "fria: Merito di Credito")], "qid long, text string")
+    a = spark.createDataFrame([(0, "FRIA", ["valutazione"]), (1, "scoring creditizio", ["merito di credito", "Valutazione"]), (2, "...", ["mai"]), (3, "credito", ["valutazione", "prestito"])], "alias_pos int, key string, forms array<string>")
+    got = {r.qid: r.expanded for r in ky.expand_terms_by(t, a).collect()}
+    assert got == {1: "Cos'è la FRIA? Scoring creditizio! valutazione merito di credito", 2: "frialdo e scoring-creditizio, DPIA merito di credito Valutazione", 3: "", 4: None,
+                   5: "fria: Merito di Credito valutazione prestito"}
+    n = spark.createDataFrame([(0, "x", "scoring creditizio"), (1, "y", "fria"), (2, "x", "dpia")], "entity_pos int, entity string, name string")
+    assert {r.qid: r.entities for r in ky.detect_entities_by(t, n).collect()} == {1: ["x", "y"], 2: ["x"], 3: [], 4: [], 5: ["y"]}
+
+
+def test_respond_from_question_to_verified_answer(spark, corpus):
+    from pandekt.operators.answers import respond
+
+    _, c = corpus
+    q = spark.createDataFrame([("Q1", "GDPR e AI Act: norma ente"), ("Q2", "GDPR norma ente")], "qid string, text string")
+    g = spark.createDataFrame([("gdpr", "d1"), ("ai_act", "d2")], "norm_id string, doc_urn string")
+    sub = spark.createDataFrame([("Q1", "gdpr", "norma"), ("Q1", "ai_act", "ente")], "qid string, norm_id string, text string")
+    rec = spark.createDataFrame([("Q1", "Vedi [cite:mai].", 5.0)], "qid string, text string, generate_ms double")
+
+    def live(batches):
+        for pdf in batches:
+            yield pdf.assign(text="Nulla.", generate_ms=7.0)[["qid", "text", "generate_ms"]]
+
+    times = spark.createDataFrame([("Q1", 1.0, 2.0)], "qid string, retrieval_ms double, verify_ms double")
+    c = c.withColumn("hierarchy_path", F.array("doc_urn"))
+    got = {r.qid: r for r in respond(q, c, g, sub, rec, live, times=times, mode="sparse").collect()}
+    assert (got["Q1"].n_total, got["Q1"].n_verified, got["Q2"].answer) == (1, 0, "Nulla.")
+    assert got["Q1"].timings_ms == {"retrieval_ms": 1.0, "generate_ms": 5.0, "verify_ms": 2.0, "total_ms": 8.0}
+    assert got["Q2"].timings_ms == {"retrieval_ms": None, "generate_ms": 7.0, "verify_ms": None, "total_ms": 7.0} and got["Q1"].n_hits > 0
