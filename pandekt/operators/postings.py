@@ -160,6 +160,11 @@ def search_blocks(questions: DataFrame, blocks: DataFrame, k: int, frequencies:
         qids, ids, scores = (sum((f[j] for f in found), []) for j in range(3)) if found else ([], [], [])
         return pa.table({"qid": pa.array(qids, shard.schema.field("qs").type.value_type.field("qid").type), "chunk_id": pa.array(ids, shard.schema.field("ids").type.value_type), "score": pa.array(scores, pa.float64())})
 
+    # Searching a shard takes far longer than its few MB suggest: without a number adaptive execution would put many into one task.
+    spark = questions.sparkSession
+    groups = parts * own.count()
+    n = max(1, min(2 * groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
+    left, right = left.repartition(n, "shard", "qblock"), right.repartition(n, "own_shard", "own_block")
     return left.groupBy("shard", "qblock").cogroup(right.groupBy("own_shard", "own_block")).applyInArrow(run, schema)
 
 
