@@ -9,6 +9,8 @@ from pandekt.plans.base import chunks, lines, order_hits, ORDER_HITS_SQL
 from pandekt.plans.registry import query
 from pandekt.plans.sqlbits import CHUNKS, SPACE
 from pandekt.plans.structure import STRIP
+from pandekt.session import scratch_path
+from pandekt.sources import archive as ar
 from pandekt.sources import index as ix
 from pandekt.sources import manifest as mf
 from pandekt.sources import markup as mk
@@ -21,6 +23,17 @@ def manifest(t):
     return mf.scan_manifest(m, t.documents.select(F.col("source").alias("key"))).select("key", "title", "status", "n_rows")
 
 
+@query("a1_archive_members", """SELECT source AS archive, 'd' || doc_id || '.txt' AS member, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest, CAST(NULL AS VARCHAR) AS error FROM documents""")
+def archive_members(t):
+    """Documents packed into archives by source, then read back by byte range through the data source."""
+    folder = scratch_path(t.spark, "archives")
+    d = t.documents.select("source", F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("raw"))
+    ar.write_archives(d.repartition("source"), folder, "member", "raw").count()
+    ar.index_archives(t.spark, folder)
+    rows = ar.read_archives(t.spark, folder, 1 << 16)
+    return rows.select(F.split_part("member", F.lit("/"), F.lit(1)).alias("archive"), F.split_part("member", F.lit("/"), F.lit(2)).alias("member"), "size", F.md5("raw").alias("digest"), "error")
+
+
 def xml_documents(t):
     """Documents as law XML: one chapter per text, its lines as numbered paragraphs.
 

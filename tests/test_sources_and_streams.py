@@ -271,3 +271,41 @@ def test_live_index_equals_one_built_anew(spark, tmp_path):
     spark.createDataFrame([(f"s{i}", "d0", "w1 w2 neu", 0) for i in range(5)], schema).write.parquet(str(src))
     jobs.stream_live_index(jobs.table_stream(spark, str(src), "*.parquet"), str(tmp_path / "other"), str(tmp_path / "ck"), ["version"])
     assert LiveIndex(spark, str(tmp_path / "other")).search(spark.createDataFrame([(1, "neu")], "qid int, text string"), 3).count() == 3
+
+
+def test_archive_members_and_broken_ones(spark, tmp_path):
+    """Ranges of any width, a member with a flipped byte, a cut archive, one that is no archive; the stream takes in new ones."""
+    import zipfile
+
+    from pandekt.sources import archive as ar
+
+    folder = tmp_path / "zips"
+    folder.mkdir()
+    texts = {f"m{i}.xml": (f"<x>{i}</x>" * (1 + i * 7)).encode() for i in range(30)}
+
+    def make(name, members):
+        with zipfile.ZipFile(folder / name, "w", zipfile.ZIP_DEFLATED) as z:
+            for m in members:
+                z.writestr(m, texts[m])
+
+    make("a.zip", list(texts)[:20])
+    make("b.zip", list(texts)[20:])
+    with zipfile.ZipFile(folder / "b.zip") as z:
+        broken = z.infolist()[3]
+    data = bytearray((folder / "b.zip").read_bytes())
+    data[broken.header_offset + 30 + len(broken.filename) + 2] ^= 0xFF
+    (folder / "b.zip").write_bytes(data)
+    (folder / "c.zip").write_bytes((folder / "a.zip").read_bytes()[:200])
+    assert {r.archive[-5:]: r.n_members for r in ar.index_archives(spark, str(folder)).collect()} == {"a.zip": 20, "b.zip": 10, "c.zip": 1}
+    assert ar.index_archives(spark, str(folder)).count() == 0
+    for width in (50, 1000, 1 << 25):
+        got = ar.read_archives(spark, str(folder), width).collect()
+        assert {r.member: bytes(r.raw) for r in got if r.error is None} == {m: t for m, t in texts.items() if m != broken.filename}
+        assert sorted((r.archive[-5:], r.member) for r in got if r.error is not None) == [("b.zip", broken.filename), ("c.zip", None)]
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    jobs.run_available(ar.read_archives(spark, str(folder), stream=True).select("archive", "member"), out, ck)
+    assert spark.read.parquet(out).count() == 31
+    make("d.zip", list(texts)[:2])
+    ar.index_archives(spark, str(folder))
+    jobs.run_available(ar.read_archives(spark, str(folder), stream=True).select("archive", "member"), out, ck)
+    assert spark.read.parquet(out).groupBy("archive").count().count() == 4 and spark.read.parquet(out).count() == 33
