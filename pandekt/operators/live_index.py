@@ -31,25 +31,27 @@ class LiveIndex:
         self.spark, self.path = spark, path.rstrip("/")
         self.version, content = versions.head(spark, path, version)
         self.folders: list[str] = content.get("folders", [])
-        self.last_batch: int = content.get("last_batch", -1)
+        #: Last batch taken in from every stream that writes here.
+        self.last_batch: dict[str, int] = content.get("last_batch", {})
 
     def _read(self, part: str) -> DataFrame | None:
         frames = [self.spark.read.parquet(f"{self.path}/{f}/{part}") for f in self.folders]
         return reduce(DataFrame.unionByName, frames) if frames else None
 
-    def upsert(self, batch: DataFrame, batch_id: int | None = None, order: list[str] | None = None, fold_after: int = FOLD_AFTER, shard_rows: int = SHARD_ROWS) -> LiveIndex:
+    def upsert(self, batch: DataFrame, batch_id: int | None = None, order: list[str] | None = None, fold_after: int = FOLD_AFTER, shard_rows: int = SHARD_ROWS, source: str = "") -> LiveIndex:
         """Take in chunks (chunk_id, doc_urn, text); a known id is replaced, a null text removes the chunk.
 
-        A batch id that was taken in already changes nothing, so a stream may
-        deliver a batch again. Of rows with one id the last by ``order`` counts.
+        A batch id that was taken in from ``source`` already changes nothing, so a
+        stream may deliver a batch again; its checkpoint names the source. Of rows
+        with one id the last by ``order`` counts.
         """
-        if batch_id is not None and batch_id <= self.last_batch:
+        if batch_id is not None and batch_id <= self.last_batch.get(source, -1):
             return self
         fresh = top_k(batch, ["chunk_id"], [F.desc(c) for c in order], 1, "_i") if order else batch.dropDuplicates(["chunk_id"])
         fresh = cut_lineage(fresh.select("chunk_id", F.col("doc_urn").cast("string").alias("doc_urn"), words(F.col("text")).alias("w"), F.col("text").isNull().alias("gone")))
         alive = self._alive()
         old = None if alive is None else cut_lineage(alive.join(fresh.select("chunk_id"), "chunk_id", "left_semi"))
-        self._add(fresh.filter(~F.col("gone")), old, [*self.folders], batch_id, shard_rows)
+        self._add(fresh.filter(~F.col("gone")), old, [*self.folders], self.last_batch if batch_id is None else self.last_batch | {source: batch_id}, shard_rows)
         grown = LiveIndex(self.spark, self.path)
         return grown.fold(shard_rows) if len(grown.folders) > fold_after else grown
 
@@ -58,7 +60,7 @@ class LiveIndex:
         forward = self._read("forward")
         return None if forward is None else forward.join(self._read("dead"), ["shard", "pos"], "left_anti")
 
-    def _add(self, chunks: DataFrame, old: DataFrame | None, folders: list[str], batch_id: int | None, shard_rows: int) -> None:
+    def _add(self, chunks: DataFrame, old: DataFrame | None, folders: list[str], taken: dict[str, int], shard_rows: int) -> None:
         spark, folder = self.spark, versions.new_folder(self.path)
         blocks = cut_lineage(blocks_of_words(chunks.select(F.col("chunk_id").alias("id"), F.col("doc_urn").alias("urn"), "w"), shard_rows))
         write_postings(blocks, f"{folder}/postings")
@@ -74,14 +76,13 @@ class LiveIndex:
         changes.write.parquet(f"{folder}/frequencies")
         size = lambda rows, sign: rows.select(F.lit(sign).cast("long").alias("n_docs"), (F.col("dl") * sign).cast("long").alias("total"))
         size(forward, 1).unionByName(size(old, -1)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "total")]).write.parquet(f"{folder}/stats")
-        last = self.last_batch if batch_id is None else batch_id
-        versions.publish(spark, self.path, self.version + 1, {"folders": [*folders, folder.rsplit("/", 1)[1]], "last_batch": last})
+        versions.publish(spark, self.path, self.version + 1, {"folders": [*folders, folder.rsplit("/", 1)[1]], "last_batch": taken})
 
     def fold(self, shard_rows: int = SHARD_ROWS) -> LiveIndex:
         """All folders as one, without what tombstones hide; no text is read."""
         alive = self._alive()
         if alive is not None:
-            self._add(cut_lineage(alive.select("chunk_id", "doc_urn", "w")), None, [], None, shard_rows)
+            self._add(cut_lineage(alive.select("chunk_id", "doc_urn", "w")), None, [], self.last_batch, shard_rows)
         return LiveIndex(self.spark, self.path)
 
     def stats(self) -> DataFrame:

@@ -163,9 +163,9 @@ def stream_upsert(stream: DataFrame, index_path: str, checkpoint: str, order: li
 
 
 def stream_live_index(stream: DataFrame, index_path: str, checkpoint: str, order: list[str] | None = None) -> None:
-    """Micro-batches of chunks into a searchable index; the index knows the last batch it took in."""
+    """Micro-batches of chunks into a searchable index; the index knows the last batch it took in from this checkpoint."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        LiveIndex(batch.sparkSession, index_path).upsert(batch, batch_id, order)
+        LiveIndex(batch.sparkSession, index_path).upsert(batch, batch_id, order, source=checkpoint)
     run_batches(stream, handle, checkpoint)
 
 

@@ -266,11 +266,16 @@ def test_live_index_equals_one_built_anew(spark, tmp_path):
         now = spark.createDataFrame([(c, d, t) for c, (d, t) in truth.items() if t is not None], "chunk_id string, doc_urn string, text string")
         for want in (None, "want"):
             assert rows(index.search(q, 5, want)) == rows(sparse_topk(q, now, 5, filter_doc=want))
-    assert len(index.folders) <= 2 and index.last_batch == 3
+    assert len(index.folders) <= 2 and index.last_batch == {"": 3}
     src = tmp_path / "in"
     spark.createDataFrame([(f"s{i}", "d0", "w1 w2 neu", 0) for i in range(5)], schema).write.parquet(str(src))
     jobs.stream_live_index(jobs.table_stream(spark, str(src), "*.parquet"), str(tmp_path / "other"), str(tmp_path / "ck"), ["version"])
     assert LiveIndex(spark, str(tmp_path / "other")).search(spark.createDataFrame([(1, "neu")], "qid int, text string"), 3).count() == 3
+    # Another stream counts its batches from 0 again: they are not taken for the first one's.
+    more = tmp_path / "more"
+    spark.createDataFrame([("t1", "d0", "w1 nuovissimo", 0)], schema).write.parquet(str(more))
+    jobs.stream_live_index(jobs.table_stream(spark, str(more), "*.parquet"), str(tmp_path / "other"), str(tmp_path / "ck2"), ["version"])
+    assert LiveIndex(spark, str(tmp_path / "other")).search(spark.createDataFrame([(1, "nuovissimo")], "qid int, text string"), 3).count() == 1
 
 
 def test_archive_members_and_broken_ones(spark, tmp_path):
