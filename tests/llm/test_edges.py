@@ -165,6 +165,11 @@ def test_pieces_encode_like_whole_texts():
     encoder, whole = PieceEncoder(default_path(), max_entries=50), Tokenizer.from_file(default_path())
     hard = ["a  b\n\nc   d \n e", " a", "\n", "", "  ", "a ", "é  b\x1c c", "x\t y\n\n\nz", "don't 's <|endoftext|> ok<|endoftext|>", " '", "\n\nA", "a \0x", "\0", "a\t \tb", "é. b, 1. 2, ..", "a  b c"]
     hard += [t for t in texts() if t] + ["w\n x " * 400_000]
+    # Letters, marks, contractions, blanks and added tokens next to each other in any order.
+    bits = ["the", "don't", "'s", "é", "Ünï", "ª", "×", "÷", "1", "2a", "...", "&&&", "<|endoftext|>", "<|", " ", "\n", "  ", "\n\n", "\t", "\0", "\x1c", "\x85", "漢字", "ǅ", "ɐ", "🙂",
+            "a.b", "x,", "'re", "we're!", "_", "ſ", "İ", ".'s", "A" * 70, "\u0301", "e\u0301"]
+    draw = random.Random(3)
+    hard += ["".join(draw.choice(bits) + draw.choice(["", " ", "", "\n", " "]) for _ in range(draw.randint(1, 9))) for _ in range(4000)]
     got = encoder.encode_many(hard)
     for t, g in zip(hard, got, strict=True):
         assert np.frombuffer(g, dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
