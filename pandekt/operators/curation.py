@@ -398,10 +398,10 @@ def survivors(audit: DataFrame, actions: DataFrame, targets: DataFrame, digits:
 # -------------------------------------------------------------- corpus stats
 
 
-def corpus_stats(units: DataFrame, doc: str, tokens: str, limits: tuple[int, ...] = (1000, 2000, 4000), max_group: int = MAX_GROUP) -> DataFrame:
+def corpus_stats(units: DataFrame, doc: str, tokens: str, limits: tuple[int, ...] = (1000, 2000, 4000), max_rows: int = qt.MAX_ROWS) -> DataFrame:
     """Per document: units, token percentiles (nearest rank), counts over the limits."""
     p = qt.order_stats(units, [doc], tokens, {
-        "p50": qt.nearest_rank(50), "p90": qt.nearest_rank(90), "p99": qt.nearest_rank(99), "max": lambda n: n}, max_group)
+        "p50": qt.nearest_rank(50), "p90": qt.nearest_rank(90), "p99": qt.nearest_rank(99), "max": lambda n: n}, max_rows)
     c = units.groupBy(doc).agg(*[F.count_if(F.col(tokens) > m).alias(f"over_{m}") for m in limits])
     return p.join(c, doc)
 

@@ -116,7 +116,7 @@ def grouped_means(metrics: DataFrame, membership: DataFrame, group: str, setups:
 # ---------------------------------------------------------- score statistics
 
 
-def breakdowns(scores: DataFrame, value: str, dims: list[str], max_group: int = MAX_GROUP) -> DataFrame:
+def breakdowns(scores: DataFrame, value: str, dims: list[str], max_rows: int = qt.MAX_ROWS) -> DataFrame:
     """``describe`` for the whole table and for every value of each dimension.
 
     Rows are fanned out once per dimension (a fixed number) and then go
@@ -125,34 +125,34 @@ def breakdowns(scores: DataFrame, value: str, dims: list[str], max_group: int =
     pairs = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("member")),
                     *[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("member")) for d in dims])
     flat = scores.select(F.explode(pairs).alias("_p"), F.col(value)).select("_p.dimension", "_p.member", value)
-    return qt.describe(flat, ["dimension", "member"], value, max_group)
+    return qt.describe(flat, ["dimension", "member"], value, max_rows)
 
 
-def multi_membership_stats(scores: DataFrame, members: str, value: str, max_group: int = MAX_GROUP) -> DataFrame:
+def multi_membership_stats(scores: DataFrame, members: str, value: str, max_rows: int = qt.MAX_ROWS) -> DataFrame:
     """``describe`` per member of an array column; a row counts once in each distinct member."""
     flat = scores.select(F.explode(F.array_distinct(members)).alias("member"), F.col(value))
-    return qt.describe(flat, ["member"], value, max_group)
+    return qt.describe(flat, ["member"], value, max_rows)
 
 
-def percentile_linear(df: DataFrame, group: list[str], value: str, ps: dict[str, float], max_group: int = MAX_GROUP) -> DataFrame:
+def percentile_linear(df: DataFrame, group: list[str], value: str, ps: dict[str, float], max_rows: int = qt.MAX_ROWS) -> DataFrame:
     """Percentiles interpolated at (n-1)p."""
     ranks: dict = {}
     for label, p in ps.items():
         ranks.update(qt.linear_ranks(label, p))
-    s = qt.order_stats(df, group, value, ranks, max_group)
+    s = qt.order_stats(df, group, value, ranks, max_rows)
     return s.select(*group, "n", *[qt.linear_value(label, p).alias(label) for label, p in ps.items()])
 
 
-def percentile_nearest(df: DataFrame, group: list[str], value: str, pcts: dict[str, float], max_group: int = MAX_GROUP) -> DataFrame:
+def percentile_nearest(df: DataFrame, group: list[str], value: str, pcts: dict[str, float], max_rows: int = qt.MAX_ROWS) -> DataFrame:
     """Nearest-rank percentiles, halves rounded to even, plus the maximum."""
     return qt.order_stats(df, group, value, {
         **{label: qt.nearest_rank(p) for label, p in pcts.items()}, "max": lambda n: n,
-    }, max_group)
+    }, max_rows)
 
 
-def quartiles_exclusive(df: DataFrame, group: list[str], value: str, max_group: int = MAX_GROUP) -> DataFrame:
+def quartiles_exclusive(df: DataFrame, group: list[str], value: str, max_rows: int = qt.MAX_ROWS) -> DataFrame:
     """p25 and p75 at positions p(n+1)."""
-    s = qt.order_stats(df, group, value, {**qt.exclusive_ranks("p25", 0.25), **qt.exclusive_ranks("p75", 0.75)}, max_group)
+    s = qt.order_stats(df, group, value, {**qt.exclusive_ranks("p25", 0.25), **qt.exclusive_ranks("p75", 0.75)}, max_rows)
     return s.select(*group, "n", qt.exclusive_value("p25", 0.25).alias("p25"), qt.exclusive_value("p75", 0.75).alias("p75"))
 
 
@@ -166,11 +166,11 @@ def drop_warmup(log: DataFrame, step: str, order: list[str], warmup: int = 3) ->
     return log.join(first, [step, *order], "left_anti")
 
 
-def latency_summary(log: DataFrame, step: str, value: str, order: list[str], warmup: int = 3, max_group: int = MAX_GROUP) -> DataFrame:
+def latency_summary(log: DataFrame, step: str, value: str, order: list[str], warmup: int = 3, max_rows: int = qt.MAX_ROWS) -> DataFrame:
     """n, mean, sample std, p50, p95 and p99 per step after dropping the warm-up."""
     kept = drop_warmup(log, step, order, warmup)
     basic = kept.groupBy(step).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    return percentile_linear(kept, [step], value, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, max_group).join(basic, step)
+    return percentile_linear(kept, [step], value, {"p50": 0.50, "p95": 0.95, "p99": 0.99}, max_rows).join(basic, step)
 
 
 def end_to_end(wide: DataFrame, steps: list[str], rerank: str) -> DataFrame:
@@ -279,17 +279,17 @@ def tradeoff(metrics: DataFrame, before: str, after: str, metric: str = "r10") -
         "outcome", F.when(F.col("after") > 0, "gained").otherwise("still_zero"))
 
 
-def top1_separation(hits: DataFrame, metrics: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
+def top1_separation(hits: DataFrame, metrics: DataFrame, max_rows: int = qt.MAX_ROWS) -> DataFrame:
     """Top-1 scores of questions with and without gold, per setup: n, mean, median."""
     kind = metrics.select("qid", "setup", F.when(F.col("n_gold") > 0, "positive").otherwise("empty").alias("kind"))
     top = hits.filter(F.col("rank") == 1).join(kind, ["qid", "setup"])
-    return qt.describe(top, ["setup", "kind"], "score", max_group).select("setup", "kind", "n", "mean", "median")
+    return qt.describe(top, ["setup", "kind"], "score", max_rows).select("setup", "kind", "n", "mean", "median")
 
 
-def medians(df: DataFrame, group: list[str], values: list[str], max_group: int = MAX_GROUP) -> DataFrame:
-    """Exact medians of several columns per group, in one pass over (metric, value) counts."""
+def medians(df: DataFrame, group: list[str], values: list[str], max_rows: int = qt.MAX_ROWS) -> DataFrame:
+    """Exact medians of several columns per group, selected together."""
     long = unpivot(df.select(*group, *[F.col(v).cast("double").alias(v) for v in values]), values, group)
-    s = qt.order_stats(long, [*group, "metric"], "value", {"_a": qt.lower_median, "_b": qt.upper_median}, max_group)
+    s = qt.order_stats(long, [*group, "metric"], "value", {"_a": qt.lower_median, "_b": qt.upper_median}, max_rows)
     s = s.withColumn("median", qt.median_from(F.col("_a"), F.col("_b")))
     keys = group or ["_all"]
     s = s if group else s.withColumn("_all", F.lit(0))
@@ -297,10 +297,10 @@ def medians(df: DataFrame, group: list[str], values: list[str], max_group: int =
     return out if group else out.drop("_all")
 
 
-def median_block(metrics: DataFrame, group: list[str], max_group: int = MAX_GROUP) -> DataFrame:
+def median_block(metrics: DataFrame, group: list[str], max_rows: int = qt.MAX_ROWS) -> DataFrame:
     """Medians of the metrics and the counts of recall@10 equal to 1 and to 0."""
     names = [n for n in metric_names(metrics) if n != "ndcg"]
-    m = medians(metrics, group, names, max_group)
+    m = medians(metrics, group, names, max_rows)
     for n in names:
         m = m.withColumnRenamed(n, f"{n}_med")
     c = metrics.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("r10") == 1).alias("n_r10_1"), F.count_if(F.col("r10") == 0).alias("n_r10_0"))
@@ -308,12 +308,12 @@ def median_block(metrics: DataFrame, group: list[str], max_group: int = MAX_GROU
 
 
 def outlier_groups(metrics: DataFrame, membership: DataFrame, group: str, drop: float = 0.20, metric: str = "r10",
-                   max_group: int = MAX_GROUP) -> DataFrame:
+                   max_rows: int = qt.MAX_ROWS) -> DataFrame:
     """Groups whose median lies more than ``drop`` under the median of all positive questions."""
     positive = metrics.filter((F.col("n_gold") > 0) & F.col(metric).isNotNull())
-    overall = medians(positive, [], [metric], max_group)
+    overall = medians(positive, [], [metric], max_rows)
     limit = F.greatest(F.lit(0.0), overall.scalar() - F.lit(drop))
-    per = medians(positive.join(membership.select("qid", group), "qid"), [group], [metric], max_group)
+    per = medians(positive.join(membership.select("qid", group), "qid"), [group], [metric], max_rows)
     return per.select(group, F.col(metric).alias("median"), limit.alias("limit")).withColumn("outlier", F.col("median") < F.col("limit"))
 
 

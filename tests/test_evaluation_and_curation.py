@@ -56,6 +56,33 @@ def test_percentile_conventions(spark):
     assert qt.describe(df, [], "v").first().n == 140
 
 
+def test_selection_by_ranges(spark):
+    rng = np.random.default_rng(8)
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "even": rng.uniform(-5, 5, 3000).tolist(), "ties": rng.integers(0, 3, 2000).astype(float).tolist(), "one": [7.0] * 500,
+        # Values crowded at one end need many rounds, the rest is ordered.
+        "steep": [2.0**-k for k in range(900)] + [1e308, -1e308], "odd": [inf, -inf, nan, nan, 0.0, -0.0, 5e-324] * 20, None: rng.normal(size=300).tolist(),
+    }
+    df = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("nulls", None)], "g string, v double")
+    # Ranks at both ends, inside and outside of the group.
+    rules = {"first": lambda n: F.lit(1), "mid": qt.lower_median, "last": lambda n: n, "p90": qt.nearest_rank(90), "none": lambda n: n + 1}
+    for limit in (10**6, 64):
+        got = {r.g: r for r in qt.order_stats(df, ["g"], "v", rules, limit).collect()}
+        assert set(got) == set(groups)
+        for g, xs in groups.items():
+            s, n, r = sorted(xs, key=lambda x: (x != x, x if x == x else 0)), len(xs), got[g]
+            for label, rank in (("first", 1), ("mid", (n + 1) // 2), ("last", n), ("p90", round(0.9 * (n - 1)) + 1)):
+                assert r[label] == s[rank - 1] or (r[label] != r[label] and s[rank - 1] != s[rank - 1]), (g, label, limit)
+            assert r.n == n and r.none is None
+    # Whole numbers that doubles can't tell apart.
+    whole = spark.range(2**60, 2**60 + 400).select((F.col("id") * 1).alias("v"))
+    assert qt.order_stats(whole, [], "v", {"m": lambda n: F.lit(123)}, 50).collect() == [(400, 2**60 + 122)]
+    assert qt.order_stats(whole.limit(0), [], "v", {"m": qt.lower_median}).collect() == []
+    plan = qt.order_stats(df.filter("g <> 'steep'"), ["g"], "v", {"mid": qt.lower_median}, 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+
+
 def test_limit_phrases(spark):
     yes = ["Il tema non è incluso nel corpus normativo di riferimento.", "Norme NON PRESENTI in questo corpus", "il contesto normativo non contiene", "contesto fornito non include",
            "il contesto non riguarda", "assenti nel contesto", "non presenti nel contesto", "sarebbe necessario\nconsultare"]
