@@ -6,10 +6,10 @@
    ``(1 - t) / (1 + t) * (|x| + |y|)`` elements. The shingle space is cut into
    more segments than that, so linked sets agree on a whole segment, and only
    sets sharing one meet. Inside such a meeting, sets whose sketches agree in
-   half of 64 bytes are tied; ties make clusters. A linked pair of large sets agrees
-   in 80 % of the bytes on average at a similarity of 0.80; half is 6 standard
-   deviations away. Such a pair stays untied with a probability of 1.8e-8 (8e-12 at
-   0.85) and is lost unless other sets tie the two.
+   ``agree`` of 64 bytes are tied; ties make clusters. A linked pair of large sets
+   agrees in 80 % of the bytes on average at a similarity of 0.80; with 24 bytes such
+   a pair stays untied with a probability of 2e-14 (6e-19 at 0.85), and is lost
+   unless other sets tie the two. ``agree=0`` ties all sets that meet: no pair is lost.
 3. Join. The sets of a cluster are dealt to blocks and every pair of blocks is
    joined: one block is stored in a prefix tree over the globally ordered sets;
    all sets of the other block walk it at once, sharing the overlaps counted on
@@ -30,7 +30,8 @@ from pandekt.llm.components import components, union_roots
 
 SLICE_BYTES = 2 << 20
 SKETCH = 64
-AGREE = SKETCH // 2
+#: Sketch bytes in which two sets must agree to be joined; 0 joins all that meet.
+AGREE = 24
 CLASS_RATIO = 1.5
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 64_000
@@ -278,8 +279,8 @@ def _meetings(keys: DataFrame, spark_partitions: int) -> DataFrame:
     return ordered.mapInArrow(released(run), "key long, node long")
 
 
-def _ties(meetings: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Links (u, v) between nodes of one meeting whose sketches agree in half of their bytes.
+def _ties(meetings: DataFrame, sketch: DataFrame, agree: int) -> DataFrame:
+    """Links (u, v) between nodes of one meeting whose sketches agree in ``agree`` bytes.
 
     Meetings above MEETING nodes are dealt to chunks and every pair of chunks meets.
     """
@@ -300,7 +301,7 @@ def _ties(meetings: DataFrame, sketch: DataFrame) -> DataFrame:
             s = s[first]
             a, b = [], []
             for i in range(len(node) - 1):
-                close_to = np.flatnonzero((s[i + 1:] == s[i]).sum(axis=1) >= AGREE) + i + 1
+                close_to = np.flatnonzero((s[i + 1:] == s[i]).sum(axis=1) >= agree) + i + 1
                 if len(close_to):
                     a.append(np.full(len(close_to), node[i]))
                     b.append(node[close_to])
@@ -326,7 +327,7 @@ def _ties(meetings: DataFrame, sketch: DataFrame) -> DataFrame:
     return dealt.select("key", "pair", "node", "sketch").mapInArrow(released(run), "u long, v long").distinct()
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, per_cent: int = 80) -> DataFrame:
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, per_cent: int = 80, agree: int = AGREE) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row.
 
     Two documents link when ``100 * |intersection| >= per_cent * |union|`` of
@@ -337,7 +338,10 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     are separate rows that share an id; rows with a null id have their shingle
     count, no links and a null component. Other columns are ignored. An empty
     table gives no rows. Whole texts count; 64-bit hashes stand for shingles.
+    ``agree`` is the gate of step 2 above; 0 makes the result exact.
     """
+    if not 0 <= agree <= SKETCH:
+        raise ValueError(f"agree must lie between 0 and {SKETCH}")
     spark = docs.sparkSession
     small_batches(spark)
     base = cut(_prepare(docs, doc_id, text, words, per_cent), "shingles")
@@ -348,7 +352,7 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
         real["h1"], real["h2"], "node", "copies", "n_shingles", "sketch").dropDuplicates(["h1", "h2"])
     nodes = cut(node_rows.withColumn("node", F.xxhash64("h1", "h2")), "nodes")
     meetings = cut(_meetings(_expand(real), partitions(spark)), "meetings")
-    ties = _ties(meetings, nodes.select("node", "sketch"))
+    ties = _ties(meetings, nodes.select("node", "sketch"), agree)
     clusters = cut(components(ties), "clusters")
     counts, links = _join_clusters(docs, doc_id, text, words, per_cent, clusters, nodes, classes)
     found = components(links)

@@ -106,8 +106,10 @@ def test_line_dedup_odd(odd, empty):
 @pytest.mark.parametrize("words,per_cent", [(4, 85), (5, 80)])
 def test_ngram_join(docs, words, per_cent):
     rows, df = docs
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.ngram_join(df, words=words, per_cent=per_cent).collect()}
-    assert got == brute.ngram_components([(r[0], r[1]) for r in rows], words, per_cent)
+    for agree in (ngram_join.AGREE, 0):
+        joined = ngram_join.ngram_join(df, words=words, per_cent=per_cent, agree=agree)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in joined.collect()}
+        assert got == brute.ngram_components([(r[0], r[1]) for r in rows], words, per_cent)
 
 
 def test_ngram_join_odd(odd, empty):
@@ -251,6 +253,13 @@ def test_mixing(spark, docs, odd, empty):
     assert mixing.mix(df, repeat_limit=None, entropy=0.5).count() > 0
 
 
+def test_mix_deals_wordless_rows_to_blocks(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("blank").alias("source"), F.lit(" ").alias("text"))
+    blocks = mixing.mix(rows.unionByName(spark.createDataFrame([(-1, "b", "some words")], "doc_id long, source string, text string"))).groupBy("source", "block").count().collect()
+    blank = [r["count"] for r in blocks if r.source == "blank"]
+    assert sum(blank) == 100_000 and len(blank) == 2 and max(blank) < 60_000
+
+
 def test_temperature_targets(spark):
     src = spark.createDataFrame([("a", 8000), ("b", 1000), ("c", 1000), ("d", 500), ("e", 0)], "source string, tokens long")
     p = np.array([8000, 1000, 1000, 500]) / 10500
