@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pandekt.llm.common import cut
 
 BLOCK_TOKENS = 1 << 18
+#: A block holds about as many documents at most, with or without words.
+BLOCK_UNITS = 1 << 16
 STEPS = 60
 SALTS = 32
 SUPER = 1024
@@ -41,13 +43,19 @@ def temperature(sources: DataFrame, repeat_limit: float | None = 2.0, entropy: f
     With ``repeat_limit`` the smallest exponent under which the rarest source is
     seen at most that many times as often as the most common one; with
     ``entropy`` (nats) the largest exponent whose weights reach it, 0 if none does. Sources
-    without tokens take no part. Sources of equal size are counted together, so
-    the row holds one entry per distinct size.
+    without tokens take no part. The repetition limit needs the smallest and the
+    largest source only. For an entropy, sources of equal size are counted
+    together, and one row holds an entry per distinct size.
     """
     if (repeat_limit is None) == (entropy is None):
         raise ValueError("give either repeat_limit or entropy")
     sized = sources.filter("tokens > 0").groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
-    one = sized.agg(F.sum(F.col("tokens") * F.col("n")).alias("total"), F.sort_array(F.collect_list(F.struct("tokens", "n"))).alias("sized"))
+    if repeat_limit is not None:
+        ends = F.array(*[F.struct(end("tokens").alias("tokens"), F.lit(1).cast("long").alias("n")) for end in (F.min, F.max)])
+        entries = F.when(F.count("tokens") > 0, ends).otherwise(F.array().cast("array<struct<tokens: bigint, n: bigint>>"))
+    else:
+        entries = F.sort_array(F.collect_list(F.struct("tokens", "n")))
+    one = sized.agg(F.sum(F.col("tokens") * F.col("n")).alias("total"), entries.alias("sized"))
     one = one.select(F.transform("sized", lambda s: F.struct((s["tokens"] / F.col("total")).alias("share"), s["n"].cast("double").alias("n"))).alias("shares"))
     shares = F.col("shares")
 
@@ -114,11 +122,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     The source table is joined on (source, salt): each source is repeated
     ``SALTS`` times, so that a source with a third of the rows meets it in many
     tasks. Positions are running sums inside a block, plus sums of blocks, plus
-    sums of 1,024 blocks: no window holds a source.
+    sums of 1,024 blocks: no window holds a source. The number of blocks of a source
+    follows its tokens, or its documents where they hold few words.
     """
     units, sources = source_budgets(docs, doc_id, source, text, repeat_limit, entropy, budget_tokens)
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    plan = sources.select(key.alias("key"), "epochs", "rest", F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)).cast("long").alias("blocks"),
+    plan = sources.select(key.alias("key"), "epochs", "rest", F.greatest(F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("n_units") / BLOCK_UNITS), F.lit(1)).cast("long").alias("blocks"),
                           F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = units.withColumn("key", key).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     # Whole epochs, and one more where something is left.

@@ -139,15 +139,15 @@ SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, vec_id = compone
 
 MIX_SQL = """
 WITH RECURSIVE unit AS (SELECT source, doc_id, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS tokens FROM documents GROUP BY ALL),
-src AS (SELECT source, sum(tokens)::BIGINT AS tokens FROM unit GROUP BY source),
+src AS (SELECT source, sum(tokens)::BIGINT AS tokens, count(*) AS units FROM unit GROUP BY source),
 span AS (SELECT max(tokens)::DOUBLE / sum(tokens) AS hi, min(tokens)::DOUBLE / sum(tokens) AS lo FROM src WHERE tokens > 0),
 bisect AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b
   UNION ALL SELECT i + 1, CASE WHEN pow(hi / lo, 1 - (a + b) / 2) > 2 THEN (a + b) / 2 ELSE a END, CASE WHEN pow(hi / lo, 1 - (a + b) / 2) > 2 THEN b ELSE (a + b) / 2 END FROM bisect, span WHERE i < 60),
 alpha AS (SELECT CASE WHEN hi / lo > 2 THEN b ELSE 0 END AS alpha FROM bisect, span WHERE i = 60),
-weighed AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE / (SELECT sum(tokens) FROM src), alpha) ELSE 0 END AS raw FROM src, alpha),
+weighed AS (SELECT source, tokens, units, CASE WHEN tokens > 0 THEN pow(tokens::DOUBLE / (SELECT sum(tokens) FROM src), alpha) ELSE 0 END AS raw FROM src, alpha),
 budget AS (SELECT *, coalesce(round(raw * (SELECT max(tokens / raw) FROM weighed WHERE tokens > 0)), 0)::BIGINT AS budget FROM weighed),
 plan AS (SELECT source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS epochs, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest,
-  greatest(ceil(tokens / 262144.0), 1)::BIGINT AS blocks FROM budget),
+  greatest(ceil(tokens / 262144.0), ceil(units / 65536.0), 1)::BIGINT AS blocks FROM budget),
 used AS (SELECT u.source, u.doc_id, u.tokens, p.epochs, p.rest, p.blocks, unnest(range(0, p.epochs + CASE WHEN p.rest > 0 THEN 1 ELSE 0 END)) AS epoch FROM unit u JOIN plan p ON u.source IS NOT DISTINCT FROM p.source),
 hashed AS (SELECT *, md5('17#' || epoch || '#' || coalesce('s' || source, 'n') || '#' || coalesce(doc_id::VARCHAR, 'null')) AS hash FROM used),
 placed AS (SELECT *, ('0x' || substr(hash, 1, 15))::BIGINT % blocks AS block FROM hashed),
