@@ -10,6 +10,8 @@ from pandekt.operators.ordered import ordered_blocks, split_hot
 
 THRESHOLD = 2000
 MAX_ARTICLE = 100_000
+#: Items folded before their group starts are appended to those of the article, which copies them.
+FOLD_RUN = 512
 
 
 def group_starts(tokens: Column, threshold: int) -> Column:
@@ -18,7 +20,8 @@ def group_starts(tokens: Column, threshold: int) -> Column:
     A group is closed when it holds something and the next item would push it
     over the threshold; an item above the threshold therefore stands alone.
     """
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i"), none.alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
         opens = (acc["i"] == 0) | (acc["sum"] + x.cast("double") > threshold)
@@ -27,7 +30,15 @@ def group_starts(tokens: Column, threshold: int) -> Column:
             (acc["i"] + 1).alias("i"),
             F.when(opens, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
         )
-    return F.aggregate(tokens, zero, step)["starts"]
+
+    def run(acc: Column, k: Column) -> Column:
+        begin = F.struct(acc["sum"].alias("sum"), acc["i"].alias("i"), none.alias("starts"))
+        part = F.aggregate(F.slice(tokens, k * FOLD_RUN + 1, F.lit(FOLD_RUN)), begin, step)
+        return F.get(F.transform(F.array(part), lambda p: F.struct(
+            p["sum"].alias("sum"), p["i"].alias("i"), F.concat(acc["starts"], p["starts"]).alias("starts"))), F.lit(0))
+
+    runs = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(tokens) / FOLD_RUN).cast("int") - 1, F.lit(0)))
+    return F.aggregate(runs, zero, run)["starts"]
 
 
 def slices(items: Column, starts: Column) -> Column:

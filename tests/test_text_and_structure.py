@@ -1,5 +1,6 @@
 import uuid
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pandekt.functions import ids, text as tx
 from pandekt.operators import chunking as ch
 from pandekt.operators import structure as st
 from pandekt.operators.ordered import carry_forward, row_positions, running_sum
-from pandekt.operators.packing import pack_greedy
+from pandekt.operators.packing import FOLD_RUN, group_starts, pack_greedy
 from tests.conftest import rows
 
 
@@ -137,3 +138,17 @@ def test_chunks(spark):
     assert out["eli/x__art_3"].metadata.oversize is True and out["eli/x__art_1"].metadata.oversize is None
     assert all(r.n == 0 for r in ch.chunk_invariants(ch.build_chunks(df, threshold=50), df).collect())
     assert any(r.n > 0 for r in ch.chunk_invariants(ch.build_chunks(df, threshold=50).filter("article_eid != 'art_1'"), df).collect())
+
+
+def test_group_starts_at_the_ends_of_runs(spark):
+    rng = np.random.default_rng(4)
+    cases = [[], [5], [3000], *[rng.integers(0, 900, n).tolist() for n in (FOLD_RUN - 1, FOLD_RUN, FOLD_RUN + 1)], rng.integers(0, 3000, 5 * FOLD_RUN + 7).tolist()]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t array<int>")
+    for row in df.select("i", "t", group_starts(F.col("t"), 2000).alias("starts")).collect():
+        want, held = [], 0
+        for i, x in enumerate(row.t):
+            if i == 0 or held + x > 2000:
+                want.append(i)
+                held = 0
+            held += x
+        assert row.starts == want
