@@ -1,9 +1,11 @@
 """Aliases and names as tables: as many as there are, matched by a join.
 
 A key matches where its words follow one another in a text, without case and
-between word boundaries. The distinct words of a text meet the keys by their
-first word; keys of one word are found then, longer ones are looked for in the
-text's own words. The cost follows the matches, not the number of keys.
+between word boundaries. The runs of words of a text meet the keys as wholes, for
+every number of words that keys have, so keys that begin alike don't meet each
+other's texts. Keys of more than ``RUN`` words meet by their first ``RUN`` words and
+are then looked for in the text's own words. The cost follows the words of the
+texts and the matches, not the number of keys.
 """
 
 from __future__ import annotations
@@ -18,15 +20,34 @@ def _spaced(w: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
 
 
+#: Most words of a run that is compared as a whole.
+RUN = 8
+
+
+def _runs(w: Column, sizes: Column) -> Column:
+    """Distinct runs of a text's words, joined by blanks, of every number of words in ``sizes``."""
+    def of_size(n: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.array_distinct(F.flatten(F.transform(sizes, of_size)))
+
+
+def _met(t: DataFrame, k: DataFrame) -> DataFrame:
+    """Texts (qid, _w) and keys (_k, ...) whose first words, up to ``RUN``, are a run of the text."""
+    head = k.withColumn("_run", F.array_join(F.slice("_k", 1, RUN), " "))
+    # One value of at most RUN numbers; without keys there are no runs.
+    sizes = k.agg(F.collect_set(F.least(F.size("_k"), F.lit(RUN))))
+    return t.withColumn("_sizes", sizes.scalar()).select("qid", F.explode(_runs(F.col("_w"), F.col("_sizes"))).alias("_run")).join(head, "_run")
+
+
 def key_matches(texts: DataFrame, keys: DataFrame, qid: str = "qid", text: str = "text", key: str = "key", carry: tuple[str, ...] = ()) -> DataFrame:
     """(qid, key, carry...) for every key row found in a text. Keys without a word match nothing."""
-    t = texts.select(F.col(qid).alias("qid"), words(F.col(text)).alias("_w"))
+    t = texts.select(F.col(qid).alias("qid"), words(F.col(text)).alias("_w")).filter(F.col("_w").isNotNull())
     k = keys.select(F.col(key).alias("key"), *carry, words(F.col(key)).alias("_k")).filter(F.size("_k") > 0)
-    met = t.select("qid", F.explode(F.array_distinct("_w")).alias("_first")).join(k.withColumn("_first", F.col("_k")[0]), "_first")
-    one = met.filter(F.size("_k") == 1).select("qid", "key", *carry)
-    # Candidates of several words go back to their text, which is split again there.
-    more = met.filter(F.size("_k") > 1).join(t, "qid").filter(_spaced(F.col("_w")).contains(_spaced(F.col("_k")))).select("qid", "key", *carry)
-    return one.unionByName(more)
+    whole = _met(t, k.filter(F.size("_k") <= RUN)).select("qid", "key", *carry)
+    # Candidates of more words go back to their text, which is split again there.
+    longer = _met(t, k.filter(F.size("_k") > RUN)).join(t, "qid").filter(_spaced(F.col("_w")).contains(_spaced(F.col("_k")))).select("qid", "key", *carry)
+    return whole.unionByName(longer)
 
 
 def expand_terms_by(texts: DataFrame, aliases: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:

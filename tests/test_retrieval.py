@@ -324,6 +324,22 @@ def test_key_tables(spark):
     assert {r.qid: r.entities for r in ky.detect_entities_by(t, n).collect()} == {1: ["x", "y"], 2: ["x"], 3: [], 4: [], 5: ["y"]}
 
 
+def test_keys_that_begin_alike_meet_only_their_own_texts(spark):
+    from pandekt.functions.text import words
+    from pandekt.operators import keys as ky
+
+    n, tail = 300, " ".join(f"w{i}" for i in range(ky.RUN))
+    texts = [(i, f"Have small ring {i}, or SMALL RING {i + 7}!") for i in range(n)] + [(n, f"see {tail} ends {tail} other"), (n + 1, f"{tail}"), (n + 2, None)]
+    keys = [(i, f"small ring {i}") for i in range(n)] + [(n, f"{tail} other"), (n + 1, f"{tail} missing"), (n + 2, tail), (n + 3, "-")]
+    t, k = spark.createDataFrame(texts, "qid long, text string"), spark.createDataFrame(keys, "pos long, key string")
+    want = {(i, j) for i in range(n) for j in (i, i + 7) if j < n} | {(n, n), (n, n + 2), (n + 1, n + 2)}
+    got = [(r.qid, r.pos) for r in ky.key_matches(t, k, carry=("pos",)).collect()]
+    assert set(got) == want and len(got) == len(want)
+    # Before anything is dropped, the texts have met no key but their own.
+    met = ky._met(t.select("qid", words(F.col("text")).alias("_w")), k.filter(F.col("pos") < n).select(words(F.col("key")).alias("_k")))
+    assert met.count() == 2 * n - 7
+
+
 def test_respond_from_question_to_verified_answer(spark, corpus):
     from pandekt.operators.answers import respond
 
