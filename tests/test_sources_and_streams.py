@@ -221,6 +221,19 @@ def test_delta_stream(spark, tmp_path):
     assert twin == {k: tuple(v) for k, v in got.items()}
 
 
+def test_a_streamed_table_is_a_file_or_a_folder_of_files(spark, tmp_path):
+    """Beside other tables, in either form, every row of the named table and no other arrives once."""
+    for name, parts in (("one", 3), ("other", 2)):
+        spark.range(60).withColumn("t", F.lit(name)).repartition(parts).write.parquet(str(tmp_path / f"{name}.parquet"))
+    whole = spark.range(60).withColumn("t", F.lit("file")).coalesce(1)
+    whole.write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "file.parquet")
+    for name in ("one", "file"):
+        out = str(tmp_path / f"out-{name}")
+        jobs.run_available(jobs.table_stream(spark, str(tmp_path), f"{name}.parquet"), out, str(tmp_path / f"ck-{name}"))
+        assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(i, name) for i in range(60)]
+
+
 def test_answers_go_on_after_a_restart(spark, tmp_path):
     """A run ends in the middle of an answer; the next one, from its checkpoint, completes it. Deltas come backwards and twice."""
     t0 = dt.datetime(2026, 1, 1)
