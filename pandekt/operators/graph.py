@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pandekt.operators.ordered import top_k
+from pandekt.session import cut_lineage
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -24,6 +25,19 @@ def adjacency_lists(edges: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
     return first.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("neighbor", "_l.relation", "_l.note"))).alias("near"))
 
 
+def reached_hits(own: DataFrame, sizes: DataFrame, max_expansions: int) -> DataFrame:
+    """(qid, source_rank, node, _own): hits with neighbours that a walk may reach, each with all nodes of its question.
+
+    A list with ``max_expansions`` entries more than the question has hits always
+    completes it, so no hit behind the first of these is reached.
+    """
+    walk = own.join(sizes, "node", "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("source_rank", "node", "_len"))).alias("_walk"))
+    last = F.array_position(F.transform("_walk", lambda h: F.coalesce(h["_len"], F.lit(0)) >= F.size("_walk") + max_expansions), True)
+    kept = F.slice("_walk", F.lit(1), F.when(last > 0, last.cast("int")).otherwise(F.size("_walk")))
+    hit = walk.select("qid", F.col("_walk.node").alias("_own"), F.explode(F.filter(kept, lambda h: h["_len"].isNotNull())).alias("_h"))
+    return hit.select("qid", "_h.source_rank", "_h.node", "_own")
+
+
 def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5) -> DataFrame:
     """Neighbours of the hits that were not retrieved themselves.
 
@@ -31,9 +45,9 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5) -
     link on ties); per question ordered by (source_rank, chunk_id) and cut to
     ``max_expansions``.
 
-    Every hit meets the sorted list of its node's neighbours. A question walks
-    its hits by rank and takes what is new from each list until it has
-    ``max_expansions``. At most as many of a node's neighbours as a question has
+    A question walks its hits by rank and takes what is new from the sorted list
+    of each node's neighbours until it has ``max_expansions``. Hits first meet the
+    sizes of the lists; only those that the walk may reach meet the lists. At most as many of a node's neighbours as a question has
     hits can be retrieved already, so beyond its first ``max_expansions`` +
     (most hits of a question, counted first) neighbours by id a node can never
     contribute; leaving them out keeps hub nodes harmless.
@@ -45,9 +59,10 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5) -
                 .select(*schema).limit(0))
     own = hits.select("qid", F.col("rank").alias("source_rank"), F.col("chunk_id").alias("node"))
     most = own.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    lists = adjacency_lists(edges, own.select("node").distinct(), max_expansions + most)
-    walks = own.join(lists, "node", "left").groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("source_rank", "node", "near"))).alias("_walk"))
+    lists = cut_lineage(adjacency_lists(edges, own.select("node").distinct(), max_expansions + most))
+    reached = reached_hits(own, lists.select("node", F.size("near").alias("_len")), max_expansions)
+    walks = reached.join(lists, "node").groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("source_rank", "node", "near"))).alias("_walk"), F.first("_own").alias("_own"))
     kind = own.schema
     empty = F.from_json(F.lit("[]"), f"array<struct<chunk_id:{lists.schema['near'].dataType.elementType['neighbor'].dataType.simpleString()},expanded_from:{kind['node'].dataType.simpleString()},"
                                      f"relation:string,note:string,source_rank:{kind['source_rank'].dataType.simpleString()}>>")
@@ -58,7 +73,7 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5) -
             n["neighbor"].alias("chunk_id"), hit["node"].alias("expanded_from"), n["relation"].alias("relation"), n["note"].alias("note"), hit["source_rank"].alias("source_rank")))
         return F.when(F.size(taken) >= max_expansions, taken).otherwise(F.concat(taken, rows))
 
-    found = walks.select("qid", "_walk", F.col("_walk.node").alias("_own")).select("qid", F.explode(F.aggregate("_walk", empty, take)).alias("_x"))
+    found = walks.select("qid", F.explode(F.aggregate("_walk", empty, take)).alias("_x"))
     return found.select("qid", "_x.*").select(*schema)
 
 

@@ -29,7 +29,8 @@ def order_hits(t: Tables, k: int = 10) -> DataFrame:
 
     Parts carry the line price, suppliers the price halved, so both kinds mix.
     """
-    l = t.lineitem
+    # The lines of an order come together once, before they become two rows each.
+    l = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").repartition("l_orderkey")
     nodes = l.select(F.col("l_orderkey").alias("qid"), F.explode(F.array(
         F.struct(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("chunk_id"), F.col("l_extendedprice").alias("s")),
         F.struct(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("chunk_id"), (F.col("l_extendedprice") / 2).alias("s")),

@@ -324,6 +324,30 @@ def test_key_tables(spark):
     assert {r.qid: r.entities for r in ky.detect_entities_by(t, n).collect()} == {1: ["x", "y"], 2: ["x"], 3: [], 4: [], 5: ["y"]}
 
 
+def test_walks_meet_only_the_lists_they_may_reach(spark):
+    """A list that always completes a question ends its walk; shorter ones, shared and own neighbours don't."""
+    edges = [("full", f"n{i:02d}", "r", "", i) for i in range(9)] + [("h1", "n00", "r", "", 1), ("h1", "h2", "r", "", 2), ("h2", "n00", "r", "", 3), ("h2", "n01", "r", "", 4), ("h2", "n02", "r", "", 5)]
+    hits = [("a", 1, "full"), ("a", 2, "h1"), ("a", 3, "h2"), ("b", 1, "h1"), ("b", 2, "alone"), ("b", 3, "h2"), ("c", 1, "h2"), ("c", 2, "full"), ("c", 3, "h1"), ("d", 1, "alone")]
+    e = spark.createDataFrame(edges, "from_chunk string, to_chunk string, relation string, note string, link_pos long")
+    h = spark.createDataFrame(hits, "qid string, rank long, chunk_id string").withColumn("score", F.lit(1.0))
+    near = {}
+    for a, b, *_ in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for q in "abcd":
+        own, taken = [n for x, _, n in hits if x == q], []
+        for rank, node in sorted((r, n) for x, r, n in hits if x == q):
+            taken += [(n, node, rank) for n in sorted(near.get(node, ())) if n not in own and n not in [t[0] for t in taken]]
+        want |= {(q, *t) for t in taken[:3]}
+    got = graph.expand_one_hop(h, e, 3).collect()
+    assert {(r.qid, r.chunk_id, r.expanded_from, r.source_rank) for r in got} == want and len(got) == len(want)
+    own = h.select("qid", F.col("rank").alias("source_rank"), F.col("chunk_id").alias("node"))
+    sizes = spark.createDataFrame([(n, min(len(x), 6)) for n, x in near.items()], "node string, _len int")
+    reached = {(r.qid, r.node) for r in graph.reached_hits(own, sizes, 3).collect()}
+    assert reached == {("a", "full"), ("b", "h1"), ("b", "h2"), ("c", "h2"), ("c", "full")}
+
+
 def test_keys_that_begin_alike_meet_only_their_own_texts(spark):
     from pandekt.functions.text import words
     from pandekt.operators import keys as ky
