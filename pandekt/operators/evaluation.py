@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pandekt.functions.vectors import cosine
 from pandekt.operators import quantiles as qt
 from pandekt.operators.ordered import MAX_GROUP, row_positions, running_sum, top_k
+from pandekt.session import cut_lineage
 
 # --------------------------------------------------------------- pair checks
 
@@ -287,8 +288,8 @@ def top1_separation(hits: DataFrame, metrics: DataFrame, max_rows: int = qt.MAX_
 
 
 def medians(df: DataFrame, group: list[str], values: list[str], max_rows: int = qt.MAX_ROWS) -> DataFrame:
-    """Exact medians of several columns per group, selected together."""
-    long = unpivot(df.select(*group, *[F.col(v).cast("double").alias(v) for v in values]), values, group)
+    """Exact medians of several columns per group, selected together. The values are read several times, so they are written once."""
+    long = unpivot(cut_lineage(df.select(*group, *[F.col(v).cast("double").alias(v) for v in values])), values, group)
     s = qt.order_stats(long, [*group, "metric"], "value", {"_a": qt.lower_median, "_b": qt.upper_median}, max_rows)
     s = s.withColumn("median", qt.median_from(F.col("_a"), F.col("_b")))
     keys = group or ["_all"]

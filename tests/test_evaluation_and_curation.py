@@ -176,3 +176,16 @@ def test_links(spark):
     for rows_ in ([bad[0]], [good, good]):
         with pytest.raises(ValueError):
             ix.load_links(df(*rows_), "j")
+
+
+def test_medians_make_their_input_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        made.add(1)
+        return float(i)
+
+    df = spark.range(101).select((F.col("id") % 2).alias("g"), value("id").alias("v"))
+    assert {(r.g, r.v) for r in ev.medians(df, ["g"], ["v"], max_rows=10).collect()} == {(0, 50.0), (1, 50.0)}
+    assert made.value == 101
