@@ -383,3 +383,30 @@ def test_respond_from_question_to_verified_answer(spark, corpus):
     assert (got["Q1"].n_total, got["Q1"].n_verified, got["Q2"].answer) == (1, 0, "Nulla.")
     assert got["Q1"].timings_ms == {"retrieval_ms": 1.0, "generate_ms": 5.0, "verify_ms": 2.0, "total_ms": 8.0}
     assert got["Q2"].timings_ms == {"retrieval_ms": None, "generate_ms": 7.0, "verify_ms": None, "total_ms": 7.0} and got["Q1"].n_hits > 0
+
+
+def test_questions_are_sent_once_per_block(spark, monkeypatch):
+    """Vectors without any groups: every question may need every chunk, and still moves once per block of them."""
+    from pandekt.operators import dense
+
+    v = np.random.default_rng(4).normal(size=(600, 16))
+    e = spark.createDataFrame(pd.DataFrame({"qid": np.arange(600), "vec": v.tolist()}))
+    c = e.withColumnRenamed("qid", "chunk_id")
+    sent = []
+    monkeypatch.setattr(dense, "_compared", lambda qs, cs, *a, f=dense._compared: sent.append((qs.count(), cs.count())) or f(qs, cs, *a))
+    want = rows(dense_topk(e, c, 5, skip_same_id=True))
+    assert sent == [] and want == rows(dense_topk(e, c, 5, skip_same_id=True, block_rows=25))
+    # Blocks of 106 rows: 8 of chunks, 6 of questions in each visit; 24 cells before.
+    assert sum(n for n, _ in sent) <= 600 * 9 and sum(n for _, n in sent) <= 2 * 600 * 6
+
+
+def test_equal_questions_are_searched_once(spark, monkeypatch):
+    from pandekt.operators import dense
+
+    q = spark.range(3000).select(F.col("id").alias("qid"), F.array((F.col("id") % 9).cast("double"), (F.col("id") % 7 - 3).cast("double")).alias("vec"))
+    c = spark.range(200).select(F.col("id").alias("chunk_id"), F.array((F.col("id") % 5).cast("double"), (F.col("id") % 11 - 5).cast("double")).alias("vec"))
+    want = rows(dense_topk(q, c, 4))
+    seen = []
+    monkeypatch.setattr(dense, "_visited", lambda q, *a, f=dense._visited: seen.append(q.count()) or f(q, *a))
+    assert len(want) == 12000 and want == rows(dense_topk(q, c, 4, block_rows=40)) and seen == [63]
+    assert want == rows(dense_topk(q, c, 4, block_rows=70)) and seen == [63]
