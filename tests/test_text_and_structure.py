@@ -152,3 +152,11 @@ def test_group_starts_at_the_ends_of_runs(spark):
                 held = 0
             held += x
         assert row.starts == want
+
+
+def test_chunk_rules_count_tokens_once(spark):
+    from pandekt.plans import load_all
+
+    df = load_all()[0]["b14_chunk_invariants"](spark, "/root/testdata/sf0.001")
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.n for r in df.collect()) == [0] * 5
