@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,3 +328,9 @@ def test_archive_members_and_broken_ones(spark, tmp_path):
     ar.index_archives(spark, str(folder))
     jobs.run_available(ar.read_archives(spark, str(folder), stream=True).select("archive", "member"), out, ck)
     assert spark.read.parquet(out).groupBy("archive").count().count() == 4 and spark.read.parquet(out).count() == 33
+
+
+def test_pages_are_parsed_in_runs():
+    pages = pd.DataFrame({"page_id": [1, 2, 3, 4], "html": ["x" * 700_000, None, "y" * 700_000, "z"]})
+    assert [[page for page, _ in run] for run in mk._page_runs(pages, "page_id", "html")] == [[1, 2, 3], [4]]
+    assert list(mk._page_runs(pages.iloc[:0], "page_id", "html")) == []
