@@ -27,10 +27,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from pandekt.functions.text import words
+from pandekt.operators.embedding import word_runs
 
 K1, B = 1.2, 0.75
 BLOCK = 128
 SHARD_ROWS = 8192
+#: What bounds the memory in which the words of a shard are sorted.
+SHARD_WORDS = 1 << 21
 QUESTION_ROWS = 4096
 #: Up to so many words are asked for by a literal filter that row groups are checked against.
 LITERAL_WORDS = 256
@@ -64,8 +67,8 @@ def blocks_of_words(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, shard_rows):
-                yield _one_shard(whole.slice(at, shard_rows), names)
+            for at, end in word_runs(whole.column("w"), SHARD_WORDS, shard_rows):
+                yield _one_shard(whole.slice(at, end - at), names)
 
     return rows.select("id", "urn", "w").mapInArrow(run, block_schema(rows.schema["id"].dataType))
 
