@@ -49,15 +49,18 @@ class LiveIndex:
             return self
         fresh = top_k(batch, ["chunk_id"], [F.desc(c) for c in order], 1, "_i") if order else batch.dropDuplicates(["chunk_id"])
         fresh = cut_lineage(fresh.select("chunk_id", F.col("doc_urn").cast("string").alias("doc_urn"), words(F.col("text")).alias("w"), F.col("text").isNull().alias("gone")))
-        alive = self._alive()
-        old = None if alive is None else cut_lineage(alive.join(fresh.select("chunk_id"), "chunk_id", "left_semi"))
+        alive = self._alive(fresh.select("chunk_id"))
+        old = None if alive is None else cut_lineage(alive)
         self._add(fresh.filter(~F.col("gone")), old, [*self.folders], self.last_batch if batch_id is None else self.last_batch | {source: batch_id}, shard_rows)
         grown = LiveIndex(self.spark, self.path)
         return grown.fold(shard_rows) if len(grown.folders) > fold_after else grown
 
-    def _alive(self) -> DataFrame | None:
-        """Forward rows whose place has no tombstone."""
+    def _alive(self, only: DataFrame | None = None) -> DataFrame | None:
+        """Forward rows whose place has no tombstone, of the chunks in ``only`` if given."""
         forward = self._read("forward")
+        if forward is not None and only is not None:
+            # First, so that tombstones meet the words of these chunks and no others.
+            forward = forward.join(only, "chunk_id", "left_semi")
         return None if forward is None else forward.join(self._read("dead"), ["shard", "pos"], "left_anti")
 
     def _add(self, chunks: DataFrame, old: DataFrame | None, folders: list[str], taken: dict[str, int], shard_rows: int) -> None:

@@ -410,3 +410,26 @@ def test_equal_questions_are_searched_once(spark, monkeypatch):
     monkeypatch.setattr(dense, "_visited", lambda q, *a, f=dense._visited: seen.append(q.count()) or f(q, *a))
     assert len(want) == 12000 and want == rows(dense_topk(q, c, 4, block_rows=40)) and seen == [63]
     assert want == rows(dense_topk(q, c, 4, block_rows=70)) and seen == [63]
+
+
+def test_words_are_counted_in_runs():
+    import pyarrow as pa
+
+    from pandekt.operators.embedding import word_runs
+
+    lists = pa.array([["a"] * 3, None, [], ["b"] * 9, ["c"] * 2, ["d"] * 2], pa.list_(pa.string()))
+    assert list(word_runs(lists, 5)) == [(0, 3), (3, 4), (4, 6)]
+    assert list(word_runs(lists.slice(3), 5, rows=1)) == [(0, 1), (1, 2), (2, 3)]
+    assert list(word_runs(lists.slice(6), 5)) == []
+
+
+def test_live_index_reads_tombstones_of_asked_chunks_only(spark, tmp_path):
+    from pandekt.operators.live_index import LiveIndex
+
+    batch = spark.createDataFrame([(f"c{i}", "d", f"parola{i}") for i in range(6)], "chunk_id string, doc_urn string, text string")
+    index = LiveIndex(spark, str(tmp_path / "live")).upsert(batch, 0).upsert(batch.filter("chunk_id = 'c1'"), 1)
+    asked = batch.filter("chunk_id in ('c1', 'c2')").select("chunk_id")
+    assert rows(index._alive(asked).select("chunk_id")) == [("c1",), ("c2",)] and index._alive().count() == 6
+    plan = index._alive(asked)._jdf.queryExecution().optimizedPlan().toString()
+    # The outer join is the one with the tombstones.
+    assert plan.index("LeftAnti") < plan.index("LeftSemi")
