@@ -16,13 +16,42 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def adjacency_lists(edges: DataFrame, nodes: DataFrame, need: int) -> DataFrame:
-    """(node, near): per node of ``nodes`` its first ``need`` neighbours by id, each with the details of its first link."""
-    links = adjacency(edges).join(nodes, "node", "left_semi").groupBy("node", "neighbor").agg(
-        F.min_by(F.struct("relation", "note"), F.struct("link_pos", "dir")).alias("_l"))
+def adjacency_lists(edges: DataFrame, need: int, parallel: bool = True) -> DataFrame:
+    """(node, near): per node its first ``need`` neighbours by id, each with the details of its first link.
+
+    Links of a node to itself are left out. Without ``parallel`` links no two
+    nodes have more than one, so none need to be compared.
+    """
+    details = ["relation", "note", "link_pos"]
+    links = edges.select(F.inline(F.array(
+        F.struct(F.col("from_chunk").alias("node"), F.col("to_chunk").alias("neighbor"), *details, F.lit(0).alias("dir")),
+        F.struct(F.col("to_chunk").alias("node"), F.col("from_chunk").alias("neighbor"), *details, F.lit(1).alias("dir")),
+    ))).filter(F.col("node") != F.col("neighbor"))
+    if parallel:
+        links = links.groupBy("node", "neighbor").agg(F.min_by(F.struct("relation", "note"), F.struct("link_pos", "dir")).alias("_l")).select(
+            "node", "neighbor", "_l.relation", "_l.note")
     # Ranked limits are applied before the shuffle as well, so a hub sends no more than ``need`` rows per task.
-    first = top_k(links, ["node"], [F.asc("neighbor")], need, "_nth")
-    return first.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("neighbor", "_l.relation", "_l.note"))).alias("near"))
+    first = top_k(links.select("node", "neighbor", "relation", "note"), ["node"], [F.asc("neighbor")], need, "_nth")
+    return first.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("neighbor", "relation", "note"))).alias("near"))
+
+
+def question_walks(hits: DataFrame) -> DataFrame:
+    """(qid, _own, _ranks): the hits of every question and their ranks, best first."""
+    walk = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").alias("node")))).alias("_w"))
+    return walk.select("qid", F.col("_w.node").alias("_own"), F.col("_w.rank").alias("_ranks"))
+
+
+def first_expansions(walks: DataFrame, lists: DataFrame, max_expansions: int) -> DataFrame:
+    """(qid, expanded_from, source_rank, _new, _own, _ranks): what the list of a question's best hit gives.
+
+    A question that needs more lists has no ``_new`` but its hits, the others have no hits left.
+    """
+    met = walks.withColumn("node", F.col("_own")[0]).join(lists, "node", "left")
+    new = met.withColumn("_new", F.slice(F.filter(
+        F.coalesce("near", F.array()), lambda n: ~F.array_contains(F.col("_own"), n["neighbor"])), 1, max_expansions))
+    more = (F.size("_new") < max_expansions) & (F.size("_own") > 1)
+    return new.select("qid", F.col("node").alias("expanded_from"), F.col("_ranks")[0].alias("source_rank"),
+                      F.when(~more, F.col("_new")).alias("_new"), F.when(more, F.col("_own")).alias("_own"), F.when(more, F.col("_ranks")).alias("_ranks"))
 
 
 def reached_hits(own: DataFrame, sizes: DataFrame, max_expansions: int) -> DataFrame:
@@ -38,7 +67,7 @@ def reached_hits(own: DataFrame, sizes: DataFrame, max_expansions: int) -> DataF
     return hit.select("qid", "_h.source_rank", "_h.node", "_own")
 
 
-def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5) -> DataFrame:
+def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5, parallel: bool = True) -> DataFrame:
     """Neighbours of the hits that were not retrieved themselves.
 
     A neighbour reached from several hits keeps the best-ranked one (first
@@ -46,20 +75,26 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5) -
     ``max_expansions``.
 
     A question walks its hits by rank and takes what is new from the sorted list
-    of each node's neighbours until it has ``max_expansions``. Hits first meet the
-    sizes of the lists; only those that the walk may reach meet the lists. At most as many of a node's neighbours as a question has
-    hits can be retrieved already, so beyond its first ``max_expansions`` +
-    (most hits of a question, counted first) neighbours by id a node can never
-    contribute; leaving them out keeps hub nodes harmless.
+    of each node's neighbours until it has ``max_expansions``. Every question
+    first goes, with its hits, to the list of its best hit; most end there and no
+    list travels. The hits of the rest meet the sizes of the lists; only those
+    that the walk may reach meet the lists. At most as many of a node's
+    neighbours as a question has hits can be retrieved already, so beyond its
+    first ``max_expansions`` + (most hits of a question, counted first)
+    neighbours by id a node can never contribute; leaving them out keeps hub
+    nodes harmless. ``parallel=False`` says that no two nodes have more than one link.
     """
     schema = "qid chunk_id expanded_from relation note source_rank".split()
     if max_expansions <= 0:
         return (hits.withColumn("expanded_from", F.col("chunk_id")).withColumn("relation", F.lit(""))
                 .withColumn("note", F.lit("")).withColumn("source_rank", F.col("rank"))
                 .select(*schema).limit(0))
-    own = hits.select("qid", F.col("rank").alias("source_rank"), F.col("chunk_id").alias("node"))
-    most = own.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    lists = cut_lineage(adjacency_lists(edges, own.select("node").distinct(), max_expansions + most))
+    walks = cut_lineage(question_walks(hits))
+    most = walks.agg(F.max(F.size("_own"))).first()[0] or 0
+    lists = cut_lineage(adjacency_lists(edges, max_expansions + most, parallel))
+    first = cut_lineage(first_expansions(walks, lists, max_expansions))
+    ended = first.select("qid", "expanded_from", "source_rank", F.inline("_new")).withColumnRenamed("neighbor", "chunk_id")
+    own = first.select("qid", F.inline(F.arrays_zip(F.col("_ranks").alias("source_rank"), F.col("_own").alias("node"))))
     reached = reached_hits(own, lists.select("node", F.size("near").alias("_len")), max_expansions)
     walks = reached.join(lists, "node").groupBy("qid").agg(
         F.array_sort(F.collect_list(F.struct("source_rank", "node", "near"))).alias("_walk"), F.first("_own").alias("_own"))
@@ -74,7 +109,7 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5) -
         return F.when(F.size(taken) >= max_expansions, taken).otherwise(F.concat(taken, rows))
 
     found = walks.select("qid", F.explode(F.aggregate("_walk", empty, take)).alias("_x"))
-    return found.select("qid", "_x.*").select(*schema)
+    return ended.select(*schema).unionByName(found.select("qid", "_x.*").select(*schema))
 
 
 def link_activation(expansions: DataFrame) -> DataFrame:
