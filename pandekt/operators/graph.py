@@ -67,7 +67,7 @@ def reached_hits(own: DataFrame, sizes: DataFrame, max_expansions: int) -> DataF
     return hit.select("qid", "_h.source_rank", "_h.node", "_own")
 
 
-def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5, parallel: bool = True) -> DataFrame:
+def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5, parallel: bool = True, most_hits: int | None = None) -> DataFrame:
     """Neighbours of the hits that were not retrieved themselves.
 
     A neighbour reached from several hits keeps the best-ranked one (first
@@ -77,23 +77,29 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5, p
     A question walks its hits by rank and takes what is new from the sorted list
     of each node's neighbours until it has ``max_expansions``. Every question
     first goes, with its hits, to the list of its best hit; most end there and no
-    list travels. The hits of the rest meet the sizes of the lists; only those
-    that the walk may reach meet the lists. At most as many of a node's
-    neighbours as a question has hits can be retrieved already, so beyond its
-    first ``max_expansions`` + (most hits of a question, counted first)
-    neighbours by id a node can never contribute; leaving them out keeps hub
-    nodes harmless. ``parallel=False`` says that no two nodes have more than one link.
+    list travels. The hits of the rest, if there are any, meet the sizes of the
+    lists; only those that the walk may reach meet the lists. At most as many of
+    a node's neighbours as a question has hits can be retrieved already, so
+    beyond its first ``max_expansions`` + (most hits of a question) neighbours by
+    id a node can never contribute; leaving them out keeps hub nodes harmless.
+    ``most_hits`` says that no question has more; without it hits are written and
+    counted first. ``parallel=False`` says that no two nodes have more than one link.
     """
     schema = "qid chunk_id expanded_from relation note source_rank".split()
     if max_expansions <= 0:
         return (hits.withColumn("expanded_from", F.col("chunk_id")).withColumn("relation", F.lit(""))
                 .withColumn("note", F.lit("")).withColumn("source_rank", F.col("rank"))
                 .select(*schema).limit(0))
-    walks = cut_lineage(question_walks(hits))
-    most = walks.agg(F.max(F.size("_own"))).first()[0] or 0
-    lists = cut_lineage(adjacency_lists(edges, max_expansions + most, parallel))
+    walks = question_walks(hits)
+    if most_hits is None:
+        walks = cut_lineage(walks)
+        most_hits = walks.agg(F.max(F.size("_own"))).first()[0] or 0
+    lists = cut_lineage(adjacency_lists(edges, max_expansions + most_hits, parallel))
     first = cut_lineage(first_expansions(walks, lists, max_expansions))
-    ended = first.select("qid", "expanded_from", "source_rank", F.inline("_new")).withColumnRenamed("neighbor", "chunk_id")
+    ended = first.select("qid", "expanded_from", "source_rank", F.inline("_new")).withColumnRenamed("neighbor", "chunk_id").select(*schema)
+    # Joins with no question on one side would still shuffle all lists.
+    if first.filter(F.col("_own").isNotNull()).isEmpty():
+        return ended
     own = first.select("qid", F.inline(F.arrays_zip(F.col("_ranks").alias("source_rank"), F.col("_own").alias("node"))))
     reached = reached_hits(own, lists.select("node", F.size("near").alias("_len")), max_expansions)
     walks = reached.join(lists, "node").groupBy("qid").agg(
@@ -109,7 +115,7 @@ def expand_one_hop(hits: DataFrame, edges: DataFrame, max_expansions: int = 5, p
         return F.when(F.size(taken) >= max_expansions, taken).otherwise(F.concat(taken, rows))
 
     found = walks.select("qid", F.explode(F.aggregate("_walk", empty, take)).alias("_x"))
-    return ended.select(*schema).unionByName(found.select("qid", "_x.*").select(*schema))
+    return ended.unionByName(found.select("qid", "_x.*").select(*schema))
 
 
 def link_activation(expansions: DataFrame) -> DataFrame:

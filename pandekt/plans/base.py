@@ -24,7 +24,11 @@ def lines(c) -> "F.Column":
     return F.split(c, "\n")
 
 
-def order_hits(t: Tables, k: int = 10) -> DataFrame:
+#: Hits of an order.
+ORDER_HITS = 10
+
+
+def order_hits(t: Tables, k: int = ORDER_HITS) -> DataFrame:
     """Ranked parts and suppliers of every order, as hits over graph nodes.
 
     Parts carry the line price, suppliers the price halved, so both kinds mix.

@@ -404,6 +404,34 @@ def test_lists_do_not_travel_to_questions_that_end_at_their_best_hit(spark):
     assert mb < 6
 
 
+def test_known_number_of_hits_saves_writing_them(spark):
+    """Lists and first expansions are written, hits only where they must be counted; the rows are the same."""
+    from pandekt import session
+
+    edges = [(f"n{i % 9}", f"m{i:02d}", "r", "", i) for i in range(40)]
+    hits = [(f"q{q}", r + 1, n) for q in range(20) for r, n in enumerate([f"n{q % 11}", f"m{q:02d}", f"n{q % 7}"][:1 + q % 3])]
+    hits = list({(q, n): (q, r, n) for q, r, n in reversed(hits)}.values())
+    h, e = spark.createDataFrame([(*x, 1.0) for x in hits], "qid string, rank long, chunk_id string, score double"), spark.createDataFrame(edges, EDGES)
+    written = []
+    for most in (None, 3, 10):
+        before = len(session._scratch)
+        got = graph.expand_one_hop(h, e, 4, most_hits=most).drop("note").collect()
+        written.append(len(session._scratch) - before)
+        assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == plain_hops(hits, edges, 4)
+    assert written == [3, 2, 2]
+
+
+def test_no_second_walk_when_all_questions_end_at_their_best_hit(spark):
+    """The plan then holds no join; with one question that needs more lists it does."""
+    edges = spark.createDataFrame([("a", f"m{i}", "r", "", i) for i in range(6)] + [("b", "z", "r", "", 9)], EDGES)
+    for hits, joined in (([("q", 1, "a"), ("q", 2, "b"), ("alone", 1, "b"), ("out", 1, "x")], False), ([("q", 1, "a"), ("p", 1, "b"), ("p", 2, "a")], True)):
+        h = spark.createDataFrame([(*x, 1.0) for x in hits], "qid string, rank long, chunk_id string, score double")
+        got = graph.expand_one_hop(h, edges, 3)
+        assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == joined
+        assert {tuple(r) for r in got.drop("note").collect()} == plain_hops(hits, [(*r,) for r in edges.collect()], 3)
+    assert graph.expand_one_hop(h.limit(0), edges, 3).count() == 0
+
+
 def test_keys_that_begin_alike_meet_only_their_own_texts(spark):
     from pandekt.functions.text import words
     from pandekt.operators import keys as ky
