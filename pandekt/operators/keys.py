@@ -5,7 +5,8 @@ between word boundaries. The runs of words of a text meet the keys as wholes, fo
 every number of words that keys have, so keys that begin alike don't meet each
 other's texts. Keys of more than ``RUN`` words meet by their first ``RUN`` words and
 are then looked for in the text's own words. The cost follows the words of the
-texts and the matches, not the number of keys.
+texts and the matches, not the number of keys. Texts and keys are merged, never
+broadcast: the size of a file says little of the runs and words made from it.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def _met(t: DataFrame, k: DataFrame) -> DataFrame:
     head = k.withColumn("_run", F.array_join(F.slice("_k", 1, RUN), " "))
     # One value of at most RUN numbers; without keys there are no runs.
     sizes = k.agg(F.collect_set(F.least(F.size("_k"), F.lit(RUN))))
-    return t.withColumn("_sizes", sizes.scalar()).select("qid", F.explode(_runs(F.col("_w"), F.col("_sizes"))).alias("_run")).join(head, "_run")
+    return t.withColumn("_sizes", sizes.scalar()).select("qid", F.explode(_runs(F.col("_w"), F.col("_sizes"))).alias("_run")).join(head.hint("merge"), "_run")
 
 
 def key_matches(texts: DataFrame, keys: DataFrame, qid: str = "qid", text: str = "text", key: str = "key", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -46,7 +47,7 @@ def key_matches(texts: DataFrame, keys: DataFrame, qid: str = "qid", text: str =
     k = keys.select(F.col(key).alias("key"), *carry, words(F.col(key)).alias("_k")).filter(F.size("_k") > 0)
     whole = _met(t, k.filter(F.size("_k") <= RUN)).select("qid", "key", *carry)
     # Candidates of more words go back to their text, which is split again there.
-    longer = _met(t, k.filter(F.size("_k") > RUN)).join(t, "qid").filter(_spaced(F.col("_w")).contains(_spaced(F.col("_k")))).select("qid", "key", *carry)
+    longer = _met(t, k.filter(F.size("_k") > RUN)).join(t.hint("merge"), "qid").filter(_spaced(F.col("_w")).contains(_spaced(F.col("_k")))).select("qid", "key", *carry)
     return whole.unionByName(longer)
 
 

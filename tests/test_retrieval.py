@@ -448,6 +448,23 @@ def test_keys_that_begin_alike_meet_only_their_own_texts(spark):
     assert met.count() == 2 * n - 7
 
 
+def _small_files_of_many_keys(spark, path):
+    """Texts and keys whose files are far smaller than what is made of them, as (texts, keys)."""
+    rows = spark.range(3000).select("id", F.concat(F.lit("small ring "), F.col("id").cast("string")).alias("s"))
+    rows.select(F.col("id").alias("qid"), F.concat("s", F.lit("!")).alias("text")).write.parquet(f"{path}/texts")
+    rows.select(F.col("id").alias("pos"), F.col("s").alias("key")).write.parquet(f"{path}/keys")
+    return spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/keys")
+
+
+def test_alias_tables_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    from pandekt.operators import keys as ky
+
+    t, k = _small_files_of_many_keys(spark, str(tmp_path))
+    got = ky.expand_terms_by(t, k.select(F.col("pos").alias("alias_pos"), "key", F.array(F.concat(F.lit("form of "), "key")).alias("forms")))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.filter(F.col("expanded") == F.concat(F.lit("small ring "), F.col("qid"), F.lit("! form of small ring "), F.col("qid"))).count() == 3000
+
+
 def test_respond_from_question_to_verified_answer(spark, corpus):
     from pandekt.operators.answers import respond
 
