@@ -465,6 +465,15 @@ def test_alias_tables_are_not_broadcast_by_the_size_of_their_files(spark, tmp_pa
     assert got.filter(F.col("expanded") == F.concat(F.lit("small ring "), F.col("qid"), F.lit("! form of small ring "), F.col("qid"))).count() == 3000
 
 
+def test_name_tables_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    from pandekt.operators import keys as ky
+
+    t, k = _small_files_of_many_keys(spark, str(tmp_path))
+    got = ky.detect_entities_by(t, k.select(F.col("pos").alias("entity_pos"), F.col("pos").alias("entity"), F.col("key").alias("name")))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.filter(F.col("entities") == F.array("qid")).count() == 3000
+
+
 def test_respond_from_question_to_verified_answer(spark, corpus):
     from pandekt.operators.answers import respond
 
