@@ -37,6 +37,8 @@ SHARD_WORDS = 1 << 21
 QUESTION_ROWS = 4096
 #: Up to so many words are asked for by a literal filter that row groups are checked against.
 LITERAL_WORDS = 256
+#: Up to so many words (times blocks of questions) travel with the tasks that read postings; beyond that postings are shuffled to meet them.
+SENT_WORDS = 1 << 17
 SHARD_ROW = ""
 
 
@@ -61,6 +63,29 @@ def posting_blocks(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "t
     return blocks_of_words(chunks.select(F.col(chunk_id).alias("id"), urn.alias("urn"), words(F.col(text)).alias("w")), shard_rows)
 
 
+def placed(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(id, urn, dl, w, shard, pos): ``rows`` (id, urn, w) with the length and place of each; rows without a list get none.
+
+    Shard names are drawn anew at every evaluation: write it before it is used.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            there = whole.column("w").is_valid()
+            for part, living in ((whole.filter(there), True), (whole.filter(pc.invert(there)), False)):
+                n, shard, pos = part.num_rows, [], []
+                for at, end in word_runs(part.column("w"), SHARD_WORDS, shard_rows) if living else ():
+                    shard += [uuid.uuid4().hex] * (end - at)
+                    pos += range(end - at)
+                dl = pc.list_value_length(part.column("w")).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("urn"), dl, part.column("w"), pa.array(shard if living else [None] * n, pa.string()), pa.array(pos if living else [None] * n, pa.int32())],
+                    names=["id", "urn", "dl", "w", "shard", "pos"])
+
+    return rows.select("id", "urn", "w").mapInArrow(run, f"id {kind}, urn string, dl long, w array<string>, shard string, pos int")
+
+
 def blocks_of_words(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Block table of (id, urn, w), where w lists the words of a chunk, repeats included."""
     names = ["term", "shard", "n", "max_tf", "min_dl", "pos", "tf", "ids", "urns", "dls"]
@@ -73,11 +98,35 @@ def blocks_of_words(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return rows.select("id", "urn", "w").mapInArrow(run, block_schema(rows.schema["id"].dataType))
 
 
-def _one_shard(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
-    lists = batch.column("w")
+def blocks_of_places(rows: DataFrame) -> DataFrame:
+    """Block table of (id, urn, dl, w, shard, pos), whose places were given before; every row of a shard must be there.
+
+    Rows may come in any order. A word of a shard gets blocks of its own from every
+    run of places that follow one another, so the places of its blocks never mix.
+    """
+    names, cells = ["term", "shard", "n", "max_tf", "min_dl", "pos", "tf"], "term string, shard string, n long, max_tf long, min_dl long, pos array<int>, tf array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            shard, pos = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "pos"))
+            edges = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (pos[1:] != pos[:-1] + 1), True])
+            for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for at, end in word_runs(whole.column("w").slice(first, last - first), SHARD_WORDS):
+                    own = slice(first + at, first + end)
+                    term, *rest = _sorted_blocks(whole.column("w").slice(first + at, end - at), pos[own])
+                    yield pa.RecordBatch.from_arrays([term, pa.array([shard[first]] * len(term), pa.string()), *rest], names=names)
+
+    own = rows.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "urn", "dl"))).alias("_r")).select(
+        F.lit(SHARD_ROW).alias("term"), "shard", F.size("_r").cast("long").alias("n"), F.lit(0).cast("long").alias("max_tf"), F.lit(0).cast("long").alias("min_dl"),
+        F.col("_r.id").alias("ids"), F.col("_r.urn").alias("urns"), F.col("_r.dl").cast("array<int>").alias("dls"))
+    return rows.select("shard", "pos", "w").mapInArrow(run, cells).unionByName(own, allowMissingColumns=True)
+
+
+def _sorted_blocks(lists: pa.Array, places: np.ndarray) -> tuple[pa.Array, ...]:
+    """term, n, max_tf, min_dl, pos and tf of the blocks of word lists at rising ``places``."""
     dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.dictionary_encode(lists.flatten())
-    n_rows = batch.num_rows
+    n_rows = len(lists)
     key, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n_rows + np.repeat(np.arange(n_rows), dl), return_counts=True)
     word, pos = key // n_rows, key % n_rows
     first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, dtype=np.int64)
@@ -88,14 +137,20 @@ def _one_shard(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
     short = np.minimum.reduceat(dl[pos], start) if len(start) else tf
     offsets = pa.array(np.r_[start, len(word)].astype(np.int32))
     cells = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32)))
-    n = len(start)
+    return coded.dictionary.take(pa.array(word[start])).cast(pa.string()), *(pa.array(x.astype(np.int64)) for x in (size, top, short)), cells(places[pos]), cells(tf)
+
+
+def _one_shard(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    lists, n_rows = batch.column("w"), batch.num_rows
+    dl = pc.fill_null(pc.list_value_length(lists), 0).cast(pa.int32())
+    term, size, top, short, pos, tf = _sorted_blocks(lists, np.arange(n_rows))
+    n = len(term)
     shard = pa.array([uuid.uuid4().hex] * (n + 1))
     ids, urns, none = pa.array([batch.column("id").to_pylist()], pa.list_(batch.column("id").type)), pa.array([batch.column("urn").to_pylist()], pa.list_(pa.string())), pa.int32()
+    whole = lambda x, own: pa.concat_arrays([x, pa.array([own], x.type)])
     return pa.RecordBatch.from_arrays([
-        pa.concat_arrays([coded.dictionary.take(pa.array(word[start])).cast(pa.string()), pa.array([SHARD_ROW])]), shard,
-        pa.array(np.r_[size, n_rows].astype(np.int64)), pa.array(np.r_[top, 0].astype(np.int64)), pa.array(np.r_[short, 0].astype(np.int64)),
-        pa.concat_arrays([cells(pos), pa.nulls(1, pa.list_(none))]), pa.concat_arrays([cells(tf), pa.nulls(1, pa.list_(none))]),
-        pa.concat_arrays([pa.nulls(n, ids.type), ids]), pa.concat_arrays([pa.nulls(n, urns.type), urns]), pa.concat_arrays([pa.nulls(n, pa.list_(none)), pa.array([dl.astype(np.int32)], pa.list_(none))]),
+        whole(term, SHARD_ROW), shard, whole(size, n_rows), whole(top, 0), whole(short, 0), whole(pos, None), whole(tf, None),
+        pa.concat_arrays([pa.nulls(n, ids.type), ids]), pa.concat_arrays([pa.nulls(n, urns.type), urns]), pa.concat_arrays([pa.nulls(n, pa.list_(none)), pa.array([dl.to_pylist()], pa.list_(none))]),
     ], names=names)
 
 
@@ -141,14 +196,15 @@ def search_blocks(questions: DataFrame, blocks: DataFrame, k: int, frequencies:
     asked = q.select("qblock", "want", F.explode("terms").alias("term"))
     df = frequencies.join(asked.select("term").distinct(), "term", "left_semi")
     lists = only_words(blocks, asked).select("term", "shard", "max_tf", "min_dl", "pos", "tf")
+    sent = F.broadcast if asked.select("qblock", "term").distinct().limit(SENT_WORDS + 1).count() <= SENT_WORDS else lambda x: x
     if filtered:
         # Bound questions meet the shards of their document, free ones all.
         places = own.select("shard", F.explode(F.array_distinct("urns")).alias("want"))
         bound = asked.filter(F.col("want").isNotNull()).join(places, "want").select("qblock", "term", "shard").distinct().join(df, "term")
         free = asked.filter(F.col("want").isNull()).select("qblock", "term").distinct().join(df, "term")
-        left = lists.join(bound, ["term", "shard"]).unionByName(lists.join(free, "term").select(*lists.columns, "qblock", "df"), allowMissingColumns=True)
+        left = lists.join(bound, ["term", "shard"]).unionByName(lists.join(sent(free), "term").select(*lists.columns, "qblock", "df"), allowMissingColumns=True)
     else:
-        left = lists.join(asked.select("qblock", "term").distinct().join(df, "term"), "term")
+        left = lists.join(sent(asked.select("qblock", "term").distinct().join(df, "term")), "term")
     block = q.groupBy(F.col("qblock").alias("_q")).agg(F.collect_list(F.struct("qid", "want", "terms")).alias("qs"))
     right = own.withColumnRenamed("shard", "_s").withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(block, "_q")
     # New names on this side: both come from the same tables.

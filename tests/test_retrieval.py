@@ -543,3 +543,56 @@ def test_live_index_reads_tombstones_of_asked_chunks_only(spark, tmp_path):
     plan = index._alive(asked)._jdf.queryExecution().optimizedPlan().toString()
     # The outer join is the one with the tombstones.
     assert plan.index("LeftAnti") < plan.index("LeftSemi")
+
+
+def test_live_index_moves_words_once(spark, tmp_path):
+    """Shuffled bytes of a batch and of the removal of a few of its chunks, when nothing is small enough to be broadcast unasked."""
+    from pandekt.operators.live_index import LiveIndex
+
+    def shuffled():
+        tracker, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+        bus.waitUntilEmpty(30_000)
+        stages = tracker.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rng = np.random.default_rng(8)
+    batch = spark.createDataFrame([(f"c{i}", "d", " ".join(f"w{x}" for x in rng.integers(0, 50, 2000))) for i in range(400)], "chunk_id string, doc_urn string, text string").repartition(4)
+    batch = cut_lineage(batch)
+    before, limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "-1")
+    try:
+        start = shuffled()
+        batch.dropDuplicates(["chunk_id"]).write.parquet(str(tmp_path / "once"))
+        once, start = shuffled() - start, shuffled()
+        index = LiveIndex(spark, str(tmp_path / "live")).upsert(batch, 0)
+        added, start = shuffled() - start, shuffled()
+        index = index.upsert(batch.limit(3).withColumn("text", F.lit(None).cast("string")), 1)
+        removed = shuffled() - start
+    finally:
+        spark.conf.set(limit, before)
+    assert added < 1.5 * once and removed < 0.25 * once
+    assert index._alive().count() == 397 and index.stats().first().n_docs == 397
+
+
+def test_blocks_of_places_in_any_order_and_size(spark, corpus, tmp_path, monkeypatch):
+    """Shards in pieces, words and places too many to be sent with tasks, empty batches and batches of removals, folded at the end."""
+    from pandekt.functions.text import words
+    from pandekt.operators import live_index, postings
+
+    q, c = corpus
+    rows_of = c.select(F.col("chunk_id").alias("id"), F.col("doc_urn").alias("urn"), words(F.col("text")).alias("w"))
+    placed = cut_lineage(postings.placed(rows_of, 50))
+    blocks = cut_lineage(postings.blocks_of_places(placed.repartition(5)))
+    assert blocks.filter("term = ''").count() == placed.select("shard").distinct().count()
+    whole = cut_lineage(posting_blocks(c, shard_rows=50))
+    assert rows(postings.block_frequencies(blocks)) == rows(postings.block_frequencies(whole)) and rows(postings.block_stats(blocks)) == rows(postings.block_stats(whole))
+    for want in (None, "want"):
+        assert rows(sparse_topk(q, c, 7, filter_doc=want, postings=blocks)) == rows(sparse_topk(q, c, 7, filter_doc=want))
+    for sent in (0, 1 << 17):
+        monkeypatch.setattr(postings, "SENT_WORDS", sent)
+        monkeypatch.setattr(live_index, "SENT_PLACES", sent)
+        index = live_index.LiveIndex(spark, str(tmp_path / f"live{sent}")).upsert(c.limit(0), 0).upsert(c, 1, shard_rows=50)
+        gone = c.filter("doc_urn = 'd1'").select("chunk_id", "doc_urn", F.lit(None).cast("string").alias("text"))
+        index = index.upsert(gone, 2).upsert(c.filter("chunk_id = 'd0__art_0'"), 3)
+        for now in (index, index.fold(40)):
+            assert rows(now.search(q, 7, "want")) == rows(sparse_topk(q, c.filter("doc_urn <> 'd1'"), 7, filter_doc="want"))
